@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity, warc
+from . import licenses, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_license_scans": licenses.op5_license_scans,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_secret_scans": secrets.op7_secret_scans,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_warc": warc.op10_warc,
 }
 
-SQL: dict[str, str] = {"op10_warc": warc.OP10_SQL}
+SQL: dict[str, str] = {"op7_secret_scans": secrets.OP7_SQL, "op10_warc": warc.OP10_SQL}
