@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, secrets, toxicity, warc
+from . import language, licenses, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language.op1_language_id,
     "op5_license_scans": licenses.op5_license_scans,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scans": secrets.op7_secret_scans,
