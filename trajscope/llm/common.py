@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 
@@ -139,3 +140,8 @@ def text_chunks(frame, column: str = "text", most: int = 1 << 21):
             begin, size = k + 1, 0
     if begin < len(frame):
         yield frame.iloc[begin:]
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows; else df, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
