@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, ngram_join, quality, secrets, toxicity, warc
+from . import decontaminate, language, licenses, ngram_join, quality, secrets, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_warc": warc.op10_warc,
 }
 
