@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, ngram_join, quality, secrets, suffix_dedup, toxicity, warc
+from . import decontaminate, language, licenses, ngram_join, pieces, quality, secrets, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.op1_language_id,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_license_scans": licenses.op5_license_scans,
