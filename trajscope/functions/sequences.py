@@ -78,7 +78,8 @@ def direction(values: Column, weights: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, clamped to [-1, 1]; null if one is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))))
+    ratio = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.when(ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
 
 
 def softmax_progress(logits: Column) -> Column:

@@ -31,7 +31,7 @@ def public_id(name: Column) -> Column:
 
 def comma_list(text: Column) -> Column:
     """Trimmed non-empty items in their order, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def scale_answer(text: Column) -> Column:

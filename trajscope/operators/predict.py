@@ -1,0 +1,42 @@
+"""The predictor contract: a batch function from rows to scores, run per partition.
+
+A predictor gets batches of value queries and returns a score for each row, in
+their order. Compare queries are answered by the difference of two values.
+Equal states are asked once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+STATE = ["task_id", "episode_id", "anchor_frame", "instruction", "playback"]
+Predictor = Callable[[pd.DataFrame], list[float]]
+
+
+def predict_values(queries: DataFrame, open_predictor: Callable[[], Predictor]) -> DataFrame:
+    """query_id, op, score. open_predictor is called once per partition, where a model would be loaded."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predictor = open_predictor()
+        for frame in frames:
+            scores = predictor(frame[STATE])
+            if len(scores) != len(frame):
+                raise ValueError(f"predictor gave {len(scores)} scores for {len(frame)} rows")
+            yield frame[STATE].assign(score=scores)
+
+    flat = queries.select("query_id", F.col("state.task_id").alias("task_id"), F.col("state.episode_id").alias("episode_id"), F.col("state.anchor_frame").alias("anchor_frame"), "instruction", F.coalesce("playback", F.lit("forward")).alias("playback"))
+    scored = flat.select(*STATE).distinct().mapInPandas(run, "task_id string, episode_id string, anchor_frame int, instruction string, playback string, score double")
+    return flat.join(scored, STATE).select("query_id", F.lit("value").alias("op"), "score")
+
+
+def predict_compares(queries: DataFrame, open_predictor: Callable[[], Predictor], reverse: bool = False) -> DataFrame:
+    """query_id, op, score = V(b) - V(a), or V(a) - V(b) where smaller values are later."""
+    side = lambda c, sign: queries.select(F.concat_ws("|", F.lit(c), "query_id").alias("query_id"), F.col(f"state_{c}").alias("state"), "instruction", F.lit("forward").alias("playback"), F.lit(sign).alias("sign"))
+    both = side("a", -1.0).unionByName(side("b", 1.0))
+    values = predict_values(both, open_predictor).join(both.select("query_id", "sign"), "query_id")
+    score = F.sum(F.col("score") * F.col("sign")) * (-1 if reverse else 1)
+    return values.groupBy(F.expr("substring(query_id, 3)").alias("query_id")).agg(score.alias("score")).select("query_id", F.lit("compare").alias("op"), "score")
