@@ -29,6 +29,7 @@ from .common import NOT_ALNUM, table, text_chunks, word_hashes
 SAMPLE_PER_LABEL = 3000
 GRADES = 4
 MIN_DOCS = 8
+LEAST_Z = 5.0
 MOST_FEATURES = 2000
 SCORED = "doc_id long, severity double, p_toxic double, grade int, toxic boolean"
 
@@ -71,7 +72,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PE
     picked = F.broadcast(parts[0].unionByName(parts[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
     rows = texts.mapInPandas(_sampled, "doc_id long, toxic int, words binary, counts binary").collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], bytes(r["words"])))
+    # copies say nothing new, and would make their words look telling
+    return list({(r["toxic"], bytes(r["words"])): r for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], bytes(r["words"])))}.values())
 
 
 class OrdinalModel:
@@ -87,7 +89,7 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.theta)
 
 
-def fit(rows: list, rounds: int = 400, l1: float = 2e-4, rate: float = 0.1) -> OrdinalModel:
+def fit(rows: list, rounds: int = 400, l1: float = 1e-3, rate: float = 0.1) -> OrdinalModel:
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 5.0))
     y = np.array([r["toxic"] for r in rows], dtype=int)
     if len(set(y.tolist())) < 2:
@@ -103,6 +105,7 @@ def fit(rows: list, rounds: int = 400, l1: float = 2e-4, rate: float = 0.1) -> O
     p = (df[0] + df[1]) / len(y)
     z = (df[1] / n[1] - df[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-9)
     able = np.flatnonzero(df[0] + df[1] >= min(MIN_DOCS, max(1, n[1] // 4)))
+    able = able[np.abs(z[able]) >= LEAST_Z]
     able = np.sort(able[np.argsort(-np.abs(z[able]), kind="stable")[:MOST_FEATURES]])
     if not len(able):
         return none
