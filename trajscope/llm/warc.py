@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -95,6 +96,7 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = 2000)
 # --- salvage reader -----------------------------------------------------------
 
 MAGIC, LINE = b"\x1f\x8b\x08", b"WARC/1."
+VERSION = re.compile(rb"WARC/1\.\d\r\n")
 
 
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
@@ -108,7 +110,7 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
 def _parse(raw: bytes) -> tuple[dict, bytes, int]:
     """Headers, block and size of the record at the start of raw."""
     cut = raw.find(b"\r\n\r\n")
-    if not raw.startswith(LINE) or cut < 0:
+    if not VERSION.match(raw) or cut < 0:
         raise ValueError("no version line or header end")
     head = {}
     for line in raw[:cut].split(b"\r\n")[1:]:
