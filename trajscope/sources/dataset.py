@@ -46,9 +46,10 @@ def _wanted(asked: set[str] | None, block: str) -> bool:
     return asked is None or bool(asked & set(SCOPES[block]))
 
 
-def json_files(spark: SparkSession, glob: str, schema: str, keys: tuple[str, ...]) -> DataFrame:
+def json_files(spark: SparkSession, root: str, name: str, of_episode: bool, schema: str, keys: tuple[str, ...]) -> DataFrame:
     """path, the parsed fields of schema, and the rules each file breaks as an object (array `broken`)."""
-    files = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = files.where(F.col("path").rlike(f"/episodes/[^/]+/{name}$") == of_episode)
     parsed = files.withColumn("j", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     found = F.json_object_keys("value")
     broken = F.array_compact(F.array(F.when(found.isNull(), "not_an_object"), F.when(F.size(F.array_except(found, F.array(*map(F.lit, keys)))) > 0, "unknown_key")))
@@ -74,7 +75,7 @@ def _ids(c: str) -> Column:
 def load(spark: SparkSession, root: str, metrics: list[str] | None = None, on_violation: str = "raise") -> Dataset:
     """tasks and episodes (with their annotations) under root; on_violation is raise or report."""
     asked = scope(metrics)
-    t = json_files(spark, f"{root}/*/metadata.json", TASK, KEYS["task"]).withColumn("key", F.regexp_extract("path", r"([^/]+)/metadata\.json$", 1))
+    t = json_files(spark, root, "metadata.json", False, TASK, KEYS["task"]).withColumn("key", F.regexp_extract("path", r"([^/]+)/metadata\.json$", 1))
     rules = [(_blank("task_id") | (F.col("task_id") != F.col("key")), "task_id"), (_blank("instruction"), "instruction"), (F.col("supports.metrics").isNull() | (F.size("supports.metrics") == 0), "supports")]
     if _wanted(asked, "subtasks"):
         rules.append((_repeats(_ids("subtasks")), "subtasks"))
@@ -82,7 +83,7 @@ def load(spark: SparkSession, root: str, metrics: list[str] | None = None, on_vi
         rules.append((_repeats(_ids("tga.counterfactual_instructions")), "tga"))
     t = t.withColumn("broken", _broken(rules))
 
-    e = json_files(spark, f"{root}/*/episodes/*/metadata.json", EPISODE, KEYS["episode"])
+    e = json_files(spark, root, "metadata.json", True, EPISODE, KEYS["episode"])
     e = e.withColumn("task_key", F.regexp_extract("path", r"([^/]+)/episodes/[^/]+/metadata\.json$", 1)).withColumn("key", F.regexp_extract("path", r"([^/]+)/metadata\.json$", 1))
     bad_fps = F.col("fps").isNull() | F.isnan("fps") | (F.col("fps") <= 0) | (F.col("fps") == float("inf"))
     rules = [
@@ -99,7 +100,7 @@ def load(spark: SparkSession, root: str, metrics: list[str] | None = None, on_vi
     e = e.select(F.col("task_key").alias("task_id"), F.col("key").alias("episode_id"), "world_type", "domain", "success", "fps", "num_frames", F.col("trr.group_id").alias("trr_group"), F.col("trr.role").alias("role"), F.col("cspc.solution_type").alias("solution"), "assets")
 
     if _wanted(asked, "annotation"):
-        a = json_files(spark, f"{root}/*/episodes/*/annotation.json", ANNOTATION, KEYS["annotation"])
+        a = json_files(spark, root, "annotation.json", True, ANNOTATION, KEYS["annotation"])
         a = a.withColumn("task_id", F.regexp_extract("path", r"([^/]+)/episodes/[^/]+/annotation\.json$", 1)).withColumn("episode_id", F.regexp_extract("path", r"([^/]+)/annotation\.json$", 1))
         a = a.join(e.select("task_id", "episode_id", F.col("num_frames").alias("n")), ["task_id", "episode_id"], "left")
         frames = lambda c: F.transform(c, lambda x: x["frame_index"])
