@@ -12,9 +12,11 @@ Buckets are sorted locally by multikey quicksort, neighbours are compared, and
 the first and last runs of the buckets (two rows a bucket) are compared across
 boundaries.
 
-Two sorts find everything. The first one finds stretches of windows that occur
-twice as a whole. Where one anchor has different stretches, the windows of one
-stretch of each kind are sorted one by one in the second.
+The first sort finds stretches of windows that occur twice as a whole. Where one
+anchor has different stretches, one of each kind is cut into blocks of windows,
+of the sizes BLOCKS in turn down to single windows, and these are sorted by what
+all windows of the block share (if that is unique, none of them occurs twice)
+and by what they cover together (if that occurs twice, all of them do).
 
 Defined cases: null text is empty; texts shorter than LENGTH keep all bytes;
 repeated rows are occurrences of their own; an empty table gives an empty
@@ -37,8 +39,9 @@ LENGTH = 200
 ANCHOR = 32
 BUCKET_ROWS = 150_000
 SAMPLE_ROWS = 100_000
-BROADCAST_ROWS = 100_000
-SUFFIX = "lead long, rest long, doc_id long, t long, at int, more int"
+BROADCAST_ROWS = 300_000
+BLOCKS = (16, 4, 1)
+SUFFIX = "lead long, rest long, doc_id long, t long, at int, more int, anchor int"
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -52,14 +55,14 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(texts: list[str | None], length: int = LENGTH, anchor: int = ANCHOR):
-    """(lead, rest, text, at, more) for each stretch of windows with one anchor.
+    """(lead, rest, text, at, more, anchor) for each stretch of windows with one anchor.
 
-    The windows start at at, ..., at + more, in bytes from the start of the text.
+    The windows start at at, ..., at + more; all in bytes from the start of the text.
     """
     data, offsets = joined(texts)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     assert len(data) < 1 << 28, "texts of 256 MB and more need a wider position field"
     sums = prefix_sums(data)
     grams = np.arange(len(data) - anchor + 1)
@@ -73,29 +76,53 @@ def stretches(texts: list[str | None], length: int = LENGTH, anchor: int = ANCHO
     new[1:] = (first[1:] != first[:-1]) | (starts[1:] != starts[:-1] + 1) | (text[1:] != text[:-1])
     head = np.flatnonzero(new)
     if not len(head):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     more = np.diff(np.append(head, len(starts))) - 1
     at, text, first = starts[head], text[head], first[head]
     rest = scramble(span_hashes(sums, at, at + more + length) + (first - at).astype(np.uint64) * MIX[2] + more.astype(np.uint64) * MIX[3])
-    return hashes[first].view(np.int64), rest.view(np.int64), text, at - offsets[text], more
+    return hashes[first].view(np.int64), rest.view(np.int64), text, at - offsets[text], more, first - offsets[text]
 
 
 def _first_suffixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for part in text_chunks(frame):
-            lead, rest, text, at, more = stretches(part["text"].tolist())
-            yield pd.DataFrame({"lead": lead, "rest": rest, "doc_id": part["doc_id"].to_numpy()[text], "t": part["t"].to_numpy()[text], "at": at.astype("int32"), "more": more.astype("int32")})
+            lead, rest, text, at, more, anchor = stretches(part["text"].tolist())
+            yield pd.DataFrame({"lead": lead, "rest": rest, "doc_id": part["doc_id"].to_numpy()[text], "t": part["t"].to_numpy()[text], "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")})
 
 
-def _window_suffixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for text, doc_id, t, ats, mores in zip(frame["text"], frame["doc_id"], frame["t"], frame["ats"], frame["mores"], strict=True):
-            data, _ = joined([text])
-            ats, mores = np.asarray(ats, dtype=np.int64), np.asarray(mores, dtype=np.int64)
-            sizes = mores + 1
-            at = np.repeat(ats - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-            lead = span_hashes(prefix_sums(data), at, at + LENGTH).view(np.int64)
-            yield pd.DataFrame({"lead": lead, "rest": np.zeros(len(at), np.int64), "doc_id": doc_id, "t": t, "at": at.astype("int32"), "more": np.zeros(len(at), np.int32)})
+def blocks(data: np.ndarray, at: np.ndarray, more: np.ndarray, anchor: np.ndarray, size: int):
+    """(lead, rest, at, more, anchor) of the blocks of `size` windows in stretches of one text.
+
+    Blocks are counted from the anchor, so equal windows lie in equal blocks.
+    """
+    low, high = (anchor - at - more) // size, (anchor - at) // size
+    n = high - low + 1
+    of = np.repeat(np.arange(len(at)), n)
+    block = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    at, more, anchor = at[of], more[of], anchor[of]
+    begin, end = np.maximum(at, anchor - (block + 1) * size + 1), np.minimum(at + more, anchor - block * size)
+    sums = prefix_sums(data)
+    shared = span_hashes(sums, anchor - block * size, anchor - (block + 1) * size + 1 + LENGTH)
+    lead = scramble(shared + block.astype(np.uint64) * MIX[6])
+    rest = scramble(span_hashes(sums, begin, end + LENGTH) + (anchor - begin).astype(np.uint64) * MIX[2] + (end - begin).astype(np.uint64) * MIX[3])
+    return lead.view(np.int64), rest.view(np.int64), begin, end - begin, anchor
+
+
+def _block_suffixes(size: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out, n = [], 0
+            for text, doc_id, t, *lists in zip(*(frame[c] for c in ("text", "doc_id", "t", "ats", "mores", "anchors")), strict=True):
+                lead, rest, at, more, anchor = blocks(joined([text])[0], *(np.asarray(x, dtype=np.int64) for x in lists), size)
+                out.append(pd.DataFrame({"lead": lead, "rest": rest, "doc_id": doc_id, "t": t, "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")}))
+                n += len(lead)
+                if n > 200_000:
+                    yield pd.concat(out)
+                    out, n = [], 0
+            if out:
+                yield pd.concat(out)
+
+    return run
 
 
 def _salt(frame: pd.DataFrame) -> np.ndarray:
@@ -127,9 +154,13 @@ def bucket_of(splitters: np.ndarray, frame: pd.DataFrame) -> np.ndarray:
     lead, rest, salt = frame["lead"].to_numpy(), frame["rest"].to_numpy(), _salt(frame)
     out = np.searchsorted(splitters["lead"], lead, side="left")
     end = np.searchsorted(splitters["lead"], lead, side="right")
-    for k in np.flatnonzero(out < end):  # rows that share a splitter's lead
-        mine = splitters[out[k] : end[k]]
-        out[k] += int(np.count_nonzero((mine["rest"] < rest[k]) | ((mine["rest"] == rest[k]) & (mine["salt"] <= salt[k]))))
+    tied = np.flatnonzero(out < end)  # rows that share a splitter's lead
+    for value in np.unique(lead[tied]):
+        rows = tied[lead[tied] == value]
+        own = splitters[out[rows[0]] : end[rows[0]]]
+        below = own["rest"] < rest[rows][:, None]
+        equal = (own["rest"] == rest[rows][:, None]) & (own["salt"] <= salt[rows][:, None])
+        out[rows] += (below | equal).sum(1)
     return out.astype("int32")
 
 
@@ -141,7 +172,7 @@ def _with_buckets(splitters: np.ndarray):
     return run
 
 
-SORTED = "kind int, bucket int, lead long, rest long, doc_id long, t long, at int, more int, twice boolean, mixed boolean"
+SORTED = "kind int, bucket int, lead long, rest long, doc_id long, t long, at int, more int, anchor int, twice boolean, mixed boolean"
 
 
 def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +193,7 @@ def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def across_boundaries(ends: list) -> list[tuple]:
-    """(doc_id, t, at, more, twice, mixed) of outer runs that meet their like, or another run of their lead, in a neighbouring bucket."""
+    """(doc_id, t, at, more, anchor, twice, mixed) of outer runs that meet their like, or another run of their lead, in a neighbouring bucket."""
     ends = sorted(ends, key=lambda r: (r["bucket"], r["kind"]))
     out, k = [], 0
     while k < len(ends):
@@ -175,13 +206,13 @@ def across_boundaries(ends: list) -> list[tuple]:
             for r in same:
                 twice = len({x["bucket"] for x in same if x["rest"] == r["rest"]}) > 1
                 if twice or mixed:
-                    out.append((r["doc_id"], r["t"], r["at"], r["more"], twice, mixed))
+                    out.append((r["doc_id"], r["t"], r["at"], r["more"], r["anchor"], twice, mixed))
         k = j
     return out
 
 
 def repeated_suffixes(suffixes: DataFrame, total: int) -> DataFrame:
-    """doc_id, t, at, more, twice, mixed of suffixes that occur twice or stand for a run of a mixed lead."""
+    """doc_id, t, at, more, anchor, twice, mixed of suffixes that occur twice or stand for a run of a mixed lead."""
     spark = suffixes.sparkSession
     n = max(1, -(-total // BUCKET_ROWS))
     sample = suffixes.sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=17).toPandas() if n > 1 else None
@@ -194,8 +225,8 @@ def repeated_suffixes(suffixes: DataFrame, total: int) -> DataFrame:
     bucketed = suffixes.mapInPandas(_with_buckets(splitters), SUFFIX + ", bucket int")
     rows = materialize(bucketed.groupBy("bucket").applyInPandas(sort_bucket, SORTED), "sorted")
     ends = across_boundaries(rows.where("kind > 0").collect())  # two rows a bucket
-    schema = "doc_id long, t long, at int, more int, twice boolean, mixed boolean"
-    return rows.where("kind = 0").select("doc_id", "t", "at", "more", "twice", "mixed").unionByName(spark.createDataFrame(ends, schema))
+    schema = "doc_id long, t long, at int, more int, anchor int, twice boolean, mixed boolean"
+    return rows.where("kind = 0").select("doc_id", "t", "at", "more", "anchor", "twice", "mixed").unionByName(spark.createDataFrame(ends, schema))
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -232,15 +263,21 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_spans(own: DataFrame) -> DataFrame:
     """doc_id, t, spans (little-endian pairs of start and end, merged) of the rows of own (doc_id, text, t) that lose bytes."""
-    first = materialize(own.mapInPandas(_first_suffixes, SUFFIX), "suffixes")
-    found = materialize(repeated_suffixes(first, first.count()), "stretches")
-    lists = F.sort_array(F.collect_set(F.struct("at", "more")))
-    mixed = found.where("mixed").groupBy("doc_id", "t").agg(lists.alias("x")).select(F.col("doc_id").alias("id_"), F.col("t").alias("t_"), F.col("x.at").alias("ats"), F.col("x.more").alias("mores"))
-    mixed = sized(materialize(mixed, "mixed"), BROADCAST_ROWS)
+    suffixes = materialize(own.mapInPandas(_first_suffixes, SUFFIX), "suffixes")
+    found = materialize(repeated_suffixes(suffixes, suffixes.count()), "found")
+    twice = found.where("twice").select("doc_id", "t", "at", "more")
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
-    second = materialize(own.join(mixed, same).select("doc_id", "t", "text", "ats", "mores").mapInPandas(_window_suffixes, SUFFIX), "windows")
-    windows = repeated_suffixes(second, second.count()).where("twice").select("doc_id", "t", "at", "more")
-    spans = found.where("twice").select("doc_id", "t", "at", "more").unionByName(windows).groupBy("doc_id", "t").agg(lists.alias("x"))
+    for size in BLOCKS:
+        lists = F.collect_set(F.struct("at", "more", "anchor")).alias("x")
+        # what occurs twice as a whole needs no closer look; it stands for its kind among the others
+        mixed = found.where("mixed").groupBy("doc_id", "t").agg(lists)
+        mixed = mixed.select(F.col("doc_id").alias("id_"), F.col("t").alias("t_"), F.col("x.at").alias("ats"), F.col("x.more").alias("mores"), F.col("x.anchor").alias("anchors"))
+        mixed = sized(materialize(mixed, "mixed"), BROADCAST_ROWS)
+        rows = own.join(mixed, same).select("doc_id", "t", "text", "ats", "mores", "anchors").mapInPandas(_block_suffixes(size), SUFFIX)
+        suffixes = materialize(rows, "suffixes")
+        found = materialize(repeated_suffixes(suffixes, suffixes.count()), "found")
+        twice = twice.unionByName(found.where("twice").select("doc_id", "t", "at", "more"))
+    spans = twice.groupBy("doc_id", "t").agg(F.collect_set(F.struct("at", "more")).alias("x"))
     return materialize(spans.select("doc_id", "t", F.col("x.at").alias("ats"), F.col("x.more").alias("mores")).mapInPandas(_merged, "doc_id long, t long, spans binary"), "spans")
 
 
