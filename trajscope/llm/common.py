@@ -130,16 +130,22 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return scramble(out)
 
 
-def text_chunks(frame, column: str = "text", most: int = 1 << 21):
-    """Row ranges of a pandas frame that hold about `most` characters each, one row at least."""
+def chunk_ranges(texts: list[str | None], most: int = 1 << 21):
+    """Row ranges (begin, end) that hold about `most` characters each, one row at least."""
     begin, size = 0, 0
-    for k, text in enumerate(frame[column].tolist()):
+    for k, text in enumerate(texts):
         size += len(text or "") + 1
         if size >= most:
-            yield frame.iloc[begin : k + 1]
+            yield begin, k + 1
             begin, size = k + 1, 0
-    if begin < len(frame):
-        yield frame.iloc[begin:]
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def text_chunks(frame, column: str = "text"):
+    """Parts of a pandas frame by chunk_ranges."""
+    for begin, end in chunk_ranges(frame[column].tolist()):
+        yield frame.iloc[begin:end]
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

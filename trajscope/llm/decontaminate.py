@@ -148,9 +148,9 @@ def matches(docs: DataFrame, rows: list[dict]) -> DataFrame:
     return found.withColumn("coverage", F.col("n") / F.col("n_windows")).where(F.col("coverage") >= COVERAGE).select("row_key", "item_id", "coverage")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, name: str = "row_key") -> DataFrame:
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))), 256)
-    return docs.withColumn("row_key", F.unhex(key))
+    return docs.withColumn(name, F.unhex(key))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -194,6 +194,6 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs in which no benchmark item is found."""
-    keyed = _keyed(docs)
-    found = contaminated(keyed, table(spark, sf_dir, "benchmark")).select("row_key")
-    return keyed.join(sized(found, BROADCAST_ROWS), "row_key", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs, "key_of_row_")
+    found = contaminated(keyed.select(F.col("key_of_row_").alias("row_key"), "doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias("key_of_row_"))
+    return keyed.join(sized(found, BROADCAST_ROWS), "key_of_row_", "left_anti").select(*docs.columns)

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, table, text_chunks, word_hashes
+from .common import NOT_ALNUM, chunk_ranges, table, text_chunks, word_hashes
 
 SAMPLE_PER_LABEL = 3000
 GRADES = 4
@@ -164,11 +165,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs that the model does not call toxic, in one pass."""
     model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
-    schema = docs.schema
 
-    def run(frames):
-        for frame in frames:
-            for part in text_chunks(frame):
-                yield part[model.at_least(part["text"].tolist())[:, 0] < 0.5]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for begin, end in chunk_ranges(texts):
+                yield batch.slice(begin, end - begin).filter(pa.array(model.at_least(texts[begin:end])[:, 0] < 0.5))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.schema)
