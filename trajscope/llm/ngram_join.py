@@ -123,13 +123,26 @@ def _vector(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((scramble(h) >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes()
 
 
-def _sets(n: int):
+def _points(n: int):
+    """node, size and count vector of the sets of the rows; a repeated doc_id may bring another text, whose node then differs."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in text_chunks(frame):
                 h, cut = shingles(part["text"].tolist(), n)
-                each = [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "n": np.diff(cut), "vector": [_vector(x) for x in each], "members": [x.astype("<u8").tobytes() for x in each]})
+                out = pd.DataFrame({"node": part["node"].to_numpy(), "n": np.diff(cut), "vector": [_vector(h[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+                yield out[_nodes(h, cut) == out["node"].to_numpy()]
+
+    return run
+
+
+def _members(n: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in text_chunks(frame):
+                h, cut = shingles(part["text"].tolist(), n)
+                out = pd.DataFrame({"node": part["node"].to_numpy(), "members": [h[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+                yield out[_nodes(h, cut) == out["node"].to_numpy()]
 
     return run
 
@@ -211,11 +224,14 @@ def _verified(threshold: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that the bound admits and the sets verify."""
+def _links(pairs: DataFrame, own: DataFrame, firsts: DataFrame, n: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) that the sets verify. Only sets of nodes that the bound left in a pair are made."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(firsts, "node")
+    picked = sized(materialize(nodes, "nodes"), BROADCAST_ROWS)
+    sets = materialize(own.join(picked, "doc_id").select("node", "text").mapInPandas(_members(n), "node long, members binary"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInPandas(_verified(threshold), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInPandas(_verified(threshold), "a long, b long").distinct()
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
@@ -252,17 +268,15 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: int = 85) -> Data
     common = materialize(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "common")
     blocks = materialize(keyed.join(common, "key").distinct(), "blocks")
     degree = materialize(blocks.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
-    firsts = degree.join(nodes, "node").where("first IS NOT NULL").select("node", "degree", F.col("first").alias("doc_id"))
-    picked = sized(materialize(firsts.select("node", "doc_id"), "firsts"), BROADCAST_ROWS)
-    sets = own.join(picked, "doc_id").mapInPandas(_sets_of_named(n), "node long, n long, vector binary, members binary")
-    sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    points = sets.select("node", "n", "vector")
+    firsts = materialize(degree.join(nodes, "node").where("first IS NOT NULL").select("node", F.col("first").alias("doc_id")), "firsts")
+    points = materialize(own.join(sized(firsts, BROADCAST_ROWS), "doc_id").select("node", "text").mapInPandas(_points(n), "node long, n long, vector binary"), "points")
 
     # first tries: each node of a block against the block's most shared node
     hubs = materialize(blocks.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub")), "hubs")
     tries = blocks.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     tries = materialize(tries, "tries")
-    links = materialize(_links(_bounded(tries, points, threshold), sets, threshold), "links")
+    able = materialize(_bounded(tries, points, threshold).distinct(), "able")
+    links = materialize(_links(able, own, firsts, n, threshold), "links")
     component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # blocks that hold more than one component, each set of nodes once
@@ -274,7 +288,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: int = 85) -> Data
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
     rest = rows.select("key", "i", "j", "tile", "node", "component", "n", "vector").groupBy("key", "i", "j").applyInPandas(_tile_pairs(threshold), "a long, b long")
     rest = materialize(rest.distinct().join(tries, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_links(rest, sets, threshold))
+    links = links.unionByName(_links(rest, own, firsts, n, threshold))
     component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -285,21 +299,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: int = 85) -> Data
     return out.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets_of_named(n: int):
-    """Like _sets, but a repeated doc_id may bring another text: the node is then computed anew and must agree."""
-    inner = _sets(n)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for out in inner(iter([frame])):
-                sizes = out["n"].to_numpy()
-                h = np.frombuffer(b"".join(out["members"]), "<u8").astype(np.uint64)
-                cut = np.concatenate(([0], np.cumsum(sizes)))
-                yield out[_nodes(h, cut) == out["node"].to_numpy()]
-
-    return run
-
-
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
