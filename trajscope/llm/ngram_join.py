@@ -37,7 +37,7 @@ from .common import materialize, scramble, sized, table, text_chunks, window_has
 from .components import connected_components
 
 BUCKETS = 1 << 17
-GROUPS = 64
+GROUPS = 512
 LEAF = 16
 TILE = 1500
 BROADCAST_ROWS = 500_000
@@ -120,7 +120,21 @@ def _prefixes(n: int, threshold: int, load: np.ndarray):
 
 
 def _vector(h: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((scramble(h) >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes()
+    """Counts of the groups in a byte each; 255 stands for that or more."""
+    return np.minimum(np.bincount((scramble(h) >> np.uint64(55)).astype(np.int64), minlength=GROUPS), 255).astype("u1").tobytes()
+
+
+def _counts(vectors) -> np.ndarray:
+    """Rows of counts; where one is cut off, a number that bounds nothing stands instead."""
+    out = np.stack([np.frombuffer(v, "u1") for v in vectors])
+    if (out == 255).any():
+        out = out.astype(np.int32)
+        out[out == 255] = 1 << 21
+    return out
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x, y).sum(1, dtype=np.int64)
 
 
 def _points(n: int):
@@ -159,7 +173,7 @@ def rtree_leaves(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
             out.append(rows)
             continue
         own = points[rows]
-        totals = own.sum(1)
+        totals = own.sum(1, dtype=np.int64)
         spread = own.max(0).astype(np.int64) - own.min(0)
         by = totals if totals.max() - totals.min() > spread.max() else own[:, spread.argmax()]
         rows = rows[np.argsort(by, kind="stable")]
@@ -170,18 +184,15 @@ def rtree_leaves(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
 def rtree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, threshold: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components whose summed coordinate minima admit a link.
 
-    side: if given, only pairs of different sides. Counts are cut at 65535, where
-    the size bound alone would hold: cut points get no bound from that coordinate.
+    side: if given, only pairs of different sides.
     """
-    points = points.astype(np.int64)
-    points[points >= 65535] = 1 << 40
     leaves = rtree_leaves(points)
     top = np.array([points[r].max(0) for r in leaves])
     least = np.array([sizes[r].min() for r in leaves])
     left, right = [], []
     for a, rows in enumerate(leaves):
         # leaf against leaves: no two of them overlap by more than this
-        near = a + np.flatnonzero((100 + threshold) * np.minimum(top[a], top[a:]).sum(1) >= threshold * (least[a] + least[a:]))
+        near = a + np.flatnonzero((100 + threshold) * _overlap(top[a], top[a:]) >= threshold * (least[a] + least[a:]))
         others = np.concatenate([leaves[b] for b in near]) if len(near) else np.zeros(0, np.int64)
         for x in rows:
             cand = others[(component[others] != component[x])]
@@ -189,7 +200,7 @@ def rtree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, th
                 cand = cand[side[cand] != side[x]]
             cand = cand[(100 * sizes[cand] >= threshold * sizes[x]) & (100 * sizes[x] >= threshold * sizes[cand])]
             if len(cand):
-                bound = np.minimum(points[x], points[cand]).sum(1)
+                bound = _overlap(points[x], points[cand])
                 cand = cand[(100 + threshold) * bound >= threshold * (sizes[x] + sizes[cand])]
                 left.append(np.full(len(cand), x)), right.append(cand)
     if not left:
@@ -202,7 +213,7 @@ def _tile_pairs(threshold: int):
         frame = frame.drop_duplicates("node")
         if frame["component"].nunique() < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        points = np.stack([np.frombuffer(v, "<u2") for v in frame["vector"]])
+        points = _counts(frame["vector"])
         side = frame["tile"].to_numpy() if frame["i"].iloc[0] != frame["j"].iloc[0] else None
         x, y = rtree_pairs(points, frame["n"].to_numpy(), frame["component"].to_numpy(), threshold, side)
         node = frame["node"].to_numpy()
@@ -240,10 +251,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                x, y = (np.stack([np.frombuffer(v, "<u2") for v in frame[c]]).astype(np.int64) for c in ("va", "vb"))
-                x[x >= 65535] = 1 << 40
-                y[y >= 65535] = 1 << 40
-                ok = (100 + threshold) * np.minimum(x, y).sum(1) >= threshold * (frame["na"] + frame["nb"]).to_numpy()
+                ok = (100 + threshold) * _overlap(_counts(frame["va"]), _counts(frame["vb"])) >= threshold * (frame["na"] + frame["nb"]).to_numpy()
                 yield frame.loc[ok, ["a", "b"]]
 
     left = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
