@@ -13,9 +13,10 @@ A fold with Spark's higher-order `aggregate` finds the segmentation:
 Characters without a piece become byte pieces. Words of over MASK characters are
 merged by the same rule outside the fold, with a heap.
 
-The dictionary word -> ids then encodes the texts: the HOT most frequent words
-travel with the code, and every document gets the entries of its other words by
-a join. Nothing depends on HOT but speed.
+The HOT most frequent words are encoded once and travel with the code. The other
+words of a text are encoded beside it: texts are partitioned once by a row key,
+and exploding, joining, grouping and folding stay within that partitioning.
+Nothing depends on HOT but speed.
 
 Defined cases: null or empty text has no ids; a text that holds U+2581 itself
 decodes to a space there; repeated rows each get a row; an empty table gives an
@@ -33,13 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, table
+from .common import materialize, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MASK = 60
-HOT = 200_000
-BROADCAST_ROWS = 20_000
+HOT = 300_000
+PARTITION_CHARS = 4_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6
 
@@ -126,32 +127,33 @@ def words_of(text: Column, model: PieceModel) -> Column:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """word, size and ends: for each end position the edges (s, id, score) of pieces that end there.
+    """The columns of words, with edges: all (s, e, id, score) of pieces in the column `word`.
 
-    words is partitioned by word, and the piece table (fixed by the model) is
-    broadcast, so grouping the edges needs no further shuffle.
+    words is partitioned by some of its columns, and the piece table (fixed by
+    the model) is broadcast, so grouping the edges needs no further shuffle.
     """
     spark = words.sparkSession
     table_ = F.broadcast(spark.createDataFrame([(p, i, s) for p, (i, s) in model.normal.items()], "piece string, id int, score double"))
-    size = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    spans = spans.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("s")))).alias("l"))
-    edges = spans.select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(word, s + 1, l)").alias("piece")).join(table_, "piece")
-    ends = edges.groupBy("word", "e").agg(F.collect_list(F.struct("s", "id", "score")).alias("edges"))
-    return ends.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("ends"))
+    size, keys = F.length("word"), words.columns
+    spans = words.select(*keys, F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    spans = spans.select(*keys, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("s")))).alias("l"))
+    edges = spans.select(*keys, "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(word, s + 1, l)").alias("piece")).join(table_, "piece", "left")
+    # single characters stay without a match, so that every word has a row
+    edges = edges.where("id IS NOT NULL OR e = s + 1")
+    return edges.groupBy(*keys).agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "id", "score"))).alias("edges"))
 
 
 def _viterbi(model: PieceModel) -> str:
-    """SQL: spans (s, e, id; id -1 without a piece) of the best path over `ends`, unknown characters at a penalty."""
+    """SQL: spans (s, e, id; id -1 without a piece) of the best path over `edges`, the longest last piece on ties; unknown characters at a penalty."""
+    none = "cast(array() as array<struct<s:int,e:int,id:int,score:double>>)"
     return f"""
     aggregate(
       reverse(sequence(1, length(word))),
       named_struct('at', length(word), 'out', cast(array() as array<struct<s:int,e:int,id:int>>), 'best',
-        aggregate(sequence(1, length(word)), array(named_struct('score', 0.0D, 's', 0, 'id', -1)), (best, e) -> concat(best, array(
+        aggregate(sequence(1, length(word)), array(named_struct('score', 0.0D, 'k', 0, 's', 0, 'id', -1)), (best, e) -> concat(best, array(
           array_max(transform(
-            concat(coalesce(get(filter(ends, x -> x.e = e), 0).edges, cast(array() as array<struct<s:int,id:int,score:double>>)),
-                   if(exists(coalesce(get(filter(ends, x -> x.e = e), 0).edges, cast(array() as array<struct<s:int,id:int,score:double>>)), y -> y.s = e - 1), cast(array() as array<struct<s:int,id:int,score:double>>), array(named_struct('s', e - 1, 'id', -1, 'score', {model.unknown!r}D)))),
-            y -> named_struct('score', best[y.s].score + y.score, 's', y.s, 'id', y.id))))))),
+            concat(filter(edges, x -> x.e = e), if(exists(edges, x -> x.e = e AND x.s = e - 1), {none}, array(named_struct('s', e - 1, 'e', e, 'id', -1, 'score', {model.unknown!r}D)))),
+            y -> named_struct('score', best[y.s].score + y.score, 'k', -y.s, 's', y.s, 'id', y.id))))))),
       (a, e) -> if(a.at = e, named_struct('at', a.best[e].s, 'out', concat(array(named_struct('s', a.best[e].s, 'e', e, 'id', a.best[e].id)), a.out), 'best', a.best), a),
       a -> a.out)"""
 
@@ -161,7 +163,7 @@ def _merges() -> str:
     return """
     transform(filter(sequence(0, length(word) - 1), s -> (shiftright(mask, s) & 1) = 1), s ->
       aggregate(filter(sequence(s + 1, least(length(word), s + 64)), e -> (shiftright(mask, e) & 1) = 1), -1, (a, e) -> if(a = -1, e, a),
-        e -> named_struct('s', s, 'e', e, 'id', coalesce(get(filter(flat, x -> x.s = s AND x.e = e), 0).id, -1))))"""
+        e -> named_struct('s', s, 'e', e, 'id', coalesce(get(filter(edges, x -> x.s = s AND x.e = e), 0).id, -1))))"""
 
 
 _MASK = """
@@ -209,33 +211,18 @@ def _span_ids(spans: list[tuple[int, int]], word: str, model: PieceModel) -> lis
 
 
 def dictionary(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, ids) of the rows of words, which are distinct and partitioned by word."""
-    is_bpe = model.kind == BPE
-    short = words.where(F.length("word") <= MASK) if is_bpe else words
-    found = short.select("word").join(lattice(short.select("word"), model), "word", "left")
-    nothing = "cast(array() as array<struct<e:int,edges:array<struct<s:int,id:int,score:double>>>>)"
-    found = found.withColumn("ends", F.coalesce("ends", F.expr(nothing)))
-    if is_bpe:
-        flat = F.flatten(F.transform("ends", lambda x: F.transform(x["edges"], lambda y: F.struct((-y["score"]).alias("rank"), y["s"].alias("s"), x["e"].alias("e"), y["id"].alias("id")))))
-        found = found.withColumn("flat", flat).withColumn("ranked", F.array_sort(F.filter("flat", lambda x: x["e"] - x["s"] >= 2)))
-        found = found.withColumn("mask", F.expr(_MASK))
-        found = found.withColumn("spans", F.expr(_merges()))
+    """The columns of words and ids. BPE models: words of MASK characters at most."""
+    found = lattice(words, model)
+    if model.kind == BPE:
+        ranked = F.array_sort(F.transform(F.filter("edges", lambda x: x["e"] - x["s"] >= 2), lambda x: F.struct((-x["score"]).alias("rank"), x["s"].alias("s"), x["e"].alias("e"))))
+        found = found.withColumn("ranked", ranked).withColumn("mask", F.expr(_MASK)).withColumn("spans", F.expr(_merges()))
     else:
         found = found.withColumn("spans", F.expr(_viterbi(model)))
-    byte_ids = F.array(*(F.lit(model.bytes[b]) for b in range(256)))
+    found = found.withColumn("byte_ids", F.array(*(F.lit(model.bytes[b]) for b in range(256))))
     # the bytes of a character without a piece, from its hexadecimal digits
-    raw = "transform(sequence(1, length(hex(encode(substring(word, x.s + 1, 1), 'utf-8'))), 2), k -> cast(conv(substring(hex(encode(substring(word, x.s + 1, 1), 'utf-8')), k, 2), 16, 10) as int))"
-    found = found.withColumn("byte_ids", byte_ids)
-    ids = F.expr(f"flatten(transform(spans, x -> if(x.id >= 0, array(x.id), transform({raw}, b -> byte_ids[b]))))")
-    out = found.select("word", ids.alias("ids"))
-    if is_bpe:
-
-        def long_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield pd.DataFrame({"word": frame["word"], "ids": [_span_ids(merge_word(w, model), w, model) for w in frame["word"]]})
-
-        out = out.unionByName(words.where(F.length("word") > MASK).select("word").mapInPandas(long_words, "word string, ids array<int>"))
-    return out
+    char = "hex(encode(substring(word, x.s + 1, 1), 'utf-8'))"
+    raw = f"transform(sequence(1, length({char}), 2), k -> cast(conv(substring({char}, k, 2), 16, 10) as int))"
+    return found.select(*words.columns, F.expr(f"flatten(transform(spans, x -> if(x.id >= 0, array(x.id), transform({raw}, b -> byte_ids[b]))))").alias("ids"))
 
 
 # --- texts --------------------------------------------------------------------
@@ -248,18 +235,18 @@ def decode(ids, pieces: list[bytes], dummy_prefix: bool = True) -> str:
     return out[1:] if dummy_prefix and out.startswith(" ") else out
 
 
-def _encoder(hot: dict[str, np.ndarray], model: PieceModel):
+def _encoder(hot: dict[str, bytes], model: PieceModel):
     pieces, prefix = model.piece_bytes(), model.dummy_prefix
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ids, same = [], []
             for text, words, own, own_ids in zip(frame["text"], frame["words"], frame["own"], frame["own_ids"], strict=True):
-                rare = dict(zip(own, own_ids, strict=True)) if own is not None else {}
-                parts = [hot[w] if w in hot else rare[w] for w in words]
-                row = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+                rare = {w: np.asarray(x, "<i4").tobytes() for w, x in zip(own, own_ids, strict=True)} if own is not None else {}
+                parts = [hot.get(w) or rare.get(w) or np.array(_span_ids(merge_word(w, model), w, model), "<i4").tobytes() for w in words]
+                row = np.frombuffer(b"".join(parts), "<i4")
                 ids.append(row)
-                same.append(decode(row, pieces, prefix) == text.replace(SPACE, " "))
+                same.append(decode(row.tolist(), pieces, prefix) == text.replace(SPACE, " "))
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": same})
 
     return run
@@ -268,18 +255,21 @@ def _encoder(hot: dict[str, np.ndarray], model: PieceModel):
 def encode(docs: DataFrame, model: PieceModel | None = None, hot_words: int = HOT) -> DataFrame:
     """ENCODED for each row of docs."""
     model = model or load()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    words = own.select(F.explode(words_of(F.col("text"), model)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = materialize(words, "words")
-    entries = materialize(dictionary(words.select("word").repartition("word"), model), "pieces")
-    top = words.orderBy(F.desc("n"), "word").limit(hot_words).select("word")
-    hot = {r["word"]: np.array(r["ids"], dtype=np.int32) for r in entries.join(F.broadcast(top), "word").toLocalIterator()}
-    top = F.broadcast(top)
-    rare = own.select("doc_id", "t", F.explode(F.array_distinct(words_of(F.col("text"), model))).alias("word")).join(top, "word", "left_anti")
-    rare = rare.join(entries, "word").groupBy("doc_id", "t").agg(F.collect_set(F.struct("word", "ids")).alias("x"))
-    rare = materialize(rare.select(F.col("doc_id").alias("id_"), F.col("t").alias("t_"), F.col("x.word").alias("own"), F.col("x.ids").alias("own_ids")), "rare")
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
-    full = own.join(sized(rare, BROADCAST_ROWS), same, "left").select("doc_id", "text", words_of(F.col("text"), model).alias("words"), "own", "own_ids")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    foldable = F.length("word") <= (MASK if model.kind == BPE else 1 << 30)
+    words = own.select(F.explode(words_of(F.col("text"), model)).alias("word")).where(foldable).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = materialize(words.orderBy(F.desc("n"), "word").limit(hot_words).select("word"), "words")
+    n = -(-top.count() // 10_000) or 1
+    hot = {r["word"]: np.array(r["ids"], "<i4").tobytes() for r in materialize(dictionary(top.repartition(n, "word"), model), "hot").toLocalIterator()}
+    # two rows of one key would only pool their words, so a 64-bit key is enough
+    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PARTITION_CHARS))
+    keyed = own.withColumn("key", F.xxhash64("doc_id", "text")).repartition(n, "key")
+    # both uses of keyed take the same columns, so that they share one shuffle of the texts
+    rare = keyed.select("key", "doc_id", F.explode(F.array_distinct(words_of(F.col("text"), model))).alias("word")).where(foldable).join(F.broadcast(top), "word", "left_anti").select("key", "doc_id", "word")
+    rare = dictionary(rare, model).groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("x"), F.max("doc_id").alias("own_doc"))
+    rare = rare.select("key", F.col("x.word").alias("own"), F.col("x.ids").alias("own_ids"), "own_doc")
+    full = keyed.join(rare, "key", "left").select("doc_id", "text", words_of(F.col("text"), model).alias("words"), "own", "own_ids", "own_doc")
     return full.mapInPandas(_encoder(hot, model), ENCODED)
 
 
