@@ -182,6 +182,21 @@ def test_decontamination_of_the_tables(spark, docs, texts):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def _contaminated(spark, item, texts):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+PROSE = "The old mill stands by the river and grinds corn for the village. Every autumn Étienne brings forty sacks to the miller. His wife Anna counts the coins before they leave."
+
+
+def test_decontamination_is_case_blind(spark):
+    around = "nothing here {} nor there"
+    assert _contaminated(spark, PROSE, [around.format(t) for t in (PROSE, PROSE.upper(), PROSE.lower(), PROSE.title(), "some other words")]) == [True] * 4 + [False]
+
+
 def brute_components(rows, n, threshold):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

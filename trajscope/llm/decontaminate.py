@@ -5,6 +5,10 @@ capitalised word NAME, a unit after a number UNIT; runs of NUM or of NAME become
 one placeholder; other words are kept in lower case. Templates are windows of
 WINDOW canonical tokens (an item with fewer is one window of its own length).
 
+Beside the templates, literal windows are WINDOW case-folded words, without
+placeholders; an item is found by either kind. So letter case hides nothing: a
+passage in capitals, whose words all look like names, has its literal windows.
+
 Document windows are hash-joined to the benchmark's windows. The matches of a
 document and an item are grouped by alignment (difference of positions); an
 alignment counts if its slots agree: each value of the item's placeholders maps
@@ -30,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX, NOT_ALNUM, joined, materialize, prefix_sums, scramble, sized, span_hashes, spans_of_words, table, text_chunks
+from .common import LOWER, MIX, NOT_ALNUM, joined, materialize, prefix_sums, scramble, sized, span_hashes, spans_of_words, table, text_chunks, word_hashes
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -83,15 +87,20 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return token, np.where(kind == 0, np.uint64(0), value | np.uint64(1)), np.searchsorted(head, first)
 
 
-def windows(tokens: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(max(0, len(tokens) - n + 1), np.uint64(n))
+def literal(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(word hash, n + 1 offsets) of the case-folded words."""
+    return word_hashes([(t or "").casefold() for t in texts], NOT_ALNUM)
+
+
+def windows(tokens: np.ndarray, n: int, kind: int = 0) -> np.ndarray:
+    out = np.full(max(0, len(tokens) - n + 1), np.uint64(n + 1000 * kind))
     for k in range(n):
-        out = scramble(out + tokens[k : len(tokens) - n + 1 + k] * MIX[k])
+        out = scramble(out + tokens[k : k + len(out)] * MIX[k])
     return out
 
 
 def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
-    """Rows (item, position, size, hash, slots, n_windows) of (key, item_id, text) items."""
+    """Rows (item, literal, position, size, hash, slots, n_windows) of (key, item_id, text) items."""
     token, slot, cut = canonical([t for _, _, t in items])
     out = []
     for (key, item_id, _), a, b in zip(items, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -100,35 +109,43 @@ def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
             continue
         for k, h in enumerate(windows(token[a:b], n)):
             slots = slot[a + k : a + k + n].view(np.int64).tolist()
-            out.append({"item": key, "item_id": item_id, "at": k, "size": n, "hash": int(h.view(np.int64)), "slots": slots, "n_windows": b - a - n + 1})
+            out.append({"item": key, "item_id": item_id, "literal": False, "at": k, "size": n, "hash": int(h.view(np.int64)), "slots": slots, "n_windows": b - a - n + 1})
     # windows of placeholders alone say nothing, unless the item has no others
-    literal = lambda r: sum(x == 0 for x in r["slots"])
-    rich = {r["item"] for r in out if literal(r) >= LEAST_LITERALS}
-    out = [r for r in out if r["item"] not in rich or literal(r) >= LEAST_LITERALS]
+    literals = lambda r: sum(x == 0 for x in r["slots"])
+    rich = {r["item"] for r in out if literals(r) >= LEAST_LITERALS}
+    out = [r for r in out if r["item"] not in rich or literals(r) >= LEAST_LITERALS]
     total = pd.Series([r["item"] for r in out]).value_counts().to_dict()
-    return [r | {"n_windows": total[r["item"]]} for r in out]
+    out = [r | {"n_windows": total[r["item"]]} for r in out]
+    word, cut = literal([t for _, _, t in items])
+    for (key, item_id, _), a, b in zip(items, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        n = min(WINDOW, b - a)
+        for k, h in enumerate(windows(word[a:b], n, 1).view(np.int64).tolist() if n else []):
+            out.append({"item": key, "item_id": item_id, "literal": True, "at": k, "size": n, "hash": h, "slots": [], "n_windows": b - a - n + 1})
+    return out
 
 
 MATCHES = "row_key binary, doc_id long, hash long, at int, slots array<long>"
 
 
-def _matcher(hashes: dict[int, np.ndarray]):
-    """Windows of documents whose hash is among the block's (sorted, by window size)."""
+def _matcher(hashes: dict[tuple[bool, int], np.ndarray]):
+    """Windows of documents whose hash is among the block's (sorted, by kind and window size)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in text_chunks(frame):
                 token, slot, cut = canonical(part["text"].tolist())
                 slot = slot.view(np.int64)
-                doc = np.repeat(np.arange(len(part)), np.diff(cut))
+                word, word_cut = literal(part["text"].tolist())
+                sequences = [(x, c, np.repeat(np.arange(len(part)), np.diff(c))) for x, c in ((token, cut), (word, word_cut))]
                 ids, keys = part["doc_id"].to_numpy(), part["row_key"].tolist()
-                for n, known in hashes.items():
-                    found = windows(token, n)
+                for (plain, n), known in hashes.items():
+                    tokens, first, doc = sequences[plain]
+                    found = windows(tokens, n, plain)
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     hit = np.flatnonzero((known[at] == found) & (doc[: len(found)] == doc[n - 1 :]))
                     if len(hit):
                         d = doc[hit]
-                        yield pd.DataFrame({"row_key": [keys[k] for k in d], "doc_id": ids[d], "hash": found[hit].view(np.int64), "at": (hit - cut[d]).astype("int32"), "slots": [slot[k : k + n] for k in hit]})
+                        yield pd.DataFrame({"row_key": [keys[k] for k in d], "doc_id": ids[d], "hash": found[hit].view(np.int64), "at": (hit - first[d]).astype("int32"), "slots": [slot[:0] if plain else slot[k : k + n] for k in hit]})
 
     return run
 
@@ -136,12 +153,12 @@ def _matcher(hashes: dict[int, np.ndarray]):
 def matches(docs: DataFrame, rows: list[dict]) -> DataFrame:
     """(row_key, doc_id, item, coverage) of every item found in a document, for one block of benchmark windows."""
     spark = docs.sparkSession
-    hashes = {n: np.unique(np.array([r["hash"] for r in rows if r["size"] == n], dtype=np.int64).view(np.uint64)) for n in sorted({r["size"] for r in rows})}
-    block = F.broadcast(spark.createDataFrame([(r["hash"], r["item"], r["item_id"], r["at"], r["slots"], r["n_windows"]) for r in rows], "hash long, item long, item_id long, item_at int, item_slots array<long>, n_windows int"))
+    hashes = {kind: np.unique(np.array([r["hash"] for r in rows if (r["literal"], r["size"]) == kind], dtype=np.int64).view(np.uint64)) for kind in sorted({(r["literal"], r["size"]) for r in rows})}
+    block = F.broadcast(spark.createDataFrame([(r["hash"], r["item"], r["item_id"], r["literal"], r["at"], r["slots"], r["n_windows"]) for r in rows], "hash long, item long, item_id long, literal boolean, item_at int, item_slots array<long>, n_windows int"))
     hits = docs.mapInPandas(_matcher(hashes), MATCHES)
     joined_ = hits.join(block, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda x: (x["i"] != 0) & (x["d"] != 0))
-    key = ["row_key", "doc_id", "item", "item_id", "n_windows"]
+    key = ["row_key", "doc_id", "item", "item_id", "literal", "n_windows"]
     aligned = joined_.groupBy(*key, "shift").agg(F.collect_set("item_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
     found = aligned.where(consistent).groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"))
@@ -168,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLO
     size = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL").distinct().toLocalIterator():
         block.append((r["i"] if r["i"] is not None else -1, r["t"]))
-        size += len(r["t"]) // 2 + 1
+        size += len(r["t"]) + 2
         if size >= block_windows:
             flush()
             size = 0
