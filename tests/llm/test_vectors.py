@@ -197,6 +197,23 @@ def test_decontamination_is_case_blind(spark):
     assert _contaminated(spark, PROSE, [around.format(t) for t in (PROSE, PROSE.upper(), PROSE.lower(), PROSE.title(), "some other words")]) == [True] * 4 + [False]
 
 
+def test_decontamination_at_the_border_of_a_passage(spark):
+    item = "Maria has 12 red apples and gives 3 of them away so that Maria has only 9 left at home"
+    other = item.replace("Maria", "Peter").replace("12", "40").replace("3", "7").replace("9", "33")
+    mixed = other.replace("that Peter", "that Paul")
+    # a capital before the passage, and after one that ends with a name
+    ends = "the red apples of Maria lie on the table of the hall until they are eaten by Maria"
+    texts = ["Question: " + item, "Question: " + other, "Question: " + mixed, other, mixed]
+    assert _contaminated(spark, item, texts) == [True, True, False, True, False]
+    assert _contaminated(spark, ends, [ends.replace("Maria", "Peter") + " Answer none", ends.replace("Maria", "Peter Smith") + " Answer none"]) == [True, True]
+
+
+def test_decontamination_drops_contradicting_windows_only(spark):
+    item = "The cat of 3 men sat on a mat. The dog ate 12 bones on day 4 and slept until 5 men came at noon to see what was going on there"
+    changed = item.replace("The dog", "Some dog").replace("12", "13").replace("4", "6").replace("5", "8")
+    assert _contaminated(spark, item, [changed]) == [True]
+
+
 def brute_components(rows, n, threshold):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

@@ -76,6 +76,15 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def sequence_sums(words: np.ndarray) -> np.ndarray:
+    """The same sums over word hashes in place of bytes."""
+    up, _ = _powers(len(words) + 1)
+    out = np.empty(len(words) + 1, dtype=np.uint64)
+    out[0] = 0
+    np.cumsum(scramble(words) * up[: len(words)], out=out[1:])
+    return out
+
+
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], the same wherever the bytes stand."""
     _, down = _powers(len(sums))

@@ -10,12 +10,15 @@ placeholders; an item is found by either kind. So letter case hides nothing: a
 passage in capitals, whose words all look like names, has its literal windows.
 
 Document windows are hash-joined to the benchmark's windows. The matches of a
-document and an item are grouped by alignment (difference of positions); an
-alignment counts if its slots agree: each value of the item's placeholders maps
-to one value of the document's. An item is found when the windows of such
-alignments cover at least COVERAGE of its windows, so a question with other
-numbers, names or units is found as well, and one whose slots contradict each
-other is not.
+document and an item are grouped by alignment (difference of positions). Within
+it each value of the item's placeholders should map to one value of the
+document's; windows with a value that maps to several do not count, save where
+the document has the item's own value. A run of NAME or NUM at the item's border
+may go on beyond it in the document; there any suffix (at the start) or prefix
+(at the end) of the run may be the value. An item is found when the windows left
+in all alignments cover at least COVERAGE of its windows, so a question with
+other numbers, names or units is found as well, and one whose slots contradict
+each other is not.
 
 Benchmark windows go to the executors in blocks of at most BLOCK_WINDOWS; a
 larger benchmark takes more passes over the documents, and loses nothing.
@@ -34,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX, NOT_ALNUM, joined, materialize, prefix_sums, scramble, sized, span_hashes, spans_of_words, table, text_chunks, word_hashes
+from .common import LOWER, MIX, NOT_ALNUM, joined, materialize, prefix_sums, scramble, sequence_sums, sized, span_hashes, spans_of_words, table, text_chunks, word_hashes
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -54,8 +57,11 @@ def _hash(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash(UNITS))
 
 
-def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hash, slot value or 0, n + 1 offsets) of the canonical tokens."""
+def canonical(texts: list[str | None]):
+    """(token hash, slot value or 0, n + 1 offsets, value) of the canonical tokens.
+
+    value(token, from_start) has the values of all suffixes or prefixes of a token's run.
+    """
     data, offsets = joined(texts)
     start, end = spans_of_words(data, NOT_ALNUM)
     first = np.searchsorted(start, offsets)
@@ -78,13 +84,18 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     goes_on = np.zeros(len(start), dtype=bool)
     goes_on[1:] = same_text[1:] & (kind[1:] == kind[:-1]) & ((kind[1:] == NUM) | (kind[1:] == NAME))
     head = np.flatnonzero(~goes_on)
-    # the value of a run of NUM or NAME takes in all its words, in order
-    run = np.cumsum(~goes_on) - 1
-    place = np.arange(len(start)) - head[run] if len(head) else np.zeros(0, np.int64)
-    value = np.add.reduceat(scramble(plain + place.astype(np.uint64) * MIX[1]), head) if len(head) else np.zeros(0, np.uint64)
+    # the value of a run of NUM or NAME takes in all its words, in order; that of a part of the run is the same as anywhere else
+    sums = sequence_sums(plain)
+    ends = np.append(head, len(start))
     kind = kind[head]
     token = np.where(kind == 0, plain[head], scramble(kind))
-    return token, np.where(kind == 0, np.uint64(0), value | np.uint64(1)), np.searchsorted(head, first)
+    slot = np.where(kind == 0, np.uint64(0), span_hashes(sums, head, ends[1:]) | np.uint64(1))
+
+    def parts(k: int, from_start: bool) -> np.ndarray:
+        a, b = (np.full(ends[k + 1] - ends[k], ends[k]), np.arange(ends[k] + 1, ends[k + 1] + 1)) if from_start else (np.arange(ends[k], ends[k + 1]), np.full(ends[k + 1] - ends[k], ends[k + 1]))
+        return (span_hashes(sums, a, b) | np.uint64(1)).view(np.int64)
+
+    return token, slot, np.searchsorted(head, first), parts
 
 
 def literal(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +112,7 @@ def windows(tokens: np.ndarray, n: int, kind: int = 0) -> np.ndarray:
 
 def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
     """Rows (item, literal, position, size, hash, slots, n_windows) of (key, item_id, text) items."""
-    token, slot, cut = canonical([t for _, _, t in items])
+    token, slot, cut, _ = canonical([t for _, _, t in items])
     out = []
     for (key, item_id, _), a, b in zip(items, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         n = min(WINDOW, b - a)
@@ -109,7 +120,7 @@ def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
             continue
         for k, h in enumerate(windows(token[a:b], n)):
             slots = slot[a + k : a + k + n].view(np.int64).tolist()
-            out.append({"item": key, "item_id": item_id, "literal": False, "at": k, "size": n, "hash": int(h.view(np.int64)), "slots": slots, "n_windows": b - a - n + 1})
+            out.append({"item": key, "item_id": item_id, "literal": False, "at": k, "size": n, "hash": int(h.view(np.int64)), "slots": slots, "last": k + n == b - a, "n_windows": b - a - n + 1})
     # windows of placeholders alone say nothing, unless the item has no others
     literals = lambda r: sum(x == 0 for x in r["slots"])
     rich = {r["item"] for r in out if literals(r) >= LEAST_LITERALS}
@@ -120,11 +131,11 @@ def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
     for (key, item_id, _), a, b in zip(items, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         n = min(WINDOW, b - a)
         for k, h in enumerate(windows(word[a:b], n, 1).view(np.int64).tolist() if n else []):
-            out.append({"item": key, "item_id": item_id, "literal": True, "at": k, "size": n, "hash": h, "slots": [], "n_windows": b - a - n + 1})
+            out.append({"item": key, "item_id": item_id, "literal": True, "at": k, "size": n, "hash": h, "slots": [], "last": k + n == b - a, "n_windows": b - a - n + 1})
     return out
 
 
-MATCHES = "row_key binary, doc_id long, hash long, at int, slots array<long>"
+MATCHES = "row_key binary, doc_id long, hash long, at int, slots array<long>, lead array<long>, tail array<long>"
 
 
 def _matcher(hashes: dict[tuple[bool, int], np.ndarray]):
@@ -133,7 +144,7 @@ def _matcher(hashes: dict[tuple[bool, int], np.ndarray]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in text_chunks(frame):
-                token, slot, cut = canonical(part["text"].tolist())
+                token, slot, cut, parts = canonical(part["text"].tolist())
                 slot = slot.view(np.int64)
                 word, word_cut = literal(part["text"].tolist())
                 sequences = [(x, c, np.repeat(np.arange(len(part)), np.diff(c))) for x, c in ((token, cut), (word, word_cut))]
@@ -145,23 +156,57 @@ def _matcher(hashes: dict[tuple[bool, int], np.ndarray]):
                     hit = np.flatnonzero((known[at] == found) & (doc[: len(found)] == doc[n - 1 :]))
                     if len(hit):
                         d = doc[hit]
-                        yield pd.DataFrame({"row_key": [keys[k] for k in d], "doc_id": ids[d], "hash": found[hit].view(np.int64), "at": (hit - first[d]).astype("int32"), "slots": [slot[:0] if plain else slot[k : k + n] for k in hit]})
+                        # values that the first and the last slot may have at the border of an item; empty for other words
+                        lead, tail = ([parts(k, side) if not plain and slot[k] else slot[:0] for k in (hit + (n - 1) * side).tolist()] for side in (0, 1))
+                        yield pd.DataFrame({"row_key": [keys[k] for k in d], "doc_id": ids[d], "hash": found[hit].view(np.int64), "at": (hit - first[d]).astype("int32"), "slots": [slot[:0] if plain else slot[k : k + n] for k in hit], "lead": lead, "tail": tail})
 
     return run
 
 
+def consistent(hits: list[dict]) -> list[int]:
+    """Positions of the item's windows that count, of the template matches of one alignment."""
+    # item's value -> values of the document, and what is possible at the item's borders
+    inner: dict[int, set[int]] = {}
+    border: dict[int, list[set[int]]] = {}
+    slots = []
+    for x in hits:
+        own = []
+        for k, (i, d) in enumerate(zip(x["item_slots"], x["slots"], strict=True)):
+            if i == 0 or d == 0:
+                continue
+            possible = {d}
+            if k == 0 and x["item_at"] == 0:
+                possible |= set(x["lead"])
+            if k == len(x["slots"]) - 1 and x["last"]:
+                possible |= set(x["tail"])
+            own.append((i, possible))
+            if len(possible) > 1:
+                border.setdefault(i, []).append(possible)
+            else:
+                inner.setdefault(i, set()).add(d)
+        slots.append(own)
+    bad = {i for i, d in inner.items() if len(d) > 1}
+    bad |= {i for i, ps in border.items() if not set.intersection(*ps, *([inner[i]] if i in inner else []))}
+    return [x["item_at"] for x, own in zip(hits, slots, strict=True) if all(i not in bad or i in possible for i, possible in own)]
+
+
+def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        frame["covered"] = [[x["item_at"] for x in hits] if plain else consistent(hits) for hits, plain in zip(frame["hits"], frame["literal"], strict=True)]
+        yield frame.drop(columns="hits")
+
+
 def matches(docs: DataFrame, rows: list[dict]) -> DataFrame:
     """(row_key, doc_id, item, coverage) of every item found in a document, for one block of benchmark windows."""
     spark = docs.sparkSession
     hashes = {kind: np.unique(np.array([r["hash"] for r in rows if (r["literal"], r["size"]) == kind], dtype=np.int64).view(np.uint64)) for kind in sorted({(r["literal"], r["size"]) for r in rows})}
-    block = F.broadcast(spark.createDataFrame([(r["hash"], r["item"], r["item_id"], r["literal"], r["at"], r["slots"], r["n_windows"]) for r in rows], "hash long, item long, item_id long, literal boolean, item_at int, item_slots array<long>, n_windows int"))
+    block = F.broadcast(spark.createDataFrame([(r["hash"], r["item"], r["item_id"], r["literal"], r["at"], r["slots"], r["last"], r["n_windows"]) for r in rows], "hash long, item long, item_id long, literal boolean, item_at int, item_slots array<long>, last boolean, n_windows int"))
     hits = docs.mapInPandas(_matcher(hashes), MATCHES)
     joined_ = hits.join(block, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-    pairs = F.filter(F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda x: (x["i"] != 0) & (x["d"] != 0))
-    key = ["row_key", "doc_id", "item", "item_id", "literal", "n_windows"]
-    aligned = joined_.groupBy(*key, "shift").agg(F.collect_set("item_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
-    found = aligned.where(consistent).groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"))
+    key = ["row_key", "item", "item_id", "literal", "n_windows"]
+    aligned = joined_.groupBy(*key, "shift").agg(F.collect_list(F.struct("item_at", "last", "item_slots", "slots", "lead", "tail")).alias("hits"))
+    aligned = aligned.drop("shift").mapInPandas(_aligned, "row_key binary, item long, item_id long, literal boolean, n_windows int, covered array<int>")
+    found = aligned.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"))
     return found.withColumn("coverage", F.col("n") / F.col("n_windows")).where(F.col("coverage") >= COVERAGE).select("row_key", "item_id", "coverage")
 
 
