@@ -214,6 +214,15 @@ def test_decontamination_drops_contradicting_windows_only(spark):
     assert _contaminated(spark, item, [changed]) == [True]
 
 
+def test_decontamination_finds_parts_of_long_items(spark):
+    draw = np.random.default_rng(11)
+    words = ["".join(map(chr, draw.integers(97, 123, 7))) for _ in range(400)]
+    replaced = [w if k % 12 else "other" for k, w in enumerate(words)]
+    part = lambda a, n: " ".join(["before", *words[a : a + n], "after"])
+    texts = [part(100, 150), " ".join(replaced), part(30, 13), part(387, 13), part(30, 12), " ".join(words[k] for k in range(0, 400, 2))]
+    assert _contaminated(spark, " ".join(words), texts) == [True, True, True, True, False, False]
+
+
 def brute_components(rows, n, threshold):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

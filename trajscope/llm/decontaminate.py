@@ -8,6 +8,9 @@ WINDOW canonical tokens (an item with fewer is one window of its own length).
 Beside the templates, literal windows are WINDOW case-folded words, without
 placeholders; an item is found by either kind. So letter case hides nothing: a
 passage in capitals, whose words all look like names, has its literal windows.
+By literal windows an item is found when they cover at least COVERAGE of its
+words, or when RUN words of it stand in the document one after another, however
+long the item is.
 
 Document windows are hash-joined to the benchmark's windows. The matches of a
 document and an item are grouped by alignment (difference of positions). Within
@@ -41,6 +44,7 @@ from .common import LOWER, MIX, NOT_ALNUM, joined, materialize, prefix_sums, scr
 
 WINDOW = 8
 COVERAGE = 0.5
+RUN = 13
 LEAST_LITERALS = 2
 BLOCK_WINDOWS = 1_000_000
 BROADCAST_ROWS = 200_000
@@ -111,7 +115,7 @@ def windows(tokens: np.ndarray, n: int, kind: int = 0) -> np.ndarray:
 
 
 def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
-    """Rows (item, literal, position, size, hash, slots, n_windows) of (key, item_id, text) items."""
+    """Rows (item, literal, position, size, hash, slots, n_windows) of (key, item_id, text) items; literal ones have the words as n_windows."""
     token, slot, cut, _ = canonical([t for _, _, t in items])
     out = []
     for (key, item_id, _), a, b in zip(items, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -131,7 +135,7 @@ def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
     for (key, item_id, _), a, b in zip(items, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         n = min(WINDOW, b - a)
         for k, h in enumerate(windows(word[a:b], n, 1).view(np.int64).tolist() if n else []):
-            out.append({"item": key, "item_id": item_id, "literal": True, "at": k, "size": n, "hash": h, "slots": [], "last": k + n == b - a, "n_windows": b - a - n + 1})
+            out.append({"item": key, "item_id": item_id, "literal": True, "at": k, "size": n, "hash": h, "slots": [], "last": k + n == b - a, "n_windows": b - a})
     return out
 
 
@@ -190,9 +194,21 @@ def consistent(hits: list[dict]) -> list[int]:
     return [x["item_at"] for x, own in zip(hits, slots, strict=True) if all(i not in bad or i in possible for i, possible in own)]
 
 
+def covered_words(hits: list[dict]) -> tuple[list[int], bool]:
+    """Positions of the item's words in the literal matches of one alignment, and whether RUN of them follow one another."""
+    size = len(hits) and hits[0]["size"]
+    at = np.unique([x["item_at"] for x in hits])
+    words = np.unique((at[:, None] + np.arange(size)).ravel())
+    # windows that follow one another, one position apart, are a run of words
+    breaks = np.flatnonzero(np.diff(at) != 1)
+    longest = np.diff(np.concatenate(([-1], breaks, [len(at) - 1]))).max() + size - 1
+    return words.tolist(), bool(longest >= RUN)
+
+
 def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        frame["covered"] = [[x["item_at"] for x in hits] if plain else consistent(hits) for hits, plain in zip(frame["hits"], frame["literal"], strict=True)]
+        done = [covered_words(hits) if plain else (consistent(hits), False) for hits, plain in zip(frame["hits"], frame["literal"], strict=True)]
+        frame["covered"], frame["run"] = [c for c, _ in done], [r for _, r in done]
         yield frame.drop(columns="hits")
 
 
@@ -200,14 +216,14 @@ def matches(docs: DataFrame, rows: list[dict]) -> DataFrame:
     """(row_key, doc_id, item, coverage) of every item found in a document, for one block of benchmark windows."""
     spark = docs.sparkSession
     hashes = {kind: np.unique(np.array([r["hash"] for r in rows if (r["literal"], r["size"]) == kind], dtype=np.int64).view(np.uint64)) for kind in sorted({(r["literal"], r["size"]) for r in rows})}
-    block = F.broadcast(spark.createDataFrame([(r["hash"], r["item"], r["item_id"], r["literal"], r["at"], r["slots"], r["last"], r["n_windows"]) for r in rows], "hash long, item long, item_id long, literal boolean, item_at int, item_slots array<long>, last boolean, n_windows int"))
+    block = F.broadcast(spark.createDataFrame([(r["hash"], r["item"], r["item_id"], r["literal"], r["at"], r["slots"], r["size"], r["last"], r["n_windows"]) for r in rows], "hash long, item long, item_id long, literal boolean, item_at int, item_slots array<long>, size int, last boolean, n_windows int"))
     hits = docs.mapInPandas(_matcher(hashes), MATCHES)
     joined_ = hits.join(block, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
     key = ["row_key", "item", "item_id", "literal", "n_windows"]
-    aligned = joined_.groupBy(*key, "shift").agg(F.collect_list(F.struct("item_at", "last", "item_slots", "slots", "lead", "tail")).alias("hits"))
-    aligned = aligned.drop("shift").mapInPandas(_aligned, "row_key binary, item long, item_id long, literal boolean, n_windows int, covered array<int>")
-    found = aligned.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"))
-    return found.withColumn("coverage", F.col("n") / F.col("n_windows")).where(F.col("coverage") >= COVERAGE).select("row_key", "item_id", "coverage")
+    aligned = joined_.groupBy(*key, "shift").agg(F.collect_list(F.struct("item_at", "size", "last", "item_slots", "slots", "lead", "tail")).alias("hits"))
+    aligned = aligned.drop("shift").mapInPandas(_aligned, "row_key binary, item long, item_id long, literal boolean, n_windows int, covered array<int>, run boolean")
+    found = aligned.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.max("run").alias("run"))
+    return found.withColumn("coverage", F.col("n") / F.col("n_windows")).where((F.col("coverage") >= COVERAGE) | F.col("run")).select("row_key", "item_id", "coverage")
 
 
 def _keyed(docs: DataFrame, name: str = "row_key") -> DataFrame:
