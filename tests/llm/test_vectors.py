@@ -274,6 +274,20 @@ def test_join_against_brute_force(spark, monkeypatch, seed, tile):
     assert got == brute_components(list(enumerate(texts)), 4, 85)
 
 
+def test_join_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    texts = _variants(4, 30, 2, 300)
+    texts += texts[:3] + [texts[5].upper()]
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else []) for w in ((t or "").lower().split() for t in texts)]
+    link = lambda x, y: bool(x & y) and 100 * len(x & y) >= 85 * len(x | y)
+    wanted = {k: sum(link(s, t) for j, t in enumerate(sets) if j != k) for k, s in enumerate(sets)}
+    firsts = sorted({s: k for k, s in reversed(list(enumerate(sets)))}.values())
+    pairs = sorted((a, b) for a in firsts for b in firsts if a < b and link(sets[a], sets[b]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.jaccard_components(df).collect()} == wanted
+    assert sorted(tuple(r) for r in ngram_join.jaccard_links(df).collect()) == pairs and len(pairs) > len(firsts)
+
+
 def test_join_edges(spark):
     odd = frame(spark, ODD)
     got = ngram_join.jaccard_components(odd).collect()

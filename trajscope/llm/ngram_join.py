@@ -16,9 +16,16 @@ A document's set is its distinct n-word shingles. Documents link when
    overlap from above. Pairs that pass are verified on the sets. Blocks of over
    TILE nodes are split into pairs of tiles, so none is too large for a task.
 
-No pair that can link is left out: a pair is skipped only if both are in one
+No component is left in parts: a pair is skipped only if both are in one
 component already, if they share no prefix shingle, or if the bound excludes it.
 
+5. Links lie within components. Each component of two nodes or more is dealt into
+   tiles of TILE nodes, and for each pair of tiles the overlaps of all pairs of
+   sets are counted exactly, so every link between different texts is found.
+   `jaccard_links` gives them; the join adds their number to each document. A
+   node weighs as many links as it has documents (distinct ids), and documents
+   of equal sets link with each other.
+
 Defined cases: fewer words than n make one shingle of all words; null, empty or
 blank texts have no set, link with nothing and are their own component; repeated
 ids count as rows of one document; an empty table gives an empty result.
@@ -262,8 +269,8 @@ def _bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
 # --- the join -----------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable) for each row of docs."""
+def _classes(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """own (doc_id, text), base (doc_id, n, node) and the classes (node, component, first, component_id)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     load = np.zeros(BUCKETS, dtype=np.int64)
     for r in own.select("text").mapInPandas(_loads(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -302,9 +309,81 @@ def jaccard_components(docs: DataFrame, n: int = 4, threshold: int = 85) -> Data
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.select("node", "component", "first"), "named")
     smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
-    of_node = materialize(named.join(smallest, "component").select("node", "component_id"), "classes")
-    out = base.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    return out.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return own, base, materialize(named.join(smallest, "component"), "classes")
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set of x, the sizes of its intersections with the sets of y."""
+    h = np.concatenate(y)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], np.repeat(np.arange(len(y)), [len(s) for s in y])[order]
+    for s in x:
+        a, b = np.searchsorted(h, s, "left"), np.searchsorted(h, s, "right")
+        size = b - a
+        at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+        yield np.bincount(owner[at], minlength=len(y))
+
+
+def _tile_links(threshold: int, counted: bool):
+    """Links of a pair of tiles of one component: (a, b), or if counted the documents that each node links to here."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        same = frame["i"].iloc[0] == frame["j"].iloc[0]
+        left, right = frame[frame["tile"] == frame["i"].iloc[0]], frame[frame["tile"] == frame["j"].iloc[0]]
+        sets = [[np.frombuffer(m, "<u8") for m in f["members"]] for f in (left, right)]
+        a, b = left["node"].to_numpy(), right["node"].to_numpy()
+        size, weights = np.array([len(s) for s in sets[1]], dtype=np.int64), (left["docs"].to_numpy(), right["docs"].to_numpy())
+        of_a, of_b, links = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), []
+        for k, both in enumerate(_overlaps(*sets) if len(a) and len(b) else ()):
+            hit = 100 * both >= threshold * (len(sets[0][k]) + size - both)
+            hit[: k + 1] &= not same
+            to = np.flatnonzero(hit)
+            of_a[k] += weights[1][to].sum()
+            of_b[to] += weights[0][k]
+            if not counted and len(to):
+                links.append(pd.DataFrame({"a": np.minimum(a[k], b[to]), "b": np.maximum(a[k], b[to])}))
+        if counted:
+            return pd.DataFrame({"node": np.concatenate([a, b]), "links": np.concatenate([of_a, of_b])})
+        return pd.concat(links) if links else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return run
+
+
+def _tiles(own: DataFrame, classes: DataFrame, docs_of: DataFrame, n: int) -> DataFrame:
+    """The sets of all components with two nodes or more, for each pair of tiles (component, i, j)."""
+    many = classes.where("first IS NOT NULL").groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    nodes = materialize(classes.join(many, "component").join(docs_of, "node").select("node", "component", "m", "docs", F.col("first").alias("doc_id")), "linked")
+    sets = own.join(sized(nodes.select("node", "doc_id"), BROADCAST_ROWS), "doc_id").select("node", "text").mapInPandas(_members(n), "node long, members binary").dropDuplicates(["node"])
+    t = F.ceil(F.col("m") / TILE).cast("int")
+    rows = materialize(sets, "members").join(nodes, "node").withColumn("t", t).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    return rows.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "docs", "members")
+
+
+def _docs_of(base: DataFrame) -> DataFrame:
+    return materialize(base.where("node <> 0").groupBy("node", "doc_id").agg(F.lit(1).alias("x")).groupBy("node").agg(F.count("doc_id").alias("docs")), "docs")
+
+
+def jaccard_links(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
+    """doc_a, doc_b (the smallest ids with either set) of every link between different sets, each once."""
+    own, base, classes = _classes(docs, n, threshold)
+    links = _tiles(own, classes, _docs_of(base), n).groupBy("component", "i", "j").applyInPandas(_tile_links(threshold, False), "a long, b long")
+    first = [classes.select(F.col("node").alias(c), F.col("first").alias(f"doc_{c}")) for c in "ab"]
+    out = links.join(first[0], "a").join(first[1], "b")
+    return out.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and n_links (other documents it links with) for each row of docs."""
+    own, base, classes = _classes(docs, n, threshold)
+    docs_of = _docs_of(base)
+    counts = _tiles(own, classes, docs_of, n).groupBy("component", "i", "j").applyInPandas(_tile_links(threshold, True), "node long, links long")
+    counts = materialize(counts.groupBy("node").agg(F.sum("links").alias("links")), "counts")
+    of_node = materialize(docs_of.join(classes, "node").join(counts, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("docs")).alias("links")), "of_node")
+    out = base.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
+    n_links = F.coalesce(F.col("links") - F.col("doc_id").isNotNull().cast("long"), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), n_links.alias("n_links"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,6 +392,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component (five words, 0.8) the document with the smallest id stays, with all its rows."""
-    gone = materialize(jaccard_components(docs, 5, 80).where("component_id <> doc_id").select("doc_id"), "gone")
+    _, base, classes = _classes(docs, 5, 80)
+    gone = materialize(base.join(classes, "node").where("component_id <> doc_id").select("doc_id"), "gone")
     kept = docs.join(sized(gone, 2 * BROADCAST_ROWS), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     return kept.select(*(docs[c] for c in docs.columns))
