@@ -1,7 +1,9 @@
 """Shared pieces: tables, the shared folder, and vectorised byte hashing.
 
-Hashes are 64-bit. A collision of two different words, shingles or windows is
-taken as impossible (about n**2 / 2**65 for n distinct values compared).
+Hashes are 64-bit: polynomials over a prime field in two lanes of 31 bits, mixed
+with the length. Two different strings of n bytes have equal hashes for at most
+(n / 2**31)**2 of all pairs of bases; n distinct words, shingles or windows have
+about n**2 / 2**63 pairs that collide by chance.
 """
 
 from __future__ import annotations
@@ -43,21 +45,37 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 # --- hashing over bytes -------------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+#: Two lanes of polynomials over the field of _P elements. A polynomial modulo 2**64 would
+#: give some pairs of strings (the Thue-Morse word and its complement) equal hashes for any base.
+_P = np.uint64((1 << 31) - 1)
+_SHIFT = np.uint64(31)
+_BASES = (1_180_591_621, 742_938_285)
+_POWERS: list[list[np.ndarray]] = []
 MIX = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo _P for x below 2**62."""
+    x = (x & _P) + (x >> _SHIFT)
+    x = (x & _P) + (x >> _SHIFT)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _powers(n: int) -> list[list[np.ndarray]]:
+    """For each lane the first n powers of the base and of its inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _POWERS[name] = np.multiply.accumulate(row)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+        lanes = []
+        for base in _BASES:
+            rows = []
+            for b in (base, pow(base, -1, int(_P))):
+                row = np.ones(1, dtype=np.uint64)
+                while len(row) < size:
+                    row = np.concatenate((row, _fold(row * np.uint64(pow(b, len(row), int(_P))))))
+                rows.append(row.astype(np.uint32))
+            lanes.append(rows)
+        _POWERS[:] = lanes
+    return _POWERS
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -67,28 +85,35 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] proportional to the polynomial hash of data[i:j]."""
-    up, _ = _powers(len(data) + 1)
-    out = np.empty(len(data) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum(_BYTES[data] * up[: len(data)], out=out[1:])
+def _summed(parts: list[np.ndarray], n: int) -> np.ndarray:
+    out = np.zeros((2, n + 1), dtype=np.uint64)
+    for lane, part in enumerate(parts):
+        # below 2**31 each, so 2**31 of them stay below 2**62
+        np.cumsum(part, out=out[lane, 1:])
     return out
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """For each lane S with S[j] - S[i] proportional to the polynomial hash of data[i:j]."""
+    n = len(data)
+    parts = []
+    for up, _ in _powers(n + 1):
+        part = (data.astype(np.uint64) + np.uint64(1)) * up[:n]
+        parts.append(part if n < 1 << 22 else _fold(part))
+    return _summed(parts, n)
+
+
 def sequence_sums(words: np.ndarray) -> np.ndarray:
     """The same sums over word hashes in place of bytes."""
-    up, _ = _powers(len(words) + 1)
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum(scramble(words) * up[: len(words)], out=out[1:])
-    return out
+    n, mixed = len(words), scramble(words)
+    lanes = _powers(n + 1)
+    return _summed([_fold(((mixed >> np.uint64(31 * k + 1)) & _P) * lanes[k][0][:n]) for k in (0, 1)], n)
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], the same wherever the bytes stand."""
-    _, down = _powers(len(sums))
-    return scramble((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * MIX[0])
+    high, low = (_fold(_fold(sums[k][end] - sums[k][start]) * down[start]) for k, (_, down) in enumerate(_powers(sums.shape[1])))
+    return scramble(((high << np.uint64(31)) | low) + (end - start).astype(np.uint64) * MIX[0])
 
 
 #: White space of the contracts: \x20 and \x09 to \x0D.
@@ -139,7 +164,7 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return scramble(out)
 
 
-def chunk_ranges(texts: list[str | None], most: int = 1 << 21):
+def chunk_ranges(texts: list[str | None], most: int = 1 << 20):
     """Row ranges (begin, end) that hold about `most` characters each, one row at least."""
     begin, size = 0, 0
     for k, text in enumerate(texts):
