@@ -42,6 +42,26 @@ def test_word_hashes_follow_the_words():
     assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
 
 
+def thue_morse(doublings):
+    """A word over a and b, and its complement: equal under every polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(doublings):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_strings_that_cancel(spark):
+    x, y = thue_morse(10)
+    h, _ = word_hashes([x, y, x])
+    assert h[0] != h[1] and h[0] == h[2]
+    assert quality.features_of([f"{x} z\n{y} z"])["n_dup_lines"].tolist() == [0]
+    df = spark.createDataFrame([(0, x), (1, y), (2, x)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()} == {0: 0, 1: 1, 2: 0}
+    long_ = [*thue_morse(12), "q" + thue_morse(12)[1]]
+    df = spark.createDataFrame(list(enumerate(long_)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in suffix_dedup.suffix_dedup(df).collect()) == brute_cut(list(enumerate(long_)))
+
+
 def brute_quality(text):
     text = text or ""
     words, places, covered = WORD.findall(text), {}, set()
@@ -94,23 +114,43 @@ def test_quality_keeps_clean_documents(spark, docs, column):
     assert got > 0.95 if column == "kept" else got < 0.05
 
 
-def test_toxicity_held_out(spark, docs):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def test_toxicity_held_out(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     model = toxicity.fit(toxicity.training_rows(docs, labels.where("doc_id % 3 <> 0")))
-    # in the other languages the labels of the tables have no trace in the text
-    got = toxicity.score(docs, model).join(docs.where("lang = 'en'").select("doc_id"), "doc_id").join(labels.where("doc_id % 3 = 0").withColumnRenamed("toxic", "label"), "doc_id").toPandas()
-    assert (got["toxic"] == (got["label"] == 1)).mean() > 0.95
+    got = toxicity.score(docs, model).join(labels.where("doc_id % 3 = 0").withColumnRenamed("toxic", "label"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    bad = got["label"] == 1
+    assert got[bad]["toxic"].mean() >= 0.9 and 1 - got[~bad]["toxic"].mean() >= 0.95
+    for lang in ("en", "de", "fr", "es"):
+        own = got["lang"] == lang
+        assert got[bad & own]["toxic"].mean() >= 0.75 and 1 - got[~bad & own]["toxic"].mean() >= 0.9, lang
     assert np.all(np.diff(model.theta) >= 0) and ((got["severity"] >= 0) & (got["severity"] <= 3)).all()
-    assert got[got["label"] == 1]["severity"].mean() > got[got["label"] == 0]["severity"].mean() + 0.5
+    assert got[bad]["severity"].mean() > got[~bad]["severity"].mean() + 0.5
 
 
-def test_toxicity_edges(spark):
-    odd = frame(spark, ODD)
-    labels = spark.createDataFrame([(0, None), (None, 1), (1, 0)], "doc_id long, toxic int")
-    got = toxicity.score(odd, toxicity.fit(toxicity.training_rows(odd, labels)))
-    assert got.count() == len(ODD) + 2 and got.where("toxic").count() == 0
-    assert toxicity.score(odd.limit(0), toxicity.fit([])).count() == 0
+def test_toxicity_scores_by_brute_force(spark, docs):
+    """Severity, grade and verdict from the formula, with one document and one feature at a time."""
+    model = toxicity.fit(toxicity.training_rows(docs, spark.read.parquet(f"{DIR}/labels.parquet")))
+    weight = dict(zip(model.known.tolist(), model.weights.tolist(), strict=True))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | {-1: "", -2: "idiot " * 70_000}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for r in toxicity.score(rows, model).collect():
+        count = Counter()
+        for word in re.findall(rb"[a-z0-9\x80-\xff]+", (texts[r["doc_id"]] or "").translate(lower).encode()):
+            whole, _, stem, _ = toxicity.features_of([word.decode("utf-8")])
+            count.update([*whole.tolist(), *stem.tolist()])
+        score = sum(weight.get(f, 0) * np.log2(1 + n) for f, n in count.items())
+        p = [1 / (1 + np.exp(-(score - t))) for t in model.theta]
+        assert r["severity"] == pytest.approx(sum(p)) and r["grade"] == sum(x >= 0.5 for x in p) and r["toxic"] == (p[0] >= model.cut)
+
+
+def test_toxicity_learns_from_one_of_each_family():
+    draw = np.random.default_rng(3)
+    base = [f"w{k}" for k in draw.integers(0, 900, 200)]
+    texts = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(0, 200, 10)] + [" ".join(f"v{k}" for k in draw.integers(0, 900, 200)) for _ in range(5)] + ["", "a b"]
+    rows = [{"doc_id": k, "toxic": 1, "sketch": s.tobytes(), "words": b"", "counts": b""} for k, s in enumerate(toxicity.sketches(texts))]
+    assert [r["doc_id"] for r in toxicity.one_of_each(rows)] == [0, 20, 21, 22, 23, 24, 25, 26]
 
 
 def test_language_gradients():
