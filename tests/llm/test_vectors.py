@@ -374,9 +374,10 @@ def brute_cut(rows, length=200):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rows_per_bucket", [150_000, 40])
-def test_dedup_against_brute_force(spark, docs, monkeypatch, rows_per_bucket):
+@pytest.mark.parametrize("rows_per_bucket,piece", [(300_000, 1 << 18), (40, 64)])
+def test_dedup_against_brute_force(spark, docs, monkeypatch, rows_per_bucket, piece):
     monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", rows_per_bucket)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     draw = np.random.default_rng(5)
     word = lambda n: "".join(map(chr, draw.integers(97, 123, n)))
     passage = word(260)
@@ -388,6 +389,27 @@ def test_dedup_against_brute_force(spark, docs, monkeypatch, rows_per_bucket):
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_dedup_of_a_long_text():
+    """Memory does not grow with a text: 20 MB in pieces, and what lies across their ends is found."""
+    import tracemalloc
+
+    draw = np.random.default_rng(6)
+    text = draw.integers(97, 123, 20_000_000).astype(np.uint8)
+    text[9_000_000:9_000_500] = text[262_000:262_500]
+    text = text.tobytes().decode()
+    tracemalloc.start()
+    most, starts, seen = 0, [], 0
+    for lead, rest, _, at, more, anchor in suffix_dedup.stretches([text]):
+        starts.append(np.stack([lead, rest, at, more, anchor]))
+        seen += int((more + 1).sum())
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert seen == 20_000_000 - 199 and most < 200 << 20
+    lead, _, at, more, anchor = np.concatenate(starts, axis=1)
+    near = (at + more >= 9_000_000) & (at <= 9_000_300)
+    assert np.isin(anchor[near][2:-2] - 9_000_000 + 262_000, anchor).all()
+
+
 def test_dedup_of_repeated_rows(spark):
     text = "z" + "".join(map(chr, np.random.default_rng(1).integers(97, 123, 400)))
     df = spark.createDataFrame([(1, text), (1, text), (2, text[:150])], "doc_id long, text string")

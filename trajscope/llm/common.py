@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_TABLES: dict[int, tuple[DataFrame, str]] = {}
+#: Largest side of a join that is broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Only a session without a cluster may go without; it gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="trajscope-"))
     return _OWN_DIR[0]
@@ -37,10 +42,21 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder."""
+    """Cut the lineage with a table in the shared folder; `discard` removes it."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = out, path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `materialize` that nothing reads any more; the rest is the cluster's to clean."""
+    for df in tables:
+        _, path = _TABLES.pop(id(df), (None, None))
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 # --- hashing over bytes -------------------------------------------------------
@@ -182,6 +198,12 @@ def text_chunks(frame, column: str = "text"):
         yield frame.iloc[begin:end]
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; else df, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its values take at most `most` bytes; else df, for a shuffled join."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            size += F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        elif f.dataType.typeName() == "array":
+            size += F.coalesce(8 * F.size(F.col(f.name)), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -29,9 +29,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u > v").distinct(), "large")
         # small star: smaller neighbours and the node itself move to the smallest
+        discard(least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old, large, least)
         now = _signature(edges)
         if now == last:
             break

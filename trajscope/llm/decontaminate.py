@@ -47,7 +47,6 @@ COVERAGE = 0.5
 RUN = 13
 LEAST_LITERALS = 2
 BLOCK_WINDOWS = 1_000_000
-BROADCAST_ROWS = 200_000
 NUM, NAME, UNIT = (np.uint64(x) for x in (11, 13, 17))
 #: Units of measure that may follow a number.
 UNITS = "mm cm m km in inch inches ft feet foot yd yards mile miles mg g kg t lb lbs oz ml l litre litres liter liters gallon gallons s sec seconds min minute minutes h hour hours day days week weeks month months year years dollars dollar euro euros cents percent degrees mph kmh".split()
@@ -262,7 +261,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLO
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, contaminated, n_items, items, coverage."""
     keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    out = keyed.select("doc_id", "row_key").join(sized(contaminated(keyed, benchmark), BROADCAST_ROWS), "row_key", "left")
+    out = keyed.select("doc_id", "row_key").join(sized(contaminated(keyed, benchmark)), "row_key", "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
@@ -274,4 +273,4 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs in which no benchmark item is found."""
     keyed = _keyed(docs, "key_of_row_")
     found = contaminated(keyed.select(F.col("key_of_row_").alias("row_key"), "doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias("key_of_row_"))
-    return keyed.join(sized(found, BROADCAST_ROWS), "key_of_row_", "left_anti").select(*docs.columns)
+    return keyed.join(sized(found), "key_of_row_", "left_anti").select(*docs.columns)

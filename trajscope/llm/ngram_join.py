@@ -47,7 +47,6 @@ BUCKETS = 1 << 17
 GROUPS = 512
 LEAF = 16
 TILE = 1500
-BROADCAST_ROWS = 500_000
 
 
 # --- sets ---------------------------------------------------------------------
@@ -245,7 +244,7 @@ def _verified(threshold: int):
 def _links(pairs: DataFrame, own: DataFrame, firsts: DataFrame, n: int, threshold: int) -> DataFrame:
     """The pairs (a, b) that the sets verify. Only sets of nodes that the bound left in a pair are made."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(firsts, "node")
-    picked = sized(materialize(nodes, "nodes"), BROADCAST_ROWS)
+    picked = sized(materialize(nodes, "nodes"))
     sets = materialize(own.join(picked, "doc_id").select("node", "text").mapInPandas(_members(n), "node long, members binary"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
@@ -284,7 +283,7 @@ def _classes(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFr
     blocks = materialize(keyed.join(common, "key").distinct(), "blocks")
     degree = materialize(blocks.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
     firsts = materialize(degree.join(nodes, "node").where("first IS NOT NULL").select("node", F.col("first").alias("doc_id")), "firsts")
-    points = materialize(own.join(sized(firsts, BROADCAST_ROWS), "doc_id").select("node", "text").mapInPandas(_points(n), "node long, n long, vector binary"), "points")
+    points = materialize(own.join(sized(firsts), "doc_id").select("node", "text").mapInPandas(_points(n), "node long, n long, vector binary"), "points")
 
     # first tries: each node of a block against the block's most shared node
     hubs = materialize(blocks.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub")), "hubs")
@@ -354,7 +353,7 @@ def _tiles(own: DataFrame, classes: DataFrame, docs_of: DataFrame, n: int) -> Da
     """The sets of all components with two nodes or more, for each pair of tiles (component, i, j)."""
     many = classes.where("first IS NOT NULL").groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     nodes = materialize(classes.join(many, "component").join(docs_of, "node").select("node", "component", "m", "docs", F.col("first").alias("doc_id")), "linked")
-    sets = own.join(sized(nodes.select("node", "doc_id"), BROADCAST_ROWS), "doc_id").select("node", "text").mapInPandas(_members(n), "node long, members binary").dropDuplicates(["node"])
+    sets = own.join(sized(nodes.select("node", "doc_id")), "doc_id").select("node", "text").mapInPandas(_members(n), "node long, members binary").dropDuplicates(["node"])
     t = F.ceil(F.col("m") / TILE).cast("int")
     rows = materialize(sets, "members").join(nodes, "node").withColumn("t", t).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
@@ -394,5 +393,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component (five words, 0.8) the document with the smallest id stays, with all its rows."""
     _, base, classes = _classes(docs, 5, 80)
     gone = materialize(base.join(classes, "node").where("component_id <> doc_id").select("doc_id"), "gone")
-    kept = docs.join(sized(gone, 2 * BROADCAST_ROWS), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    kept = docs.join(sized(gone), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     return kept.select(*(docs[c] for c in docs.columns))

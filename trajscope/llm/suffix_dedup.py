@@ -6,11 +6,14 @@ have equal anchors at equal offsets, so it is enough to sort the suffixes that
 start at anchors (about one byte in 85).
 
 Sort: suffixes are range-partitioned by their leading token (the anchor gram) by
-sampled splitters; ties go on to the next key (the whole stretch of windows with
-that anchor) and then to a salt, so one very common suffix fills many buckets.
-Buckets are sorted locally by multikey quicksort, neighbours are compared, and
-the first and last runs of the buckets (two rows a bucket) are compared across
-boundaries.
+sampled splitters, whose number grows with the suffixes; ties go on to the next
+key (the whole stretch of windows with that anchor) and then to a salt, so one
+very common suffix fills many buckets. Buckets are sorted locally by multikey
+quicksort, neighbours are compared, and the first and last runs of the buckets
+(two rows a bucket, a table of their own) are compared across boundaries.
+
+The keys are hashes of the bytes, 128 bits for the two together; with so many
+suffixes their bytes would not fit the disk. See `common` for what they exclude.
 
 The first sort finds stretches of windows that occur twice as a whole. Where one
 anchor has different stretches, one of each kind is cut into blocks of windows,
@@ -18,9 +21,15 @@ of the sizes BLOCKS in turn down to single windows, and these are sorted by what
 all windows of the block share (if that is unique, none of them occurs twice)
 and by what they cover together (if that occurs twice, all of them do).
 
+Texts are worked on in pieces of PIECE windows, which overlap by LENGTH - 1
+bytes, so memory does not grow with a text. A stretch that a piece's end cuts
+differs from its like elsewhere, and is then found by its blocks.
+
 Defined cases: null text is empty; texts shorter than LENGTH keep all bytes;
 repeated rows are occurrences of their own; an empty table gives an empty
-result; further columns are ignored.
+result; null ids are documents of their own; ties need no order, as all equal
+strings are cut; very long texts count whole; columns beyond doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,19 +39,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, joined, materialize, prefix_sums, scramble, sized, span_hashes, table, text_chunks
+from .common import MIX, discard, joined, materialize, prefix_sums, scramble, sized, span_hashes, table, text_chunks
 
 LENGTH = 200
 ANCHOR = 32
-BUCKET_ROWS = 150_000
-SAMPLE_ROWS = 100_000
-BROADCAST_ROWS = 300_000
+PIECE = 1 << 18
+BUCKET_ROWS = 300_000
 BLOCKS = (16, 4, 1)
 SUFFIX = "lead long, rest long, doc_id long, t long, at int, more int, anchor int"
-_POSITION = np.uint64((1 << 28) - 1)
+_POSITION = np.uint64(2 * PIECE - 1)
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -54,47 +63,60 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return out if size == width else np.minimum(out[: len(v) - width + 1], out[width - size :])
 
 
-def stretches(texts: list[str | None], length: int = LENGTH, anchor: int = ANCHOR):
-    """(lead, rest, text, at, more, anchor) for each stretch of windows with one anchor.
-
-    The windows start at at, ..., at + more; all in bytes from the start of the text.
-    """
-    data, offsets = joined(texts)
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none, none, none, none, none
-    assert len(data) < 1 << 28, "texts of 256 MB and more need a wider position field"
+def _piece(data: np.ndarray, base: int, offsets: np.ndarray, length: int, anchor: int):
+    """stretches() of the windows that start in data, the bytes from `base` on; positions are those of all texts."""
     sums = prefix_sums(data)
     grams = np.arange(len(data) - anchor + 1)
     hashes = span_hashes(sums, grams, grams + anchor)
     first = (sliding_min((hashes & ~_POSITION) | grams.astype(np.uint64), length - anchor + 1) & _POSITION).astype(np.int64)
     starts = np.arange(len(first))
-    text = np.searchsorted(offsets, starts, side="right") - 1
-    fits = starts + length <= offsets[text + 1] - 1
+    text = np.searchsorted(offsets, starts + base, side="right") - 1
+    fits = starts + base + length <= offsets[text + 1] - 1
     starts, text, first = starts[fits], text[fits], first[fits]
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (first[1:] != first[:-1]) | (starts[1:] != starts[:-1] + 1) | (text[1:] != text[:-1])
     head = np.flatnonzero(new)
-    if not len(head):
-        return none, none, none, none, none, none
     more = np.diff(np.append(head, len(starts))) - 1
     at, text, first = starts[head], text[head], first[head]
     rest = scramble(span_hashes(sums, at, at + more + length) + (first - at).astype(np.uint64) * MIX[2] + more.astype(np.uint64) * MIX[3])
-    return hashes[first].view(np.int64), rest.view(np.int64), text, at - offsets[text], more, first - offsets[text]
+    return hashes[first].view(np.int64), rest.view(np.int64), text, at + base - offsets[text], more, first + base - offsets[text]
+
+
+def stretches(texts: list[str | None], length: int = LENGTH, anchor: int = ANCHOR):
+    """(lead, rest, text, at, more, anchor) for each stretch of windows with one anchor, PIECE windows at a time.
+
+    The windows start at at, ..., at + more; all in bytes from the start of the text.
+    """
+    data, offsets = joined(texts)
+    for base in range(0, len(data) - length + 1, PIECE):
+        yield _piece(data[base : base + PIECE + length - 1], base, offsets, length, anchor)
 
 
 def _first_suffixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for part in text_chunks(frame):
-            lead, rest, text, at, more, anchor = stretches(part["text"].tolist())
-            yield pd.DataFrame({"lead": lead, "rest": rest, "doc_id": part["doc_id"].to_numpy()[text], "t": part["t"].to_numpy()[text], "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")})
+            ids, keys = part["doc_id"].to_numpy(), part["t"].to_numpy()
+            for lead, rest, text, at, more, anchor in stretches(part["text"].tolist()):
+                yield pd.DataFrame({"lead": lead, "rest": rest, "doc_id": ids[text], "t": keys[text], "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")})
 
 
 def blocks(data: np.ndarray, at: np.ndarray, more: np.ndarray, anchor: np.ndarray, size: int):
-    """(lead, rest, at, more, anchor) of the blocks of `size` windows in stretches of one text.
+    """(lead, rest, at, more, anchor) of the blocks of `size` windows in stretches of one text, PIECE positions at a time.
 
     Blocks are counted from the anchor, so equal windows lie in equal blocks.
     """
+    order = np.argsort(at, kind="stable")
+    at, more, anchor = at[order], more[order], anchor[order]
+    edges = np.flatnonzero(np.diff(at // PIECE)) + 1
+    for own in np.split(np.arange(len(at)), edges):
+        if len(own):
+            base = at[own[0]]
+            stop = (at[own] + more[own]).max() + LENGTH
+            lead, rest, begin, wide, mark = _blocks(data[base:stop], at[own] - base, more[own], anchor[own] - base, size)
+            yield lead, rest, begin + base, wide, mark + base
+
+
+def _blocks(data: np.ndarray, at: np.ndarray, more: np.ndarray, anchor: np.ndarray, size: int):
     low, high = (anchor - at - more) // size, (anchor - at) // size
     n = high - low + 1
     of = np.repeat(np.arange(len(at)), n)
@@ -113,23 +135,18 @@ def _block_suffixes(size: int):
         for frame in frames:
             out, n = [], 0
             for text, doc_id, t, *lists in zip(*(frame[c] for c in ("text", "doc_id", "t", "ats", "mores", "anchors")), strict=True):
-                lead, rest, at, more, anchor = blocks(joined([text])[0], *(np.asarray(x, dtype=np.int64) for x in lists), size)
-                out.append(pd.DataFrame({"lead": lead, "rest": rest, "doc_id": doc_id, "t": t, "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")}))
-                n += len(lead)
-                if n > 200_000:
-                    yield pd.concat(out)
-                    out, n = [], 0
+                for lead, rest, at, more, anchor in blocks(joined([text])[0], *(np.asarray(x, dtype=np.int64) for x in lists), size):
+                    out.append(pd.DataFrame({"lead": lead, "rest": rest, "doc_id": doc_id, "t": t, "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")}))
+                    n += len(lead)
+                    if n > 100_000:
+                        yield pd.concat(out)
+                        out, n = [], 0
             if out:
                 yield pd.concat(out)
 
     return run
 
 
-def _salt(frame: pd.DataFrame) -> np.ndarray:
-    x = frame["t"].to_numpy().view(np.uint64) * MIX[4] + frame["doc_id"].to_numpy().view(np.uint64) * MIX[5] + frame["at"].to_numpy().astype(np.uint64)
-    return scramble(x).view(np.int64)
-
-
 def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
     """Order by the first column; only ties are sorted by the next, and so on."""
     order = np.argsort(columns[0], kind="quicksort")
@@ -149,36 +166,13 @@ def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def bucket_of(splitters: np.ndarray, frame: pd.DataFrame) -> np.ndarray:
-    """How many splitters (lead, rest, salt) are at most the row."""
-    lead, rest, salt = frame["lead"].to_numpy(), frame["rest"].to_numpy(), _salt(frame)
-    out = np.searchsorted(splitters["lead"], lead, side="left")
-    end = np.searchsorted(splitters["lead"], lead, side="right")
-    tied = np.flatnonzero(out < end)  # rows that share a splitter's lead
-    for value in np.unique(lead[tied]):
-        rows = tied[lead[tied] == value]
-        own = splitters[out[rows[0]] : end[rows[0]]]
-        below = own["rest"] < rest[rows][:, None]
-        equal = (own["rest"] == rest[rows][:, None]) & (own["salt"] <= salt[rows][:, None])
-        out[rows] += (below | equal).sum(1)
-    return out.astype("int32")
-
-
-def _with_buckets(splitters: np.ndarray):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(bucket=bucket_of(splitters, frame))
-
-    return run
-
-
 SORTED = "kind int, bucket int, lead long, rest long, doc_id long, t long, at int, more int, anchor int, twice boolean, mixed boolean"
 
 
-def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
+def sort_bucket(frame: pd.DataFrame, bucket: int) -> pd.DataFrame:
     """Rows of one bucket that occur twice, or stand for their run where a lead has several; and the outer runs (kind 1 first, 2 last)."""
     lead, rest = frame["lead"].to_numpy(), frame["rest"].to_numpy()
-    order = multikey_quicksort([lead, rest, _salt(frame)])
+    order = multikey_quicksort([lead, rest])
     lead, rest, frame = lead[order], rest[order], frame.iloc[order]
     new_lead, new_run = np.ones(len(lead), dtype=bool), np.ones(len(lead), dtype=bool)
     new_lead[1:] = lead[1:] != lead[:-1]
@@ -186,47 +180,35 @@ def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     run, group = np.cumsum(new_run) - 1, np.cumsum(new_lead) - 1
     twice = np.bincount(run)[run] > 1
     mixed = np.bincount(group[new_run])[group] > 1
-    out = frame.assign(kind=0, twice=twice, mixed=mixed & new_run)
+    out = frame.assign(kind=0, bucket=bucket, twice=twice, mixed=mixed & new_run)
     heads = np.flatnonzero(new_run)
     ends = out.iloc[[heads[0], heads[-1]]].assign(kind=[1, 2], mixed=mixed[[heads[0], heads[-1]]])
     return pd.concat([out[twice | out["mixed"].to_numpy()], ends])[[x.split()[0] for x in SORTED.split(", ")]]
 
 
-def across_boundaries(ends: list) -> list[tuple]:
-    """(doc_id, t, at, more, anchor, twice, mixed) of outer runs that meet their like, or another run of their lead, in a neighbouring bucket."""
-    ends = sorted(ends, key=lambda r: (r["bucket"], r["kind"]))
-    out, k = [], 0
-    while k < len(ends):
-        j = k
-        while j < len(ends) and ends[j]["lead"] == ends[k]["lead"]:
-            j += 1
-        same = ends[k:j]
-        if len({r["bucket"] for r in same}) > 1:
-            mixed = any(r["mixed"] for r in same) or len({r["rest"] for r in same}) > 1
-            for r in same:
-                twice = len({x["bucket"] for x in same if x["rest"] == r["rest"]}) > 1
-                if twice or mixed:
-                    out.append((r["doc_id"], r["t"], r["at"], r["more"], r["anchor"], twice, mixed))
-        k = j
-    return out
+def _sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """sort_bucket of the partition, which the splitters hold at about BUCKET_ROWS rows."""
+    rows = [f for f in frames if len(f)]
+    if rows:
+        yield sort_bucket(pd.concat(rows), TaskContext.get().partitionId())
+
+
+def across_boundaries(rows: DataFrame) -> DataFrame:
+    """The outer runs that meet their like, or another run of their lead, in another bucket."""
+    ends = rows.where("kind > 0").drop("twice")
+    # a run, or a lead, that lies in several buckets is the outer one of each
+    runs = ends.groupBy("lead", "rest").agg((F.min("bucket") < F.max("bucket")).alias("twice"))
+    leads = ends.groupBy("lead").agg((F.min("bucket") < F.max("bucket")).alias("wide"), ((F.min("rest") < F.max("rest")) | F.max("mixed")).alias("several")).where("wide")
+    out = ends.join(leads, "lead").join(runs, ["lead", "rest"])
+    return out.where("twice OR several").select("doc_id", "t", "at", "more", "anchor", "twice", F.col("several").alias("mixed"))
 
 
 def repeated_suffixes(suffixes: DataFrame, total: int) -> DataFrame:
     """doc_id, t, at, more, anchor, twice, mixed of suffixes that occur twice or stand for a run of a mixed lead."""
-    spark = suffixes.sparkSession
     n = max(1, -(-total // BUCKET_ROWS))
-    sample = suffixes.sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=17).toPandas() if n > 1 else None
-    splitters = np.zeros(0, dtype=[("lead", "i8"), ("rest", "i8"), ("salt", "i8")])
-    if sample is not None and len(sample):
-        order = np.lexsort((_salt(sample), sample["rest"], sample["lead"]))
-        at = order[np.unique(np.linspace(0, len(order), n + 1).astype(int)[1:-1])]
-        splitters = np.zeros(len(at), dtype=splitters.dtype)
-        splitters["lead"], splitters["rest"], splitters["salt"] = sample["lead"].to_numpy()[at], sample["rest"].to_numpy()[at], _salt(sample)[at]
-    bucketed = suffixes.mapInPandas(_with_buckets(splitters), SUFFIX + ", bucket int")
-    rows = materialize(bucketed.groupBy("bucket").applyInPandas(sort_bucket, SORTED), "sorted")
-    ends = across_boundaries(rows.where("kind > 0").collect())  # two rows a bucket
-    schema = "doc_id long, t long, at int, more int, anchor int, twice boolean, mixed boolean"
-    return rows.where("kind = 0").select("doc_id", "t", "at", "more", "anchor", "twice", "mixed").unionByName(spark.createDataFrame(ends, schema))
+    bucketed = suffixes.repartitionByRange(n, "lead", "rest", F.xxhash64("t", "doc_id", "at"))
+    rows = materialize(bucketed.mapInPandas(_sorted, SORTED), "sorted")
+    return rows.where("kind = 0").select("doc_id", "t", "at", "more", "anchor", "twice", "mixed").unionByName(across_boundaries(rows))
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -265,6 +247,7 @@ def repeated_spans(own: DataFrame) -> DataFrame:
     """doc_id, t, spans (little-endian pairs of start and end, merged) of the rows of own (doc_id, text, t) that lose bytes."""
     suffixes = materialize(own.mapInPandas(_first_suffixes, SUFFIX), "suffixes")
     found = materialize(repeated_suffixes(suffixes, suffixes.count()), "found")
+    discard(suffixes)
     twice = found.where("twice").select("doc_id", "t", "at", "more")
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
     for size in BLOCKS:
@@ -272,10 +255,11 @@ def repeated_spans(own: DataFrame) -> DataFrame:
         # what occurs twice as a whole needs no closer look; it stands for its kind among the others
         mixed = found.where("mixed").groupBy("doc_id", "t").agg(lists)
         mixed = mixed.select(F.col("doc_id").alias("id_"), F.col("t").alias("t_"), F.col("x.at").alias("ats"), F.col("x.more").alias("mores"), F.col("x.anchor").alias("anchors"))
-        mixed = sized(materialize(mixed, "mixed"), BROADCAST_ROWS)
-        rows = own.join(mixed, same).select("doc_id", "t", "text", "ats", "mores", "anchors").mapInPandas(_block_suffixes(size), SUFFIX)
+        mixed = materialize(mixed, "mixed")
+        rows = own.join(sized(mixed), same).select("doc_id", "t", "text", "ats", "mores", "anchors").mapInPandas(_block_suffixes(size), SUFFIX)
         suffixes = materialize(rows, "suffixes")
         found = materialize(repeated_suffixes(suffixes, suffixes.count()), "found")
+        discard(suffixes, mixed)
         twice = twice.unionByName(found.where("twice").select("doc_id", "t", "at", "more"))
     spans = twice.groupBy("doc_id", "t").agg(F.collect_set(F.struct("at", "more")).alias("x"))
     return materialize(spans.select("doc_id", "t", F.col("x.at").alias("ats"), F.col("x.more").alias("mores")).mapInPandas(_merged, "doc_id long, t long, spans binary"), "spans")
@@ -284,7 +268,7 @@ def repeated_spans(own: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """CUT for each row of docs."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    spans = sized(repeated_spans(own).select(F.col("doc_id").alias("id_"), F.col("t").alias("t_"), "spans"), BROADCAST_ROWS)
+    spans = sized(repeated_spans(own).select(F.col("doc_id").alias("id_"), F.col("t").alias("t_"), "spans"))
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))
     return own.join(spans, same, "left").select("doc_id", "text", "spans").mapInPandas(_cut, CUT)
 
