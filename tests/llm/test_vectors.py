@@ -305,7 +305,7 @@ def _variants(seed, n_docs=60, families=4, words=80):
     return out + ["one two", "One  Two", "three", None, "", " "]
 
 
-@pytest.mark.parametrize("seed,tile", [(1, 1500), (2, 5)])
+@pytest.mark.parametrize("seed,tile", [(1, 512), (2, 5)])
 def test_join_against_brute_force(spark, monkeypatch, seed, tile):
     monkeypatch.setattr(ngram_join, "TILE", tile)
     texts = _variants(seed)

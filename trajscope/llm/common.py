@@ -180,7 +180,7 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return scramble(out)
 
 
-def chunk_ranges(texts: list[str | None], most: int = 1 << 20):
+def chunk_ranges(texts: list[str | None], most: int = 1 << 19):
     """Row ranges (begin, end) that hold about `most` characters each, one row at least."""
     begin, size = 0, 0
     for k, text in enumerate(texts):

@@ -14,7 +14,10 @@ A document's set is its distinct n-word shingles. Documents link when
    shingles are hashed into groups, the counts of the groups are a point; leaves
    and points are compared by the sum of coordinate minima, which bounds the
    overlap from above. Pairs that pass are verified on the sets. Blocks of over
-   TILE nodes are split into pairs of tiles, so none is too large for a task.
+   TILE nodes are split by set sizes (linked sets are in one band of sizes or in
+   neighbouring ones), and these into pairs of tiles, so none is too large for a
+   task. Work is quadratic only in documents of one size that have a prefix
+   shingle in common and yet belong to different components.
 
 No component is left in parts: a pair is skipped only if both are in one
 component already, if they share no prefix shingle, or if the bound excludes it.
@@ -28,7 +31,9 @@ component already, if they share no prefix shingle, or if the bound excludes it.
 
 Defined cases: fewer words than n make one shingle of all words; null, empty or
 blank texts have no set, link with nothing and are their own component; repeated
-ids count as rows of one document; an empty table gives an empty result.
+ids count as rows of one document; an empty table gives an empty result; null ids
+are in no component and have no links; very long texts count whole; ties need no
+order, as all links are found; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +45,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scramble, sized, table, text_chunks, window_hashes, word_hashes
+from .common import discard, materialize, scramble, sized, table, text_chunks, window_hashes, word_hashes
 from .components import connected_components
 
 BUCKETS = 1 << 17
 GROUPS = 512
 LEAF = 16
-TILE = 1500
+TILE = 512
+#: Rows and pairs that a task holds at a time.
+BATCH_ROWS = 4096
+BATCH_PAIRS = 1 << 16
+SEEN = 1 << 20
 
 
 # --- sets ---------------------------------------------------------------------
@@ -118,7 +127,8 @@ def _prefixes(n: int, threshold: int, load: np.ndarray):
                 rows = []
                 for k, name in enumerate(node.tolist()):
                     fresh = name and name not in seen
-                    seen.add(name)
+                    if len(seen) < SEEN:  # saves rows; repeated ones are dropped later
+                        seen.add(name)
                     rows.append(keys[cut[k] : cut[k] + keep[k]] if fresh else keys[:0])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": size, "node": node, "keys": rows})
 
@@ -187,43 +197,88 @@ def rtree_leaves(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
     return out
 
 
-def rtree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, threshold: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, second) with first <= second for all pairs of members of each of the groups that follow one another."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    first = np.arange(len(ends))
+    n = ends - first
+    return np.repeat(first, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def _sums_of(bound, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([bound(x[k : k + BATCH_PAIRS], y[k : k + BATCH_PAIRS]) for k in range(0, len(x), BATCH_PAIRS)]) if len(x) else np.zeros(0, np.int64)
+
+
+def rtree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, threshold: int, side: np.ndarray | None = None, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components whose summed coordinate minima admit a link.
 
-    side: if given, only pairs of different sides.
+    side: if given, pairs of different sides only. group: if given (sorted), a tree and its pairs for each of the groups.
     """
-    leaves = rtree_leaves(points)
-    top = np.array([points[r].max(0) for r in leaves])
-    least = np.array([sizes[r].min() for r in leaves])
-    left, right = [], []
-    for a, rows in enumerate(leaves):
-        # leaf against leaves: no two of them overlap by more than this
-        near = a + np.flatnonzero((100 + threshold) * _overlap(top[a], top[a:]) >= threshold * (least[a] + least[a:]))
-        others = np.concatenate([leaves[b] for b in near]) if len(near) else np.zeros(0, np.int64)
-        for x in rows:
-            cand = others[(component[others] != component[x])]
-            if side is not None:
-                cand = cand[side[cand] != side[x]]
-            cand = cand[(100 * sizes[cand] >= threshold * sizes[x]) & (100 * sizes[x] >= threshold * sizes[cand])]
-            if len(cand):
-                bound = _overlap(points[x], points[cand])
-                cand = cand[(100 + threshold) * bound >= threshold * (sizes[x] + sizes[cand])]
-                left.append(np.full(len(cand), x)), right.append(cand)
-    if not left:
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(points)])) if group is not None and len(points) else np.array([0, len(points)])
+    leaves, trees = [], []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = [np.arange(a, b)] if b - a <= LEAF else [a + rows for rows in rtree_leaves(points[a:b])]
+        leaves += own
+        trees.append(len(own))
+    # rows by leaf, and what bounds a leaf
+    rows = np.concatenate(leaves)
+    size = np.array([len(x) for x in leaves])
+    start = np.cumsum(size) - size
+    if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top, least = np.maximum.reduceat(points[rows], start), np.minimum.reduceat(sizes[rows], start)
+    # leaf against leaf: no two points of them overlap by more than this
+    a, b = pairs_within(np.array(trees))
+    apart = np.flatnonzero(a != b)
+    far = (100 + threshold) * _sums_of(lambda x, y: _overlap(top[x], top[y]), a[apart], b[apart]) < threshold * (least[a[apart]] + least[b[apart]])
+    near = np.delete(np.arange(len(a)), apart[far])
+    a, b = a[near], b[near]
+    left, right, n = [], [], size[a] * size[b]
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // BATCH_PAIRS)) + 1
+    for own in np.split(np.arange(len(a)), cuts):
+        place = np.arange(n[own].sum()) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+        wide = np.repeat(size[b[own]], n[own])
+        x, y = np.repeat(start[a[own]], n[own]) + place // wide, np.repeat(start[b[own]], n[own]) + place % wide
+        ok = (x < y) | np.repeat(a[own] != b[own], n[own])
+        x, y = rows[x[ok]], rows[y[ok]]
+        ok = (component[x] != component[y]) & (100 * sizes[y] >= threshold * sizes[x]) & (100 * sizes[x] >= threshold * sizes[y])
+        if side is not None:
+            ok &= (side[x] < 0) | (side[x] != side[y])
+        x, y = x[ok], y[ok]
+        ok = (100 + threshold) * _overlap(points[x], points[y]) >= threshold * (sizes[x] + sizes[y])
+        left.append(x[ok]), right.append(y[ok])
     return np.concatenate(left), np.concatenate(right)
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], least: int = BATCH_ROWS) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups, `least` rows or more but for the last, of rows that come sorted by the keys."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n < least:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        own = rows[keys].to_numpy()
+        change = np.flatnonzero((own[1:] != own[:-1]).any(1))
+        cut = change[-1] + 1 if len(change) else 0
+        if cut:
+            yield rows.iloc[:cut]
+        held, n = [rows.iloc[cut:]], len(rows) - cut
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _tile_pairs(threshold: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node")
-        if frame["component"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        points = _counts(frame["vector"])
-        side = frame["tile"].to_numpy() if frame["i"].iloc[0] != frame["j"].iloc[0] else None
-        x, y = rtree_pairs(points, frame["n"].to_numpy(), frame["component"].to_numpy(), threshold, side)
-        node = frame["node"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}).drop_duplicates()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["key", "band", "i", "j"]):
+            own = frame[["key", "band", "i", "j"]].to_numpy()
+            group = np.concatenate(([0], np.cumsum((own[1:] != own[:-1]).any(1))))
+            side = np.where(frame["i"] == frame["j"], -1, frame["tile"])
+            node = frame["node"].to_numpy()
+            x, y = rtree_pairs(_counts(frame["vector"]), frame["n"].to_numpy(), frame["component"].to_numpy(), threshold, side, group)
+            yield pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}).drop_duplicates()
 
     return run
 
@@ -292,21 +347,28 @@ def _classes(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFr
     able = materialize(_bounded(tries, points, threshold).distinct(), "able")
     links = materialize(_links(able, own, firsts, n, threshold), "links")
     component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(able, hubs, degree, common)
 
     # blocks that hold more than one component, each set of nodes once
     placed = blocks.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     mixed = materialize(mixed.where("lo < hi AND m > 2").groupBy("who", "m").agg(F.min("key").alias("key")).select("key", "m"), "mixed")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    rows = placed.join(mixed, "key").join(points, "node").withColumn("t", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    rest = rows.select("key", "i", "j", "tile", "node", "component", "n", "vector").groupBy("key", "i", "j").applyInPandas(_tile_pairs(threshold), "a long, b long")
+    rows = placed.join(mixed, "key").join(points, "node").select("key", "node", "component", "n", "vector", "m")
+    tiled = ["key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "band", "tile", "node", "component", "n", "vector"]
+    hot = rows.where(F.col("m") > TILE).withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / threshold))).cast("int"))
+    hot = hot.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    wide = hot.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
+    hot = hot.join(wide, ["key", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    none = F.lit(0).cast("int")
+    rows = rows.where(F.col("m") <= TILE).select("key", none.alias("i"), none.alias("j"), none.alias("band"), none.alias("tile"), "node", "component", "n", "vector").unionByName(hot.select(*tiled))
+    rest = rows.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInPandas(_tile_pairs(threshold), "a long, b long")
     rest = materialize(rest.distinct().join(tries, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_links(rest, own, firsts, n, threshold))
     component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.select("node", "component", "first"), "named")
+    discard(points, blocks, mixed, rest, tries, firsts)
     smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
     return own, base, materialize(named.join(smallest, "component"), "classes")
 
