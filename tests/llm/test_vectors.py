@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -114,6 +115,47 @@ def test_quality_keeps_clean_documents(spark, docs, column):
     assert got > 0.95 if column == "kept" else got < 0.05
 
 
+def test_quality_drops_low_documents(spark):
+    rows = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumnRenamed("quality", "label"), "doc_id")
+    got = {r["label"]: r["kept"] for r in rows.where("NOT base_failed").groupBy("label").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert got[1] >= 0.95 and got[0] <= 0.1
+
+
+def brute_kept(votes, decided):
+    """Posterior of each document, with the estimate made one document at a time; votes are 0 bad, 1 none, 2 good."""
+    rest = [v for v, d in zip(votes, decided) if not d]
+    pull, expected = max(1.0, 0.01 * len(rest)), [{0: 0.02, 2: 0.98}, {0: 0.3, 2: 0.7}]
+    share, tables = 0.8, [[dict(e) for e in expected] for _ in votes[0]]
+
+    def good(vote):
+        odds = share / (1 - share)
+        for t, v in zip(tables, vote):
+            odds *= t[0][v] / t[1][v] if v != 1 else 1
+        return odds / (1 + odds)
+
+    for _ in range(60):
+        weight = [good(v) for v in rest]
+        share = (sum(weight) + pull * 0.8) / (len(rest) + pull)
+        for k, t in enumerate(tables):
+            for c in (0, 1):
+                n = {x: pull * expected[c][x] + sum(w if c == 0 else 1 - w for w, v in zip(weight, rest) if v[k] == x) for x in (0, 2)}
+                t[c] = {x: m / (n[0] + n[2]) for x, m in n.items()}
+    return [good(v) for v in votes]
+
+
+def test_quality_verdict_by_brute_force(spark, docs):
+    rows = [r.asDict() for r in quality.quality_rules(docs).collect()]
+    decided = [r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"] for r in rows]
+    patterns = [[r["pattern"] // 3**k % 3 for k in range(len(quality.RULES))] for r in rows]
+    for r, d, p in zip(rows, decided, brute_kept(patterns, decided), strict=True):
+        assert r["quality"] == pytest.approx(p, abs=1e-4) and r["kept"] == (not d and p >= 0.5)
+    con = duckdb.connect()
+    con.register("rows", pd.DataFrame(rows))
+    for k, (bad, good) in enumerate(quality.RULES.values()):
+        wanted = con.sql(f"SELECT doc_id, CASE WHEN {bad} THEN 0 WHEN {good} THEN 2 ELSE 1 END AS v FROM rows").df()
+        assert dict(wanted.itertuples(index=False)) == {r["doc_id"]: v[k] for r, v in zip(rows, patterns)}
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")

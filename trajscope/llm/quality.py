@@ -1,15 +1,26 @@
 """Quality rules under weak supervision.
 
-Each rule votes good (+1) or bad (-1) on a document or abstains (0).
-Expectation-maximisation over the counts of vote patterns estimates each rule's
-accuracy and the share of good documents; a document is kept when its posterior
-probability of being good is at least THRESHOLD and no base rule failed it.
+Each rule votes good or bad on a document, or abstains. Expectation-maximisation
+over the counts of vote patterns estimates how often each rule votes bad in
+either class, and the share of good documents. A document is kept when its
+posterior probability of being good is at least THRESHOLD and no base rule failed
+it; one bad vote of an unreliable rule does not reject it.
+
+The documents that the base rules reject are decided, so the estimate is made on
+the others, all of them. The classes are anchored by what a vote means: the
+estimates start from, and are drawn by ANCHOR of the documents' weight to, the
+shares BAD_VOTES of bad votes in the two classes. Rules count as independent
+within a class. Two that see one defect (`symbols` and `plain_words`) agree on
+documents that have it, which is what tells the estimate that both are reliable;
+the posterior is then sharper than the evidence, of the same sign.
 
 There are at most 3**len(RULES) patterns whatever the size of the corpus, so the
 counts that reach the driver are bounded; they cover all documents.
 
 Defined cases: null text counts as empty (no words, base_failed); repeated rows
-each get a row; an empty table gives an empty result; other columns are ignored.
+each get a row, null ids as well; an empty table gives an empty result; equal
+patterns have equal posteriors, so ties need no order; very long texts count
+whole; columns beyond doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,26 +137,42 @@ def votes(counted: DataFrame) -> DataFrame:
     return counted.withColumn("pattern", pattern.cast("int"))
 
 
-def fit(patterns: dict[int, int], rounds: int = 100) -> tuple[float, np.ndarray, dict[int, float]]:
-    """Share of good documents, P(vote | class, no abstention) as (rule, class, vote), posterior of each pattern."""
-    k = len(RULES)
+#: What is expected beforehand: the share of good documents, the shares of bad votes among good and bad documents, and the weight of that.
+GOOD_SHARE = 0.8
+BAD_VOTES = np.array([0.02, 0.3])
+ANCHOR = 0.01
+
+
+def _one_hot(keys: np.ndarray) -> np.ndarray:
+    """(pattern, rule, vote) with votes 0 bad, 1 none and 2 good; an abstention says nothing."""
+    out = np.eye(3)[(keys[:, None] // 3 ** np.arange(len(RULES))) % 3]
+    out[:, :, 1] = 0
+    return out
+
+
+def posteriors(keys: np.ndarray, prior: float, table_: np.ndarray) -> np.ndarray:
+    """P(good) of each pattern."""
+    score = np.log(prior) - np.log1p(-prior) + np.einsum("pkv,kv->p", _one_hot(keys), np.log(table_[:, 0] / table_[:, 1]))
+    return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+
+
+def fit(patterns: dict[int, int], rounds: int = 500) -> tuple[float, np.ndarray, dict[int, float]]:
+    """Share of good documents, P(vote | class, no abstention) as (rule, class, vote) with class 0 good, posterior of each pattern."""
     keys = np.array(sorted(patterns), dtype=np.int64)
     weight = np.array([patterns[x] for x in keys], dtype=float)
-    vote = (keys[:, None] // 3 ** np.arange(k)) % 3
-    one_hot = np.eye(3)[vote]
-    one_hot[:, :, 1] = 0  # an abstention says nothing
-    total = (vote == 2).sum(1) - (vote == 0).sum(1)
-    posterior = 1 / (1 + np.exp(-1.5 * total))  # rules start out better than chance
-    prior, table_ = 0.5, np.zeros((k, 2, 3))
+    one_hot, total = _one_hot(keys), weight.sum()
+    pull = max(1.0, ANCHOR * total)
+    expected = np.stack([BAD_VOTES, np.ones(2), 1 - BAD_VOTES], 1)
+    prior, table_ = GOOD_SHARE, np.tile(expected, (len(RULES), 1, 1))
+    posterior = posteriors(keys, prior, table_)
     for _ in range(rounds):
         mass = weight * posterior, weight * (1 - posterior)
-        prior = (mass[0].sum() + 2) / (weight.sum() + 4)
+        prior = (mass[0].sum() + pull * GOOD_SHARE) / (total + pull)
         for c, m in enumerate(mass):
-            table_[:, c, :] = np.einsum("p,pkv->kv", m, one_hot) + np.array([1, 0, 1])
+            table_[:, c, :] = np.einsum("p,pkv->kv", m, one_hot) + pull * expected[c] * [1, 0, 1]
         table_ /= table_.sum(2, keepdims=True)
         table_[:, :, 1] = 1
-        score = np.log(prior) - np.log1p(-prior) + np.einsum("pkv,kv->p", one_hot, np.log(table_[:, 0] / table_[:, 1]))
-        new = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+        new = posteriors(keys, prior, table_)
         done = np.abs(new - posterior).max(initial=0) < 1e-9
         posterior = new
         if done:
@@ -156,13 +183,13 @@ def fit(patterns: dict[int, int], rounds: int = 100) -> tuple[float, np.ndarray,
 def quality_rules(docs: DataFrame) -> DataFrame:
     """FEATURES, base_failed, quality (posterior of good) and kept for each row of docs."""
     spark = docs.sparkSession
-    counted = materialize(votes(features(docs)), "quality")
-    patterns = {r["pattern"]: r["count"] for r in counted.groupBy("pattern").count().collect()}
-    posterior = fit(patterns)[2] if patterns else {}
-    quality = F.broadcast(spark.createDataFrame(list(posterior.items()), "pattern int, quality double"))
     base_failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-    out = counted.join(quality, "pattern", "left").withColumn("base_failed", base_failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= THRESHOLD))
+    counted = materialize(votes(features(docs)).withColumn("base_failed", base_failed), "quality")
+    counts = counted.groupBy("pattern").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()  # 3**len(RULES) rows at most
+    prior, table_, _ = fit({r["pattern"]: r["n"] for r in counts})
+    keys = np.array([r["pattern"] for r in counts], dtype=np.int64)
+    quality = F.broadcast(spark.createDataFrame(list(zip(keys.tolist(), posteriors(keys, prior, table_).tolist(), strict=True)), "pattern int, quality double"))
+    return counted.join(quality, "pattern", "left").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= THRESHOLD))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
