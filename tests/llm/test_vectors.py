@@ -290,6 +290,18 @@ def test_decontamination_at_the_border_of_a_passage(spark):
     assert _contaminated(spark, ends, [ends.replace("Maria", "Peter") + " Answer none", ends.replace("Maria", "Peter Smith") + " Answer none"]) == [True, True]
 
 
+def test_decontamination_wants_values_one_to_one(spark):
+    item = "Tom has 12 red apples in his basket today while Ann has 3 green pears in her bag over there now"
+    texts = [item.replace("Ann", "Sue").replace("3", "8"), item.replace("Tom", "Jim").replace("Ann", "Jim").replace("12", "5").replace("3", "5")]
+    assert _contaminated(spark, item, texts) == [True, False]
+
+
+def test_decontamination_finds_other_numbers_in_any_case(spark):
+    item = "In the year 1987 the mill of Ashford ground 412 sacks of corn and sold 96 of them at the market of the town"
+    changed = item.replace("1987", "2003").replace("412", "388").replace("96", "71")
+    assert _contaminated(spark, item, [changed.lower(), changed.upper(), changed.title(), "nothing of that kind"]) == [True, True, True, False]
+
+
 def test_decontamination_drops_contradicting_windows_only(spark):
     item = "The cat of 3 men sat on a mat. The dog ate 12 bones on day 4 and slept until 5 men came at noon to see what was going on there"
     changed = item.replace("The dog", "Some dog").replace("12", "13").replace("4", "6").replace("5", "8")

@@ -10,13 +10,15 @@ placeholders; an item is found by either kind. So letter case hides nothing: a
 passage in capitals, whose words all look like names, has its literal windows.
 By literal windows an item is found when they cover at least COVERAGE of its
 words, or when RUN words of it stand in the document one after another, however
-long the item is.
+long the item is. Folded templates are templates of the case-folded text, where
+numbers and units are placeholders and names are not: they find a question with
+other numbers in whatever case.
 
 Document windows are hash-joined to the benchmark's windows. The matches of a
 document and an item are grouped by alignment (difference of positions). Within
-it each value of the item's placeholders should map to one value of the
-document's; windows with a value that maps to several do not count, save where
-the document has the item's own value. A run of NAME or NUM at the item's border
+it the values of the item's placeholders should map to the document's one to
+one; windows with a value that maps to several, or to which several map, do not
+count, save where the document has the item's own value. A run of NAME or NUM at the item's border
 may go on beyond it in the document; there any suffix (at the start) or prefix
 (at the end) of the run may be the value. An item is found when the windows left
 in all alignments cover at least COVERAGE of its windows, so a question with
@@ -28,11 +30,15 @@ larger benchmark takes more passes over the documents, and loses nothing.
 
 Defined cases: null or empty texts have no windows and are clean; items without
 a word match nothing; repeated documents or items each count (items by their
-id and text); an empty benchmark leaves all clean; further columns are ignored.
+id and text); an empty benchmark leaves all clean; an empty table of documents
+gives an empty result; null ids are documents like others; very long texts count
+whole; ties need no order, as all items found are listed; columns beyond doc_id
+(item_id) and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +53,7 @@ COVERAGE = 0.5
 RUN = 13
 LEAST_LITERALS = 2
 BLOCK_WINDOWS = 1_000_000
+TEMPLATE, LITERAL, FOLDED = 0, 1, 2
 NUM, NAME, UNIT = (np.uint64(x) for x in (11, 13, 17))
 #: Units of measure that may follow a number.
 UNITS = "mm cm m km in inch inches ft feet foot yd yards mile miles mg g kg t lb lbs oz ml l litre litres liter liters gallon gallons s sec seconds min minute minutes h hour hours day days week weeks month months year years dollars dollar euro euros cents percent degrees mph kmh".split()
@@ -113,55 +120,73 @@ def windows(tokens: np.ndarray, n: int, kind: int = 0) -> np.ndarray:
     return out
 
 
-def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
-    """Rows (item, literal, position, size, hash, slots, n_windows) of (key, item_id, text) items; literal ones have the words as n_windows."""
-    token, slot, cut, _ = canonical([t for _, _, t in items])
+def folded(texts: list[str | None]):
+    """canonical() of the case-folded texts, which have no names."""
+    return canonical([(t or "").casefold() for t in texts])
+
+
+def _template_rows(items: list[tuple[int, int, str]], kind: int) -> list[dict]:
+    token, slot, cut, _ = (folded if kind == FOLDED else canonical)([t for _, _, t in items])
     out = []
     for (key, item_id, _), a, b in zip(items, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         n = min(WINDOW, b - a)
-        if n == 0:
+        if n == 0 or (kind == FOLDED and not slot[a:b].any()):  # literal windows say the same
             continue
-        for k, h in enumerate(windows(token[a:b], n)):
+        for k, h in enumerate(windows(token[a:b], n, kind)):
             slots = slot[a + k : a + k + n].view(np.int64).tolist()
-            out.append({"item": key, "item_id": item_id, "literal": False, "at": k, "size": n, "hash": int(h.view(np.int64)), "slots": slots, "last": k + n == b - a, "n_windows": b - a - n + 1})
+            out.append({"item": key, "item_id": item_id, "kind": kind, "at": k, "size": n, "hash": int(h.view(np.int64)), "slots": slots, "last": k + n == b - a})
     # windows of placeholders alone say nothing, unless the item has no others
     literals = lambda r: sum(x == 0 for x in r["slots"])
     rich = {r["item"] for r in out if literals(r) >= LEAST_LITERALS}
     out = [r for r in out if r["item"] not in rich or literals(r) >= LEAST_LITERALS]
-    total = pd.Series([r["item"] for r in out]).value_counts().to_dict()
-    out = [r | {"n_windows": total[r["item"]]} for r in out]
+    total = Counter(r["item"] for r in out)
+    return [r | {"n_windows": total[r["item"]]} for r in out]
+
+
+def item_windows(items: list[tuple[int, int, str]]) -> list[dict]:
+    """Rows (item, kind, position, size, hash, slots, n_windows) of (key, item_id, text) items; literal ones have the words as n_windows."""
+    out = _template_rows(items, TEMPLATE) + _template_rows(items, FOLDED)
     word, cut = literal([t for _, _, t in items])
     for (key, item_id, _), a, b in zip(items, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         n = min(WINDOW, b - a)
-        for k, h in enumerate(windows(word[a:b], n, 1).view(np.int64).tolist() if n else []):
-            out.append({"item": key, "item_id": item_id, "literal": True, "at": k, "size": n, "hash": h, "slots": [], "last": k + n == b - a, "n_windows": b - a})
+        for k, h in enumerate(windows(word[a:b], n, LITERAL).view(np.int64).tolist() if n else []):
+            out.append({"item": key, "item_id": item_id, "kind": LITERAL, "at": k, "size": n, "hash": h, "slots": [], "last": k + n == b - a, "n_windows": b - a})
     return out
 
 
 MATCHES = "row_key binary, doc_id long, hash long, at int, slots array<long>, lead array<long>, tail array<long>"
 
 
-def _matcher(hashes: dict[tuple[bool, int], np.ndarray]):
+def _matcher(hashes: dict[tuple[int, int], np.ndarray]):
     """Windows of documents whose hash is among the block's (sorted, by kind and window size)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in text_chunks(frame):
-                token, slot, cut, parts = canonical(part["text"].tolist())
-                slot = slot.view(np.int64)
-                word, word_cut = literal(part["text"].tolist())
-                sequences = [(x, c, np.repeat(np.arange(len(part)), np.diff(c))) for x, c in ((token, cut), (word, word_cut))]
-                ids, keys = part["doc_id"].to_numpy(), part["row_key"].tolist()
-                for (plain, n), known in hashes.items():
-                    tokens, first, doc = sequences[plain]
-                    found = windows(tokens, n, plain)
+                texts, ids, keys = part["text"].tolist(), part["doc_id"].to_numpy(), part["row_key"].tolist()
+                read = {}
+                for kind, n in hashes:
+                    if kind not in read:
+                        if kind == LITERAL:
+                            (tokens, first), slot, parts = literal(texts), None, None
+                        else:
+                            tokens, slot, first, parts = (folded if kind == FOLDED else canonical)(texts)
+                        read[kind] = tokens, slot, first, parts, np.repeat(np.arange(len(part)), np.diff(first))
+                for (kind, n), known in hashes.items():
+                    tokens, slot, first, parts, doc = read[kind]
+                    found = windows(tokens, n, kind)
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     hit = np.flatnonzero((known[at] == found) & (doc[: len(found)] == doc[n - 1 :]))
-                    if len(hit):
-                        d = doc[hit]
+                    if not len(hit):
+                        continue
+                    d = doc[hit]
+                    none = np.zeros(0, np.int64)
+                    slots, lead, tail = [none] * len(hit), [none] * len(hit), [none] * len(hit)
+                    if kind != LITERAL:
+                        slots = [slot[k : k + n].view(np.int64) for k in hit]
                         # values that the first and the last slot may have at the border of an item; empty for other words
-                        lead, tail = ([parts(k, side) if not plain and slot[k] else slot[:0] for k in (hit + (n - 1) * side).tolist()] for side in (0, 1))
-                        yield pd.DataFrame({"row_key": [keys[k] for k in d], "doc_id": ids[d], "hash": found[hit].view(np.int64), "at": (hit - first[d]).astype("int32"), "slots": [slot[:0] if plain else slot[k : k + n] for k in hit], "lead": lead, "tail": tail})
+                        lead, tail = ([parts(k, side) if slot[k] else none for k in (hit + (n - 1) * side).tolist()] for side in (0, 1))
+                    yield pd.DataFrame({"row_key": [keys[k] for k in d], "doc_id": ids[d], "hash": found[hit].view(np.int64), "at": (hit - first[d]).astype("int32"), "slots": slots, "lead": lead, "tail": tail})
 
     return run
 
@@ -189,6 +214,12 @@ def consistent(hits: list[dict]) -> list[int]:
                 inner.setdefault(i, set()).add(d)
         slots.append(own)
     bad = {i for i, d in inner.items() if len(d) > 1}
+    # two values of the item that the document does not tell apart
+    owners: dict[int, set[int]] = {}
+    for i, ds in inner.items():
+        for d in ds:
+            owners.setdefault(d, set()).add(i)
+    bad |= {i for d, own in owners.items() if len(own) > 1 for i in own if i != d}
     bad |= {i for i, ps in border.items() if not set.intersection(*ps, *([inner[i]] if i in inner else []))}
     return [x["item_at"] for x, own in zip(hits, slots, strict=True) if all(i not in bad or i in possible for i, possible in own)]
 
@@ -206,7 +237,7 @@ def covered_words(hits: list[dict]) -> tuple[list[int], bool]:
 
 def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        done = [covered_words(hits) if plain else (consistent(hits), False) for hits, plain in zip(frame["hits"], frame["literal"], strict=True)]
+        done = [covered_words(hits) if kind == LITERAL else (consistent(hits), False) for hits, kind in zip(frame["hits"], frame["kind"], strict=True)]
         frame["covered"], frame["run"] = [c for c, _ in done], [r for _, r in done]
         yield frame.drop(columns="hits")
 
@@ -214,13 +245,13 @@ def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def matches(docs: DataFrame, rows: list[dict]) -> DataFrame:
     """(row_key, doc_id, item, coverage) of every item found in a document, for one block of benchmark windows."""
     spark = docs.sparkSession
-    hashes = {kind: np.unique(np.array([r["hash"] for r in rows if (r["literal"], r["size"]) == kind], dtype=np.int64).view(np.uint64)) for kind in sorted({(r["literal"], r["size"]) for r in rows})}
-    block = F.broadcast(spark.createDataFrame([(r["hash"], r["item"], r["item_id"], r["literal"], r["at"], r["slots"], r["size"], r["last"], r["n_windows"]) for r in rows], "hash long, item long, item_id long, literal boolean, item_at int, item_slots array<long>, size int, last boolean, n_windows int"))
+    hashes = {kind: np.unique(np.array([r["hash"] for r in rows if (r["kind"], r["size"]) == kind], dtype=np.int64).view(np.uint64)) for kind in sorted({(r["kind"], r["size"]) for r in rows})}
+    block = F.broadcast(spark.createDataFrame([(r["hash"], r["item"], r["item_id"], r["kind"], r["at"], r["slots"], r["size"], r["last"], r["n_windows"]) for r in rows], "hash long, item long, item_id long, kind int, item_at int, item_slots array<long>, size int, last boolean, n_windows int"))
     hits = docs.mapInPandas(_matcher(hashes), MATCHES)
     joined_ = hits.join(block, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-    key = ["row_key", "item", "item_id", "literal", "n_windows"]
+    key = ["row_key", "item", "item_id", "kind", "n_windows"]
     aligned = joined_.groupBy(*key, "shift").agg(F.collect_list(F.struct("item_at", "size", "last", "item_slots", "slots", "lead", "tail")).alias("hits"))
-    aligned = aligned.drop("shift").mapInPandas(_aligned, "row_key binary, item long, item_id long, literal boolean, n_windows int, covered array<int>, run boolean")
+    aligned = aligned.drop("shift").mapInPandas(_aligned, "row_key binary, item long, item_id long, kind int, n_windows int, covered array<int>, run boolean")
     found = aligned.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.max("run").alias("run"))
     return found.withColumn("coverage", F.col("n") / F.col("n_windows")).where((F.col("coverage") >= COVERAGE) | F.col("run")).select("row_key", "item_id", "coverage")
 
