@@ -5,6 +5,7 @@ import hashlib
 import io
 import re
 import struct
+import time
 
 import duckdb
 import numpy as np
@@ -37,7 +38,7 @@ def _pages(spark):
 
 def test_warc_round_trip(spark):
     path = warc.fresh_path(spark, "warc-test")
-    warc.write_archives(warc.plan_records(_pages(spark)), path, 3)
+    warc.write_archives(warc.plan_records(_pages(spark)), path, 900)
     got = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
     assert len(got) == 8 and all(r["error"] is None for r in got.values())
     assert [got[k]["refers_to"] for k in (1, 2, 6, 3, 4)] == [6, 6, None, 4, None]
@@ -79,6 +80,29 @@ def test_salvage(plain):
     assert list(warc.salvage("p", b"")) == []
 
 
+def test_warc_pages_without_an_id(spark):
+    rows = spark.createDataFrame([(None, "u", "a"), (3, "u", "a"), (2, "u", "a"), (None, "u", "b"), (None, "u", "b"), (9, "u", "c"), (9, "u", "c")], "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["html"], r["refers_to"]) for r in warc.plan_records(rows).collect()), key=str)
+    assert got == sorted([(None, "a", 3), (3, "a", None), (2, "a", 3), (None, "b", None), (None, "b", None), (9, "c", None), (9, "c", None)], key=str)
+
+
+@pytest.mark.parametrize("plain", [False, True])
+@pytest.mark.parametrize("damaged", [False, True])
+def test_salvage_takes_time_in_proportion(plain, damaged):
+    draw = np.random.default_rng(9)
+    pages = [draw.integers(97, 123, 20_000).astype(np.uint8).tobytes() for _ in range(40)]
+    parts = [warc.record_bytes(k, None, p, None) if plain else warc.member(warc.record_bytes(k, None, p, None)) for k, p in enumerate(pages)]
+    if damaged:  # headers that promise what does not come, and magic without a member
+        parts = [x for p in parts for x in (p, b"WARC/1.0\r\nContent-Length: 99\r\n" * 20, warc.MAGIC * 20)]
+    seconds = []
+    for times in (10, 40):
+        data = b"".join(parts) * times
+        began = time.perf_counter()
+        assert sum("page_id" in r for r in warc.salvage("p", data)) == 40 * times
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 8 * seconds[0]
+
+
 # --- SQL of the registered queries ----------------------------------------------
 
 

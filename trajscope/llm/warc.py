@@ -1,17 +1,23 @@
 """WARC archives: a writer with revisit records and a salvage reader.
 
 Writer: one gzip member per record, laid one after another with a NUL between
-them (padding that gzip readers skip). Of pages with equal payloads the largest
-page_id is written as `response`, the others as `revisit` that refer to it.
+them (padding that gzip readers skip), in archives of about ARCHIVE_BYTES (one
+record at least). Of pages with equal payloads the largest page_id is written as
+`response`, the others as `revisit` that refer to it.
 
 Reader: every member is checked (gzip CRC, WARC version line, Content-Length,
 payload digest). After a failed check it searches for the next gzip magic or
 `WARC/1.` line from which a record can be read, goes on there, and reports the
-bytes skipped as a quarantined gap.
+bytes skipped as a quarantined gap. Members are inflated piece by piece and each
+search goes on where the last one ended, so time grows with the archive's size.
+An archive is one row of the scan, and so at most 2 GB.
 
 Defined cases: null or empty html is an empty payload; a null or dirty url is
-left out or percent-escaped; null page_ids and repeated rows are each written;
-an empty table gives an empty archive; extra columns are ignored.
+left out or percent-escaped; a page without an id revisits the page with the
+largest id of the same payload, and is a response if none has an id; rows that
+repeat the largest id are all responses; repeated rows are each written; very
+long texts are one record each; an empty table gives an empty archive; columns
+beyond page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +31,16 @@ from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table
 
+ARCHIVE_BYTES = 64 << 20
+INFLATE_BYTES = 1 << 16
+#: A gzip header (its name and comment have no length of their own) that goes on beyond this is taken as damage.
+HEADER_BYTES = 1 << 17
 RECORD_ID = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "path string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string, gap_bytes long"
@@ -53,7 +64,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     own = own.withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
     groups = own.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "last")
     out = own.join(groups, "payload_digest", "left")
-    return out.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
+    return out.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
 def record_bytes(page_id, url, payload: bytes, refers_to) -> bytes:
@@ -77,52 +88,87 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = zip(frame["page_id"], frame["url"], frame["html"], frame["refers_to"], strict=True)
-        yield pd.DataFrame({"record": [member(record_bytes(None if pd.isna(p) else int(p), u, h.encode("utf-8", "surrogatepass"), None if pd.isna(r) else int(r))) for p, u, h, r in rows]})
+def _members(most: int):
+    """The members, and the archive that each belongs to: a new one after every `most` bytes."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, archive, size = TaskContext.get().partitionId(), 0, 0
+        for frame in frames:
+            out, held = [], 0
+            for p, u, h, r in zip(frame["page_id"], frame["url"], frame["html"], frame["refers_to"], strict=True):
+                data = member(record_bytes(None if pd.isna(p) else int(p), u, h.encode("utf-8", "surrogatepass"), None if pd.isna(r) else int(r)))
+                if size and size + len(data) > most:
+                    archive, size = archive + 1, 0
+                size, held = size + len(data), held + len(data)
+                out.append((f"{part:06d}-{archive:06d}", data))
+                if held > 1 << 24:
+                    yield pd.DataFrame(out, columns=["archive", "record"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["archive", "record"])
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = 2000) -> None:
-    """Write planned records as archives of at most records_per_file members each.
+    return run
+
+
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write planned records as archives of at most archive_bytes, or one record, each.
 
     The text sink copies a string's bytes as they are, so binary members pass
     through it; that makes the write work on any file system that Spark knows.
     """
-    (records.mapInPandas(_members, "record binary").select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path))
+    members = records.mapInPandas(_members(archive_bytes), "archive string, record binary")
+    members.select("archive", F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").partitionBy("archive").text(path)
 
 
 # --- salvage reader -----------------------------------------------------------
 
-MAGIC, LINE = b"\x1f\x8b\x08", b"WARC/1."
+MAGIC, LINE, HEAD_END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.\d\r\n")
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
-    out = z.decompress(data[at:])
-    if not z.eof:
-        raise ValueError("truncated gzip member")
-    return out, len(data) - at - len(z.unused_data)
-
-
-def _parse(raw: bytes) -> tuple[dict, bytes, int]:
-    """Headers, block and size of the record at the start of raw."""
-    cut = raw.find(b"\r\n\r\n")
-    if not VERSION.match(raw) or cut < 0:
+class Archive:
+    """The bytes of an archive, with searches that go on where they ended."""
+
+    def __init__(self, data: bytes):
+        self.data, self.view, self.found = data, memoryview(data), {}
+
+    def find(self, what: bytes, at: int) -> int:
+        """Where `what` stands next from at on, or the archive's size; at must not go back."""
+        if self.found.get(what, -1) < at:
+            place = self.data.find(what, at)
+            self.found[what] = place if place >= 0 else len(self.data)
+        return self.found[what]
+
+    def inflate(self, at: int) -> tuple[bytes, int]:
+        """What the gzip member at `at` holds, and its size."""
+        z, out, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if end >= len(self.data):
+                raise ValueError("truncated gzip member")
+            piece = self.view[end : end + INFLATE_BYTES]
+            out.append(z.decompress(piece))
+            end += len(piece)
+            if end - at > HEADER_BYTES and not any(out):
+                raise ValueError("gzip header without an end")
+        return b"".join(out), end - len(z.unused_data) - at
+
+
+def _parse(archive: Archive, at: int = 0) -> tuple[dict, bytes, int]:
+    """Headers, block and size of the record at `at`."""
+    raw = archive.data
+    cut = archive.find(HEAD_END, at)
+    if not VERSION.match(raw, at) or cut == len(raw):
         raise ValueError("no version line or header end")
     head = {}
-    for line in raw[:cut].split(b"\r\n")[1:]:
+    for line in raw[at:cut].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     length = int(head.get("content-length", "-1"))
     end = cut + 4 + length
-    if length < 0 or len(raw) < end + 4 or raw[end : end + 4] != b"\r\n\r\n":
+    if length < 0 or raw[end : end + 4] != HEAD_END:
         raise ValueError("Content-Length does not fit")
-    return head, raw[cut + 4 : end], end + 4
+    return head, raw[cut + 4 : end], end + 4 - at
 
 
 def _row(path: str, at: int, head: dict, block: bytes) -> dict:
@@ -140,27 +186,26 @@ def _row(path: str, at: int, head: dict, block: bytes) -> dict:
 
 def salvage(path: str, data: bytes) -> Iterator[dict]:
     """Records of one archive, gzip members or plain, and a row with error and gap_bytes for each gap."""
-    view, at, gap, why = memoryview(data), 0, None, ""
+    archive, at, gap, why = Archive(data), 0, None, ""
     while at < len(data):
         if data[at] == 0 and gap is None:
             at += 1
             continue
         try:
             if data.startswith(MAGIC, at):
-                raw, used = _inflate(view, at)
-                head, block, size = _parse(raw)
+                raw, used = archive.inflate(at)
+                head, block, size = _parse(Archive(raw))
                 if size != len(raw):
                     raise ValueError("bytes after the record in its member")
             elif data.startswith(LINE, at):
-                head, block, used = _parse(data[at:])
+                head, block, used = _parse(archive, at)
             else:
                 raise ValueError("neither a gzip member nor a version line")
             row = _row(path, at, head, block)
         except (ValueError, zlib.error) as e:
             if gap is None:
                 gap, why = at, str(e)
-            found = [x for x in (data.find(MAGIC, at + 1), data.find(LINE, at + 1)) if x >= 0]
-            at = min(found, default=len(data))
+            at = min(archive.find(MAGIC, at + 1), archive.find(LINE, at + 1))
             continue
         if gap is not None:
             yield {"path": path, "offset": gap, "error": why, "gap_bytes": at - gap}
@@ -191,7 +236,7 @@ def _salvaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records and gaps under path (columns RECORDS)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_salvaged, RECORDS)
 
 
@@ -208,7 +253,7 @@ g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(((('0x' || substr(h, CAST(k // 4 AS INT) * 5 + 1, 5))::BIGINT >> CAST(15 - 5 * (k % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
-  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> last THEN last END AS refers_to
+  CASE WHEN page_id IS NOT DISTINCT FROM last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM p JOIN g USING (h)
 """
