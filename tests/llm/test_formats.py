@@ -223,9 +223,18 @@ def test_pieces_match_the_library(spark, model):
         got = pieces.encode(docs, own, hot).collect()
         assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got) == wanted
         assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in got)
+        texts = sorted((str(r["doc_id"]), r["text"] or "") for r in docs.collect())
+        assert sorted((str(r["doc_id"]), r["text"]) for r in pieces.decode(spark.createDataFrame(got), own).collect()) == texts
     assert pieces.encode(docs.limit(0), own).count() == 0
 
 
+def test_round_trip_is_strict(spark):
+    got = {r["doc_id"]: r for r in pieces.encode(frame(spark, ["a b", f"a{pieces.SPACE}b", ""]).select("doc_id", "text")).collect()}
+    assert [got[k]["round_trip"] for k in range(3)] == [True, False, True] and got[0]["ids"] == got[1]["ids"]
+    rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(rows).collect()} == {1: None, 2: ""}
+
+
 def test_long_words_follow_the_same_rule():
     own = pieces.load()
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)

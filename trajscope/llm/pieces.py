@@ -19,8 +19,10 @@ and exploding, joining, grouping and folding stay within that partitioning.
 Nothing depends on HOT but speed.
 
 Defined cases: null or empty text has no ids; a text that holds U+2581 itself
-decodes to a space there; repeated rows each get a row; an empty table gives an
-empty result; further columns are ignored.
+decodes to a space there, and its round_trip is false; repeated rows each get a
+row, null ids as well; an empty table gives an empty result; very long texts and
+words are encoded whole; equal ranks are decided from the left; columns beyond
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,53 +129,48 @@ def words_of(text: Column, model: PieceModel) -> Column:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """The columns of words, with edges: all (s, e, id, score) of pieces in the column `word`.
+    """The columns of words, with edges: all (rank, s, e, id, need, inner) of pieces in the column `word`, best rank first.
+
+    rank is minus the score; need has the bits of both ends and inner those
+    between. Characters without a piece have an edge with id -1.
 
     words is partitioned by some of its columns, and the piece table (fixed by
     the model) is broadcast, so grouping the edges needs no further shuffle.
     """
     spark = words.sparkSession
-    table_ = F.broadcast(spark.createDataFrame([(p, i, s) for p, (i, s) in model.normal.items()], "piece string, id int, score double"))
+    # a hash as the key makes the lookup one of numbers; the pieces are compared as well
+    table_ = spark.createDataFrame([(p, i, -s) for p, (i, s) in model.normal.items()], "known string, id int, rank double")
+    table_ = F.broadcast(table_.withColumn("h", F.xxhash64("known")))
     size, keys = F.length("word"), words.columns
     spans = words.select(*keys, F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
     spans = spans.select(*keys, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("s")))).alias("l"))
-    edges = spans.select(*keys, "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(word, s + 1, l)").alias("piece")).join(table_, "piece", "left")
-    # single characters stay without a match, so that every word has a row
-    edges = edges.where("id IS NOT NULL OR e = s + 1")
-    return edges.groupBy(*keys).agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "id", "score"))).alias("edges"))
-
-
-def _viterbi(model: PieceModel) -> str:
-    """SQL: spans (s, e, id; id -1 without a piece) of the best path over `edges`, the longest last piece on ties; unknown characters at a penalty."""
-    none = "cast(array() as array<struct<s:int,e:int,id:int,score:double>>)"
-    return f"""
+    spans = spans.select(*keys, "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(word, s + 1, l)").alias("piece"))
+    edges = spans.join(table_, (F.xxhash64("piece") == F.col("h")) & (F.col("piece") == F.col("known")), "left").where("id IS NOT NULL OR e = s + 1")
+    one = "shiftleft(1L, {})".format
+    edges = edges.select(*keys, F.struct(
+        F.coalesce("rank", F.lit(-model.unknown)).alias("rank"), "s", "e", F.coalesce("id", F.lit(-1)).alias("id"),
+        F.expr(f"{one('s')} | {one('e')}").alias("need"), F.expr(f"{one('s + 1')} * ({one('e - s - 1')} - 1)").alias("inner"),
+    ).alias("edge"))
+    return edges.groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+
+
+#: SQL: spans of the best path over `edges`, the longest last piece on ties; unknown characters stand at a penalty.
+_VITERBI = """
     aggregate(
       reverse(sequence(1, length(word))),
       named_struct('at', length(word), 'out', cast(array() as array<struct<s:int,e:int,id:int>>), 'best',
         aggregate(sequence(1, length(word)), array(named_struct('score', 0.0D, 'k', 0, 's', 0, 'id', -1)), (best, e) -> concat(best, array(
-          array_max(transform(
-            concat(filter(edges, x -> x.e = e), if(exists(edges, x -> x.e = e AND x.s = e - 1), {none}, array(named_struct('s', e - 1, 'e', e, 'id', -1, 'score', {model.unknown!r}D)))),
-            y -> named_struct('score', best[y.s].score + y.score, 'k', -y.s, 's', y.s, 'id', y.id))))))),
+          array_max(transform(filter(edges, x -> x.e = e), y -> named_struct('score', best[y.s].score - y.rank, 'k', -y.s, 's', y.s, 'id', y.id))))))),
       (a, e) -> if(a.at = e, named_struct('at', a.best[e].s, 'out', concat(array(named_struct('s', a.best[e].s, 'e', e, 'id', a.best[e].id)), a.out), 'best', a.best), a),
       a -> a.out)"""
 
-
-def _merges() -> str:
-    """SQL: spans of the merges by rank. The state is a bit mask of the boundaries between symbols."""
-    return """
-    transform(filter(sequence(0, length(word) - 1), s -> (shiftright(mask, s) & 1) = 1), s ->
-      aggregate(filter(sequence(s + 1, least(length(word), s + 64)), e -> (shiftright(mask, e) & 1) = 1), -1, (a, e) -> if(a = -1, e, a),
-        e -> named_struct('s', s, 'e', e, 'id', coalesce(get(filter(edges, x -> x.s = s AND x.e = e), 0).id, -1))))"""
-
-
-_MASK = """
-    aggregate(sequence(1, length(word)), shiftleft(1L, length(word) + 1) - 1L, (m, k) -> coalesce(
-      aggregate(
-        filter(ranked, x -> (shiftright(m, x.s) & 1) = 1 AND (shiftright(m, x.e) & 1) = 1
-          AND bit_count(shiftright(m, x.s + 1) & (shiftleft(1L, x.e - x.s - 1) - 1L)) = 1),
-        cast(null as bigint),
-        (a, x) -> coalesce(a, m & ~(shiftleft(shiftleft(1L, x.e - x.s - 1) - 1L, x.s + 1)))),
-      m))"""
+#: SQL: the boundaries between symbols, as bits, after all merges. Each step applies the first merge by rank that joins two symbols; bit 62 says that none does.
+_MERGED = """
+    aggregate(sequence(1, length(word)), shiftleft(1L, length(word) + 1) - 1L, (m, k) -> if(m >= shiftleft(1L, 62), m,
+      aggregate(edges, -1L, (f, x) -> if(f >= 0, f, if((m & x.need) = x.need AND bit_count(m & x.inner) = 1, m & ~x.inner, -1L)),
+        f -> if(f >= 0, f, m | shiftleft(1L, 62)))))"""
+#: SQL: the edges between neighbouring boundaries, in order; repeated rows bring each edge more than once.
+_SYMBOLS = "array_sort(array_distinct(transform(filter(edges, x -> (merged & x.need) = x.need AND (merged & x.inner) = 0), x -> named_struct('s', x.s, 'e', x.e, 'id', x.id))))"
 
 
 def merge_word(word: str, model: PieceModel) -> list[tuple[int, int]]:
@@ -214,10 +211,9 @@ def dictionary(words: DataFrame, model: PieceModel) -> DataFrame:
     """The columns of words and ids. BPE models: words of MASK characters at most."""
     found = lattice(words, model)
     if model.kind == BPE:
-        ranked = F.array_sort(F.transform(F.filter("edges", lambda x: x["e"] - x["s"] >= 2), lambda x: F.struct((-x["score"]).alias("rank"), x["s"].alias("s"), x["e"].alias("e"))))
-        found = found.withColumn("ranked", ranked).withColumn("mask", F.expr(_MASK)).withColumn("spans", F.expr(_merges()))
+        found = found.withColumn("merged", F.expr(_MERGED)).withColumn("spans", F.expr(_SYMBOLS))
     else:
-        found = found.withColumn("spans", F.expr(_viterbi(model)))
+        found = found.withColumn("spans", F.expr(_VITERBI))
     found = found.withColumn("byte_ids", F.array(*(F.lit(model.bytes[b]) for b in range(256))))
     # the bytes of a character without a piece, from its hexadecimal digits
     char = "hex(encode(substring(word, x.s + 1, 1), 'utf-8'))"
@@ -230,11 +226,27 @@ def dictionary(words: DataFrame, model: PieceModel) -> DataFrame:
 ENCODED = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
 
 
-def decode(ids, pieces: list[bytes], dummy_prefix: bool = True) -> str:
-    out = b"".join([pieces[k] for k in ids]).decode("utf-8", "surrogatepass")
+def _decoded(ids, pieces: list[bytes], dummy_prefix: bool) -> str:
+    out = b"".join([pieces[k] for k in ids]).decode("utf-8", "replace")
     return out[1:] if dummy_prefix and out.startswith(" ") else out
 
 
+def decode(encoded: DataFrame, model: PieceModel | None = None) -> DataFrame:
+    """doc_id and text for each row of encoded (doc_id, ids).
+
+    Null ids are no text, no ids an empty one; ids that the model lacks are an
+    error; bytes that are not UTF-8 become U+FFFD.
+    """
+    model = model or load()
+    pieces, prefix = model.piece_bytes(), model.dummy_prefix
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [None if row is None else _decoded(row.tolist(), pieces, prefix) for row in frame["ids"]]})
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInPandas(run, "doc_id long, text string")
+
+
 def _encoder(hot: dict[str, bytes], model: PieceModel):
     pieces, prefix = model.piece_bytes(), model.dummy_prefix
 
@@ -246,7 +258,7 @@ def _encoder(hot: dict[str, bytes], model: PieceModel):
                 parts = [hot.get(w) or rare.get(w) or np.array(_span_ids(merge_word(w, model), w, model), "<i4").tobytes() for w in words]
                 row = np.frombuffer(b"".join(parts), "<i4")
                 ids.append(row)
-                same.append(decode(row.tolist(), pieces, prefix) == text.replace(SPACE, " "))
+                same.append(_decoded(row.tolist(), pieces, prefix) == text)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": same})
 
     return run
