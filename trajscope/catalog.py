@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import frames as fr
@@ -13,42 +11,13 @@ from .functions import text as tx
 from .operators import checked, metrics, statistics
 from .plans import cohorts
 from .plans import queries as plans
+from .register import MACRO as _MACRO
+from .register import QUERIES, SQL  # noqa: F401
+from .register import macro as _macro
+from .register import query as _query
+from .register import rounded as _r
 from .sources import testdata as td
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None, base: bool = True):
-    """Register a query under its function's name; base puts the trajectory views before the SQL."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = f"WITH {td.SQL}{sql}" if base else sql
-        return f
-
-    return register
-
-
-def _r(column, name: str | None = None):
-    """Rounded to nine places, without a negative zero."""
-    c = F.col(column) if isinstance(column, str) else column
-    out = F.round(c, 9) + F.lit(0.0)
-    return out.alias(name or column) if isinstance(column, str) or name else out
-
-
-def _macro(scores: DataFrame) -> DataFrame:
-    return statistics.macro_mean(scores).select("level", "domain", "task", _r("score"))
-
-
-#: Macro means of the rows (domain, task, score) of the view s.
-_MACRO = """,
-ta AS (SELECT domain, task, avg(score) AS score FROM s GROUP BY ALL), da AS (SELECT domain, avg(score) AS score FROM ta GROUP BY ALL)
-SELECT 'task' AS level, domain, task, round(score, 9) + 0.0 AS score FROM ta UNION ALL SELECT 'domain', domain, '*', round(score, 9) + 0.0 FROM da
-UNION ALL SELECT 'overall', '*', '*', round(avg(score), 9) + 0.0 FROM da"""
-
-
 # --- episodes and plans -------------------------------------------------------
 
 
@@ -298,17 +267,22 @@ s AS (SELECT domain, task, episode, coalesce((count(*) * sum(a * b) - sum(a) * s
 
 
 def _normal(rows: DataFrame) -> DataFrame:
-    """The normal successful trajectories of the binding."""
-    return rows.where("success AND user_id % 7 <> 0 AND num_frames >= 16")
+    """The normal successful trajectories of the binding: all that no reason of `exclusion_reasons` but annotation could exclude."""
+    return rows.where(cohorts.exclusion_reason(F.col("success"), F.lit(False), F.col("solution"), F.lit(True)).isNull())
+
+
+def _on_grid(rows: DataFrame, with_end: bool) -> DataFrame:
+    """Frames on the 5 Hz grid."""
+    make = fr.grid_with_end(F.col("num_frames"), F.lit(td.FPS)) if with_end else fr.grid(F.col("num_frames"), F.lit(td.FPS), 5.0)
+    return rows.where(F.array_contains(make, F.col("frame")))
 
 
-_NORMAL = "success AND user_id % 7 <> 0 AND num_frames >= 16"
+_NORMAL = "success AND solution = 'normal'"
 
 
 @_query(_rho_sql(f"SELECT domain, task, episode, v, frame AS tg FROM fr WHERE {_NORMAL} AND (frame % 2 = 0 OR frame = num_frames - 1)") + _MACRO)
 def voc(spark, sf_dir):
-    rows = _normal(td.frames(spark, sf_dir)).where("frame % 2 = 0 OR frame = num_frames - 1")
-    return _macro(metrics.order_correlation(rows, "frame"))
+    return _macro(metrics.order_correlation(_on_grid(_normal(td.frames(spark, sf_dir)), True), "frame"))
 
 
 @_query(_rho_sql("SELECT domain, task, episode, v, frame / num_frames AS tg FROM fr WHERE success AND frame % 4 = 0 AND num_frames > 4") + _MACRO)
@@ -376,7 +350,7 @@ def asof_fill(spark, sf_dir):
 
 
 def _smooth(spark, sf_dir):
-    rows = _normal(td.frames(spark, sf_dir)).where("frame % 2 = 0").withColumn("time", F.col("frame") / F.lit(td.FPS))
+    rows = _on_grid(_normal(td.frames(spark, sf_dir)), False).withColumn("time", F.col("frame") / F.lit(td.FPS))
     return metrics.smoothness(rows)
 
 
@@ -400,7 +374,7 @@ def vs_components(spark, sf_dir):
 
 
 def _failure_curves(spark, sf_dir):
-    rows = td.frames(spark, sf_dir).where("NOT success AND role <> 'r_zero' AND (frame % 2 = 0 OR frame = num_frames - 1)")
+    rows = _on_grid(cohorts.failure_point(td.frames(spark, sf_dir).where("NOT success")), True)
     curve = F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda x: F.struct(x["frame"].alias("f"), x["v"].alias("v")))
     return rows.groupBy("user_id", "d", "domain", "task", "episode", "num_frames", "onset").agg(curve.alias("curve"))
 
