@@ -141,12 +141,11 @@ def frame_audit(spark, sf_dir):
 
 
 @_query("""
-SELECT domain, task, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (
-  SELECT domain, task, sha256('{"episode":"' || episode || '","num_frames":' || num_frames || '}') AS h FROM ep) GROUP BY ALL""")
+, h AS (SELECT domain, task, sha256('{"domain":"' || domain || '","episode":"' || episode || '","num_frames":' || num_frames || ',"task":"' || task || '"}') AS h FROM ep),
+b AS (SELECT domain, task, left(h, 3) AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY ALL)
+SELECT domain, task, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM b GROUP BY ALL""")
 def fingerprints(spark, sf_dir):
-    e = td.episodes(td.frames(spark, sf_dir)).select("domain", "task", "episode", "num_frames")
-    digest = F.sha2(F.to_json(F.struct("episode", "num_frames")), 256)
-    return e.groupBy("domain", "task").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), "\n"), 256).alias("fingerprint"))
+    return checked.fingerprint(td.episodes(td.frames(spark, sf_dir)).select("domain", "task", "episode", "num_frames"), ["domain", "task"])
 
 
 @_query(" SELECT DISTINCT task, domain, arg_max(episode, (num_frames, user_id)) AS episode FROM ep GROUP BY ALL")
@@ -494,10 +493,33 @@ def csvc_q_stats(spark, sf_dir):
     return metrics.solution_spread(metrics.solution_profiles(deltas), deltas).select("task", *map(_r, ("q_repeat", "q_cross", "q_null")))
 
 
-@_query(None)
+_RESAMPLES = 200
+
+
+def _drawn_sql(place: str, parts: str, n: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', 42, {parts})), 1, 8) AS BIGINT) % {n} = {place}"
+
+
+@_query(_DELTAS + f""",
+sw AS (SELECT *, count(*) OVER (PARTITION BY task, semantic) AS n FROM so),
+pl AS (SELECT task, solution, row_number() OVER (PARTITION BY task ORDER BY solution) - 1 AS place, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, solution FROM so)),
+dw AS (SELECT p.task, r.replicate, q.solution FROM pl p, (SELECT unnest(range(0, {_RESAMPLES})) AS replicate) r JOIN pl q ON q.task = p.task AND {_drawn_sql("q.place", "p.task, r.replicate, p.place", "p.n")}),
+ce AS (SELECT dw.task, replicate, semantic, count(*) AS n, median(value) AS c, list(value) AS vs FROM dw JOIN sw ON sw.task = dw.task AND sw.solution = dw.solution AND sw.n >= 2 GROUP BY ALL HAVING count(*) >= 2),
+sr AS (SELECT task, replicate, count(*) AS covered, sqrt(avg(c * c)) AS g, sqrt(avg(list_avg(list_transform(vs, lambda v: (v - c) * (v - c))))) AS r FROM ce GROUP BY ALL),
+sx AS (SELECT task, (g - r) / (g + r) AS score FROM sr WHERE covered = (SELECT count(DISTINCT semantic) FROM sw WHERE sw.task = sr.task AND sw.n >= 2))
+SELECT task, count(*) AS n_valid, round(quantile_cont(score, 0.025), 6) + 0.0 AS low, round(quantile_cont(score, 0.975), 6) + 0.0 AS high FROM sx GROUP BY ALL""")
 def csvc_bootstrap(spark, sf_dir):
-    rows = metrics.solution_profiles(_deltas(spark, sf_dir)).groupBy("task", "solution").agg(F.avg("value").alias("value"))
-    return statistics.bootstrap_interval(rows, "task", "value").select("task", "n", _r("low"), _r("high"))
+    out = metrics.consistency_intervals(metrics.solution_profiles(_deltas(spark, sf_dir)), _RESAMPLES)
+    return out.select("task", "n_valid", (F.round("low", 6) + 0.0).alias("low"), (F.round("high", 6) + 0.0).alias("high"))
+
+
+@_query(f"""
+, sc AS (SELECT task, avg(v) AS score FROM fr GROUP BY ALL), pl AS (SELECT *, row_number() OVER (ORDER BY task) - 1 AS place, count(*) OVER () AS n FROM sc),
+dw AS (SELECT replicate, avg(q.score) AS score FROM pl p, (SELECT unnest(range(0, 2000)) AS replicate) r JOIN pl q ON {_drawn_sql("q.place", "'macro', r.replicate, p.place", "p.n")} GROUP BY ALL)
+SELECT (SELECT round(avg(score), 6) + 0.0 FROM sc) AS score, count(*) AS n_valid, round(quantile_cont(score, 0.025), 6) + 0.0 AS low, round(quantile_cont(score, 0.975), 6) + 0.0 AS high FROM dw""")
+def macro_bootstrap(spark, sf_dir):
+    out = metrics.macro_interval(td.frames(spark, sf_dir).groupBy("task").agg(F.avg("v").alias("score")))
+    return out.select((F.round("score", 6) + 0.0).alias("score"), "n_valid", (F.round("low", 6) + 0.0).alias("low"), (F.round("high", 6) + 0.0).alias("high"))
 
 
 @_query("""

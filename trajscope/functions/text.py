@@ -47,9 +47,72 @@ def percent_score(text: Column) -> Column:
     return F.when(F.abs(value) <= 100, value / F.lit(100.0))
 
 
+#: Phrases and forms by which an answer says what is done or what comes next.
+FINISHED = "this task is finished because"
+COMPLETED = "All tasks are completed."
+ITEM = r"(?:[-*\u2022]|\d+(?:\.\)|[.):]|[ \t]*[-\u2013\u2014:]))[ \t]+"
+VERBS = "Place Pick Put Grasp Grab Move Lift Hang Insert Fold Close Open Press Push Pull Stack Sweep Rotate Turn Release Slide Align Remove Take Set Hold Carry Position Arrange Store".split()
+
+
+def html_unescape(text: Column) -> Column:
+    """The entities that html_escape writes."""
+    for raw, escaped in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("'", "&#39;"), ("&", "&amp;")):
+        text = F.replace(text, F.lit(escaped), F.lit(raw))
+    return text
+
+
+def listed_subtask(text: Column) -> Column:
+    """The subtask that an answer names; null if none can be told.
+
+    In turn: a phrase that all is finished or a progress of 100 %; the first item
+    of a list; a description before the estimated progress; one sentence that
+    begins with a verb of action.
+    """
+    plain = html_unescape(F.replace(F.replace(F.replace(text, F.lit("\\r\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    plain = F.regexp_replace(plain, r"(?<!\d)(\d+)\s+(\d+)(?=\s*:)", "$1$2")
+    done = F.contains(F.lower(plain), F.lit(FINISHED)) | plain.rlike(r"(?is)<\s*progress\s*>\s*100(?:\.0+)?\s*%\s*<\s*/\s*progress\s*>")
+    item = F.regexp_extract(plain, rf"(?ms)^[ \t]*{ITEM}(.+?)(?=\n[ \t]*(?:{ITEM}|Therefore\b)|\z)", 1)
+    item = F.regexp_replace(F.trim(F.regexp_replace(item, r"\s+", " ")), r"^\d+\s*[:\u2013\u2014-]\s*", "")
+    prose = F.trim(F.regexp_replace(F.regexp_extract(F.trim(plain), r"(?is)^(.*?)\s*Therefore,\s*the estimated progress is\s*<progress>\s*\d+(?:\.\d+)?\s*%\s*</progress>\s*\.?\s*$", 1), r"\s+", " "))
+    action = F.regexp_extract(F.trim(plain), rf"(?i)^((?:{'|'.join(VERBS)})\b[^\n<>]+[.!])$", 1)
+    return F.when(done, COMPLETED).when(item != "", item).when(prose.rlike("[A-Za-z]"), prose).when(action != "", action)
+
+
+def progress_percent(text: Column) -> Column:
+    """`<progress>12.5%</progress>` as 0.125; 1 where the text says that all is finished; null otherwise."""
+    number = F.regexp_extract(text, r"(?is)<\s*progress\s*>\s*(\d+(?:\.\d+)?)\s*%\s*<\s*/\s*progress\s*>", 1)
+    return F.when(number != "", F.when(number != "", number).try_cast("double") / F.lit(100.0)).when(F.contains(F.lower(text), F.lit(FINISHED)), 1.0)
+
+
+def labelled_answer(text: Column) -> Column:
+    """(subtask, answer): what stands between `Subtask:` and the verdict yes or no; without the label, the text before a verdict that follows a sentence.
+
+    Null subtask where it is empty or there is no verdict.
+    """
+    label = text.rlike(r"(?i)\bsubtask\s*:")
+    after = F.regexp_extract(text, r"(?is)\bsubtask\s*:\s*(.*)$", 1)
+    strict, loose = r"(?ims)^(.*?)(?:^|(?<=[.!?]))[ \t]*(yes|no)\b", r"(?is)^(.*?)\b(yes|no)\b"
+    pick = lambda group: F.when(label, F.when(after.rlike(strict), F.regexp_extract(after, strict, group)).otherwise(F.regexp_extract(after, loose, group))).otherwise(F.regexp_extract(text, strict, group))
+    subtask, answer = F.trim(pick(1)), F.lower(pick(2))
+    return F.struct(F.when(subtask != "", subtask).alias("subtask"), F.when(answer != "", answer).alias("answer"))
+
+
 def subtask_text(text: Column) -> Column:
-    """What follows `Subtask:` up to the first sentence end, kept."""
-    return F.when(text.rlike(r"(?i)subtask\s*:"), F.trim(F.regexp_extract(text, r"(?is)subtask\s*:\s*(.*?[.!?])(?:\s|$)", 1)))
+    return labelled_answer(text)["subtask"]
+
+
+def candidate_labels(candidates: Column) -> Column:
+    """Labels '1' to '9' -> ids of a map id -> description, in the order of the ids; null for none or more than nine."""
+    ids = F.array_sort(F.map_keys(candidates))
+    labels = F.map_from_arrays(F.transform(ids, lambda x, i: (i + 1).cast("string")), ids)
+    return F.when(F.size(ids).between(1, 9), labels)
+
+
+def judge_prompt(instruction: Column, candidates: Column, answer: Column) -> Column:
+    """The question to a judge: the task, the numbered candidates and the model's answer; one digit is asked for."""
+    ids = F.array_sort(F.map_keys(candidates))
+    choices = F.array_join(F.transform(ids, lambda x, i: F.concat(F.lit("- "), (i + 1).cast("string"), F.lit(": "), F.element_at(candidates, x))), "\n")
+    return F.concat_ws("\n\n", F.lit("Choose the candidate that the answer names, also where it is vague."), F.concat(F.lit("Task:\n"), instruction), F.concat(F.lit("Candidates:\n"), choices), F.concat(F.lit("Answer:\n"), answer), F.lit("Reply with one digit."))
 
 
 def html_escape(text: Column) -> Column:

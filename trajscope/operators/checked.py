@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,13 +24,14 @@ def join_report(plan: DataFrame, predictions: DataFrame, key: str = "query_id")
 
 
 def join_checked(plan: DataFrame, predictions: DataFrame, key: str = "query_id", ignore_extra: bool = False) -> DataFrame:
-    """plan with score, after a check that every query has one prediction of its op and there are no others."""
+    """plan with score, after a check that every query has one prediction of its op and there are no others; an error names three of each kind."""
     bad = join_report(plan, predictions, key).where(F.col("status") != "ok")
     if ignore_extra:
         bad = bad.where(F.col("status") != "extra")
-    found = bad.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).collect()
-    if found:
-        raise ValueError("predictions do not cover the plan: " + ", ".join(f"{r['n']} {r['status']} (e.g. {r['first']})" for r in found))
+    counts = {r["status"]: r["n"] for r in bad.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts:
+        named = {status: [r[key] for r in bad.where(F.col("status") == status).orderBy(key).limit(3).collect()] for status in sorted(counts)}
+        raise ValueError("predictions do not cover the plan: " + ", ".join(f"{counts[k]} {k} (e.g. {', '.join(map(str, v))})" for k, v in named.items()))
     return plan.join(predictions.drop("op"), key)
 
 
@@ -76,9 +77,17 @@ def expected_coverage(plan: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, n, fingerprint: SHA-256 over the digests of the rows as JSON, in their order.
+    """keys, n, fingerprint: SHA-256 over digests of buckets of the rows' digests, each in order.
 
-    A digest has a fixed size, so a group costs 64 bytes a row.
+    A row's digest is that of its JSON; its first three digits name its bucket, so
+    a group's digests meet in 4096 lists and not in one.
     """
+    keys = list(keys)
     digest = F.sha2(F.to_json(F.struct(*sorted(c for c in rows.columns))), 256)
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), "\n"), 256).alias("fingerprint"))
+    small = rows.select(*keys, digest.alias("h")).groupBy(*keys, F.substring("h", 1, 3).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
+    return small.groupBy(*keys).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
+
+
+def digest(*parts: str | Column) -> Column:
+    """SHA-256 of the parts as one JSON object: the identity of a query's payload."""
+    return F.sha2(F.to_json(F.struct(*parts)), 256)

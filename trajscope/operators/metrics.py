@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from ..functions import sequences as sq
+from . import statistics
 from .statistics import macro_mean, pairwise_wins, spearman
 
 CELL = ["domain", "task"]
@@ -112,6 +112,32 @@ def solution_consistency(profiles: DataFrame) -> DataFrame:
     return t.withColumn("score", score).withColumn("identifiable", F.col("center") + F.col("rmse") > 0)
 
 
+def consistency_intervals(profiles: DataFrame, times: int = 2000, seed: int = 42) -> DataFrame:
+    """task, n_valid, low, high of the score over resampled solutions.
+
+    The semantics stay those of the whole: a replicate in which one of them has
+    fewer than two solutions has no score.
+    """
+    counted = profiles.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("task", "semantic"))).where("n >= 2").drop("n")
+    wanted = counted.groupBy("task").agg(F.count_distinct("semantic").alias("wanted"))
+    whole = profiles.select("task", "solution").distinct().join(counted, ["task", "solution"], "left")
+    drawn = statistics.resamples(whole, ["task"], "solution", times, seed).where("semantic IS NOT NULL")
+    key = ["task", "replicate"]
+    centers = drawn.groupBy(*key, "semantic").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("c"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    # mean squared distance from the centre, from sums
+    error = F.greatest((F.col("ss") - 2 * F.col("c") * F.col("s")) / F.col("n") + F.col("c") * F.col("c"), F.lit(0.0))
+    scored = centers.where("n >= 2").withColumn("e", error).groupBy(*key).agg(F.count(F.lit(1)).alias("covered"), F.sqrt(F.avg(F.col("c") * F.col("c"))).alias("g"), F.sqrt(F.avg("e")).alias("d"))
+    scored = scored.join(F.broadcast(wanted), "task").where("covered = wanted")
+    return statistics.interval(scored.withColumn("score", F.coalesce(F.try_divide(F.col("g") - F.col("d"), F.col("g") + F.col("d")), F.lit(-1.0))), ["task"])
+
+
+def macro_interval(scores: DataFrame, times: int = 2000, seed: int = 42) -> DataFrame:
+    """score, n_valid, low, high of the mean over resampled tasks; scores (task, score), null scores left out."""
+    some = scores.where("score IS NOT NULL").select("task", "score").withColumn("all_", F.lit("macro"))
+    means = statistics.resamples(some, ["all_"], "task", times, seed).groupBy("all_", "replicate").agg(F.avg("score").alias("score"))
+    return some.groupBy("all_").agg(F.avg("score").alias("score")).join(statistics.interval(means, ["all_"]), "all_").drop("all_")
+
+
 def solution_spread(profiles: DataFrame, deltas: DataFrame) -> DataFrame:
     """Mean squared differences per task: between normal repeats, between solutions, and between mismatched semantics.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +45,28 @@ def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return s.select(*keys, "n", F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), root).alias("rho"))
 
 
+WIN_BINS = 1024
+
+
 def pairwise_wins(rows: DataFrame, keys: Sequence[str], value: str, winner: str) -> DataFrame:
     """keys, wins, n_winners, n_losers, score: share of (winner, loser) pairs where the winner is strictly above.
 
-    Sort and running counts instead of a join of all pairs.
+    Running counts instead of a join of all pairs, in two levels, so that no task
+    sorts a whole cell: losers in lower bins of the value's range (a table of at
+    most WIN_BINS rows a cell), and losers below within the bin.
     """
+    keys = list(keys)
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
+    place = F.coalesce(F.try_divide((F.col(value) - F.col("low_")).cast("double"), (F.col("high_") - F.col("low_")).cast("double")), F.lit(0.0))
+    binned = rows.join(ends, keys).withColumn("bin_", F.least(F.floor(place * WIN_BINS), F.lit(WIN_BINS - 1)))
     loser = F.when(F.col(winner), 0).otherwise(1)
-    upto = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    below = F.sum(loser).over(upto) - F.sum(loser).over(Window.partitionBy(*keys, value))
-    counted = rows.withColumn("below", F.when(F.col(winner), below).otherwise(0))
-    out = counted.groupBy(*keys).agg(F.sum("below").alias("wins"), F.sum(1 - loser).alias("n_winners"), F.sum(loser).alias("n_losers"))
+    sizes = binned.groupBy(*keys, "bin_").agg(F.sum(loser).alias("losers_"))
+    lower = Window.partitionBy(*keys).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "bin_", F.coalesce(F.sum("losers_").over(lower), F.lit(0)).alias("lower_"))
+    upto = Window.partitionBy(*keys, "bin_").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    below = F.sum(loser).over(upto) - F.sum(loser).over(Window.partitionBy(*keys, "bin_", value))
+    counted = binned.withColumn("within_", below).join(sizes, [*keys, "bin_"]).withColumn("below_", F.when(F.col(winner), F.col("lower_") + F.col("within_")).otherwise(0))
+    out = counted.groupBy(*keys).agg(F.sum("below_").alias("wins"), F.sum(1 - loser).alias("n_winners"), F.sum(loser).alias("n_losers"))
     return out.withColumn("score", F.try_divide(F.col("wins").cast("double"), (F.col("n_winners") * F.col("n_losers")).cast("double")))
 
 
@@ -64,23 +75,38 @@ def nearest_rank(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) within group (order by {value})")
 
 
-def bootstrap_interval(rows: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """key, n, low, high: 2.5 and 97.5 per cent of the means of resamples of one key's values, sorted by value.
+def draw(n: Column, *parts: Column) -> Column:
+    """A whole number below n by a hash of the parts: the same on every run, every executor and in any engine with MD5."""
+    word = F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
+    return F.pmod(word, n.cast("long"))
+
 
-    A key's values are one group of solutions, a small one by definition.
+def resamples(rows: DataFrame, keys: Sequence[str], order: str, times: int, seed: int = 42) -> DataFrame:
+    """keys, replicate, and the rows (by `order`) drawn with replacement, as many as there are distinct values of `order`.
+
+    Draws are rows of a table, `times` for each value; a draw is joined to the
+    rows of the value that it hits.
     """
-    import random
+    keys = list(keys)
+    places = rows.select(*keys, order).distinct().withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
+    sizes = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
+    draws = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1)).alias("i_"))
+    drawn = draws.withColumn("place", draw(F.col("n_"), F.lit(seed), *(F.col(k) for k in keys), F.col("replicate"), F.col("i_")))
+    return drawn.join(places, [*keys, "place"]).join(rows, [*keys, order]).drop("n_", "place")
+
+
+def interval(scores: DataFrame, keys: Sequence[str], value: str = "score") -> DataFrame:
+    """keys, n_valid, low, high: 2.5 and 97.5 per cent of the replicates that have a score."""
+    some = scores.where(F.col(value).isNotNull())
+    return some.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_valid"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        draw, v = random.Random(seed), sorted(frame[value].tolist())
-        means = sorted(sum(v[draw.randrange(len(v))] for _ in v) / len(v) for _ in range(resamples))
 
-        def at(q: float) -> float:
-            place = q * (len(means) - 1)
-            low = int(place)
-            return means[low] + (means[min(low + 1, len(means) - 1)] - means[low]) * (place - low)
+def mean_or_raise(value: str, what: str) -> Column:
+    """Mean of a column; an error where there is no value."""
+    return F.when(F.count(value) > 0, F.avg(value)).otherwise(F.raise_error(F.lit(f"no values for {what}")))
 
-        return pd.DataFrame({key: [frame[key].iloc[0]], "n": [len(v)], "low": [at(0.025)], "high": [at(0.975)]})
 
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, low double, high double")
+def task_means(scores: DataFrame, value: str = "score") -> DataFrame:
+    """task, score: unweighted means of a task's domains."""
+    cells = scores.groupBy("task", "domain").agg(F.avg(value).alias("score"))
+    return cells.groupBy("task").agg(F.avg("score").alias("score"))
