@@ -78,6 +78,18 @@ def test_stream_merges_once(spark, tmp_path):
     source, store, cells = str(tmp_path / "in"), str(tmp_path / "store"), []
     for rows in ([("a", "id", "t", 1.0), ("a", "id", "t", 1.0)], [("a", "id", "t", 9.0), ("b", "env", "t", 2.0)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        merge_stream(spark, source, schema, store, str(tmp_path / "checkpoint"), lambda df, n: cells.append((n, df.count()))).awaitTermination(60)
+        merge_stream(spark, source, schema, store, str(tmp_path / "checkpoint"), lambda df, n: cells.append((n, df.count())), "keep").awaitTermination(60)
     got = {(r["query_id"], r["score"]) for r in spark.read.parquet(store).collect()}
     assert got == {("a", 1.0), ("b", 2.0)} and [c for _, c in cells] == [1, 1]
+
+
+def test_stream_refuses_conflicts(spark, tmp_path):
+    schema = "query_id string, domain string, task string, score double"
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    start = lambda: merge_stream(spark, source, schema, store, str(tmp_path / "checkpoint")).awaitTermination(60)
+    spark.createDataFrame([("a", "id", "t", 1.0), ("a", "id", "t", 1.0)], schema).coalesce(1).write.mode("append").parquet(source)
+    start()
+    spark.createDataFrame([("a", "id", "t", 9.0)], schema).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="different rows"):
+        start()
+    assert spark.read.parquet(store).count() == 1

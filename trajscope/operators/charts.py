@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import html_escape
+
 WIDTH, HEIGHT, PAD = 480, 160, 12
 
 
@@ -25,6 +27,16 @@ def cycle_target(position: Column, n_path: Column) -> Column:
 
 def charts(curves: DataFrame, title: str = "episode", values: str = "values") -> DataFrame:
     """title and svg."""
-    text = F.replace(F.replace(F.col(title), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    text = html_escape(F.col(title))
     svg = F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {WIDTH} {HEIGHT}"><title>'), text, F.lit('</title><polyline fill="none" stroke="black" points="'), polyline(F.col(values)), F.lit('"/></svg>'))
     return curves.select(title, svg.alias("svg"))
+
+
+def sheet(curves: DataFrame, columns: int = 3, title: str = "episode", values: str = "values") -> str:
+    """One SVG with the charts of a short selection in a grid, by title. The rows come to the driver, as the sheet does."""
+    cells = []
+    for k, r in enumerate(charts(curves, title, values).orderBy(title).collect()):
+        x, y = k % columns * WIDTH, k // columns * HEIGHT
+        cells.append(r["svg"].replace("<svg ", f'<svg x="{x}" y="{y}" width="{WIDTH}" height="{HEIGHT}" ', 1))
+    rows = -(-len(cells) // columns)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {min(columns, max(1, len(cells))) * WIDTH} {rows * HEIGHT}">' + "".join(cells) + "</svg>"

@@ -13,6 +13,11 @@ def overlay(spark: SparkSession, root: str, target: str, labels: DataFrame) -> N
     tasks = spark.read.parquet(f"{root}/tasks.parquet").join(F.broadcast(labels), F.col("task") == F.col("old"), "left")
     tasks.withColumn("task", F.coalesce("new", "task")).drop("old", "new").write.parquet(f"{target}/tasks.parquet")
     remap_labels(spark.read.parquet(f"{root}/episodes"), "tasks", labels).write.parquet(f"{target}/episodes")
+    for name in ("tasks.parquet", "episodes"):
+        before, after = spark.read.parquet(f"{root}/{name}"), spark.read.parquet(f"{target}/{name}")
+        plain = [c for c in before.columns if c not in ("task", "tasks")]
+        if before.columns != after.columns or before.count() != after.count() or before.select(*plain).exceptAll(after.select(*plain)).take(1):
+            raise ValueError(f"{target}/{name} differs from its source by more than labels")
 
 
 def reference_clips(episodes: DataFrame, instructions: DataFrame, fps: float) -> DataFrame:

@@ -5,29 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Ids of a batch of fewer rows are broadcast to the stored ones.
+SMALL_BATCH = 1_000_000
 
-def merge_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, on_cells: Callable[[DataFrame, int], None] | None = None):
+
+def merge_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, on_cells: Callable[[DataFrame, int], None] | None = None, on_conflict: str = "error"):
     """Append each new prediction of the Parquet files in source to store, exactly once by query_id.
 
-    A batch that is retried rewrites its own partition, so a restart adds no
-    row twice. on_cells gets the (domain, task) cells that a batch touched.
+    A batch writes its own folder of store, and a retried one writes it again, so
+    a restart adds no row twice. What is known of earlier batches is read with the
+    partition column `batch`, and only for the ids of this batch: their bloom or
+    min/max statistics skip the rest. One id with two different rows is an error, or
+    with on_conflict="keep" the row that came first stays (within a batch, any).
+    on_cells gets the (domain, task) cells that a batch touched.
     """
     stream = spark.readStream.schema(schema).parquet(source)
-
-    def earlier(number: int) -> list[str]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return [f"{store}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) < number]
+    columns = [c.split()[0] for c in schema.split(",")]
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["query_id"])
-        known = spark.read.option("basePath", store).parquet(*done).select("query_id") if (done := earlier(number)) else None
+        fresh = batch.distinct()
+        known = spark.read.schema(schema + ", batch int").option("basePath", store).parquet(f"{store}/batch=*").where(F.col("batch") < number) if number else None
+        if known is not None:
+            known = known.select(*columns).join(F.broadcast(fresh.select("query_id").distinct()) if fresh.count() < SMALL_BATCH else fresh.select("query_id").distinct(), "query_id", "left_semi").select(*columns)
+        rows = fresh.select(*columns).unionByName(known).distinct() if known is not None else fresh.select(*columns)
+        twice = rows.groupBy("query_id").count().where("count > 1").agg(F.count(F.lit(1)), F.min("query_id")).first()
+        if on_conflict == "keep":
+            fresh = fresh.dropDuplicates(["query_id"])
+        elif twice[0]:
+            raise ValueError(f"{twice[0]} ids with different rows, e.g. {twice[1]}")
         if known is not None:
-            fresh = fresh.join(known, "query_id", "left_anti")
+            fresh = fresh.join(known.select("query_id"), "query_id", "left_anti").select(*columns)
         fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
         if on_cells:
-            on_cells(spark.read.parquet(f"{store}/batch={number}").select("domain", "task").distinct(), number)
+            on_cells(spark.read.schema(schema).parquet(f"{store}/batch={number}").select("domain", "task").distinct(), number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
