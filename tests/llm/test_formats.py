@@ -5,6 +5,7 @@ import hashlib
 import io
 import re
 import struct
+import textwrap
 import time
 
 import duckdb
@@ -140,6 +141,25 @@ def test_licence_model_on_unseen_wordings():
         assert model.decide(text)[0] == "none"
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+
+
+def test_wrapped_notices_and_identifiers(spark):
+    wrap = lambda text, n: "\n".join(textwrap.wrap(text, n))
+    texts = [f"Some words.\n\n{wrap(MIT, 40)}\n\nOther words.", f"# header\n{wrap(licenses.TEMPLATES['bsd'][2], 50)}", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: GPL-2.0-only", "Released under the zlib license.", "Plain words\nand more of them.\n\nNothing else."]
+    got = {r["doc_id"]: r["licences"] for r in licenses.license_scan(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(6)] == ["mit", "bsd", "cc", "gpl", "zlib", ""]
+
+
+def test_unknown_families():
+    """A model that lacks a family seldom takes its notices for one of the others, and knows most notices that it has not seen of the families it has."""
+    t, cut = licenses.calibration(20, 0.5, 1e-3, 5)
+    assert 0.3 <= cut < 0.95 and 0.25 <= t <= 2.8
+    model = licenses.train()
+    said = [model.decide(x)[0] for x in ("Licensed under the Frobnicate Public License.", "This work is licensed under the terms of the Quux license.")]
+    assert all(x in ("unknown", "none") for x in said) and "unknown" in said
+
+
 # --- secrets --------------------------------------------------------------------
 
 OWN = "q7Zk2mP9xL4vB8nR3tW6yC1d"
