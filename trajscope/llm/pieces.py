@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-The distinct words of the corpus (a text with spaces as U+2581, cut where no
-piece can reach across) are exploded into substrings of bounded length and
-equi-joined to the piece table; the matches, grouped by word, are its lattice.
-A fold with Spark's higher-order `aggregate` finds the segmentation:
+Words (a text with spaces as U+2581, cut where no piece can reach across) are
+exploded into substrings of bounded length and equi-joined to the piece table;
+the matches, grouped by word, are its lattice. A fold with Spark's higher-order
+`aggregate` finds the segmentation:
 
 * unigram models: Viterbi over the end positions;
 * BPE models: their scores are merge ranks, and the best path by their sum is not
@@ -13,10 +13,11 @@ A fold with Spark's higher-order `aggregate` finds the segmentation:
 Characters without a piece become byte pieces. Words of over MASK characters are
 merged by the same rule outside the fold, with a heap.
 
-The HOT most frequent words are encoded once and travel with the code. The other
-words of a text are encoded beside it: texts are partitioned once by a row key,
-and exploding, joining, grouping and folding stay within that partitioning.
-Nothing depends on HOT but speed.
+The HOT most frequent words of the corpus are folded once; their ids, a sorted
+table of hashes of at most HOT rows, travel with the code. The other words of a
+text are folded beside it: they are shuffled once with the text by a row key, and
+exploding, joining, grouping and folding stay within that partitioning. Nothing
+depends on HOT but speed.
 
 Defined cases: null or empty text has no ids; a text that holds U+2581 itself
 decodes to a space there, and its round_trip is false; repeated rows each get a
@@ -33,15 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, joined, materialize, prefix_sums, span_hashes, table, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MASK = 60
-HOT = 300_000
+HOT = 2_000_000
+#: Words that a task counts before it passes them on.
+COUNTED = 300_000
 PARTITION_CHARS = 4_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6
@@ -97,16 +100,10 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.normal):
             raise ValueError("pieces that reach across words are not supported")
 
-    def cuts(self) -> str:
-        """A regular expression of places that no piece reaches across."""
+    def cuts(self) -> tuple[bool, bytes]:
+        """Whether no piece holds a line feed, and ASCII signs that never follow a letter within a piece: places that no piece reaches across."""
         after_letter = {b for p in self.normal for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
-        safe = "".join(c for c in "!\"#$%&'()*+,./:;<=>?@[]^_`{|}~" if c not in after_letter)
-        out = f"(?<=[^{SPACE}])(?={SPACE})"
-        if not any("\n" in p for p in self.normal):
-            out += "|(?<=\\n)|(?=\\n)"
-        if safe:
-            out += "|(?<=\\p{L})(?=[" + "".join("\\" + c for c in safe) + "])"
-        return out
+        return not any("\n" in p for p in self.normal), "".join(c for c in "!\"#$%&'()*+,./:;<=>?@[]^_`{|}~" if c not in after_letter).encode()
 
     def piece_bytes(self) -> list[bytes]:
         special = lambda p, t: bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t == NORMAL else b""
@@ -121,11 +118,89 @@ def load(path: str = MODEL) -> PieceModel:
 # --- words --------------------------------------------------------------------
 
 
-def words_of(text: Column, model: PieceModel) -> Column:
-    """array<string> of the words of a text; their concatenation is the text as the model sees it."""
-    seen = F.translate(text, " ", SPACE)
-    seen = F.concat(F.lit(SPACE), seen) if model.dummy_prefix else seen
-    return F.when(F.length(text) > 0, F.filter(F.split(seen, model.cuts(), -1), lambda w: w != "")).otherwise(F.expr("cast(array() as array<string>)"))
+class Splitter:
+    """Words of texts by their bytes; a space stands for U+2581. Their concatenation is the text as the model sees it."""
+
+    def __init__(self, model: PieceModel):
+        self.prefix = " " if model.dummy_prefix else ""
+        self.lines, safe = model.cuts()
+        self.safe, self.letter = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+        self.safe[list(safe)] = True
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """bytes, starts, ends, texts and hashes of the words."""
+        data, offsets = joined([self.prefix + t.replace(SPACE, " ") if t else "" for t in texts])
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[offsets], cut[offsets[1:] - 1] = True, True
+        space = data == 32
+        cut[1:-1] |= space[1:] & ~space[:-1]
+        if self.lines:
+            line = data == 10
+            cut[:-1] |= line
+            cut[1:] |= line
+        cut[1:-1] |= self.letter[data[:-1]] & self.safe[data[1:]]
+        at = np.flatnonzero(cut)
+        start, end = at[:-1], at[1:]
+        text = np.searchsorted(offsets, start, side="right") - 1
+        own = start < offsets[text + 1] - 1  # the line feeds between texts are no words
+        start, end, text = start[own], end[own], text[own]
+        return data, start, end, text, span_hashes(prefix_sums(data), start, end)
+
+
+def _word(data: np.ndarray, start: int, end: int) -> str:
+    return data[start:end].tobytes().decode("utf-8", "surrogatepass").replace(" ", SPACE)
+
+
+def _hashes_of(words: list[str]) -> np.ndarray:
+    """The hashes that Splitter gives these words."""
+    data, offsets = joined([w.replace(SPACE, " ") for w in words])
+    return span_hashes(prefix_sums(data), offsets[:-1], offsets[1:] - 1)
+
+
+def _counted(model: PieceModel, longest: int):
+    """(word, n) of the words of at most `longest` characters; a word may come several times."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, words, n = Splitter(model), {}, {}
+        for frame in frames:
+            for part in text_chunks(frame):
+                data, start, end, _, h = split(part["text"].tolist())
+                own, first, count = np.unique(h, return_index=True, return_counts=True)
+                for x, k, c in zip(own.tolist(), first.tolist(), count.tolist(), strict=True):
+                    if x in n:
+                        n[x] += c
+                    else:
+                        n[x], words[x] = c, _word(data, start[k], end[k])
+                if len(n) >= COUNTED:
+                    yield pd.DataFrame({"word": words.values(), "n": n.values()})
+                    words, n = {}, {}
+        if n:
+            yield pd.DataFrame({"word": words.values(), "n": n.values()})
+
+    return lambda frames: (f[f["word"].str.len() <= longest] for f in run(frames))
+
+
+class Dictionary:
+    """ids of words by their hashes: sorted hashes, places of the ids, and whether the ids spell the word."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, spelt: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        place = np.cumsum(sizes) - sizes
+        self.hashes, self.place, self.sizes, self.ids, self.spelt = hashes[order], place[order], sizes[order], ids, spelt[order]
+
+    @classmethod
+    def of(cls, words: list[str], ids: list[np.ndarray], pieces: list[bytes]) -> Dictionary:
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in ids)])
+        spelt = [b"".join([pieces[k] for k in x]) == w.replace(SPACE, " ").encode("utf-8", "surrogatepass") for w, x in zip(words, (np.asarray(x).tolist() for x in ids), strict=True)]
+        return cls(_hashes_of(words), np.array([len(x) for x in ids], np.int32), flat.astype(np.int32), np.array(spelt, dtype=bool))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Row of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
@@ -247,41 +322,110 @@ def decode(encoded: DataFrame, model: PieceModel | None = None) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInPandas(run, "doc_id long, text string")
 
 
-def _encoder(hot: dict[str, bytes], model: PieceModel):
-    pieces, prefix = model.piece_bytes(), model.dummy_prefix
+def _packed(model: PieceModel):
+    """A partition of (word, ids) as the arrays of a Dictionary."""
+    pieces = model.piece_bytes()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                d = Dictionary.of(frame["word"].tolist(), frame["ids"].tolist(), pieces)
+                ids = d.ids[np.repeat(d.place - (np.cumsum(d.sizes) - d.sizes), d.sizes) + np.arange(d.sizes.sum())]
+                yield pd.DataFrame({"hashes": [d.hashes.tobytes()], "sizes": [d.sizes.tobytes()], "ids": [ids.tobytes()], "spelt": [d.spelt.tobytes()]})
+
+    return run
+
+
+def hot_words(own: DataFrame, model: PieceModel, hot: int, longest: int) -> Dictionary:
+    """The dictionary of the `hot` most frequent words, at most about 30 bytes each on the driver."""
+    words = own.select("text").mapInPandas(_counted(model, longest), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = materialize(words.orderBy(F.desc("n"), "word").limit(hot).select("word"), "words")
+    n = -(-top.count() // 10_000) or 1
+    rows = dictionary(top.repartition(n, "word"), model).mapInPandas(_packed(model), "hashes binary, sizes binary, ids binary, spelt binary").collect()
+    discard(top)
+    column = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind)
+    return Dictionary(column("hashes", "<u8"), column("sizes", "<i4"), column("ids", "<i4"), column("spelt", "?"))
+
+
+def _with_rare(hot: Dictionary, model: PieceModel, longest: int):
+    """doc_id, text and the distinct words of each text that `hot` lacks, of at most `longest` characters."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split = Splitter(model)
         for frame in frames:
-            ids, same = [], []
-            for text, words, own, own_ids in zip(frame["text"], frame["words"], frame["own"], frame["own_ids"], strict=True):
-                rare = {w: np.asarray(x, "<i4").tobytes() for w, x in zip(own, own_ids, strict=True)} if own is not None else {}
-                parts = [hot.get(w) or rare.get(w) or np.array(_span_ids(merge_word(w, model), w, model), "<i4").tobytes() for w in words]
-                row = np.frombuffer(b"".join(parts), "<i4")
-                ids.append(row)
-                same.append(_decoded(row.tolist(), pieces, prefix) == text)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": same})
+            for part in text_chunks(frame):
+                data, start, end, text, h = split(part["text"].tolist())
+                at = np.flatnonzero(hot.find(h) < 0)
+                order = at[np.lexsort((h[at], text[at]))]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (text[order[1:]] != text[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+                rare: list[list[str]] = [[] for _ in range(len(part))]
+                for k in order[new].tolist():
+                    word = _word(data, start[k], end[k])
+                    if len(word) <= longest:
+                        rare[text[k]].append(word)
+                yield part.assign(rare=rare)
 
     return run
 
 
-def encode(docs: DataFrame, model: PieceModel | None = None, hot_words: int = HOT) -> DataFrame:
+def _encoder(hot: Dictionary, model: PieceModel):
+    pieces = model.piece_bytes()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split = Splitter(model)
+        for frame in frames:
+            for part in text_chunks(frame):
+                texts = part["text"].tolist()
+                data, start, end, text, h = split(texts)
+                own: dict[str, np.ndarray] = {}
+                for words, ids in zip(part["own"], part["own_ids"], strict=True):
+                    if words is not None:
+                        own.update(zip(words, ids, strict=True))
+                row = hot.find(h)
+                rare = Dictionary.of(list(own), list(own.values()), pieces)
+                other = np.where(row < 0, rare.find(h), -1)
+                left = np.flatnonzero((row < 0) & (other < 0))
+                if len(left):  # words too long to fold
+                    words = list(dict.fromkeys(_word(data, start[k], end[k]) for k in left.tolist()))
+                    own.update((w, np.array(_span_ids(merge_word(w, model), w, model), np.int32)) for w in words)
+                    rare = Dictionary.of(list(own), list(own.values()), pieces)
+                    other = np.where(row < 0, rare.find(h), -1)
+                # one table of the hot ids and the rare ones
+                size, place, spelt = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), dtype=bool)
+                for d, at, base in ((hot, row, 0), (rare, other, len(hot.ids))):
+                    hit = at >= 0
+                    size[hit], place[hit], spelt[hit] = d.sizes[at[hit]], d.place[at[hit]] + base, d.spelt[at[hit]]
+                before = np.cumsum(size) - size
+                gather = np.repeat(place - before, size) + np.arange(size.sum())
+                from_hot = gather < len(hot.ids)
+                ids = np.empty(len(gather), np.int32)
+                ids[from_hot], ids[~from_hot] = hot.ids[gather[from_hot]], rare.ids[gather[~from_hot] - len(hot.ids)]
+                n = np.bincount(text, size, minlength=len(part)).astype(np.int64)
+                cut = np.concatenate(([0], np.cumsum(n)))
+                # the pieces spell each word, and nothing but spaces is shown as U+2581
+                same = (np.bincount(text, ~spelt, minlength=len(part)) == 0) & np.array([SPACE not in t for t in texts], dtype=bool)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], "n_tokens": n, "round_trip": same})
+
+    return run
+
+
+def encode(docs: DataFrame, model: PieceModel | None = None, hot_words_: int = HOT) -> DataFrame:
     """ENCODED for each row of docs."""
     model = model or load()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    foldable = F.length("word") <= (MASK if model.kind == BPE else 1 << 30)
-    words = own.select(F.explode(words_of(F.col("text"), model)).alias("word")).where(foldable).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = materialize(words.orderBy(F.desc("n"), "word").limit(hot_words).select("word"), "words")
-    n = -(-top.count() // 10_000) or 1
-    hot = {r["word"]: np.array(r["ids"], "<i4").tobytes() for r in materialize(dictionary(top.repartition(n, "word"), model), "hot").toLocalIterator()}
+    longest = MASK if model.kind == BPE else 1 << 30
+    hot = hot_words(own, model, hot_words_, longest)
     # two rows of one key would only pool their words, so a 64-bit key is enough
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PARTITION_CHARS))
-    keyed = own.withColumn("key", F.xxhash64("doc_id", "text")).repartition(n, "key")
+    # (the key is made last: it is known not to be null, and so nothing is filtered before the shuffle)
+    keyed = own.mapInPandas(_with_rare(hot, model, longest), "doc_id long, text string, rare array<string>").withColumn("key", F.xxhash64("doc_id", "text")).repartition(n, "key")
     # both uses of keyed take the same columns, so that they share one shuffle of the texts
-    rare = keyed.select("key", "doc_id", F.explode(F.array_distinct(words_of(F.col("text"), model))).alias("word")).where(foldable).join(F.broadcast(top), "word", "left_anti").select("key", "doc_id", "word")
-    rare = dictionary(rare, model).groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("x"), F.max("doc_id").alias("own_doc"))
-    rare = rare.select("key", F.col("x.word").alias("own"), F.col("x.ids").alias("own_ids"), "own_doc")
-    full = keyed.join(rare, "key", "left").select("doc_id", "text", words_of(F.col("text"), model).alias("words"), "own", "own_ids", "own_doc")
+    rare = keyed.select("key", "doc_id", F.explode(F.when(F.col("text").isNotNull(), F.col("rare"))).alias("word"))
+    rare = dictionary(rare, model).groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("x"))
+    rare = rare.select("key", F.col("x.word").alias("own"), F.col("x.ids").alias("own_ids"))
+    full = keyed.join(rare, "key", "left").select("doc_id", F.when(F.col("rare").isNotNull(), F.col("text")).alias("text"), "own", "own_ids")
     return full.mapInPandas(_encoder(hot, model), ENCODED)
 
 
