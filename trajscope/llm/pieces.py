@@ -42,7 +42,7 @@ from .common import discard, joined, materialize, prefix_sums, span_hashes, tabl
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MASK = 60
-HOT = 2_000_000
+HOT = 1_500_000
 #: Words that a task counts before it passes them on.
 COUNTED = 300_000
 PARTITION_CHARS = 4_000_000
@@ -182,12 +182,29 @@ def _counted(model: PieceModel, longest: int):
 
 
 class Dictionary:
-    """ids of words by their hashes: sorted hashes, places of the ids, and whether the ids spell the word."""
+    """ids of words by their hashes: sorted hashes, places of the ids, and whether the ids spell the word.
+
+    It travels in the smallest types that hold it, about 17 bytes a word.
+    """
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, spelt: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        place = np.cumsum(sizes) - sizes
-        self.hashes, self.place, self.sizes, self.ids, self.spelt = hashes[order], place[order], sizes[order], ids, spelt[order]
+        sizes = sizes.astype(np.int64)
+        place = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        after = np.cumsum(sizes)
+        self.hashes, self.sizes, self.spelt, self.place = hashes[order], sizes, spelt[order], after - sizes
+        self.ids = ids[np.repeat(place - self.place, sizes) + np.arange(sizes.sum())].astype(np.int32)
+
+    def __getstate__(self):
+        least = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        return self.hashes, least(self.sizes), least(self.ids), np.flatnonzero(~self.spelt).astype(np.int32)
+
+    def __setstate__(self, state):
+        self.hashes, sizes, ids, odd = state
+        self.sizes, self.ids, self.spelt = sizes.astype(np.int64), ids.astype(np.int32), np.ones(len(sizes), dtype=bool)
+        self.spelt[odd] = False
+        self.place = np.cumsum(self.sizes) - self.sizes
 
     @classmethod
     def of(cls, words: list[str], ids: list[np.ndarray], pieces: list[bytes]) -> Dictionary:
@@ -330,8 +347,7 @@ def _packed(model: PieceModel):
         for frame in frames:
             if len(frame):
                 d = Dictionary.of(frame["word"].tolist(), frame["ids"].tolist(), pieces)
-                ids = d.ids[np.repeat(d.place - (np.cumsum(d.sizes) - d.sizes), d.sizes) + np.arange(d.sizes.sum())]
-                yield pd.DataFrame({"hashes": [d.hashes.tobytes()], "sizes": [d.sizes.tobytes()], "ids": [ids.tobytes()], "spelt": [d.spelt.tobytes()]})
+                yield pd.DataFrame({"hashes": [d.hashes.tobytes()], "sizes": [d.sizes.astype("<i4").tobytes()], "ids": [d.ids.tobytes()], "spelt": [d.spelt.tobytes()]})
 
     return run
 
@@ -347,11 +363,11 @@ def hot_words(own: DataFrame, model: PieceModel, hot: int, longest: int) -> Dict
     return Dictionary(column("hashes", "<u8"), column("sizes", "<i4"), column("ids", "<i4"), column("spelt", "?"))
 
 
-def _with_rare(hot: Dictionary, model: PieceModel, longest: int):
-    """doc_id, text and the distinct words of each text that `hot` lacks, of at most `longest` characters."""
+def _with_rare(shared, model: PieceModel, longest: int):
+    """doc_id, text and the distinct words of each text that the shared dictionary lacks, of at most `longest` characters."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = Splitter(model)
+        split, hot = Splitter(model), shared.value
         for frame in frames:
             for part in text_chunks(frame):
                 data, start, end, text, h = split(part["text"].tolist())
@@ -369,11 +385,11 @@ def _with_rare(hot: Dictionary, model: PieceModel, longest: int):
     return run
 
 
-def _encoder(hot: Dictionary, model: PieceModel):
+def _encoder(shared, model: PieceModel):
     pieces = model.piece_bytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = Splitter(model)
+        split, hot = Splitter(model), shared.value
         for frame in frames:
             for part in text_chunks(frame):
                 texts = part["text"].tolist()
@@ -415,7 +431,7 @@ def encode(docs: DataFrame, model: PieceModel | None = None, hot_words_: int = H
     model = model or load()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     longest = MASK if model.kind == BPE else 1 << 30
-    hot = hot_words(own, model, hot_words_, longest)
+    hot = own.sparkSession.sparkContext.broadcast(hot_words(own, model, hot_words_, longest))  # HOT words at most
     # two rows of one key would only pool their words, so a 64-bit key is enough
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PARTITION_CHARS))
