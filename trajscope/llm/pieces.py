@@ -42,7 +42,7 @@ from .common import discard, joined, materialize, prefix_sums, span_hashes, tabl
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MASK = 60
-HOT = 1_500_000
+HOT = 500_000
 #: Words that a task counts before it passes them on.
 COUNTED = 300_000
 PARTITION_CHARS = 4_000_000
