@@ -21,7 +21,19 @@ _TABLES: dict[int, tuple[DataFrame, str]] = {}
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows that go to a Python worker at a time. Spark's 10,000 rows of long texts are more than the workers of one executor should hold.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, if they are larger. It is for the session, as plans read it when they run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +55,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder; `discard` removes it."""
+    small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

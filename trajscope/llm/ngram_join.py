@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scramble, sized, table, text_chunks, window_hashes, word_hashes
+from .common import discard, materialize, scramble, sized, small_batches, table, text_chunks, window_hashes, word_hashes
 from .components import connected_components
 
 BUCKETS = 1 << 17
@@ -325,6 +325,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
 
 def _classes(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """own (doc_id, text), base (doc_id, n, node) and the classes (node, component, first, component_id)."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     load = np.zeros(BUCKETS, dtype=np.int64)
     for r in own.select("text").mapInPandas(_loads(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():

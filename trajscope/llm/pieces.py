@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, joined, materialize, prefix_sums, span_hashes, table, text_chunks
+from .common import discard, joined, materialize, prefix_sums, small_batches, span_hashes, table, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -429,6 +429,7 @@ def _encoder(shared, model: PieceModel):
 def encode(docs: DataFrame, model: PieceModel | None = None, hot_words_: int = HOT) -> DataFrame:
     """ENCODED for each row of docs."""
     model = model or load()
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     longest = MASK if model.kind == BPE else 1 << 30
     hot = own.sparkSession.sparkContext.broadcast(hot_words(own, model, hot_words_, longest))  # HOT words at most
