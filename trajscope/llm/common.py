@@ -8,10 +8,12 @@ about n**2 / 2**63 pairs that collide by chance.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,7 +195,7 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return scramble(out)
 
 
-def chunk_ranges(texts: list[str | None], most: int = 1 << 19):
+def chunk_ranges(texts: list[str | None], most: int = 1 << 18):
     """Row ranges (begin, end) that hold about `most` characters each, one row at least."""
     begin, size = 0, 0
     for k, text in enumerate(texts):
@@ -205,10 +207,20 @@ def chunk_ranges(texts: list[str | None], most: int = 1 << 19):
         yield begin, len(texts)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, and several share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_chunks(frame, column: str = "text"):
     """Parts of a pandas frame by chunk_ranges."""
     for begin, end in chunk_ranges(frame[column].tolist()):
         yield frame.iloc[begin:end]
+    release()
 
 
 def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

@@ -53,8 +53,8 @@ GROUPS = 512
 LEAF = 16
 TILE = 512
 #: Rows and pairs that a task holds at a time.
-BATCH_ROWS = 4096
-BATCH_PAIRS = 1 << 16
+BATCH_ROWS = 2048
+BATCH_PAIRS = 1 << 13
 SEEN = 1 << 20
 
 
