@@ -42,7 +42,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encode),
 ]
 
-#: The toxicity model and the merges have no SQL form; tests hold run() against a brute-force version.
+#: The toxicity model and the merges have no SQL form; tests hold the operators of the stages against brute force, one by one.
 ORACLE_SQL = None
 
 
