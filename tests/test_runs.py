@@ -9,7 +9,7 @@ from trajscope.functions import naming
 from trajscope.operators import board, charts
 from trajscope.plans import audits, identify
 from trajscope.runs import batch, config, execute, publish, registry
-from trajscope.sources import dataset, documents
+from trajscope.sources import commits, contents, dataset, documents, storage
 
 ROW = {"model": "echo", "data": "d", "output": "o", "metrics": {"sa": {"mode": "base", "domains": ["id"]}}, "tasks": ["t1"]}
 
@@ -45,18 +45,19 @@ def test_registry():
             registry.check_mode(metric, "native", Native)
 
 
-METRICS = ["SA", "VOC", "CYCLE-VOC", "VOC-MEM", "FPL", "TRR", "TGA", "CSPC", "SIA"]
+METRICS = ["SA", "VOC", "CYCLE-VOC", "FPL", "TRR", "TGA", "CSPC", "SIA"]
 
 
 def _dataset(root):
-    """One task with successes, failures, a complete recovery group and two kinds of solution."""
+    """A task with successes, failures, a complete recovery group and two kinds of solution, and one with memory annotations."""
     stages = {"r_plus": ("failure", "recovery", "recovery_success"), "r_zero": ("failure", "recovery", "recovery_failed"), "r_minus": ("failure", "continue")}
     task = {"task_id": "t1", "instruction": "do it", "supports": {"metrics": METRICS}, "subtasks": [{"id": k, "description": k} for k in ("001", "002")], "tga": {"counterfactual_instructions": [{"id": "counterfactual_1", "description": "no"}]}}
-    (root / "t1").mkdir(parents=True)
-    (root / "t1/metadata.json").write_text(json.dumps(task))
+    for name, own in (("t1", METRICS), ("t2", ["VOC-MEM", "TGA"])):
+        (root / name).mkdir(parents=True)
+        (root / name / "metadata.json").write_text(json.dumps(task | {"task_id": name, "instruction": f"do {name}", "supports": {"metrics": own}}))
     made = [("good1", True, None, "normal"), ("good2", True, None, "normal"), ("other", True, None, "diverse"), ("bad", False, None, None), ("p", True, "r_plus", None), ("z", False, "r_zero", None), ("m", False, "r_minus", None)]
-    for name, success, role, solution in made:
-        folder = root / "t1/episodes" / name
+    for (name, success, role, solution), task in [*((m, "t1") for m in made), (made[0], "t2")]:
+        folder = root / task / "episodes" / name
         folder.mkdir(parents=True)
         meta = {"episode_id": name, "world_type": "sim", "domain": "id", "success": success, "fps": 10, "num_frames": 40, "assets": {"videos": {"front": "a.mp4"}}}
         meta |= {"trr": {"group_id": "g", "role": role}} if role else {}
@@ -75,41 +76,132 @@ def _dataset(root):
 ALL = ["sa", "voc", "voc_mem", "cycle_voc", "vs", "fpl", "trr", "tga_hard", "csvc", "sia"]
 
 
-def test_run_and_restart(spark, tmp_path):
-    root = _dataset(tmp_path / "data")
-    c = config.parse(ROW | {"data": root, "output": str(tmp_path / "out"), "metrics": {m: {"mode": "base", "domains": ["id"]} for m in ALL}, "model_options": {"scale": 40}, "batch_size": 7})
-    data = dataset.load(spark, root)
-    judged = registry.METRICS["sia"].plan(data, ["t1"], ["id"]).select("query_id", F.lit(-0.5).alias("logprob"))
+def _config(data, output, metrics, **more):
+    return config.parse(ROW | {"data": data, "output": output, "tasks": ["t1", "t2"], "metrics": {m: {"mode": "base", "domains": ["id"]} for m in metrics}, "model_options": {"scale": 40}, "batch_size": 7} | more)
+
+
+def _judged(spark, root):
+    return registry.METRICS["sia"].plan(dataset.load(spark, root), ["t1"], ["id"]).select("query_id", F.lit(-0.5).alias("logprob"))
+
+
+def test_run_and_records(spark, tmp_path):
+    root, out = _dataset(tmp_path / "data"), f"file://{tmp_path}/out"
+    c = _config(root, out, ALL)
     with pytest.raises(ValueError, match="judgements"):
         execute.run(spark, c)
-    got = execute.run(spark, c, judged)
+    got = execute.run(spark, c, _judged(spark, root))
     # the value is the share of the anchor: it rises, in order, and falls on the way back only as the anchors do
-    assert got["voc"]["overall"] == pytest.approx(1) and got["voc_mem"]["overall"] == pytest.approx(1) and got["cycle_voc"]["overall"] == pytest.approx(1)
+    assert got["voc"]["overall"] == pytest.approx(1) and got["voc_mem"]["domains"]["id"]["tasks"] == {"t2": pytest.approx(1)} and got["cycle_voc"]["overall"] == pytest.approx(1)
     assert got["sa"]["overall"] == 0 and got["sia"]["overall"] == pytest.approx(2.718281828**-0.5, abs=1e-6) and got["tga_hard"]["overall"] == 0
     assert got["trr"]["overall"] == 0 and got["fpl"]["overall"] == pytest.approx(20 / 39) and got["csvc"]["domains"]["id"]["tasks"]["t1"] == pytest.approx(1)
     assert 0.8 < got["vs"]["overall"] <= 1
-    c = config.parse(ROW | {"data": root, "output": str(tmp_path / "out"), "metrics": {m: {"mode": "base", "domains": ["id"]} for m in ("sa", "voc")}, "model_options": {"scale": 40}, "batch_size": 7})
+    # what stands beside the means
+    assert got["sa"]["gap"] == pytest.approx(0) and got["sa"]["terminal_values"]["range"] == pytest.approx(39 / 40) and got["sa"]["protocol"] == "terminal-value-tail2pct-average-sa-v5"
+    assert got["tga_hard"]["pairwise_mean"] == 0.5 and list(got["tga_hard"]["counterfactual_by_type"]) == ["objects"] and got["tga_hard"]["confusion_matrix"]["id"]["t1"]["correct"] == got["tga_hard"]["confusion_matrix"]["id"]["t1"]["001"]
+    assert "t2" not in got["tga_hard"]["domains"]["id"]["tasks"]  # tasks with memory annotations are left out
+    assert got["cycle_voc"]["components"]["reverse"]["overall"] == pytest.approx(1) and got["vs"]["n_episodes"] == 2
+    assert got["vs"]["exclusions"] == {"diverse_solution": 1, "trr_branch": 1, "unsuccessful": 3} and got["trr"]["n_groups"] == 1
+    assert got["csvc"]["n_tasks"] == 1 and got["csvc"]["identifiable_tasks"] == 1 and got["csvc"]["score_ci95"] == [pytest.approx(1)] * 2
+    r = {x["episode"]: x for x in execute.records_of(spark, c, "fpl").collect()}
+    assert r["bad"]["onset"] == 20 and r["bad"]["pred"] is None
+    assert {x["role"] for x in execute.records_of(spark, c, "trr").first()["stages"]} == {"r_plus", "r_zero", "r_minus"}
+    assert execute.records_of(spark, c, "csvc").first()["coverage"] == {"001": 2, "002": 2} and execute.records_of(spark, c, "tga_hard").first()["scores"].keys() == {"001"}
     report = execute.inspect(spark, c)
-    assert {m: r["state"] for m, r in report.items()} == {"sa": "valid", "voc": "valid"} and report["sa"]["n_missing"] == 0
-    # a restart answers only what is missing, and keeps what is saved
-    part = tmp_path / "out/sa/part00000"
-    kept = spark.read.parquet(str(part)).where("query_id NOT LIKE '%good%'")
-    kept.write.parquet(str(tmp_path / "some"))
-    spark.read.parquet(str(tmp_path / "some")).withColumn("score", F.lit(0.25)).write.mode("overwrite").parquet(str(part))
-    (tmp_path / "out/sa/result.json").unlink()
-    assert execute.inspect(spark, c)["sa"]["n_missing"] > 0
-    again = execute.run(spark, c)
-    # the saved answers stay: two of the four successes are above the failures
-    assert again["sa"]["overall"] == 0.5 and (tmp_path / "out/sa/part00001/_SUCCESS").exists()
+    assert {m: r["state"] for m, r in report.items()} == dict.fromkeys(ALL, "valid")
+    # the second run takes everything over
+    before = sorted(p.name for p in (tmp_path / "out").rglob("_log/*"))
+    assert execute.run(spark, c, _judged(spark, root)) == got and sorted(p.name for p in (tmp_path / "out").rglob("_log/*")) == before
     saved = json.loads((tmp_path / "out/voc/result.json").read_text())
     saved["result"]["domains"]["id"]["tasks"]["t1"] = 0.5
     (tmp_path / "out/voc/result.json").write_text(json.dumps(saved))
-    assert execute.inspect(spark, c)["voc"] | {"n_planned": 0} == {"state": "wrong", "n_planned": 0, "n_missing": 0, "differences": [("id", "t1")]}
-    other = config.parse(ROW | {"data": root, "output": str(tmp_path / "out"), "metrics": {"vs": {"mode": "base", "domains": ["id"]}}, "model_options": {"scale": 41}})
-    with pytest.raises(ValueError, match="other queries"):
-        execute.run(spark, other)
-    assert execute.inspect(spark, other)["vs"]["state"] == "stale"
-    assert publish.status({"a": execute.inspect(spark, other), "b": {"sa": {"state": "valid"}}}) == {"status": "incomplete", "expected": 2, "valid": ["b"], "incomplete": [], "stale": ["a"], "wrong": []}
+    row = execute.inspect(spark, _config(root, out, ["voc"]))["voc"]
+    assert (row["state"], row["reason"], row["differences"]) == ("wrong", "result", [("id", "t1")])
+
+
+def _rewrite(spark, log, kind, change):
+    """Plant a change in what a log's folder holds."""
+    path = next(p for p in log.snapshot().files if p.startswith(kind))
+    rows = [r.asDict() for r in spark.read.parquet(f"{log.root}/{path}").collect()]
+    spark.createDataFrame([change(r) for r in rows], spark.read.parquet(f"{log.root}/{path}").schema).write.mode("overwrite").parquet(f"{log.root}/{path}")
+
+
+def test_first_stage_that_differs(spark, tmp_path):
+    root, out = _dataset(tmp_path / "data"), str(tmp_path / "out")
+    c = _config(root, out, ["sia", "voc"])
+    execute.run(spark, c, _judged(spark, root))
+    sia, voc = commits.Log(spark, f"{out}/sia"), commits.Log(spark, f"{out}/voc")
+    _rewrite(spark, voc, "parts/", lambda r: r | {"score": r["score"] + (0.01 if "good1" in r["query_id"] and r["score"] < 0.1 else 0)})
+    _rewrite(spark, sia, "judgements/", lambda r: r | {"logprob": -0.25 if r["query_id"].endswith("good1:002") else r["logprob"]})
+    report = execute.inspect(spark, c)
+    assert report["voc"]["state"] == "wrong" and report["voc"]["reason"] == "answers"
+    assert report["sia"]["state"] == "wrong" and report["sia"]["reason"] == "judgements" and report["sia"]["differences"][0] == ("judgements", "changed", 1, "sia:t1:good1:002")
+    _rewrite(spark, sia, "parts/", lambda r: r | {"output": r["output"] + ("!" if r["query_id"].endswith("good1:001") else "")})
+    row = execute.inspect(spark, c)["sia"]
+    assert row["reason"] == "answers" and [d[0] for d in row["differences"]] == ["answers", "bundle", "judgements", "records"]
+    _rewrite(spark, sia, "judgements/", lambda r: r | {"query_id": r["query_id"] + "?"})
+    row = execute.inspect(spark, c)["sia"]
+    assert row["state"] == "wrong" and "cannot be computed" in row["reason"]
+
+
+def test_stale_inputs(spark, tmp_path, monkeypatch):
+    root, out, weights = _dataset(tmp_path / "data"), str(tmp_path / "out"), tmp_path / "weights"
+    weights.mkdir()
+    (weights / "a.bin").write_bytes(bytes(1000))
+    c = _config(root, out, ["voc"], checkpoint=str(weights))
+    execute.run(spark, c)
+    state = lambda: (lambda r: (r["state"], r["reason"]))(execute.inspect(spark, c)["voc"])
+    assert state() == ("valid", None)
+    (weights / "a.bin").write_bytes(bytes(999) + b"x")
+    assert state() == ("stale", "checkpoint")
+    with pytest.raises(ValueError, match="checkpoint"):
+        execute.run(spark, c)
+    (weights / "a.bin").write_bytes(bytes(1000))
+    assert state() == ("valid", None)
+    note = tmp_path / "data/t1/episodes/bad/annotation.json"
+    text = note.read_text()
+    note.write_text(text + " ")
+    assert state() == ("stale", "data")
+    note.write_text(text)
+    plan, score, records = registry.METRICS["voc"].plan, registry.METRICS["voc"].score, registry.METRICS["voc"].records
+    monkeypatch.setitem(registry.METRICS, "voc", registry.Metric("voc", "value", plan, lambda s: score(s.withColumn("v", -F.col("v"))), records=records))
+    assert state() == ("stale", "code")
+
+
+def test_restart_loses_one_chunk(spark, tmp_path, monkeypatch):
+    root, out = _dataset(tmp_path / "data"), str(tmp_path / "out")
+    c = _config(root, out, ["sa"], chunk_rows=2)
+    real, calls = execute.answered, []
+
+    def dies(queries, *rest):
+        calls.append(sorted(r["query_id"] for r in queries.collect()))
+        if len(calls) == 3:
+            raise RuntimeError("killed")
+        return real(queries, *rest)
+
+    monkeypatch.setattr(execute, "answered", dies)
+    with pytest.raises(RuntimeError, match="killed"):
+        execute.run(spark, c)
+    assert execute.inspect(spark, c)["sa"]["state"] == "incomplete"
+    done = {q for call in calls[:2] for q in call}
+    first = dict(execute.run(spark, c))
+    again = [q for call in calls[3:] for q in call]
+    assert not done & set(again) and len(again) == len(set(again)) and set(calls[2]) <= set(again)
+    assert execute.inspect(spark, c)["sa"]["state"] == "valid" and first["sa"]["overall"] == 0
+    # a second run that writes answers at the same time is an error
+    log = commits.Log(spark, f"{out}/sa")
+    with pytest.raises(ValueError, match="options"):
+        execute.run(spark, _config(root, out, ["sa"], model_options={"scale": 41}))
+    assert execute.inspect(spark, _config(root, out, ["sa"], model_options={"scale": 41}))["sa"] | {"n_planned": 0} == {"state": "stale", "reason": "options", "n_planned": 0, "n_missing": None, "differences": []}
+    assert len([p for p in log.snapshot().files if p.startswith("parts/")]) == len(calls) - 1
+    stray = tmp_path / "out/sa/parts/stray"
+    stray.mkdir()
+    assert log.vacuum("parts") == [] and log.vacuum("parts", older_than=-1) == ["parts/stray"] and not stray.exists()
+
+
+def test_status():
+    row = {"sa": {"state": "valid"}}
+    assert publish.status({"a": {"vs": {"state": "stale"}}, "b": row}) == {"status": "incomplete", "expected": 2, "valid": ["b"], "incomplete": [], "stale": ["a"], "wrong": []}
+    assert publish.status({"b": row})["status"] == "complete"
 
 
 def test_batches(spark, tmp_path):
@@ -136,25 +228,113 @@ def _result(**tasks):
     return {"overall": None, "domains": {"id": {"mean": None, "tasks": tasks}}}
 
 
+@pytest.fixture(params=["file", "viewfs"])
+def place(request, spark, tmp_path):
+    """A folder on the local disk, and one on a file system of another kind."""
+    if request.param == "file":
+        return f"file://{tmp_path}"
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.{tmp_path.name.replace('_', '')}.link./in", f"file://{tmp_path}")
+    return f"viewfs://{tmp_path.name.replace('_', '')}/in"
+
+
+def test_commits(spark, place, monkeypatch):
+    monkeypatch.setattr(commits, "CHECKPOINT", 3)
+    log, other = commits.Log(spark, f"{place}/table"), commits.Log(spark, f"{place}/table")
+    assert log.snapshot() == commits.Snapshot()
+    first = log.commit(log.snapshot(), add={"a": {"n": 1}}, set={"x": 1})
+    with pytest.raises(commits.Conflict):
+        other.commit(commits.Snapshot(), add={"b": {}})
+    for k in range(7):
+        other.update(lambda s, k=k: {"add": {f"f{k}": {}}, "remove": ["a"], "set": {"x": s.properties["x"] + 1}})
+    assert log.snapshot().files.keys() == {f"f{k}" for k in range(7)} and log.snapshot().properties == {"x": 8} and first.version == 0
+    assert any(n.endswith(".checkpoint") for n in log.storage.names(f"{place}/table/_log"))
+    assert log.update(lambda s: None).version == 7 and log.update(lambda s: {"set": {"x": None}}).properties == {}
+    log.storage.replace(f"{place}/t.txt", "é")
+    log.storage.replace(f"{place}/t.txt", "ü")
+    assert log.storage.read(f"{place}/t.txt") == "ü".encode() and not log.storage.write_new(f"{place}/t.txt", "z") and log.storage.names(f"{place}/no") == []
+
+
+def test_lost_version(spark, tmp_path):
+    log = commits.Log(spark, str(tmp_path))
+    for k in range(3):
+        log.update(lambda s, k=k: {"set": {"k": k}})
+    (tmp_path / "_log" / f"{1:020d}.json").unlink()
+    with pytest.raises(ValueError, match="version 1 is missing"):
+        log.snapshot()
+
+
+def test_many_publishers(spark, tmp_path):
+    """Publishers at the same time lose no cell."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "published")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: publish.publish(spark, root, f"m{k % 2}", {"sa": _result(**{f"t{k}": k / 10})}, "now"), range(16)))
+    for m in (0, 1):
+        saved = documents.read_object(f"{root}/m{m}/sa/summary.json")["result"]
+        assert saved["domains"]["id"]["tasks"] == {f"t{k}": k / 10 for k in range(16) if k % 2 == m}
+    assert documents.read_object(f"{root}/index.json").keys() == {"m0", "m1"} and commits.Log(spark, root).snapshot().version == 15
+
+
 def test_publication(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "published")
-    publish.publish(root, "model", {"sa": _result(t1=0.5, t2=0.1)}, "now")
-    publish.publish(root, "model", {"sa": _result(t2=0.7), "vs": _result(t1=0.2)}, "later")
+    publish.publish(spark, root, "model", {"sa": _result(t1=0.5, t2=0.1) | {"gap": 1}}, "now")
+    publish.publish(spark, root, "model", {"sa": _result(t2=0.7), "vs": _result(t1=0.2)}, "later")
     saved = documents.read_object(f"{root}/model/sa/summary.json")
-    assert saved["result"]["domains"]["id"]["tasks"] == {"t1": 0.5, "t2": 0.7} and saved["result"]["overall"] == pytest.approx(0.6)
+    assert saved["result"]["domains"]["id"]["tasks"] == {"t1": 0.5, "t2": 0.7} and saved["result"]["overall"] == pytest.approx(0.6) and "gap" not in saved["result"]
     index = documents.read_object(f"{root}/index.json")
     rows = {(r["baseline"], r["metric"]): r["sha256"] for r in documents.artifact_index(spark, root).collect()}
     assert rows == {("model", m): index["model"][m]["sha256"] for m in ("sa", "vs")}
-    # an error on the way leaves everything as it was
     before = (tmp_path / "published/model/sa/summary.json").read_text()
-    monkeypatch.setattr(publish, "index", lambda _: 1 / 0)
+    # an error before the commit leaves everything as it was
+    monkeypatch.setattr(commits.Log, "commit", lambda *_, **__: 1 / 0)
     with pytest.raises(ZeroDivisionError):
-        publish.publish(root, "model", {"sa": _result(t1=0.9), "fpl": _result(t1=0.3)})
-    assert (tmp_path / "published/model/sa/summary.json").read_text() == before and not (tmp_path / "published/model/fpl/summary.json").exists()
+        publish.publish(spark, root, "model", {"sa": _result(t1=0.9), "fpl": _result(t1=0.3)})
+    monkeypatch.undo()
+    assert (tmp_path / "published/model/sa/summary.json").read_text() == before and "model/fpl" not in commits.Log(spark, root).snapshot().properties
+    # an error at any file after it is made good by the next export
+    replace, calls = storage.Storage.replace, []
+
+    def fails(self, path, text):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("disk")
+        replace(self, path, text)
+
+    monkeypatch.setattr(storage.Storage, "replace", fails)
+    with pytest.raises(OSError):
+        publish.publish(spark, root, "model", {"sa": _result(t1=0.9), "fpl": _result(t1=0.3)})
     monkeypatch.undo()
-    assert sorted(publish.sync(root, str(tmp_path / "mirror"))) == ["model/sa/summary.json", "model/vs/summary.json"] and publish.sync(root, str(tmp_path / "mirror")) == []
+    assert len(publish.export(commits.Log(spark, root))) == 1 and publish.export(commits.Log(spark, root)) == []
+    assert documents.read_object(f"{root}/model/sa/summary.json")["result"]["domains"]["id"]["tasks"]["t1"] == 0.9 and "fpl" in documents.read_object(f"{root}/index.json")["model"]
+    assert publish.sync(spark, root, str(tmp_path / "mirror")) == ["model/fpl", "model/sa", "model/vs"] and publish.sync(spark, root, str(tmp_path / "mirror")) == []
+    assert documents.read_object(str(tmp_path / "mirror/index.json")) == documents.read_object(f"{root}/index.json")
+    with pytest.raises(ValueError, match="protocol"):
+        publish.publish(spark, root, "model", {"sa": _result(t1=0.9) | {"protocol": "other"}})
     with pytest.raises(ValueError, match="portable"):
-        publish.publish(root, "a/b", {"sa": _result(t1=1.0)})
+        publish.publish(spark, root, "a/b", {"sa": _result(t1=1.0)})
+
+
+def test_contents(spark, tmp_path):
+    for name, size in (("a.bin", 10_000), ("d/b.bin", 0), ("d/c.json", 5)):
+        (tmp_path / "tree" / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / "tree" / name).write_bytes(bytes(size))
+    root = str(tmp_path / "tree")
+    old = contents.digests(spark, root, block=1000)
+    rows = {r["path"]: r for r in old.collect()}
+    assert rows.keys() == {"a.bin", "d/c.json"} and len(rows["a.bin"]["blocks"]) == 10 and len(rows["d/c.json"]["blocks"]) == 1
+    kept = spark.createDataFrame(list(rows.values()), contents.FILES)
+    before = contents.tree_digest(old)
+    data = bytearray(10_000)
+    data[3500] = 1
+    (tmp_path / "tree/a.bin").write_bytes(data)
+    (tmp_path / "tree/e.bin").write_bytes(b"new")
+    found = {r["path"]: (r["change"], r["blocks"]) for r in contents.changes(kept, contents.digests(spark, root, block=1000)).collect()}
+    assert found == {"a.bin": ("changed", [3]), "e.bin": ("added", [0])} and contents.tree_digest(contents.digests(spark, root, block=1000)) != before
+    assert {r["path"] for r in contents.stamps(spark, root, r"\.json$").collect()} == {"a.bin", "e.bin"}
+    assert contents.digests(spark, f"{root}/a.bin").first()["path"] == ""
+    assert contents.code_digest() == contents.code_digest() != contents.code_digest(lambda x: x)
 
 
 @pytest.mark.parametrize("names", [["a/b"], [""], ["x."], ["con"], ["LPT1.txt"], ["A", "a"], ["é", "é"], [".."], ["a\tb"]])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import frames as fr
 from .functions import sequences as sq
 from .functions import text as tx
-from .operators import checked, metrics, statistics
+from .operators import checked, metrics, selection, statistics
 from .plans import cohorts
 from .plans import queries as plans
 from .register import MACRO as _MACRO
@@ -69,15 +69,15 @@ def grid_10hz(spark, sf_dir):
 
 
 _PATH = """,
-up AS (SELECT *, list_sort(list_distinct(list_concat(range(0, num_frames, 10), [CAST(num_frames - 1 AS BIGINT)]))) AS u FROM ep),
-pa AS (SELECT *, list_concat(u, list_reverse(u[1:len(u) - 1])) AS path FROM up),
+up AS (SELECT *, list_sort(list_distinct(list_concat(range(0, num_frames, 2), [CAST(num_frames - 1 AS BIGINT)]))) AS u FROM ep),
+pa AS (SELECT *, list_concat(u, list_reverse(u[1:len(u) - 1])) AS path FROM up WHERE len(u) >= 3),
 cy AS (SELECT *, unnest(range(0, len(path))) AS position, len(path) AS n_path, CASE WHEN position <= (len(path) - 1) / 2 THEN 'forward' ELSE 'cycle' END AS playback, path[position + 1] AS anchor FROM pa)
 """
 
 
 @_query(_PATH + "SELECT episode, CAST(position AS BIGINT) AS position, CAST(anchor AS BIGINT) AS anchor, playback FROM cy")
 def cycle_plan(spark, sf_dir):
-    p = plans.cycle_plan(td.episodes(td.frames(spark, sf_dir)))
+    p = plans.cycle_plan(td.episodes(td.frames(spark, sf_dir)).where(F.size(td.annotated()) >= 3), td.annotated())
     return p.select("episode", F.col("position").cast("long").alias("position"), F.col("anchor").cast("long").alias("anchor"), "playback")
 
 
@@ -272,8 +272,7 @@ def _normal(rows: DataFrame) -> DataFrame:
 
 def _on_grid(rows: DataFrame, with_end: bool) -> DataFrame:
     """Frames on the 5 Hz grid."""
-    make = fr.grid_with_end(F.col("num_frames"), F.lit(td.FPS)) if with_end else fr.grid(F.col("num_frames"), F.lit(td.FPS), 5.0)
-    return rows.where(F.array_contains(make, F.col("frame")))
+    return rows.where(fr.on_grid(F.col("frame"), F.col("num_frames"), F.lit(td.FPS), with_end=with_end))
 
 
 _NORMAL = "success AND solution = 'normal'"
@@ -281,26 +280,19 @@ _NORMAL = "success AND solution = 'normal'"
 
 @_query(_rho_sql(f"SELECT domain, task, episode, v, frame AS tg FROM fr WHERE {_NORMAL} AND (frame % 2 = 0 OR frame = num_frames - 1)") + _MACRO)
 def voc(spark, sf_dir):
-    return _macro(metrics.order_correlation(_on_grid(_normal(td.frames(spark, sf_dir)), True), "frame"))
+    curves = td.curves(_normal(td.frames(spark, sf_dir)))
+    return _macro(metrics.curve_correlations(curves, score=F.transform(td.annotated(), lambda f: F.get("values", f))))
 
 
 @_query(_rho_sql("SELECT domain, task, episode, v, frame / num_frames AS tg FROM fr WHERE success AND frame % 4 = 0 AND num_frames > 4") + _MACRO)
 def mem_voc(spark, sf_dir):
-    rows = td.frames(spark, sf_dir).where("success AND frame % 4 = 0 AND num_frames > 4").withColumn("target", F.col("frame") / F.col("num_frames"))
-    return _macro(metrics.order_correlation(rows, "target"))
+    curves = td.curves(td.frames(spark, sf_dir).where("success AND num_frames > 4"))
+    return _macro(metrics.curve_correlations(curves, score=F.filter("values", lambda v, i: i % 4 == 0)))
 
 
 def _cycle(spark, sf_dir):
-    """Cycle plans with values: the mean over the timeline from its start or from the turn."""
-    rows = _normal(td.frames(spark, sf_dir))
-    path = plans.cycle_plan(td.episodes(rows)).select("episode", "position", "n_path", F.col("anchor").alias("frame"), "playback")
-    n, f = F.col("num_frames"), F.col("frame")
-    whole = F.max("total").over(Window.partitionBy("user_id", "d"))
-    back = (whole + whole - F.col("x_last") - (F.col("total") - F.col("x"))).cast("double") / (2 * (n - 1) - f + 1) / F.lit(td.SCALE)
-    valued = rows.withColumn("x_last", F.max(F.when(f == n - 1, F.col("x"))).over(Window.partitionBy("user_id", "d")))
-    valued = valued.withColumn("back", back)
-    out = path.join(valued.select("domain", "task", "episode", "frame", "v", "back"), ["episode", "frame"])
-    return out.withColumn("v", F.when(F.col("playback") == "forward", F.col("v")).otherwise(F.col("back")))
+    """Both halves of each cycle over the annotated frames, from one array a half; the value should fall on the way back."""
+    return metrics.curve_correlations(td.cycle_curves(_normal(td.frames(spark, sf_dir))), up=F.col("up"), down=F.reverse("down"))
 
 
 _CYCLE = _PATH + f""",
@@ -315,12 +307,12 @@ def _half_sql(sign: str, name: str) -> str:
 
 @_query(_CYCLE + _half_sql("<=", "up") + _half_sql(">=", "down") + ",\ns AS (SELECT domain, task, episode, (u.score + w.score) / 2 AS score FROM s_up u JOIN s_down w USING (domain, task, episode))" + _MACRO)
 def cycle_voc(spark, sf_dir):
-    return _macro(metrics.cycle_correlation(_cycle(spark, sf_dir)).withColumnRenamed("cycle", "score"))
+    return _macro(_cycle(spark, sf_dir).withColumn("score", (F.col("up") + F.col("down")) / 2))
 
 
 @_query(_CYCLE + _half_sql(">=", "down") + ",\ns AS (SELECT * FROM s_down)" + _MACRO)
 def vroc(spark, sf_dir):
-    return _macro(metrics.cycle_correlation(_cycle(spark, sf_dir)).withColumnRenamed("down", "score"))
+    return _macro(_cycle(spark, sf_dir).withColumnRenamed("down", "score"))
 
 
 @_query("""
@@ -334,9 +326,10 @@ def spearman_ties(spark, sf_dir):
 
 @_query(""" SELECT domain, task, round(median(v), 9) + 0.0 AS median, round(quantile_cont(v, 0.025), 9) + 0.0 AS p025, round(quantile_cont(v, 0.975), 9) + 0.0 AS p975, round(quantile_disc(v, 0.9), 9) + 0.0 AS rank90, round(sqrt(avg(v * v)), 9) + 0.0 AS rms FROM fr GROUP BY ALL""")
 def percentile_median(spark, sf_dir):
-    return td.frames(spark, sf_dir).groupBy("domain", "task").agg(
-        _r(F.median("v"), "median"), _r(F.percentile("v", F.lit(0.025)), "p025"), _r(F.percentile("v", F.lit(0.975)), "p975"), _r(statistics.nearest_rank("v", 0.9), "rank90"), _r(F.sqrt(F.avg(F.col("v") * F.col("v"))), "rms")
-    )
+    rows = td.frames(spark, sf_dir).select("domain", "task", "v")
+    found = selection.quantiles(rows, ["domain", "task"], "v", {"median": ("linear", 0.5), "p025": ("linear", 0.025), "p975": ("linear", 0.975), "rank90": ("nearest", 0.9)})
+    rms = rows.groupBy("domain", "task").agg(_r(F.sqrt(F.avg(F.col("v") * F.col("v"))), "rms"))
+    return found.select("domain", "task", *map(_r, ("median", "p025", "p975", "rank90"))).join(rms, ["domain", "task"])
 
 
 @_query(""" SELECT episode, CAST(frame AS BIGINT) AS frame, round(coalesce(last_value(CASE WHEN x % 5 <> 0 AND frame % 3 <> 0 THEN v END IGNORE NULLS) OVER (PARTITION BY user_id, d ORDER BY frame ROWS UNBOUNDED PRECEDING), 0), 9) + 0.0 AS filled FROM fr""")

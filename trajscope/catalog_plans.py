@@ -165,12 +165,12 @@ def middle_windows(spark, sf_dir):
     return _pieces(_episodes(spark, sf_dir), 4).select("episode", F.col("k").cast("long").alias("k"), w["from"].cast("long").alias("from"), w["to"].cast("long").alias("to"))
 
 
-_REUSE = """, s AS (SELECT domain, task, episode, frame, v FROM fr WHERE success AND solution = 'normal' AND (frame % 10 = 0 OR frame = num_frames - 1))"""
+_REUSE = """, s AS (SELECT domain, task, episode, frame, v FROM fr WHERE success AND solution = 'normal' AND num_frames >= 4 AND (frame % 2 = 0 OR frame = num_frames - 1))"""
 
 
 def _cycle_states(spark, sf_dir):
     rows = td.frames(spark, sf_dir).where("success AND solution = 'normal'")
-    made = plans.cycle_plan(td.episodes(rows)).withColumn("instruction", F.concat(F.lit("do "), "task"))
+    made = plans.cycle_plan(td.episodes(rows).where(F.size(td.annotated()) >= 3), td.annotated()).withColumn("instruction", F.concat(F.lit("do "), "task"))
     source = made.withColumn("query_id", plans.query_id(F.lit("cycle_voc"), F.col("task"), F.col("episode"), F.col("position")))
     values = rows.select("episode", F.col("frame").alias("anchor"), "v")
     # on the way back a state has a value of its own
@@ -186,7 +186,7 @@ def reused_states(spark, sf_dir):
 
 
 @query("""
-, up AS (SELECT *, list_sort(list_distinct(list_concat(range(0, num_frames, 10), [CAST(num_frames - 1 AS BIGINT)]))) AS u FROM ep WHERE success AND solution = 'normal'), pa AS (SELECT *, list_concat(u, list_reverse(u[1:len(u) - 1])) AS path FROM up),
+, up AS (SELECT *, list_sort(list_distinct(list_concat(range(0, num_frames, 2), [CAST(num_frames - 1 AS BIGINT)]))) AS u FROM ep WHERE success AND solution = 'normal'), pa AS (SELECT *, list_concat(u, list_reverse(u[1:len(u) - 1])) AS path FROM up WHERE len(u) >= 3),
 cy AS (SELECT *, unnest(range(0, len(path))) AS position FROM pa)
 SELECT 'voc:' || cy.task || ':' || cy.episode || ':' || position AS query_id, round(CASE WHEN position <= (len(path) - 1) / 2 THEN v ELSE -v END, 9) + 0.0 AS score FROM cy JOIN fr ON fr.episode = cy.episode AND fr.frame = path[position + 1]""")
 def reused_ids(spark, sf_dir):
@@ -220,11 +220,11 @@ def span_links(spark, sf_dir):
 
 
 @query(_SPANS + """
-, pt AS (SELECT episode, CAST(frame AS BIGINT) AS frame FROM fr WHERE frame % 3 = 0)
+, pt AS (SELECT episode, CAST(frame AS BIGINT) AS frame FROM fr)
 SELECT pt.episode, pt.frame, 1 AS n_spans, target FROM pt JOIN rl ON rl.episode = pt.episode AND frame >= a AND frame < b""")
 def spans_of_frames(spark, sf_dir):
     rows = td.frames(spark, sf_dir)
-    points = rows.where("frame % 3 = 0").select("task", "episode", "frame")
+    points = rows.select("task", "episode", "frame")
     return identify.span_of_frame(points, identify.relabelled(_spans(td.episodes(rows)))).select("episode", *_long("frame", "n_spans"), "target")
 
 

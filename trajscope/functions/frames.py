@@ -38,6 +38,14 @@ def grid_with_end(n: Column, fps: Column, hz: float = 5.0) -> Column:
     return F.array_union(F.filter(F.array_distinct(every), lambda f: f < n), F.array(n - 1))
 
 
+def on_grid(frame: Column, n: Column, fps: Column, hz: float = 5.0, with_end: bool = False) -> Column:
+    """Whether a frame is on `grid` or `grid_with_end`: the places near frame * hz / fps are tried, the grid is not built."""
+    near = F.floor(frame * F.lit(float(hz)) / fps)
+    place = (lambda i: F.rint(i * (fps / F.lit(float(hz))))) if with_end else (lambda i: F.rint(i * fps / F.lit(float(hz))))
+    hit = (place(near) == frame) | (place(near + 1) == frame) | ((near > 0) & (place(near - 1) == frame))
+    return hit | (frame == n - 1) if with_end else hit
+
+
 def stage_grid(start: Column, end: Column, fps: Column, hz: float = 10.0) -> Column:
     """Grid frames of the episode that fall into [start, end)."""
     return F.filter(grid(end, fps, hz), lambda f: f >= start)

@@ -54,25 +54,55 @@ def steepest(found: Column) -> Column:
     return ranked["d"]
 
 
+#: Numerators below this share of the denominator are what rounding leaves of nothing.
+ROUNDING = 1e-12
+
+
 def direction(values: Column, weights: Column) -> Column:
     """sum w_i w_j (v_j - v_i) / sum w_i w_j |v_j - v_i| over i < j; 0 for 0/0.
 
-    All pairs within one stage are compared in place, without a join; the length
-    of a stage is bounded by the annotation.
+    Sums over pairs are folds over running sums: w_j (v_j W - S) with the weight W
+    and the weighted sum S of those before. In the order of the values instead of
+    the frames no difference is negative, which gives the denominator; so a stage of k
+    frames takes k log k steps. Values count from the first, so equal ones differ by exactly 0.
     """
-    both = F.arrays_zip(values.alias("v"), weights.alias("w"))
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-
-    def outer(a: Column, x: Column, i: Column) -> Column:
-        later = F.slice(both, i + 2, F.greatest(F.size(both) - i - 1, F.lit(0)))
-        return F.struct(
-            F.aggregate(later, F.lit(0.0), lambda s, y: s + x["w"] * y["w"] * (y["v"] - x["v"])).alias("n"),
-            F.aggregate(later, F.lit(0.0), lambda s, y: s + x["w"] * y["w"] * F.abs(y["v"] - x["v"])).alias("d"),
-        )
+    both = F.transform(F.arrays_zip(values.alias("v"), weights.alias("w")), lambda x: F.struct((x["v"] - F.get(values, F.lit(0))).alias("v"), x["w"].alias("w")))
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), F.lit(0.0).alias("s"))
+
+    def total(points: Column) -> Column:
+        step = lambda a, x: F.struct((a["t"] + x["w"] * (x["v"] * a["w"] - a["s"])).alias("t"), (a["w"] + x["w"]).alias("w"), (a["s"] + x["w"] * x["v"]).alias("s"))
+        return F.aggregate(points, zero, step, lambda a: a["t"])
+
+    ratio = F.coalesce(F.try_divide(total(both), total(F.array_sort(both))), F.lit(0.0))
+    return F.when(F.abs(ratio) < ROUNDING, 0.0).otherwise(ratio)
+
+
+def rank_correlation(values: Column) -> Column:
+    """Rank correlation of an array with its places, ties by their mean rank; null where all are equal. -0.0 equals 0.0.
+
+    One fold over the sorted values: a run of equal ones adds its mean rank times
+    the sum of its places when the next value begins.
+    """
+    placed = F.array_sort(F.transform(values, lambda v, i: F.struct((v.cast("double") + F.lit(0.0)).alias("v"), (i + 1).cast("double").alias("i"))))
+    first = F.struct(*(F.lit(x).cast("double").alias(k) for k, x in (("v", None), ("n", 0.0), ("s", 0.0), ("done", 0.0), ("xy", 0.0), ("xx", 0.0))))
+
+    def flushed(a: Column) -> tuple[Column, Column, Column]:
+        rank = a["done"] + (a["n"] + 1) / 2
+        return a["done"] + a["n"], a["xy"] + rank * a["s"], a["xx"] + rank * rank * a["n"]
+
+    def step(a: Column, x: Column) -> Column:
+        done, xy, xx = flushed(a)
+        same = x["v"] == a["v"]
+        go_on = F.struct(a["v"].alias("v"), (a["n"] + 1).alias("n"), (a["s"] + x["i"]).alias("s"), a["done"].alias("done"), a["xy"].alias("xy"), a["xx"].alias("xx"))
+        begin = F.struct(x["v"].alias("v"), F.lit(1.0).alias("n"), x["i"].alias("s"), done.alias("done"), xy.alias("xy"), xx.alias("xx"))
+        return F.when(same, go_on).otherwise(begin)
+
+    def finish(a: Column) -> Column:
+        n, xy, xx = flushed(a)
+        sums, squares = n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6
+        return F.try_divide(n * xy - sums * sums, F.sqrt((n * xx - sums * sums) * (n * squares - sums * sums)))
 
-    parts = F.transform(both, lambda x, i: outer(zero, x, i))
-    sums = F.aggregate(parts, zero, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), (a["d"] + x["d"]).alias("d")))
-    return F.coalesce(F.try_divide(sums["n"], sums["d"]), F.lit(0.0))
+    return F.aggregate(placed, first, step, finish)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -57,6 +57,11 @@ def cycle_correlation(points: DataFrame) -> DataFrame:
     return both.withColumn("cycle", (F.col("up") + F.col("down")) / 2)
 
 
+def curve_correlations(curves: DataFrame, **halves: Column) -> DataFrame:
+    """curves with a column for each given array of values: its rank correlation with its places, 0 where it is constant. Nothing is shuffled."""
+    return curves.withColumns({name: F.coalesce(sq.rank_correlation(values), F.lit(0.0)) for name, values in halves.items()})
+
+
 def smoothness(points: DataFrame, least: int = 7) -> DataFrame:
     """er, scale and vs per episode from (frame, time, v) with `least` points or more."""
     own = Window.partitionBy(*EPISODE)

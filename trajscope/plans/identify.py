@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frames as fr
+from ..operators.intervals import points_in_spans
 from .audits import raise_if_any, span_order
 from .queries import query_id
 
@@ -60,10 +61,11 @@ def plan(episodes: DataFrame, spans: DataFrame, seed: str = "0") -> DataFrame:
 def span_of_frame(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (task, episode, frame) with the target of the span that holds the frame and n_spans, how many do.
 
-    An equi-join by episode with a range condition; an episode has few spans.
+    Points meet spans bin by bin (`operators.intervals`), not all spans of their episode.
     """
-    hits = points.join(spans.select(*KEYS, "target", "start", "end"), KEYS, "left").withColumn("in", (F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("end")))
-    return hits.groupBy(*points.columns).agg(F.count_if("in").alias("n_spans"), F.max(F.when(F.col("in"), F.col("target"))).alias("target"))
+    hits = points_in_spans(points.select(*KEYS, "frame").distinct(), spans.select(*KEYS, "target", "start", "end"), KEYS)
+    found = hits.groupBy(*KEYS, "frame").agg(F.count(F.lit(1)).alias("n_spans"), F.max("target").alias("target"))
+    return points.join(found, [*KEYS, "frame"], "left").withColumn("n_spans", F.coalesce("n_spans", F.lit(0))).select(*points.columns, "n_spans", "target")
 
 
 def bundle(planned: DataFrame, answers: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -39,9 +39,9 @@ def other_task_candidates(tasks: DataFrame) -> DataFrame:
     return own.unionByName(pairs.select("task", F.concat(F.lit("task-"), "other").alias("candidate"), F.col("text").alias("instruction")))
 
 
-def cycle_plan(episodes: DataFrame, stride: int = 10) -> DataFrame:
-    """Up and down again: position, anchor and playback (forward up to the peak, then cycle)."""
-    path = fr.mirror(fr.strided(F.col("num_frames"), stride))
+def cycle_plan(episodes: DataFrame, frames: Column) -> DataFrame:
+    """Up and down again over sorted frames (the annotated ones, or `frames.strided` ones for drawing): position, anchor and playback (forward up to the peak, then cycle)."""
+    path = fr.mirror(frames)
     out = episodes.select("*", F.posexplode(path).alias("position", "anchor"), F.size(path).alias("n_path"))
     return out.withColumn("playback", F.when(F.col("position") <= (F.col("n_path") - 1) / 2, "forward").otherwise("cycle"))
 

@@ -9,7 +9,7 @@ from ..sources.documents import read_mapping
 from .registry import METRICS, predictor_class
 
 REQUIRED = ("model", "data", "output", "metrics", "tasks")
-OPTIONAL = ("model_options", "metric_tasks", "candidate_tasks", "checkpoint", "batch_size")
+OPTIONAL = ("model_options", "metric_tasks", "candidate_tasks", "checkpoint", "batch_size", "chunk_rows")
 DOMAINS = ("id", "env", "emb")
 
 
@@ -25,6 +25,8 @@ class RunConfig:
     candidate_tasks: dict[str, tuple[str, ...]] = field(default_factory=dict)
     checkpoint: str | None = None
     batch_size: int = 1
+    #: Queries of a chunk of answers, the most that a killed run loses.
+    chunk_rows: int = 1_000_000
 
     def tasks_of(self, metric: str) -> list[str]:
         """The tasks of a metric: all, or those its scope names."""
@@ -87,14 +89,15 @@ def parse(row: dict, where: str = "config", base: str = ".") -> RunConfig:
     if not isinstance(options, dict):
         raise ConfigError(f"{where}.model_options: settings are wanted")
     _fields(options, predictor.required, predictor.fields, f"{where}.model_options")
-    size = row.get("batch_size", 1)
-    if isinstance(size, bool) or not isinstance(size, int) or size < 1:
-        raise ConfigError(f"{where}.batch_size: a positive whole number is wanted")
+    sizes = {name: row.get(name, default) for name, default in (("batch_size", 1), ("chunk_rows", 1_000_000))}
+    for name, size in sizes.items():
+        if isinstance(size, bool) or not isinstance(size, int) or size < 1:
+            raise ConfigError(f"{where}.{name}: a positive whole number is wanted")
     metrics = _metrics(row["metrics"], f"{where}.metrics")
     place = lambda p: p if p is None or "://" in p or os.path.isabs(p) else os.path.normpath(os.path.join(base, p))
     return RunConfig(
         row["model"], place(row["data"]), place(row["output"]), metrics, _names(row["tasks"], f"{where}.tasks"), options,
-        _scopes(row.get("metric_tasks"), set(metrics), f"{where}.metric_tasks"), _scopes(row.get("candidate_tasks"), set(metrics) & {"tga_easy", "tga_hard"}, f"{where}.candidate_tasks"), place(row.get("checkpoint")), size,
+        _scopes(row.get("metric_tasks"), set(metrics), f"{where}.metric_tasks"), _scopes(row.get("candidate_tasks"), set(metrics) & {"tga_easy", "tga_hard"}, f"{where}.candidate_tasks"), place(row.get("checkpoint")), **sizes,
     )
 
 

@@ -1,25 +1,35 @@
-"""Published results: <root>/<baseline>/<metric>/summary.json, merged by cell, with an index that is written last."""
+"""Published results: <root>/<baseline>/<metric>/summary.json and an index, merged by cell.
+
+What is published is what the root's log of commits says; a publisher commits all
+of its results as one version, over the version that it read, so two at a time
+lose nothing and one that dies leaves the old version. The files follow from the
+log: `export` writes those that differ, the index last, and can be repeated.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 from datetime import datetime, timezone
 
+from pyspark.sql import SparkSession
+
 from ..functions.naming import check_components
-from ..sources.documents import read_object, write_atomic, write_object
+from ..sources.commits import Log, Snapshot
+from ..sources.storage import joined
 
 
 def merged(old: dict | None, new: dict) -> dict:
-    """new over old by (domain, task); means are made anew."""
+    """new over old by (domain, task); means are made anew, and what else a result says is that of the new one."""
     domains: dict = {}
     for result in filter(None, (old, new)):
         for domain, own in result["domains"].items():
             domains.setdefault(domain, {}).update(own["tasks"])
     out = {d: {"mean": _mean(tasks), "tasks": dict(sorted(tasks.items()))} for d, tasks in sorted(domains.items())}
-    return {"overall": _mean({d: own["mean"] for d, own in out.items()}), "domains": out}
+    whole = old is None or domains == {d: own["tasks"] for d, own in new["domains"].items()}
+    # figures of a part do not describe the whole
+    beside = {k: v for k, v in new.items() if whole or k in ("protocol",)}
+    return beside | {"overall": _mean({d: own["mean"] for d, own in out.items()}), "domains": out}
 
 
 def _mean(values: dict) -> float | None:
@@ -27,63 +37,65 @@ def _mean(values: dict) -> float | None:
     return sum(some) / len(some) if some else None
 
 
-def publish(root: str, baseline: str, results: dict[str, dict], now: str | None = None) -> None:
-    """Merge results into the published ones. All files are staged first; an error on the way puts the old ones back, and the index comes last."""
+def publish(spark: SparkSession, root: str, baseline: str, results: dict[str, dict], now: str | None = None) -> None:
+    """Merge results into the published ones, all or none of them."""
     check_components([baseline])
     check_components(sorted({t for r in results.values() for own in r["domains"].values() for t in own["tasks"]}), task_names=True)
     now = now or datetime.now(timezone.utc).isoformat(timespec="seconds")
-    stage = os.path.join(root, ".staged")
-    shutil.rmtree(stage, ignore_errors=True)
-    targets = {}
-    for metric, result in results.items():
-        target = os.path.join(root, baseline, metric, "summary.json")
-        old = read_object(target)["result"] if os.path.exists(target) else None
-        targets[target] = os.path.join(stage, f"{metric}.json")
-        write_object(targets[target], {"baseline": baseline, "metric": metric, "published": now, "result": merged(old, result)})
-    undo: dict[str, str | None] = {}
-    try:
-        for target, staged in targets.items():
-            if os.path.exists(target):
-                undo[target] = open(target, encoding="utf-8").read()
-            else:
-                undo[target] = None
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            os.replace(staged, target)
-        write_object(os.path.join(root, "index.json"), index(root))
-    except BaseException:
-        for target, text in undo.items():
-            if text is not None:
-                write_atomic(target, text)
-            elif os.path.exists(target):
-                os.remove(target)
-        raise
-    finally:
-        shutil.rmtree(stage, ignore_errors=True)
-
-
-def index(root: str) -> dict:
-    """{baseline: {metric: {path, sha256, overall}}} of what is published; few files, on the driver (`documents.artifact_index` for many)."""
+    log = Log(spark, root)
+
+    def change(snapshot: Snapshot) -> dict:
+        entries = {}
+        for metric, result in results.items():
+            key = f"{baseline}/{metric}"
+            old = snapshot.properties.get(key)
+            if old and old["result"].get("protocol") != result.get("protocol"):
+                raise ValueError(f"{key} was published under protocol {old['result'].get('protocol')}, not {result.get('protocol')}")
+            entries[key] = {"baseline": baseline, "metric": metric, "published": now, "result": merged(old["result"] if old else None, result)}
+        return {"set": entries}
+
+    export(log, log.update(change))
+
+
+def _text(entry: dict) -> str:
+    return json.dumps(entry, ensure_ascii=False, allow_nan=False, indent=1, sort_keys=True) + "\n"
+
+
+def index(snapshot: Snapshot) -> dict:
+    """{baseline: {metric: {path, sha256, overall}}} of what is published."""
     out: dict = {}
-    for baseline in sorted(os.listdir(root)):
-        for metric in sorted(os.listdir(os.path.join(root, baseline))) if os.path.isdir(os.path.join(root, baseline)) else ():
-            path = os.path.join(baseline, metric, "summary.json")
-            if os.path.exists(os.path.join(root, path)):
-                data = open(os.path.join(root, path), "rb").read()
-                out.setdefault(baseline, {})[metric] = {"path": path, "sha256": hashlib.sha256(data).hexdigest(), "overall": json.loads(data)["result"]["overall"]}
+    for key, entry in sorted(snapshot.properties.items()):
+        digest = hashlib.sha256(_text(entry).encode()).hexdigest()
+        out.setdefault(entry["baseline"], {})[entry["metric"]] = {"path": f"{key}/summary.json", "sha256": digest, "overall": entry["result"]["overall"]}
     return out
 
 
-def sync(source: str, target: str) -> list[str]:
-    """Copy published files that the target lacks or has otherwise, the index last; their paths."""
-    wanted, copied = index(source), []
-    for own in wanted.values():
-        for entry in own.values():
-            there = os.path.join(target, entry["path"])
-            if not os.path.exists(there) or hashlib.sha256(open(there, "rb").read()).hexdigest() != entry["sha256"]:
-                write_atomic(there, open(os.path.join(source, entry["path"]), encoding="utf-8").read())
-                copied.append(entry["path"])
-    write_object(os.path.join(target, "index.json"), index(target))
-    return copied
+def export(log: Log, snapshot: Snapshot | None = None) -> list[str]:
+    """Write the files that are not there or hold something else, the index last; their paths."""
+    snapshot, written = snapshot or log.snapshot(), []
+    for key, entry in sorted(snapshot.properties.items()):
+        path, text = f"{key}/summary.json", _text(entry)
+        at = joined(log.root, path)
+        if not log.storage.exists(at) or log.storage.read(at) != text.encode():
+            log.storage.replace(at, text)
+            written.append(path)
+    # a later version's publisher writes its own; an older index must not follow it
+    if log.snapshot().version == snapshot.version:
+        log.storage.replace_object(joined(log.root, "index.json"), index(snapshot))
+        return written
+    return written + export(log)
+
+
+def sync(spark: SparkSession, source: str, target: str) -> list[str]:
+    """Publish at the target what the source has and the target lacks or has otherwise; the keys (baseline/metric)."""
+    wanted, log, taken = Log(spark, source).snapshot().properties, Log(spark, target), []
+
+    def change(snapshot: Snapshot) -> dict | None:
+        taken[:] = sorted(k for k, entry in wanted.items() if snapshot.properties.get(k) != entry)
+        return {"set": {k: wanted[k] for k in taken}} if taken else None
+
+    export(log, log.update(change))
+    return taken
 
 
 def status(rows: dict[str, dict[str, dict]]) -> dict:

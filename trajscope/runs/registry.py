@@ -13,8 +13,9 @@ from ..operators import metrics as mt
 from ..plans import audits, cohorts, identify
 from ..plans import queries as plans
 from ..sources.dataset import Dataset
+from . import results
 
-EPISODE = ["domain", "task", "episode"]
+CELL = ["domain", "task"]
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,10 @@ class Metric:
     score: Callable[[DataFrame], DataFrame]
     domains: tuple[str, ...] = ("id", "env", "emb")
     native: bool = False
+    #: Records of the scored plan, figures of the records, and episodes that the plan leaves out, with reasons.
+    records: Callable[[DataFrame], DataFrame] | None = None
+    figures: Callable[[DataFrame], dict] | None = None
+    excluded: Callable[[Dataset, list[str], list[str]], DataFrame] | None = None
 
 
 METRICS: dict[str, Metric] = {}
@@ -73,13 +78,27 @@ def _memory(data, tasks, domains):
 
 
 def _cycle(data, tasks, domains):
-    rows = _normal(episodes(data, "cycle_voc", tasks, domains)).withColumn("path", fr.mirror(F.array_sort(F.array_distinct("voc"))))
+    rows = _normal(episodes(data, "cycle_voc", tasks, domains)).withColumn("up", F.array_sort(F.array_distinct("voc")))
+    audits.raise_if_any(rows.where(F.size("up") < 3).select("task", "episode"), "fewer than three annotated frames")
+    rows = rows.withColumn("path", fr.mirror(F.col("up"))).drop("up")
     rows = rows.withColumn("n_path", F.size("path")).select("*", F.posexplode("path").alias("position", "anchor"))
     return _asked(rows.withColumn("playback", F.when(F.col("position") <= (F.col("n_path") - 1) / 2, "forward").otherwise("cycle")), "cycle_voc", "position")
 
 
+def _sampled(data, tasks, domains):
+    return _normal(episodes(data, "vs", tasks, domains)).withColumn("grid", fr.grid(F.col("num_frames"), F.col("fps"), 5.0))
+
+
+def _short(data, tasks, domains):
+    """domain, task, episode, reason of what the smoothness plan leaves out."""
+    rows = episodes(data, "vs", tasks, domains)
+    why = cohorts.exclusion_reason(F.col("success"), F.col("trr_group").isNotNull(), F.col("solution"), F.size("voc") > 0)
+    short = audits.sample_exclusion(F.size(fr.grid(F.col("num_frames"), F.col("fps"), 5.0)))
+    return rows.select(*CELL, "episode", F.coalesce(why, short).alias("reason")).where("reason IS NOT NULL")
+
+
 def _smooth(data, tasks, domains):
-    rows = _normal(episodes(data, "vs", tasks, domains)).withColumn("grid", fr.grid(F.col("num_frames"), F.col("fps"), 5.0))
+    rows = _sampled(data, tasks, domains)
     rows = rows.where(audits.sample_exclusion(F.size("grid")).isNull())
     audits.raise_if_any(rows.where(F.size(F.array_except("grid", "voc")) > 0).select("task", "episode"), "grids that the annotations do not cover")
     audits.raise_if_any(audits.uneven_domains(rows), "tasks with other domains")
@@ -107,15 +126,12 @@ def _recovery(data, tasks, domains):
     return _asked(rows.select("*", F.posexplode("frames").alias("place", "anchor")), "trr", "stage", "anchor")
 
 
-def _score_recovery(scored):
-    own = scored.groupBy(*EPISODE, "trr_group", "stage", "sign", "weights").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("values"))
-    return mt.recovery_groups(mt.recovery_branches(own))
-
-
 def _grounding(metric: str, by_task: bool):
     def plan(data, tasks, domains):
-        rows = cohorts.grounding(episodes(data, metric, tasks, domains))
-        known = data.tasks.where(F.col("task_id").isin(*tasks)).select(F.col("task_id").alias("task"), "instruction", "counterfactuals")
+        # tasks with memory annotations have instructions that one trajectory cannot tell apart
+        plain = data.tasks.where(~cohorts.declares(F.col("metrics"), "voc_mem"))
+        rows = cohorts.grounding(episodes(Dataset(plain, data.episodes, data.violations), metric, tasks, domains))
+        known = plain.where(F.col("task_id").isin(*tasks)).select(F.col("task_id").alias("task"), "instruction", "counterfactuals")
         if by_task:
             from pyspark.sql import Window
 
@@ -132,10 +148,6 @@ def _grounding(metric: str, by_task: bool):
     return plan
 
 
-def _score_grounding(scored):
-    return mt.grounding(mt.grounding_scores(scored.withColumn("score", F.col("v")))).select(*EPISODE, F.col("top1").alias("score"))
-
-
 def _solutions(data, tasks, domains):
     rows = episodes(data, "csvc", tasks, domains).where("success AND solution IS NOT NULL")
     audits.raise_if_any(audits.solution_gaps(rows), "tasks without both kinds of solution")
@@ -145,32 +157,29 @@ def _solutions(data, tasks, domains):
     return _asked(pairs, "csvc", "semantic", "i")
 
 
-def _score_solutions(scored):
-    deltas = scored.groupBy("domain", "task", "episode", "solution", "semantic").agg(F.median("v").alias("value"))
-    return mt.solution_consistency(mt.solution_profiles(deltas)).select(F.lit("id").alias("domain"), "task", "score")
-
-
-def _curve(order: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("f"), "v"))), lambda p: F.struct(p["f"].alias("f"), p["v"].alias("v")))
-
-
 def _identify(data, tasks, domains):
     rows = episodes(data, "sia", tasks, domains)
     spans = rows.select("task", "episode", F.explode("spans").alias("s")).select("task", "episode", "s.*")
     return identify.plan(rows, spans).withColumn("metric", F.lit("sia"))
 
 
-register(Metric("sa", "value", _sa, mt.success_accuracy, native=True))
-register(Metric("voc", "value", _voc, lambda s: mt.order_correlation(s, "anchor")))
-register(Metric("voc_mem", "value", _memory, lambda s: mt.order_correlation(s, "anchor")))
-register(Metric("cycle_voc", "value", _cycle, lambda s: mt.cycle_correlation(s).withColumnRenamed("cycle", "score")))
-register(Metric("vs", "value", _smooth, lambda s: mt.smoothness(s.withColumn("frame", F.col("anchor")).withColumn("time", F.col("anchor") / F.col("fps"))).withColumnRenamed("vs", "score")))
-register(Metric("fpl", "value", _failure, lambda s: mt.failure_points(s.groupBy(*EPISODE, "num_frames", "onset").agg(_curve("anchor").alias("curve")))))
-register(Metric("trr", "value", _recovery, _score_recovery, ("id",)))
-register(Metric("tga_easy", "compare", _grounding("tga_easy", True), _score_grounding, native=True))
-register(Metric("tga_hard", "compare", _grounding("tga_hard", False), _score_grounding, native=True))
-register(Metric("csvc", "compare", _solutions, _score_solutions, ("id",)))
-register(Metric("sia", "subtask", _identify, mt.identification))
+def _metric(name: str, op: str, plan, score=None, **more) -> None:
+    """Register a metric of results.RECORDS; its score is that of its records unless another is given."""
+    records, figures = results.RECORDS[name]
+    register(Metric(name, op, plan, score or (lambda s: records(s).select(*CELL, "score")), records=records, figures=figures, **more))
+
+
+_metric("sa", "value", _sa, mt.success_accuracy, native=True)
+_metric("voc", "value", _voc)
+_metric("voc_mem", "value", _memory)
+_metric("cycle_voc", "value", _cycle)
+_metric("vs", "value", _smooth, excluded=_short)
+_metric("fpl", "value", _failure)
+_metric("trr", "value", _recovery, domains=("id",))
+_metric("tga_easy", "compare", _grounding("tga_easy", True), native=True)
+_metric("tga_hard", "compare", _grounding("tga_hard", False), native=True)
+_metric("csvc", "compare", _solutions, domains=("id",))
+_metric("sia", "subtask", _identify, mt.identification)
 
 
 # --- predictors ---------------------------------------------------------------

@@ -127,11 +127,16 @@ def load(spark: SparkSession, root: str, metrics: list[str] | None = None, on_vi
     for p in parts:
         violations = violations.unionByName(p)
     violations = violations.select("path", F.explode("broken").alias("rule"))
+    data = Dataset(tasks, e, violations)
     if on_violation == "raise":
-        first = violations.orderBy("path", "rule").limit(3).collect()
-        if first or tasks.limit(1).count() == 0:
-            raise ValueError("invalid dataset: " + ("; ".join(f"{r['path']}: {r['rule']}" for r in first) or "no tasks"))
-    return Dataset(tasks, e, violations)
+        raise_violations(data)
+    return data
+
+
+def raise_violations(data: Dataset) -> None:
+    first = data.violations.orderBy("path", "rule").limit(3).collect()
+    if first or data.tasks.limit(1).count() == 0:
+        raise ValueError("invalid dataset: " + ("; ".join(f"{r['path']}: {r['rule']}" for r in first) or "no tasks"))
 
 
 def remap_labels(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ cents, so that sums are exact) over the frames up to it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import frames as fr
+
 DOMAINS = ("id", "env", "emb")
 FPS = 10.0
 SCALE = 50000.0
@@ -51,6 +53,22 @@ def curves(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*EPISODE).agg(values.alias("values"))
 
 
+def annotated() -> Column:
+    """The annotated frames of an episode: its 5 Hz grid and the last frame."""
+    return fr.grid_with_end(F.col("num_frames"), F.lit(FPS))
+
+
+def cycle_curves(rows: DataFrame) -> DataFrame:
+    """A row per episode with at least three annotated frames: values at them on the way up, and on the way back by the mean over the timeline from its start."""
+    point = F.struct("frame", "v", "total", "x")
+    whole = rows.groupBy(*EPISODE).agg(F.array_sort(F.collect_list(point)).alias("points")).withColumn("at", annotated()).where(F.size("at") >= 3)
+    last, n = F.element_at("points", -1), F.col("num_frames")
+    up = F.transform("at", lambda f: F.get("points", f)["v"])
+    value = lambda p: (2 * last["total"] - last["x"] - (p["total"] - p["x"])).cast("double") / (2 * (n - 1) - p["frame"] + 1) / F.lit(SCALE)
+    down = F.transform(F.reverse("at"), lambda f: F.when(f == n - 1, last["v"]).otherwise(value(F.get("points", f))))
+    return whole.withColumn("up", up).withColumn("down", down)
+
+
 #: The same in DuckDB: views fr (frames), ep (episodes).
 SQL = """
 ev AS (SELECT event_id, user_id, ts, CAST(round_even(value * 100, 0) AS BIGINT) AS x, CAST(least(floor((day(ts) - 1) / 10.0), 2) AS INTEGER) AS d FROM events),

@@ -18,14 +18,36 @@ FIELDS = {"value": ("query_id", "op", "state", "instruction", "playback"), "comp
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    return lines.select("value", F.from_json("value", schema).alias("j"), F.json_object_keys("value").alias("keys"))
+    """value, j, keys, and where a line stands: its file, the split's start in it and a number that rises with the lines of a split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.where(F.length(F.trim("value")) > 0)
+    return lines.select("value", F.from_json("value", schema).alias("j"), F.json_object_keys("value").alias("keys"), "file", "split", "at")
+
+
+def line_number(spark: SparkSession, file: str, split: int, at: int) -> int:
+    """The number of a line that `_lines` found: lines of the splits before its own, and of its own up to it.
+
+    The file is counted again, split by split, only when there is an error to report.
+    """
+    lines = spark.read.text(file).select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n")).where(F.col("split") < split).agg(F.sum("n")).first()[0] or 0
+    return counts + at + 1
 
 
 def _refuse(rows: DataFrame, bad, path: str) -> None:
-    first = rows.where(F.coalesce(bad, F.lit(True))).select("value").first()
+    """An error names the first bad line of the first file that has one."""
+    spark = rows.sparkSession
+    wrong = rows.where(F.coalesce(bad, F.lit(True))).select("value", "file", "split", "at")
+    first = wrong.agg(F.min(F.struct("file", "split", "at", F.substring("value", 1, 200).alias("value"))).alias("x")).first()["x"]
     if first:
-        raise ValueError(f"{path}: invalid row {first['value'][:200]}")
+        number = line_number(spark, first["file"], first["split"], _within_split(spark, path, first))
+        raise ValueError(f"{first['file']}:{number}: invalid row {first['value']}")
+
+
+def _within_split(spark: SparkSession, path: str, line) -> int:
+    """Lines of a split before the given one; a partition may hold several splits, each with its lines in a row."""
+    same = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return same.where((F.col("file") == line["file"]) & (F.col("split") == line["split"]) & (F.col("at") < line["at"])).count()
 
 
 def _no_repeats(rows: DataFrame, path: str) -> DataFrame:

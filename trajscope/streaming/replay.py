@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SMALL_BATCH = 1_000_000
 
 
-def merge_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, on_cells: Callable[[DataFrame, int], None] | None = None, on_conflict: str = "error"):
+def merge_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, on_cells: Callable[[DataFrame, int], None] | None = None, on_conflict: str = "error", on_rows: Callable[[DataFrame, int], object] | None = None):
     """Append each new prediction of the Parquet files in source to store, exactly once by query_id.
 
     A batch writes its own folder of store, and a retried one writes it again, so
@@ -19,7 +19,8 @@ def merge_stream(spark: SparkSession, source: str, schema: str, store: str, chec
     partition column `batch`, and only for the ids of this batch: their bloom or
     min/max statistics skip the rest. One id with two different rows is an error, or
     with on_conflict="keep" the row that came first stays (within a batch, any).
-    on_cells gets the (domain, task) cells that a batch touched.
+    on_cells gets the (domain, task) cells that a batch touched, on_rows the rows
+    that it added; both may see a batch again after a restart, under its number.
     """
     stream = spark.readStream.schema(schema).parquet(source)
     columns = [c.split()[0] for c in schema.split(",")]
@@ -38,6 +39,8 @@ def merge_stream(spark: SparkSession, source: str, schema: str, store: str, chec
         if known is not None:
             fresh = fresh.join(known.select("query_id"), "query_id", "left_anti").select(*columns)
         fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        if on_rows:
+            on_rows(spark.read.schema(schema).parquet(f"{store}/batch={number}"), number)
         if on_cells:
             on_cells(spark.read.schema(schema).parquet(f"{store}/batch={number}").select("domain", "task").distinct(), number)
 
