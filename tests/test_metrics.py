@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajscope.functions import text as tx
-from trajscope.operators import checked, metrics, predict, statistics
+from trajscope.operators import checked, metrics, statistics
 from trajscope.plans import cohorts, queries
 
 
@@ -178,13 +178,3 @@ def test_text(spark):
     assert one(tx.scale_answer(F.lit("so ANSWER: 5"))) == 1.0 and one(tx.scale_answer(F.lit("none"))) is None
     assert one(tx.comma_list(F.lit("a, b,,a"))) == ["a", "b"] and one(tx.html_escape(F.lit("<a&b>"))) == "&lt;a&amp;b&gt;"
     assert one(tx.numbered_choices(F.array(F.lit("x"), F.lit("y")))) == "1. x\n2. y"
-
-
-def test_predictors(spark):
-    state = lambda f: ("t", "e", f)
-    q = spark.createDataFrame([("q1", state(10), "go"), ("q2", state(20), "go"), ("q3", state(10), "go")], "query_id string, state struct<task_id:string,episode_id:string,anchor_frame:int>, instruction string").withColumn("playback", F.lit("forward"))
-    half = lambda: lambda frame: (frame["anchor_frame"] / 2).tolist()
-    assert {r["query_id"]: r["score"] for r in predict.predict_values(q, half).collect()} == {"q1": 5.0, "q2": 10.0, "q3": 5.0}
-    c = spark.createDataFrame([("c", state(2), state(9), "go")], "query_id string, state_a struct<task_id:string,episode_id:string,anchor_frame:int>, state_b struct<task_id:string,episode_id:string,anchor_frame:int>, instruction string")
-    assert predict.predict_compares(c, half).first()["score"] == 3.5
-    assert predict.predict_compares(c, half, reverse=True).first()["score"] == -3.5

@@ -29,15 +29,6 @@ def test_lerobot(spark, tmp_path):
     assert (clip["path"], clip["start"]) == ("chunk-000/file-001.mp4", 15)
 
 
-def test_bundle(spark):
-    schema = "version int, items array<struct<query_id:string,target_subtask_id:string,candidates:map<string,string>>>"
-    good = spark.createDataFrame([(1, [("q", "a", {"a": "x"})])], schema)
-    assert lerobot.judged_bundle(good).count() == 1
-    for rows in ([(1, [("q", "b", {"a": "x"})])], [(2, [("q", "a", {"a": "x"})])], [(1, [("q", "a", {"a": "x"}), ("q", "a", {"a": "x"})])]):
-        with pytest.raises(ValueError, match="bundle"):
-            lerobot.judged_bundle(spark.createDataFrame(rows, schema))
-
-
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "sa" in capsys.readouterr().out.split()
     queries, results = tmp_path / "q.jsonl", tmp_path / "r.jsonl"

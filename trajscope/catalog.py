@@ -190,20 +190,17 @@ _TYPES = {"counterfactual-001": "objects", "counterfactual-002": "actions", "cou
 
 def _grounded(spark, sf_dir, easy: bool = False):
     """Scored compare pairs: the change of value over the edge pairs, fainter for wrong candidates."""
-    rows = td.frames(spark, sf_dir).where("success")
-    k = fr.edge_size(F.col("num_frames"))
-    edge = rows.where((F.col("frame") < k) | (F.col("frame") >= F.col("num_frames") - k))
-    # n <= 50 in these tables: one pair of edge frames; in general zip by their place
-    head = edge.where(F.col("frame") < k).withColumn("i", F.col("frame")).select("episode", "i", F.col("v").alias("va"))
-    tail = edge.where(F.col("frame") >= F.col("num_frames") - k).withColumn("i", F.col("frame") - (F.col("num_frames") - k))
-    pairs = tail.join(head, ["episode", "i"])
+    curves = td.curves(td.frames(spark, sf_dir).where("success"))
+    n = F.col("num_frames")
+    changes = F.zip_with(fr.head_frames(n), fr.tail_frames(n), lambda a, b: F.get("values", b) - F.get("values", a))
+    pairs = curves.select("domain", "task", "episode", "user_id", F.explode(changes).alias("dv"))
     if easy:
         tasks = td.table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("t")).distinct().select(F.concat(F.lit("task_"), "t").alias("task"), F.concat(F.lit("task "), F.col("t") % 3).alias("instruction"), F.col("t").alias("ord"))
         named = plans.other_task_candidates(tasks).withColumn("c", F.when(F.col("candidate") == "correct", 0).otherwise(1 + F.right("candidate", F.lit(1)).cast("int")))
         pairs = pairs.join(F.broadcast(named.select("task", "candidate", "c")), "task")
     else:
         pairs = pairs.select("*", F.posexplode(F.array(*map(F.lit, _CANDIDATES))).alias("c", "candidate"))
-    score = (F.col("v") - F.col("va")) * (1 - 0.25 * F.col("c")) + ((F.col("user_id") * 7 + F.col("c") * 3) % 5 - 2) * 0.01
+    score = F.col("dv") * (1 - 0.25 * F.col("c")) + ((F.col("user_id") * 7 + F.col("c") * 3) % 5 - 2) * 0.01
     return metrics.grounding_scores(pairs.withColumn("score", score))
 
 
@@ -450,18 +447,19 @@ def trr(spark, sf_dir):
 
 def _deltas(spark, sf_dir):
     """task, episode, solution, semantic, value: median change over the boundary pairs of each third."""
-    c = td.curves(td.frames(spark, sf_dir)).where("d = 0 AND num_frames >= 9")
+    c = td.curves(td.frames(spark, sf_dir)).where("d = 0")
     c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     start, end = (F.floor(F.col("num_frames") * (F.col("k") + i) / 3).cast("int") for i in (0, 1))
     shift = F.when(F.col("solution") == "diverse", F.col("user_id")).otherwise(F.lit(0))
+    c = c.where(end - start >= 2)  # a plan refuses spans of one frame
     c = c.withColumn("semantic", ((F.col("k") + shift) % 3).cast("long")).withColumn("p", F.explode(fr.boundary_pairs(start, end, F.lit(td.FPS))))
     c = c.withColumn("delta", F.get("values", "p.after") - F.get("values", "p.before"))
     return c.groupBy("task", "episode", "solution", "semantic").agg(F.median("delta").alias("value"))
 
 
 _DELTAS = """,
-th AS (SELECT *, (num_frames * k) // 3 AS a, (num_frames * (k + 1)) // 3 AS b FROM (SELECT *, unnest(range(0, 3)) AS k FROM ep WHERE d = 0 AND num_frames >= 9)),
-bp AS (SELECT *, least(CAST(round_even(i * 10.0::DOUBLE * 0.15::DOUBLE, 0) AS BIGINT), (b - a - 2) // 2) AS o FROM (SELECT *, unnest(range(0, 4)) AS i FROM th)),
+th AS (SELECT *, (num_frames * k) // 3 AS a, (num_frames * (k + 1)) // 3 AS b FROM (SELECT *, unnest(range(0, 3)) AS k FROM ep WHERE d = 0)),
+bp AS (SELECT *, least(CAST(round_even(i * 10.0::DOUBLE * 0.15::DOUBLE, 0) AS BIGINT), (b - a - 2) // 2) AS o FROM (SELECT *, unnest(range(0, 4)) AS i FROM th WHERE b - a >= 2)),
 dl AS (SELECT bp.task, bp.episode, bp.solution, CAST((k + CASE WHEN bp.solution = 'diverse' THEN bp.user_id ELSE 0 END) % 3 AS BIGINT) AS semantic, median(y.v - x.v) AS value FROM bp JOIN fr x ON x.episode = bp.episode AND x.frame = a + o JOIN fr y ON y.episode = bp.episode AND y.frame = b - 1 - o GROUP BY ALL),
 so AS (SELECT task, semantic, 'normal' AS solution, median(value) AS value FROM dl WHERE solution = 'normal' GROUP BY ALL UNION ALL SELECT task, semantic, episode, value FROM dl WHERE solution = 'diverse')"""
 
@@ -486,7 +484,7 @@ def csvc_q_stats(spark, sf_dir):
     return metrics.solution_spread(metrics.solution_profiles(deltas), deltas).select("task", *map(_r, ("q_repeat", "q_cross", "q_null")))
 
 
-_RESAMPLES = 200
+_RESAMPLES = 2000
 
 
 def _drawn_sql(place: str, parts: str, n: str) -> str:
@@ -599,11 +597,13 @@ def parse_scores(spark, sf_dir):
 
 
 @_query("""
-SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS name, CASE WHEN p_partkey % 2 = 0 THEN 'counterfactual-' || lpad(CAST(p_size AS VARCHAR), 3, '0') ELSE 'other_' || p_size END AS id FROM part""", base=False)
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'voc_mem' WHEN 1 THEN 'voc_mem' WHEN 2 THEN 'voc_f1' WHEN 3 THEN 'csvc' ELSE trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'counterfactual-' || lpad(CAST(p_size AS VARCHAR), 3, '0') ELSE 'other_' || p_size END AS id FROM part""", base=False)
 def canonical_names(spark, sf_dir):
     p = td.table(spark, sf_dir, "part")
     raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Counterfactual_"), "p_size")).otherwise(F.concat(F.lit("other_"), "p_size"))
-    return p.select("p_partkey", tx.canonical_metric(F.col("p_type")).alias("name"), tx.counterfactual_id(raw).alias("id"))
+    k = F.col("p_size") % 5
+    name = F.when(k == 0, "Mem-VOC ").when(k == 1, "VOCMEM").when(k == 2, " vocF1").when(k == 3, "CSPC").otherwise(F.col("p_type"))
+    return p.select("p_partkey", tx.canonical_metric(name).alias("name"), tx.counterfactual_id(raw).alias("id"))
 
 
 @_query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL", base=False)
@@ -614,9 +614,9 @@ def json_props(spark, sf_dir):
 @_query("""
 SELECT episode, CAST(k AS BIGINT) AS k, CAST(a + o AS BIGINT) AS before, CAST(b - 1 - o AS BIGINT) AS after FROM (
   SELECT *, least(CAST(round_even(i * 10.0::DOUBLE * 0.15::DOUBLE, 0) AS BIGINT), (b - a - 2) // 2) AS o FROM (
-    SELECT *, unnest(range(0, 4)) AS i, (num_frames * k) // 3 AS a, (num_frames * (k + 1)) // 3 AS b FROM (SELECT *, unnest(range(0, 3)) AS k FROM ep WHERE num_frames >= 9)))""")
+    SELECT *, unnest(range(0, 4)) AS i, (num_frames * k) // 3 AS a, (num_frames * (k + 1)) // 3 AS b FROM (SELECT *, unnest(range(0, 3)) AS k FROM ep)) WHERE b - a >= 2)""")
 def boundary_windows(spark, sf_dir):
-    e = td.episodes(td.frames(spark, sf_dir)).where("num_frames >= 9").select("episode", "num_frames", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    e = td.episodes(td.frames(spark, sf_dir)).select("episode", "num_frames", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     start, end = (F.floor(F.col("num_frames") * (F.col("k") + i) / 3).cast("int") for i in (0, 1))
-    p = e.withColumn("p", F.explode(fr.boundary_pairs(start, end, F.lit(td.FPS))))
+    p = e.where(end - start >= 2).withColumn("p", F.explode(fr.boundary_pairs(start, end, F.lit(td.FPS))))
     return p.select("episode", F.col("k").cast("long").alias("k"), F.col("p.before").cast("long").alias("before"), F.col("p.after").cast("long").alias("after"))

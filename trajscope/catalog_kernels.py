@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .functions import frames as fr
@@ -26,20 +28,27 @@ def _joined(frames):
 
 # --- names --------------------------------------------------------------------
 
-#: model, checkpoint, backend, shot -> name
-_BASELINES = [
-    ("topreward", "/m/Qwen-32B/", None, None, "topreward_qwen32b"), ("topreward", "x/MolmoAct 7B", "molmo", None, "topreward_molmo__molmoact-7b"), ("topreward", "qwen-8b", None, None, "topreward__qwen-8b"),
-    ("robodopamine", "GRM-2.0-8B-preview", None, None, "robodopamine_2_0_8b_preview"), ("robodopamine", "a/grm-3b", None, None, "robodopamine_3b"), ("rynnvalue", "rynn-4b-x", None, None, "rynnvalue_4b"),
-    ("rynnvalue", "rynn-14b", None, None, "rynnvalue__rynn-14b"), ("vlac", "VLAC-8b", None, "one_shot", "vlac_8b_one_shot"), ("vlac", None, None, "zero_shot", "vlac__unknown_zero_shot"),
-    ("procvlm", "p", None, "lora", "procvlm_one-shot"), ("procvlm", "p", None, None, "procvlm"), ("roboreward", "RoboReward", None, None, "roboreward_8b"), ("liv", "liv", None, None, "liv"), (None, None, None, None, "unknown"),
+#: Models of the parts in turn: model, what precedes the size in a checkpoint's name and follows it, backend, shot.
+_MODELS = [
+    ("topreward", "m/Qwen-", "B/", None, None), ("topreward", "x/MolmoAct ", "B", "molmo", None), ("robodopamine", "GRM-2.0-", "B-preview", None, None), ("robodopamine", "a/grm-", "b", None, None),
+    ("rynnvalue", "rynn-", "b-x", None, None), ("vlac", "VLAC-", "b", None, "one_shot"), ("vlac", None, None, None, "zero_shot"), ("procvlm", "p", "", None, "lora"), ("procvlm", "p", "", None, None),
+    ("roboreward", "RoboReward ", "", None, None), ("liv", "liv", "", None, None), (None, None, None, None, None),
 ]
-_VALUES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in _BASELINES)
+_PICK = ", ".join("(" + ", ".join(str(k) if i == 0 else "NULL" if x is None else f"'{x}'" for i, x in enumerate((k, *row))) + ")" for k, row in enumerate(_MODELS))
 
 
-@query(f"SELECT * FROM (VALUES {_VALUES}) x(model, checkpoint, backend, shot, name)", base=False)
+@query(f"""
+WITH m(k, model, pre, post, backend, shot) AS (VALUES {_PICK}),
+q AS (SELECT p_partkey, m.*, pre || p_size || post AS checkpoint, p_size AS z, trim(regexp_replace(string_split(lower(rtrim(pre || p_size || post, '/')), '/')[-1], '[^a-z0-9._-]+', '-', 'g'), '-') AS safe FROM part JOIN m ON k = p_partkey % {len(_MODELS)})
+SELECT p_partkey, CASE
+  WHEN model = 'topreward' AND backend = 'molmo' THEN 'topreward_molmo__' || safe
+  WHEN model = 'topreward' AND z = 32 THEN 'topreward_qwen32b' WHEN k = 2 AND z IN (4, 8) THEN 'robodopamine_2_0_' || z || 'b_preview' WHEN k = 3 AND z IN (3, 4, 8) THEN 'robodopamine_' || z || 'b'
+  WHEN k = 4 AND z IN (4, 8) THEN 'rynnvalue_' || z || 'b' WHEN k = 5 AND z IN (2, 8) THEN 'vlac_' || z || 'b_one_shot' WHEN k = 6 THEN 'vlac__unknown_zero_shot'
+  WHEN k IN (0, 2, 3, 4, 5, 9) THEN model || '__' || safe || CASE WHEN k = 5 THEN '_one_shot' ELSE '' END WHEN k = 7 THEN 'procvlm_one-shot' ELSE coalesce(model, 'unknown') END AS name FROM q""", base=False)
 def baseline_names(spark, sf_dir):
-    rows = spark.createDataFrame([r[:4] for r in _BASELINES], "model string, checkpoint string, backend string, shot string")
-    return rows.withColumn("name", nm.baseline_name(F.col("model"), F.col("checkpoint"), F.col("backend"), F.col("shot")))
+    models = spark.createDataFrame([(k, *row) for k, row in enumerate(_MODELS)], "k int, model string, pre string, post string, backend string, shot string")
+    p = td.table(spark, sf_dir, "part").withColumn("k", (F.col("p_partkey") % len(_MODELS)).cast("int")).join(F.broadcast(models), "k")
+    return p.select("p_partkey", nm.baseline_name(F.col("model"), F.concat("pre", "p_size", "post"), F.col("backend"), F.col("shot")).alias("name"))
 
 
 @query("""
@@ -54,28 +63,41 @@ def part_names(spark, sf_dir):
 
 # --- answers ------------------------------------------------------------------
 
-#: text -> subtask of a list, progress, subtask before a verdict, verdict
+#: Forms of answers by documents in turn, with an action {p} and a percentage {n}: text, subtask of a list, progress in per cent, subtask before a verdict, verdict.
 _ANSWERS = [
-    ("- pick up the cup\\n- put it down\\nTherefore, the estimated progress is <progress>40%</progress>.", "pick up the cup", 0.4, None, None),
-    ("1.) 003: open  the door\n2.) close it", "open the door", None, None, None),
-    ("00\n5: wipe the table", "wipe the table", None, None, None),
-    ("The arm should move left. Therefore, the estimated progress is <progress> 12.5 %</progress>", "The arm should move left.", 0.125, None, None),
-    ("This task is finished because it is.", "All tasks are completed.", 1.0, None, None),
-    ("well <progress>100.0%</progress>", "All tasks are completed.", 1.0, None, None),
-    ("Place the &quot;red&quot; block.", 'Place the "red" block.', None, None, None),
-    ("Subtask: Pick the yes block. Yes, done", None, None, "Pick the yes block.", "yes"),
-    ("Subtask: lift it no", None, None, "lift it", "no"),
-    ("Lift the lid. No", None, None, "Lift the lid.", "no"),
-    ("nothing here", None, None, None, None),
+    (r"- {p}\n- put it down\nTherefore, the estimated progress is <progress>{n}%</progress>.", "{p}", "{n}", None, None),
+    ("1.) 003: {p}  now\n2.) close it", "{p} now", None, None, None),
+    ("00\n5: {p}", "{p}", None, None, None),
+    ("The arm should {p}. Therefore, the estimated progress is <progress> {n}.5 %</progress>", "The arm should {p}.", "{n}.5", None, None),
+    ("This task is finished because {p}", "All tasks are completed.", "100", None, None),
+    (r"well \<progr\ess>100.0%\</progr\ess> {p}", "All tasks are completed.", "100", None, None),
+    ("&lt;progress&gt;{n}%&lt;/progress&gt; {p}", None, "{n}", None, None),
+    ("Place the &quot;{p}&quot;&nbsp;&eacute;&#233;&#x2014;&copy.", 'Place the "{p}"\u00a0\u00e9\u00e9\u2014\u00a9.', None, None, None),
+    ("Subtask: {p} yes block. Yes, done", None, None, "{p} yes block.", "yes"),
+    ("Subtask: {p} no", None, None, "{p}", "no"),
+    ("Hold {p}. No", None, None, "Hold {p}.", "no"),
+    ("nothing {p}", None, None, None, None),
 ]
-_quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
 
 
-@query(f"SELECT CAST(k AS BIGINT) AS k, listed, CAST(progress AS DOUBLE) AS progress, labelled, verdict FROM (VALUES {', '.join('(' + ', '.join([str(k), *map(_quoted, row[1:])]) + ')' for k, row in enumerate(_ANSWERS))}) x(k, listed, progress, labelled, verdict)", base=False)
+def _form(text: str | None) -> str:
+    """The SQL of a form."""
+    if text is None:
+        return "NULL"
+    parts = [x for x in re.split(r"(\{[pn]\})", text) if x]
+    return " || ".join({"{p}": "p", "{n}": "n"}.get(x) or "'" + x.replace("'", "''") + "'" for x in parts)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % {len(_ANSWERS)} AS k, 'move ' || source || ' to ' || lang AS p, CAST(doc_id % 100 AS VARCHAR) AS n FROM documents)
+SELECT doc_id, {', '.join(f"CASE k {' '.join(f'WHEN {k} THEN {_form(row[i])}' for k, row in enumerate(_ANSWERS))} END AS {name}" for i, name in ((1, 'listed'), (3, 'labelled'), (4, 'verdict')))},
+  CAST(CASE k {' '.join(f'WHEN {k} THEN {_form(row[2])}' for k, row in enumerate(_ANSWERS))} END AS DOUBLE) / 100.0::DOUBLE AS progress FROM d""", base=False)
 def answer_grammar(spark, sf_dir):
-    rows = spark.createDataFrame([(k, r[0]) for k, r in enumerate(_ANSWERS)], "k long, text string")
+    forms = spark.createDataFrame([(k, row[0]) for k, row in enumerate(_ANSWERS)], "k int, form string")
+    rows = td.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(_ANSWERS)).cast("int").alias("k"), F.concat_ws(" ", F.lit("move"), "source", F.lit("to"), "lang").alias("p"), (F.col("doc_id") % 100).cast("string").alias("n"))
+    rows = rows.join(F.broadcast(forms), "k").select("doc_id", F.replace(F.replace("form", F.lit("{p}"), F.col("p")), F.lit("{n}"), F.col("n")).alias("text"))
     parts = tx.labelled_answer(F.col("text"))
-    return rows.select("k", tx.listed_subtask(F.col("text")).alias("listed"), tx.progress_percent(F.col("text")).alias("progress"), parts["subtask"].alias("labelled"), parts["answer"].alias("verdict"))
+    return rows.select("doc_id", tx.listed_subtask(F.col("text")).alias("listed"), tx.progress_percent(F.col("text")).alias("progress"), parts["subtask"].alias("labelled"), parts["answer"].alias("verdict"))
 
 
 @query("""
@@ -97,14 +119,14 @@ def judge_prompts(spark, sf_dir):
 
 @query("""
 SELECT episode, num_frames // 2 AS anchor,
-  (SELECT string_agg(f, ',' ORDER BY i) FROM (SELECT i, CAST(round_even(i * ((num_frames // 2) / 7.0::DOUBLE), 0) AS BIGINT) AS f FROM (SELECT unnest(range(0, 8)) AS i))) AS spread,
+  (SELECT string_agg(f, ',' ORDER BY i) FROM (SELECT i, CASE WHEN num_frames // 2 < 8 THEN least(i, num_frames // 2) ELSE CAST(round_even(i * ((num_frames // 2) / 7.0::DOUBLE), 0) AS BIGINT) END AS f FROM (SELECT unnest(range(0, 8)) AS i))) AS spread,
   (SELECT string_agg(f, ',' ORDER BY i) FROM (SELECT i, (num_frames // 2) * i // 3 AS f FROM (SELECT unnest(range(0, 4)) AS i))) AS floored,
   array_to_string(list_sort(list_distinct(list_concat(list_filter(list_transform(range(0, 60), lambda i: (2 * i * 5 + 2) // 4), lambda f: f <= num_frames // 2), [num_frames // 2]))), ',') AS ratio,
   array_to_string(list_sort(list_distinct(list_concat(range(0, num_frames // 2 + 1, 3), [num_frames // 2]))), ',') AS hops,
   CAST(num_frames // 2 - (num_frames // 2) % 5 AS BIGINT) AS grid_end
-FROM ep WHERE num_frames >= 16""")
+FROM ep""")
 def kernel_frames(spark, sf_dir):
-    e = _episodes(spark, sf_dir).where("num_frames >= 16").withColumn("anchor", F.floor(F.col("num_frames") / 2).cast("int"))
+    e = _episodes(spark, sf_dir).withColumn("anchor", F.floor(F.col("num_frames") / 2).cast("int"))
     a = F.col("anchor")
     return e.select(
         "episode", a.cast("long").alias("anchor"), _joined(fr.prefix_uniform(a, 8)).alias("spread"), _joined(fr.prefix_floor(a, 4)).alias("floored"), _joined(F.array_sort(kn.ratio_grid(a, F.lit(5), F.lit(2)))).alias("ratio"),
@@ -194,15 +216,14 @@ def candidate_margins(spark, sf_dir):
 
 
 @query("""
-, c AS (SELECT episode, num_frames, count(*) AS n FROM fr GROUP BY ALL)
-SELECT episode, n AS n_points, '12.0' AS first_x, '468.0' AS last_x, 148.0::DOUBLE AS lowest, 12.0::DOUBLE AS highest,
-  round(least(num_frames // 3, num_frames - 1 - num_frames // 3) / ((num_frames - 1) / 2.0::DOUBLE), 9) + 0.0 AS target FROM c WHERE num_frames > 1""")
+, c AS (SELECT episode, num_frames AS n, list(v ORDER BY frame) AS vs, min(v) AS lo, max(v) AS hi FROM fr GROUP BY ALL),
+p AS (SELECT episode, n, list_transform(range(0, n), lambda i: 12 + i * (456.0::DOUBLE / greatest(n - 1, 1))) AS xs, list_transform(vs, lambda v: 148 - coalesce((v - lo) / nullif(hi - lo, 0), 0.5) * 136.0::DOUBLE) AS ys,
+  list_transform(range(0, n), lambda i: 148 - least(i, n - 1 - i) / greatest((n - 1) / 2.0::DOUBLE, 0.5) * 136) AS ts FROM c)
+SELECT episode, n AS n_points, array_to_string(list_transform(range(1, n + 1), lambda i: printf('%.1f,%.1f', floor(xs[i] * 10 + 0.5) / 10, floor(ys[i] * 10 + 0.5) / 10)), ' ') AS points,
+  array_to_string(list_transform(range(1, n + 1), lambda i: printf('%.1f,%.1f', floor(xs[i] * 10 + 0.5) / 10, floor(ts[i] * 10 + 0.5) / 10)), ' ') AS ideal FROM p""")
 def value_curves(spark, sf_dir):
-    c = td.curves(td.frames(spark, sf_dir)).where("num_frames > 1").withColumn("points", F.split(charts.polyline(F.col("values")), " "))
-    target = charts.cycle_target(F.floor(F.col("num_frames") / 3), F.col("num_frames"))
-    x, y = F.transform("points", lambda p: F.split(p, ",")[0]), F.transform("points", lambda p: F.split(p, ",")[1])
-    heights = F.transform(y, lambda v: v.cast("double"))
-    return c.select("episode", F.size("points").cast("long").alias("n_points"), x[0].alias("first_x"), F.element_at(x, -1).alias("last_x"), F.array_max(heights).alias("lowest"), F.array_min(heights).alias("highest"), rounded(target.cast("double"), "target"))
+    c = td.curves(td.frames(spark, sf_dir))
+    return c.select("episode", F.size("values").cast("long").alias("n_points"), charts.polyline(F.col("values")).alias("points"), charts.triangle(F.size("values")).alias("ideal"))
 
 
 # --- episode tables -----------------------------------------------------------
@@ -223,11 +244,13 @@ def replaced_labels(spark, sf_dir):
     return dataset.remap_labels(e, "tasks", labels).select("episode", F.array_join("tasks", ",").alias("tasks"))
 
 
-@query("SELECT * FROM (VALUES ('a,b,c', 3), ('x', 1), ('', 0)) v(items, n)", base=False)
+@query("""
+SELECT p_partkey, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ',') AS items, CAST(len(list_distinct(u)) AS BIGINT) AS n
+FROM (SELECT p_partkey, list_filter(list_transform(string_split(' ' || p_brand || ', ' || p_type || ' ,, ' || p_name || ',' || p_type || ' ', ','), lambda x: trim(x)), lambda x: x <> '') AS u FROM part)""", base=False)
 def comma_lists(spark, sf_dir):
-    rows = spark.createDataFrame([(" a, b,a ,, c",), ("x",), (" ,",)], "text string")
-    own = tx.comma_list(F.col("text"))
-    return rows.select(F.array_join(own, ",").alias("items"), F.size(own).alias("n"))
+    text = F.concat(F.lit(" "), "p_brand", F.lit(", "), "p_type", F.lit(" ,, "), "p_name", F.lit(","), "p_type", F.lit(" "))
+    own = tx.comma_list(text)
+    return td.table(spark, sf_dir, "part").select("p_partkey", F.array_join(own, ",").alias("items"), F.size(own).cast("long").alias("n"))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import frames as fr
-from .operators import checked, metrics, reuse, statistics
+from .operators import checked, metrics, positions, reuse, statistics
 from .plans import audits, cohorts, identify
 from .plans import queries as plans
 from .register import MACRO, macro, query, rounded
@@ -28,10 +28,10 @@ _ASKED = {"sa": "SA", "voc": None, "cycle_voc": None, "vs": None, "voc_mem": "VO
 
 
 @query(f""", m AS (SELECT * FROM (VALUES {', '.join(f"('{m}', '{t}')" for m, name in _ASKED.items() for t, own in _DECLARED.items() if (name in own if name else {'VOC', 'CYCLE-VOC'} & set(own)))}) x(metric, task))
-SELECT metric, task, (SELECT count(*) FROM ep WHERE ep.task = m.task AND domain = 'env') AS n FROM m WHERE EXISTS (SELECT 1 FROM ep WHERE ep.task = m.task AND domain = 'env')""")
+SELECT metric, task, (SELECT count(*) FROM ep WHERE ep.task = m.task) AS n FROM m WHERE EXISTS (SELECT 1 FROM ep WHERE ep.task = m.task)""")
 def declared_tasks(spark, sf_dir):
     tasks = spark.createDataFrame(list(_DECLARED.items()), "task string, metrics array<string>")
-    own = _episodes(spark, sf_dir).where("domain = 'env'").groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    own = _episodes(spark, sf_dir).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     parts = [tasks.where(cohorts.declares(F.col("metrics"), m)).select(F.lit(m).alias("metric"), "task") for m in _ASKED]
     out = parts[0]
     for p in parts[1:]:
@@ -74,11 +74,11 @@ def repeated_roles(spark, sf_dir):
     return audits.repeated_roles(_episodes(spark, sf_dir).withColumn("role", F.when(F.col("user_id") % 4 == 0, "r_plus").otherwise(F.col("role"))))
 
 
-@query(" SELECT domain, task, episode, len(range(0, num_frames, 12)) AS n_points FROM ep WHERE success AND len(range(0, num_frames, 12)) < 3")
+@query(" SELECT domain, task, episode, len(range(0, num_frames, 12)) AS n_points, len(range(0, num_frames, 12)) < 2 AS short FROM ep WHERE success")
 def memory_cohort(spark, sf_dir):
-    e = _episodes(spark, sf_dir).withColumn("voc_mem", F.sequence(F.lit(0), F.col("num_frames") - 1, F.lit(12)))
-    short = audits.short_memories(e).unionByName(e.where(F.col("success") & (F.size("voc_mem") == 2)).select("domain", "task", "episode", F.size("voc_mem").alias("n_points")))
-    return short.select("domain", "task", "episode", *_long("n_points"))
+    e = _episodes(spark, sf_dir).where("success").withColumn("voc_mem", F.sequence(F.lit(0), F.col("num_frames") - 1, F.lit(12)))
+    short = audits.short_memories(e).select("domain", "task", "episode", F.lit(True).alias("found"))
+    return e.join(short, ["domain", "task", "episode"], "left").select("domain", "task", "episode", F.size("voc_mem").cast("long").alias("n_points"), F.coalesce("found", F.lit(False)).alias("short"))
 
 
 @query(" SELECT task, count(*) FILTER (success AND solution = 'normal') AS n_normal, count(*) FILTER (success AND solution = 'diverse') AS n_diverse FROM ep WHERE domain = 'id' GROUP BY ALL HAVING n_normal = 0 OR n_diverse = 0")
@@ -273,22 +273,11 @@ def missing_samples(spark, sf_dir):
     return audits.missing_samples(e, e.where("cast(query_id as long) % 17 <> 3"))
 
 
-@query("SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS ord FROM events WHERE event_id % 3 = 0", base=False)
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS ord FROM events", base=False)
 def plan_order(spark, sf_dir):
-    e = td.table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("query_id"), "ts")
-    # the rank of an event among all: those of earlier days, of which there are few, and those of its own day
-    days = e.withColumn("day", F.to_date("ts"))
-    sizes = days.groupBy("day").agg(F.count(F.lit(1)).alias("size"))
-    earlier = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.day") < F.col("a.day"), "left").groupBy(F.col("a.day").alias("day")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))
-    own = F.row_number().over(_by("day", "ts", "query_id"))
-    plan = days.withColumn("own", own).join(F.broadcast(earlier), "day").select("query_id", (F.col("before") + F.col("own")).alias("ord"))
-    return audits.in_plan_order(e.select("query_id"), plan).select(F.col("query_id").alias("event_id"), *_long("ord"))
-
-
-def _by(key, *order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*order)
+    e = td.table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), "ts")
+    plan = positions.numbered(e, [F.col("ts"), F.col("query_id")])
+    return audits.in_plan_order(e.select("query_id"), plan).select(F.col("query_id").alias("event_id"), (F.col("ord") + 1).cast("long").alias("ord"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 5 <> 0 AND event_id % 7 = 0", base=False)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Other names of metrics.
-METRIC_ALIASES = {"cspc": "csvc"}
+METRIC_ALIASES = {"cspc": "csvc", "vocmem": "voc_mem", "mem_voc": "voc_mem", "vocf1": "voc_f1"}
 
 
 def canonical_metric(name: Column) -> Column:
@@ -52,13 +56,27 @@ FINISHED = "this task is finished because"
 COMPLETED = "All tasks are completed."
 ITEM = r"(?:[-*\u2022]|\d+(?:\.\)|[.):]|[ \t]*[-\u2013\u2014:]))[ \t]+"
 VERBS = "Place Pick Put Grasp Grab Move Lift Hang Insert Fold Close Open Press Push Pull Stack Sweep Rotate Turn Release Slide Align Remove Take Set Hold Carry Position Arrange Store".split()
+#: A progress tag; writers put a backslash or white space before the bracket and inside the word.
+OPEN_TAG, CLOSE_TAG = (rf"\\?\s*<\s*{slash}progr\\?\s*ess\s*>" for slash in ("", r"/\s*"))
+ALL_DONE = rf"(?is){OPEN_TAG}\s*100(?:\.0+)?\s*%\s*{CLOSE_TAG}"
+PERCENT = rf"(?is){OPEN_TAG}\s*(\d+(?:\.\d+)?)\s*%\s*{CLOSE_TAG}"
+NUMBER_APART = r"(?<!\d)(\d+)\s+(\d+)(?=\s*:)"
+FIRST_ITEM = rf"(?ms)^[ \t]*{ITEM}(.+?)(?=\n[ \t]*(?:{ITEM}|Therefore\b)|\z)"
+ITEM_NUMBER = r"^\d+\s*[:\u2013\u2014-]\s*"
+BEFORE_PROGRESS = r"(?is)^(.*?)\s*Therefore,\s*the estimated progress is\s*<progress>\s*\d+(?:\.\d+)?\s*%\s*</progress>\s*\.?\s*$"
+ONE_ACTION = rf"(?i)^((?:{'|'.join(VERBS)})\b[^\n<>]+[.!])$"
+AFTER_LABEL = r"(?is)\bsubtask\s*:\s*(.*)$"
+VERDICT, LOOSE_VERDICT = r"(?ims)^(.*?)(?:^|(?<=[.!?]))[ \t]*(yes|no)\b", r"(?is)^(.*?)\b(yes|no)\b"
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def html_unescape(text: Column) -> Column:
-    """The entities that html_escape writes."""
-    for raw, escaped in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("'", "&#39;"), ("&", "&amp;")):
-        text = F.replace(text, F.lit(escaped), F.lit(raw))
-    return text
+    """All named and numbered entities of HTML, by the standard library: its table has no counterpart among Spark's functions."""
+    return _unescaped(text)
 
 
 def listed_subtask(text: Column) -> Column:
@@ -69,19 +87,20 @@ def listed_subtask(text: Column) -> Column:
     begins with a verb of action.
     """
     plain = html_unescape(F.replace(F.replace(F.replace(text, F.lit("\\r\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
-    plain = F.regexp_replace(plain, r"(?<!\d)(\d+)\s+(\d+)(?=\s*:)", "$1$2")
-    done = F.contains(F.lower(plain), F.lit(FINISHED)) | plain.rlike(r"(?is)<\s*progress\s*>\s*100(?:\.0+)?\s*%\s*<\s*/\s*progress\s*>")
-    item = F.regexp_extract(plain, rf"(?ms)^[ \t]*{ITEM}(.+?)(?=\n[ \t]*(?:{ITEM}|Therefore\b)|\z)", 1)
-    item = F.regexp_replace(F.trim(F.regexp_replace(item, r"\s+", " ")), r"^\d+\s*[:\u2013\u2014-]\s*", "")
-    prose = F.trim(F.regexp_replace(F.regexp_extract(F.trim(plain), r"(?is)^(.*?)\s*Therefore,\s*the estimated progress is\s*<progress>\s*\d+(?:\.\d+)?\s*%\s*</progress>\s*\.?\s*$", 1), r"\s+", " "))
-    action = F.regexp_extract(F.trim(plain), rf"(?i)^((?:{'|'.join(VERBS)})\b[^\n<>]+[.!])$", 1)
+    plain = F.regexp_replace(plain, NUMBER_APART, "$1$2")
+    done = F.contains(F.lower(plain), F.lit(FINISHED)) | plain.rlike(ALL_DONE)
+    one_space = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    item = F.regexp_replace(one_space(F.regexp_extract(plain, FIRST_ITEM, 1)), ITEM_NUMBER, "")
+    prose = one_space(F.regexp_extract(F.trim(plain), BEFORE_PROGRESS, 1))
+    action = F.regexp_extract(F.trim(plain), ONE_ACTION, 1)
     return F.when(done, COMPLETED).when(item != "", item).when(prose.rlike("[A-Za-z]"), prose).when(action != "", action)
 
 
 def progress_percent(text: Column) -> Column:
-    """`<progress>12.5%</progress>` as 0.125; 1 where the text says that all is finished; null otherwise."""
-    number = F.regexp_extract(text, r"(?is)<\s*progress\s*>\s*(\d+(?:\.\d+)?)\s*%\s*<\s*/\s*progress\s*>", 1)
-    return F.when(number != "", F.when(number != "", number).try_cast("double") / F.lit(100.0)).when(F.contains(F.lower(text), F.lit(FINISHED)), 1.0)
+    """`<progress>12.5%</progress>` as 0.125, the tag escaped or split too; 1 where the text says that all is finished; null otherwise."""
+    plain = html_unescape(text)
+    number = F.regexp_extract(plain, PERCENT, 1)
+    return F.when(number != "", F.when(number != "", number).try_cast("double") / F.lit(100.0)).when(F.contains(F.lower(plain), F.lit(FINISHED)), 1.0)
 
 
 def labelled_answer(text: Column) -> Column:
@@ -90,8 +109,8 @@ def labelled_answer(text: Column) -> Column:
     Null subtask where it is empty or there is no verdict.
     """
     label = text.rlike(r"(?i)\bsubtask\s*:")
-    after = F.regexp_extract(text, r"(?is)\bsubtask\s*:\s*(.*)$", 1)
-    strict, loose = r"(?ims)^(.*?)(?:^|(?<=[.!?]))[ \t]*(yes|no)\b", r"(?is)^(.*?)\b(yes|no)\b"
+    after = F.regexp_extract(text, AFTER_LABEL, 1)
+    strict, loose = VERDICT, LOOSE_VERDICT
     pick = lambda group: F.when(label, F.when(after.rlike(strict), F.regexp_extract(after, strict, group)).otherwise(F.regexp_extract(after, loose, group))).otherwise(F.regexp_extract(text, strict, group))
     subtask, answer = F.trim(pick(1)), F.lower(pick(2))
     return F.struct(F.when(subtask != "", subtask).alias("subtask"), F.when(answer != "", answer).alias("answer"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import numbered
+
 #: Pieces of a partition: what cannot be split further is this share of one.
 PIECES = 16
 #: Groups of keys whose sums are ordered among themselves.
@@ -45,11 +47,9 @@ def packed(rows: DataFrame, shape: Sequence[str], frames: str, order: Sequence[s
     """rows with batch, a number within their shape: equal frames and equal shape, at most `budget` frames (one row at least) and `most` rows.
 
     All rows of a batch have the same number of frames, so a batch is full after
-    budget / frames rows. Rows of a shape are numbered in parts, each dealt by a
-    hash and with batches of its own, so one instruction that everybody asks is no hot task.
+    budget / frames rows. Rows are numbered by range partitions
+    (`positions.numbered`), so one instruction that everybody asks is no hot task.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(GROUPS))
     size = F.least(F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col(frames), F.lit(1)))), F.lit(most))
-    own = Window.partitionBy(*shape, frames, "part_").orderBy(*order)
-    numbered = rows.withColumn("part_", part).withColumn("place_", F.row_number().over(own) - 1)
-    return numbered.withColumn("batch", F.concat_ws(".", "part_", F.floor(F.col("place_") / size))).drop("part_", "place_")
+    placed = numbered(rows, [F.col(c) for c in order], "place_", [*shape, frames])
+    return placed.withColumn("batch", F.floor(F.col("place_") / size).cast("long")).drop("place_")

@@ -45,28 +45,28 @@ def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return s.select(*keys, "n", F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), root).alias("rho"))
 
 
-WIN_BINS = 1024
+#: Bins of a cell's values; a bin holds about so many-th of its different values.
+WIN_BINS = 64
 
 
 def pairwise_wins(rows: DataFrame, keys: Sequence[str], value: str, winner: str) -> DataFrame:
     """keys, wins, n_winners, n_losers, score: share of (winner, loser) pairs where the winner is strictly above.
 
-    Running counts instead of a join of all pairs, in two levels, so that no task
-    sorts a whole cell: losers in lower bins of the value's range (a table of at
-    most WIN_BINS rows a cell), and losers below within the bin.
+    Equal values are counted first, so ties are a row. Running counts of losers
+    take the place of a join of all pairs, in two levels, so that no task sorts
+    a whole cell: bins between quantiles of a sketch, which outliers do not widen, and the values within a bin.
     """
     keys = list(keys)
-    ends = rows.groupBy(*keys).agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
-    place = F.coalesce(F.try_divide((F.col(value) - F.col("low_")).cast("double"), (F.col("high_") - F.col("low_")).cast("double")), F.lit(0.0))
-    binned = rows.join(ends, keys).withColumn("bin_", F.least(F.floor(place * WIN_BINS), F.lit(WIN_BINS - 1)))
     loser = F.when(F.col(winner), 0).otherwise(1)
-    sizes = binned.groupBy(*keys, "bin_").agg(F.sum(loser).alias("losers_"))
-    lower = Window.partitionBy(*keys).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "bin_", F.coalesce(F.sum("losers_").over(lower), F.lit(0)).alias("lower_"))
-    upto = Window.partitionBy(*keys, "bin_").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    below = F.sum(loser).over(upto) - F.sum(loser).over(Window.partitionBy(*keys, "bin_", value))
-    counted = binned.withColumn("within_", below).join(sizes, [*keys, "bin_"]).withColumn("below_", F.when(F.col(winner), F.col("lower_") + F.col("within_")).otherwise(0))
-    out = counted.groupBy(*keys).agg(F.sum("below_").alias("wins"), F.sum(1 - loser).alias("n_winners"), F.sum(loser).alias("n_losers"))
+    counted = rows.select(*keys, F.col(value).cast("double").alias("v_"), loser.alias("l_")).groupBy(*keys, "v_").agg(F.sum("l_").alias("losers_"), F.sum(1 - F.col("l_")).alias("winners_"))
+    cuts = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v_", [k / WIN_BINS for k in range(1, WIN_BINS)], 1000)).alias("cuts_"))
+    binned = counted.join(cuts, keys).withColumn("bin_", F.size(F.filter("cuts_", lambda c: c < F.col("v_")))).drop("cuts_")
+    below = lambda w: F.coalesce(F.sum("losers_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = binned.withColumn("below_", below(Window.partitionBy(*keys, "bin_").orderBy("v_")))
+    # of a bin: losers, winners, wins within it
+    bins = within.groupBy(*keys, "bin_").agg(F.sum("losers_").alias("losers_"), F.sum("winners_").alias("winners_"), F.sum(F.col("winners_") * F.col("below_")).alias("wins_"))
+    bins = bins.withColumn("lower_", below(Window.partitionBy(*keys).orderBy("bin_")))
+    out = bins.groupBy(*keys).agg(F.sum(F.col("wins_") + F.col("winners_") * F.col("lower_")).alias("wins"), F.sum("winners_").alias("n_winners"), F.sum("losers_").alias("n_losers"))
     return out.withColumn("score", F.try_divide(F.col("wins").cast("double"), (F.col("n_winners") * F.col("n_losers")).cast("double")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.positions import numbered
+
 CELL = ["domain", "task"]
 LEAST_SAMPLES = 7
 
@@ -76,17 +78,9 @@ def span_order(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def group_ordinals(episodes: DataFrame) -> DataFrame:
-    """Complete groups numbered from 0 on by domain, task and group.
-
-    Numbers within a cell are a window by cell; cells are counted and summed up
-    as a table of their own, so no window spans all groups.
-    """
-    groups = episodes.groupBy(*CELL, "trr_group").agg(F.count_distinct("role").alias("n")).where("n = 3")
-    cells = groups.groupBy(*CELL).agg(F.count(F.lit(1)).alias("size"))
-    before = cells.alias("a").join(F.broadcast(cells.alias("b")), (F.col("b.domain") < F.col("a.domain")) | ((F.col("b.domain") == F.col("a.domain")) & (F.col("b.task") < F.col("a.task"))), "left")
-    before = before.groupBy(F.col("a.domain").alias("domain"), F.col("a.task").alias("task")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy(*CELL).orderBy("trr_group")) - 1
-    return groups.withColumn("own", own).join(F.broadcast(before), CELL).select(*CELL, "trr_group", (F.col("before") + F.col("own")).alias("ordinal"))
+    """Complete groups numbered from 0 on by domain, task and group."""
+    groups = episodes.groupBy(*CELL, "trr_group").agg(F.count_distinct("role").alias("n")).where("n = 3").select(*CELL, "trr_group")
+    return numbered(groups, [F.col(c) for c in (*CELL, "trr_group")], "ordinal")
 
 
 def missing_samples(plan: DataFrame, predictions: DataFrame, most: int = 3) -> DataFrame:

@@ -25,25 +25,34 @@ def expand(asked: list[str], known: list[str]) -> list[str]:
 def eligibility(data: Dataset, metrics: list[str], tasks: list[str], domains: list[str]) -> DataFrame:
     """metric, task, reason (null if a plan can be made): what planning each cell alone would say.
 
-    A cell whose episodes break a rule of the metric has that rule's text. Cells
-    are those of the benchmark, tasks times metrics.
+    Every metric is planned once for all of its tasks; only where that is refused
+    are its tasks planned one by one, to tell whose episodes break the rule.
     """
     spark = data.tasks.sparkSession
+    asked = data.tasks.where(F.col("task_id").isin(*tasks))
+    declared: dict[str, set] = {m: set() for m in metrics}
+    named = F.filter(F.array(*(F.when(cohorts.declares(F.col("metrics"), m), F.lit(m)) for m in metrics)), lambda m: m.isNotNull())
+    for r in asked.select("task_id", F.explode(named).alias("metric")).collect():  # a row per metric and task
+        declared[r["metric"]].add(r["task_id"])
     rows = []
-    declared = {m: {r["task_id"] for r in data.tasks.where(cohorts.declares(F.col("metrics"), m)).select("task_id").collect()} for m in metrics}
     for metric in metrics:
-        for task in tasks:
-            if task not in declared[metric]:
-                rows.append((metric, task, "the task does not declare the metric"))
-                continue
-            try:
-                some = METRICS[metric].plan(data, [task], domains).take(1)
-                rows.append((metric, task, None if some else "no episode is eligible"))
-            except ValueError as e:
-                rows.append((metric, task, str(e)))
+        own = [t for t in tasks if t in declared[metric]]
+        rows += [(metric, t, "the task does not declare the metric") for t in tasks if t not in declared[metric]]
+        try:
+            some = {r["task"] for r in METRICS[metric].plan(data, own, domains).select("task").distinct().collect()} if own else set()
+            rows += [(metric, t, None if t in some else "no episode is eligible") for t in own]
+        except ValueError:
+            rows += [(metric, t, _refusal(data, metric, t, domains)) for t in own]
     return spark.createDataFrame(rows, "metric string, task string, reason string")
 
 
+def _refusal(data: Dataset, metric: str, task: str, domains: list[str]) -> str | None:
+    try:
+        return None if METRICS[metric].plan(data, [task], domains).take(1) else "no episode is eligible"
+    except ValueError as e:
+        return str(e)
+
+
 def cells(baselines: DataFrame, eligible: DataFrame, rules: DataFrame) -> DataFrame:
     """baseline, metric, task, reason: the rule's text, or that of the data; null where the cell runs.
 

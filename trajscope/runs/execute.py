@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checked, lineage
+from ..operators import checked, layout, lineage
 from ..plans import identify
 from ..sources import contents, dataset
 from ..sources.commits import Log, Snapshot
@@ -23,7 +23,7 @@ from ..sources.scratch import fresh_path
 from ..sources.storage import Storage, joined
 from . import results
 from .config import RunConfig
-from .registry import METRICS, Metric, check_mode, open_predictor, predictor_class
+from .registry import METRICS, Metric, Predictor, check_mode, open_predictor, predictor_class
 
 ASKED = ["op", "task", "episode", "anchor", "anchor_b", "instruction", "playback"]
 ANSWERS = "query_id string, op string, score double, output string"
@@ -41,7 +41,8 @@ def answered(queries: DataFrame, model: str, settings: dict, batch_size: int = 1
     """ANSWERS for queries of any op, each kind by its own method, in the order of the batch; a model is opened once per partition.
 
     Values of equal states are asked once in a partition; queries of an episode
-    meet in one. A compare is the difference of the values of its two states.
+    meet in one, as far as partitions of equal cost allow. A compare is the
+    difference of the values of its two states.
     """
 
     def of_states(predictor, rows: pd.DataFrame, known: dict) -> list[float]:
@@ -71,8 +72,26 @@ def answered(queries: DataFrame, model: str, settings: dict, batch_size: int = 1
                         out["score"] = of_states(predictor, rows, known)
                     yield out
 
-    together = queries.select("query_id", *ASKED).repartition("task", "episode").sortWithinPartitions("task", "episode", "anchor")
-    return together.mapInPandas(run, ANSWERS)
+    asked = queries.select("query_id", *ASKED)
+    kind = predictor_class(model)
+    if native is None and kind.answer_states is not Predictor.answer_states:
+        return _answered_by_table(asked, kind(**settings))
+    # a state costs as much as the prefix that a predictor reads for it
+    partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = layout.balanced(asked, ["task", "episode"], "anchor", F.greatest(F.col("anchor"), F.coalesce("anchor_b", F.lit(0))) + 1, partitions)
+    return together.select("query_id", *ASKED).mapInPandas(run, ANSWERS)
+
+
+def _answered_by_table(asked: DataFrame, predictor: Predictor) -> DataFrame:
+    """ANSWERS of a predictor that takes the states as a table; each different one is asked once."""
+    state = ["task", "episode", "anchor", "instruction", "playback"]
+    other = asked.where("op = 'compare'").withColumn("anchor", F.col("anchor_b"))
+    values = predictor.answer_states(asked.unionByName(other).where("op <> 'subtask'").select(*state).distinct()).select(*state, "score")
+    own = asked.join(values.withColumnRenamed("score", "a"), state, "left")
+    own = own.join(values.withColumnsRenamed({"anchor": "anchor_b", "score": "b"}), ["task", "episode", "anchor_b", "instruction", "playback"], "left")
+    score = F.when(F.col("op") == "compare", F.col("b") - F.col("a")).otherwise(F.col("a"))
+    output = F.when(F.col("op") == "subtask", predictor.subtask_text(own))
+    return own.select("query_id", "op", score.alias("score"), output.alias("output"))
 
 
 def _checked(answers: list, n: int) -> list:
@@ -272,6 +291,38 @@ def records_of(spark: SparkSession, config: RunConfig, metric: str) -> DataFrame
     return found[0]
 
 
+def saved_results(spark: SparkSession, config: RunConfig) -> dict[str, dict]:
+    """The results of the finished metrics."""
+    found = {m: Log(spark, joined(config.output, m)).snapshot().properties for m in config.metrics}
+    return {m: p["result"] for m, p in found.items() if "result" in p}
+
+
+def operations(spark: SparkSession, config: RunConfig) -> DataFrame:
+    """metric and ANSWERS of all metrics of a run; an id in two metrics, or twice in one, is an error."""
+    parts = []
+    for metric in config.metrics:
+        log = Log(spark, joined(config.output, metric))
+        parts += [p.withColumn("metric", F.lit(metric)) for p in _read(spark, log, log.snapshot(), "parts")]
+    if not parts:
+        raise ValueError(f"{config.output} has no answers yet")
+    return checked.union_parts(parts).select("metric", *(c.split()[0] for c in ANSWERS.split(", ")))
+
+
+def curves(spark: SparkSession, config: RunConfig, metric: str) -> DataFrame:
+    """domain, task, episode, score and values in order of the anchors, of a finished metric that asks for values."""
+    spec, log = METRICS[metric], Log(spark, joined(config.output, metric))
+    if spec.op != "value":
+        raise ValueError(f"{metric} asks for no values")
+    data = dataset.load(spark, config.data, list(config.metrics))
+    plan, found = spec.plan(data, config.tasks_of(metric), list(config.metrics[metric][1])), _read(spark, log, log.snapshot(), "parts")
+    if not found:
+        raise ValueError(f"{metric} has no answers yet")
+    scored = plan.join(checked.union_parts(found).select("query_id", F.col("score").alias("v")), "query_id")
+    order = "position" if "position" in plan.columns else "anchor"
+    drawn = scored.groupBy(*results.EPISODE).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "v"))), lambda x: x["v"]).alias("values"))
+    return drawn.join(records_of(spark, config, metric).select(*results.EPISODE, "score"), results.EPISODE)
+
+
 def inspect(spark: SparkSession, config: RunConfig, tolerance: float = 1e-9) -> dict[str, dict]:
     """For each metric: state (valid, incomplete, stale or wrong), n_planned, n_missing, reason, and where saved and recomputed differ.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as fr
 from ..operators import metrics as mt
+from ..operators import prefix
 from ..plans import audits, cohorts, identify
 from ..plans import queries as plans
 from ..sources.dataset import Dataset
@@ -204,6 +205,14 @@ class Predictor:
     def subtask(self, rows) -> list[str]:
         raise NotImplementedError
 
+    def answer_states(self, states: DataFrame) -> DataFrame:
+        """states (task, episode, anchor, instruction, playback) with a score: a predictor that can take them as a table has this in place of `value`."""
+        raise NotImplementedError
+
+    def subtask_text(self, rows: DataFrame) -> Column:
+        """The answer to subtask queries of such a predictor."""
+        return F.concat(F.lit("prediction for: "), F.col("instruction"))
+
 
 class EchoPredictor(Predictor):
     """The share of the anchor in `scale`, and the instruction: for dry runs."""
@@ -217,7 +226,22 @@ class EchoPredictor(Predictor):
         return [f"{x}" for x in rows["instruction"]]
 
 
-PREDICTORS: dict[str, Callable[[], type[Predictor]]] = {"echo": lambda: EchoPredictor}
+class PrefixPredictor(Predictor):
+    """The mean of a frame feature over the playback up to the anchor.
+
+    `features` is a table (task, episode, frame, x) that takes the place of
+    decoded frames; `scale` is the x that counts as 1.
+    """
+
+    fields, required = ("features", "scale"), ("features",)
+
+    def answer_states(self, states: DataFrame) -> DataFrame:
+        features = states.sparkSession.read.parquet(self.settings["features"]).select("task", "episode", F.col("frame").cast("int").alias("frame"), "x")
+        means = prefix.prefix_means(states, features).withColumn("score", F.col("score") / F.lit(float(self.settings.get("scale", 1))))
+        return states.join(means, prefix.STATE)
+
+
+PREDICTORS: dict[str, Callable[[], type[Predictor]]] = {"echo": lambda: EchoPredictor, "prefix": lambda: PrefixPredictor}
 
 
 def predictor_class(name: str) -> type[Predictor]:

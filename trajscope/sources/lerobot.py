@@ -26,16 +26,3 @@ def reference_clips(episodes: DataFrame, instructions: DataFrame, fps: float) ->
     first = named.groupBy("instruction").agg(F.min_by(F.struct("chunk_index", "file_index", "from_timestamp"), "episode_index").alias("r"))
     path = F.format_string("chunk-%03d/file-%03d.mp4", F.col("r.chunk_index"), F.col("r.file_index"))
     return first.select("instruction", path.alias("path"), F.rint(F.col("r.from_timestamp") * F.lit(fps)).cast("int").alias("start"))
-
-
-def judged_bundle(items: DataFrame) -> DataFrame:
-    """query_id, domain, task, target and candidates of a response bundle (version, items); its rules are checked.
-
-    Ids are unique and the target is one of the candidates.
-    """
-    rows = items.select("version", F.explode("items").alias("i")).select("version", "i.*")
-    bad = rows.where((F.col("version") != 1) | ~F.array_contains(F.map_keys("candidates"), F.col("target_subtask_id"))).first()
-    twice = rows.groupBy("query_id").count().where("count > 1").first()
-    if bad or twice:
-        raise ValueError(f"invalid response bundle at {(bad or twice)['query_id']}")
-    return rows.drop("version")
