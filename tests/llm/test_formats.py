@@ -151,6 +151,28 @@ def test_wrapped_notices_and_identifiers(spark):
     assert [got[k] for k in range(6)] == ["mit", "bsd", "cc", "gpl", "zlib", ""]
 
 
+@pytest.mark.parametrize("width", [20, 25, 30])
+def test_narrow_notices_are_read_as_blocks(spark, width):
+    """Every notice of the module, wrapped so that no line of it says much: the block's outcome is that of the same words in one line."""
+    long_ = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts if len(t) > 90]
+    texts = [f"Some words.\n\n{chr(10).join(textwrap.wrap(t, width))}\n\nOther words." for _, t in long_]
+    got = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, texts)).collect()}
+    model = licenses.train()
+    for k, (name, t) in enumerate(long_):
+        family, _, ok = model.decide(" ".join(t.split()))
+        assert got[k]["blocks"] == f"1:{family}:{str(ok).lower()}", (name, width)
+        assert name in got[k]["licences"].split(",") or family != name
+
+
+def test_numbers_of_notices(spark):
+    """Paragraphs are counted over blank lines, at both ends too."""
+    mit = "Released under the MIT License."
+    texts = [f"\n\n{mit}\n\n\n - \nx\n{mit}\n", mit, f"{mit}\n\n{mit}", f"a\n\n\n\n{mit}"]
+    got = {r["doc_id"]: r["notices"] for r in licenses.license_scan(frame(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == ",".join(f"{p}:mit:true" for p, line in enumerate(text.split("\n")) if line == mit), text
+
+
 def test_unknown_families():
     """A model that lacks a family seldom takes its notices for one of the others, and knows most notices that it has not seen of the families it has."""
     t, cut = licenses.calibration(20, 0.5, 1e-3, 5)
@@ -199,6 +221,46 @@ def test_redaction(spark):
     assert got[3]["text"] == "here [REDACTED] é bare" and got[4]["text"] == TEXTS[4] and got[7]["text"] is None and len(got) == len(TEXTS)
 
 
+def test_owners_and_repositories(spark):
+    """Three owners make an example, two if many repositories hold it, one never."""
+    value = [f"{c}{c}{c}{c}1111BBBB2222CCCC" for c in "ABCD"]
+    rows = [(v, o, r) for v, own in zip(value, ([("a", 1), ("b", 2), ("c", 3)], [("a", 1), ("b", 2)], [("a", k % 2) for k in range(2)] * 30 + [("a", k) for k in range(60)], [(o, k) for o in "ab" for k in range(12)]), strict=True) for o, r in own]
+    docs = spark.createDataFrame([(k, f"see {v} here", o, str(r)) for k, (v, o, r) in enumerate(rows)], "doc_id long, text string, source string, repo string")
+    got = secrets.secret_scan(docs, repo="repo").join(docs.select("doc_id", "text"), "doc_id").collect()
+    seen = {r["text"][4:5]: (r["n_live"], r["n_examples"], r["most_owners"], r["most_repos"]) for r in got}
+    assert seen == {"A": (0, 1, 3, 3), "B": (1, 0, 2, 2), "C": (1, 0, 1, 60), "D": (0, 1, 2, 24)}
+
+
+def test_redaction_with_clashing_columns(spark):
+    names = ["id_", "key_", "live_", "new_", "text_", "text_key_", "c0_", "c1_", "h", "owner", "repo", "base", "Doc"]
+    docs = spark.createDataFrame([(k, t, f"s{k}", *"abcdefghijklm") for k, t in enumerate(TEXTS)] + [(None, "no value", None, *"abcdefghijklm")], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = secrets.redact(spark, docs, "")
+    assert got.columns == docs.columns and got.count() == docs.count() and got.where("doc_id = 3").first()["text"] == "here [REDACTED] é bare" and got.where("doc_id = 3").first()["live_"] == "c"
+
+
+def test_examples_stay_when_their_copies_are_gone(spark, tmp_path):
+    docs = spark.createDataFrame([(k, TEXTS[4] if k < 3 else TEXTS[3], "en", f"s{k}", 1) for k in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(spark, docs.where("doc_id > 1"), str(tmp_path)).collect()}
+    assert got == {2: TEXTS[4], 3: "here [REDACTED] é bare"}
+
+
+def test_many_secrets_in_a_text(spark):
+    """The time follows the matches, and offsets count on over lots."""
+    text = " ".join(f"token={k:08d}" for k in range(1000))
+    r = secrets.secret_scan(frame(spark, [text])).where("doc_id = 0").first()
+    assert r["n_assign"] == 1000 and r["base_sha256"] == hashlib.sha256(brute_secrets(text).encode()).hexdigest()
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, " ".join(f"token={k:08d}" for k in range(n)), "s")], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        secrets.candidates(docs).agg(F.sum(F.size("base"))).collect()
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16_000) < 4 * max(seconds(8_000), 0.5)
+
+
 # --- pieces ---------------------------------------------------------------------
 
 
@@ -293,4 +355,4 @@ def test_pipeline_of_nothing(spark, k):
 
 def test_registered():
     assert {"pipeline", *registry.QUERIES} <= set(entry.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))

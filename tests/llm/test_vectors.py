@@ -187,6 +187,29 @@ def test_toxicity_scores_by_brute_force(spark, docs):
         assert r["severity"] == pytest.approx(sum(p)) and r["grade"] == sum(x >= 0.5 for x in p) and r["toxic"] == (p[0] >= model.cut)
 
 
+def test_toxicity_has_no_steps():
+    """One more toxic row here or there changes the cut and what is learnt by little: the same documents are caught."""
+    draw = np.random.default_rng(1)
+    texts = [(t, " ".join([*(f"w{x}" for x in draw.integers(0, 4000, 60)), *(["vile"] * 2 + ["slur"] if t else ["kind"])])) for t in [1] * 140 + [0] * 400]
+
+    def rows(n):
+        own = [x for x in texts if x[0]][:n] + [x for x in texts if not x[0]]
+        out = []
+        for k, (t, text) in enumerate(own):
+            _, feature, count = toxicity.counts_of([text])
+            order = np.argsort(feature)
+            out.append({"doc_id": k, "toxic": t, "sketch": b"", "words": feature[order].astype("<u8").tobytes(), "counts": count[order].astype("<u4").tobytes()})
+        return out
+
+    cuts = {}
+    for n in (29, 30, 31, 99, 100, 101):
+        model = toxicity.fit(rows(n), rounds=150)
+        p = model.at_least([t for _, t in texts])[:, 0] >= model.cut
+        assert p[:140].mean() > 0.99 and p[140:].mean() < 0.01, n
+        cuts[n] = model.cut
+    assert abs(cuts[29] - cuts[31]) < 0.25 and abs(cuts[99] - cuts[101]) < 0.25
+
+
 def test_toxicity_learns_from_one_of_each_family():
     draw = np.random.default_rng(3)
     base = [f"w{k}" for k in draw.integers(0, 900, 200)]
@@ -392,6 +415,14 @@ def test_join_edges(spark):
     assert kept.columns == odd.columns and kept.where("doc_id = 99").count() == 0 and kept.where("doc_id = 0").count() == 2
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """Two texts under one id: what either reaches, both do."""
+    a, b = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
+    texts = [(1, a), (5, a + " x"), (5, b), (9, b + " y"), (12, "alone " * 9), (None, a)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (5, 1), (9, 1), (12, 12), (None, 1)} and len(got) == 6
+
+
 def test_rtree_bound_loses_nothing():
     draw = np.random.default_rng(3)
     sets = [set(draw.integers(0, 400, 120).tolist()) for _ in range(5)]

@@ -17,8 +17,7 @@ of one template of the family.
 The weight table has at most a few thousand n-grams: it is fixed by the
 templates, so its broadcast does not grow with the data. Scoring uses DataFrame
 operations only; training is plain Python on the driver over the templates.
-Blocks are read in documents with a line of which the model is not sure that it
-is ordinary (P(none) below SURE times that of the best family).
+Every block is read, in the same pass as its lines.
 
 Defined cases: null or empty text has no paragraphs; repeated rows each get a
 row, null ids as well; an empty table gives an empty result; of equally likely
@@ -36,10 +35,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, sized, table
 
 CONFIRM = 0.6
-SURE = 1.7
 FOLDS = 3
 BLOCK_END = r"\n[^a-zA-Z0-9\n]*(?=\n)"
 #: Notices by which works name their licence.
@@ -177,30 +175,37 @@ def train(rounds: int = 40, rate: float = 0.5, l2: float = 1e-3, seed: int = 5)
     return LicenceModel(model.vocabulary, [[w / t for w in row] for row in model.weights], [b / t for b in model.bias], cut)
 
 
-def _scored(paragraphs: DataFrame, model: LicenceModel) -> DataFrame:
-    """key columns, places, best, probability, odds (of `none` against the best family) of paragraphs (key columns, line) that hold an n-gram of the model.
+def _hits(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """row_key, block and hits, the (line of the block, place) of the model's n-grams there; line is null where an n-gram crosses a line's end.
 
-    A paragraph without one has the same outcome as an empty one, `none`, so only
+    Every block of every text is read once, for its lines and as a whole. A block
+    without an n-gram has the same outcome as an empty one, `none`, so only
     matches leave the scan. They are partly aggregated before the shuffle.
     """
-    spark = paragraphs.sparkSession
-    keys = [c for c in paragraphs.columns if c != "line"]
-    places = F.broadcast(spark.createDataFrame(sorted(model.vocabulary.items(), key=lambda x: x[1]), "gram string, place int"))
-    lines = paragraphs.select(*keys, F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("w"))
-    pair = lambda a, b: F.concat_ws(" ", a, b)
+    places = F.broadcast(docs.sparkSession.createDataFrame(sorted(model.vocabulary.items(), key=lambda x: x[1]), "gram string, place int"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    blocks = docs.select("row_key", F.posexplode(F.split(text, BLOCK_END)).alias("block", "body"))
+    words = lambda line: F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+    own = F.flatten(F.transform(F.split("body", "\n"), lambda line, i: F.transform(words(line), lambda w: F.struct(w.alias("g"), i.alias("lo"), i.alias("hi")))))
+    rows = blocks.select("row_key", "block", own.alias("w"))
     n = F.size("w")
-    two = F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), pair)
-    lines = lines.where(n >= 2).withColumn("two", two)
-    three = F.zip_with(F.slice("two", 1, F.greatest(n - 2, F.lit(0))), F.slice("w", 3, F.greatest(n - 2, F.lit(0))), pair)
-    grams = lines.select(*keys, F.explode(F.concat("two", three)).alias("gram"))
-    scored = grams.join(places, "gram").groupBy(*keys).agg(F.array_sort(F.collect_set("place")).alias("places"))
-    scored = scored.join(F.broadcast(spark.createDataFrame([(model.weights,)], "weights array<array<double>>")))  # one constant row
+    longer = lambda a, b: F.struct(F.concat_ws(" ", a["g"], b["g"]).alias("g"), a["lo"].alias("lo"), b["hi"].alias("hi"))
+    rows = rows.where(n >= 2).withColumn("two", F.zip_with(F.slice("w", F.lit(1), n - 1), F.slice("w", F.lit(2), n - 1), longer))
+    three = F.zip_with(F.slice("two", F.lit(1), n - 2), F.slice("w", F.lit(3), n - 2), longer)
+    grams = rows.select("row_key", "block", F.explode(F.concat("two", three)).alias("x"))
+    grams = grams.select("row_key", "block", F.col("x.g").alias("gram"), F.when(F.col("x.lo") == F.col("x.hi"), F.col("x.lo")).alias("line"))
+    return grams.join(places, "gram").groupBy("row_key", "block").agg(F.collect_set(F.struct("line", "place")).alias("hits"))
+
+
+def _scored(found: DataFrame, model: LicenceModel) -> DataFrame:
+    """found (with `places`, sorted) and best and probability."""
+    scored = found.join(F.broadcast(found.sparkSession.createDataFrame([(model.weights,)], "weights array<array<double>>")))  # one constant row
     for c, b in enumerate(model.bias):
         scored = scored.withColumn(f"z{c}", F.expr(f"aggregate(places, {b!r}D, (a, p) -> a + weights[p][{c}])"))
     z = F.array(*(F.col(f"z{c}") for c in range(len(CLASSES))))
     scored = scored.withColumn("z", z).withColumn("top", F.array_max("z")).withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int"))
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    return scored.select(*keys, "places", "best", (1 / total).alias("probability"), F.exp(F.get("z", F.lit(0)) - F.array_max(F.slice("z", 2, len(CLASSES) - 1))).alias("odds"))
+    return scored.select(*found.columns, "best", (1 / total).alias("probability"))
 
 
 def _named(scored: DataFrame, model: LicenceModel, places: str = "places") -> DataFrame:
@@ -218,14 +223,21 @@ def paragraph_predictions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """row_key, paragraph (0-based), licence, probability, confirmed for every line, and row_key, block, ... for every block, that is not `none`."""
     model = train()
     assert model.decide("")[0] == NONE
+    hits = materialize(_hits(docs, model), "hits")
+    of = lambda line: F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda x: x["line"] == line) if line is not None else F.col("hits"), lambda x: x["place"])))
+    numbers = F.array_distinct(F.filter(F.transform("hits", lambda x: x["line"]), lambda x: x.isNotNull()))
+    lines = hits.withColumn("line", F.explode(numbers)).withColumn("places", of(F.col("line"))).drop("hits")
+    lines = materialize(_scored(lines, model).where("best > 0"), "lines")
+    # a block whose n-grams are all of one line is judged as that line
+    several = F.size(F.array_distinct(F.transform("hits", lambda x: F.coalesce(x["line"], F.lit(-1))))) > 1
+    blocks = _scored(hits.where(several).withColumn("places", of(None)).drop("hits"), model).where("best > 0")
+    # a line's number in its text: lines of the blocks before its own, and of its own before it
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = materialize(_scored(docs.select("row_key", F.posexplode(F.split(text, "\n")).alias("paragraph", "line")), model).where(f"best > 0 OR odds < {SURE}"), "lines")
-    some = lines.select("row_key").distinct()
-    # blocks of several lines; a line that is a block of its own is judged as a line
-    blocks = docs.join(some, "row_key", "left_semi").select("row_key", F.posexplode(F.split(text, BLOCK_END)).alias("block", "line")).where(F.trim("line").contains("\n"))
-    blocks = _scored(blocks, model).where("best > 0")
+    bodies = docs.join(sized(materialize(lines.select("row_key").distinct(), "keys")), "row_key", "left_semi").dropDuplicates(["row_key"])
+    before = F.aggregate(F.slice("bodies", F.lit(1), F.col("block")), F.lit(0), lambda a, x: a + F.size(F.split(x, "\n")))
+    lines = lines.join(bodies.select("row_key", F.split(text, BLOCK_END).alias("bodies")), "row_key").withColumn("paragraph", before + F.col("line"))
     own = ["row_key", "licence", "probability", "confirmed"]
-    return _named(lines.where("best > 0"), model).select("paragraph", *own), _named(blocks, model).select("block", *own)
+    return _named(lines, model).select("paragraph", *own), _named(blocks, model).select("block", *own)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

@@ -365,7 +365,10 @@ def _classes(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFr
     rest = rows.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInPandas(_tile_pairs(threshold), "a long, b long")
     rest = materialize(rest.distinct().join(tries, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_links(rest, own, firsts, n, threshold))
-    component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # rows that repeat an id are one document: their sets are reachable from each other
+    several = base.where("node <> 0").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("hi")).where("u < hi AND doc_id IS NOT NULL").select("doc_id", "u")
+    same = base.where("node <> 0").join(several, "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    component = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same))
 
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.select("node", "component", "first"), "named")

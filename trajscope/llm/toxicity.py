@@ -42,14 +42,15 @@ from pyspark.sql import functions as F
 from .common import LOWER, MIX, NOT_ALNUM, chunk_ranges, joined, prefix_sums, scramble, span_hashes, spans_of_words, table, text_chunks, window_hashes, word_hashes
 
 SAMPLE_PER_LABEL = 3000
+#: 0 and three grades of toxic rows. Labels say toxic or not, so grades 1 to 3 are thirds of the rows by the weight of telling features: severity orders documents by how much speaks for the label, not by an outside measure of harm.
 GRADES = 4
 STEM = 4
 LEAST_RATIO = 3.0
-#: (LEAST_DOCS, LEAST_Z) from MANY_LABELS toxic rows on, and below that.
-MANY_LABELS = 100
-SELECTION, FEW_SELECTION = (3, 4.0), (2, 3.5)
-#: Toxic rows that must be held out for a cut other than 1/2.
-CUT_LABELS = 30
+LEAST_DOCS = 2
+#: A feature's z must reach LEAST_Z, up to one more half as toxic rows get many: chance finds more among many rows' words.
+LEAST_Z, MORE_Z, HALF_Z_ROWS = 3.5, 0.5, 25
+#: The learnt cut's distance from 1/2 counts half with so many toxic rows held out, and more with more.
+HALF_CUT_ROWS = 3
 #: A family of near copies shares at least COPY_SKETCHES of SKETCHES smallest shingle hashes.
 SKETCHES = 8
 COPY_SKETCHES = 3
@@ -230,15 +231,18 @@ def balanced_cut(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(rows: list, rounds: int = 1000, l1: float = 1e-4, rate: float = 0.1) -> OrdinalModel:
-    setting = rounds, l1, rate, *(SELECTION if sum(r["toxic"] for r in rows) >= MANY_LABELS else FEW_SELECTION)
+    toxic = sum(r["toxic"] for r in rows)
+    setting = rounds, l1, rate, LEAST_DOCS, LEAST_Z + MORE_Z * toxic / (toxic + HALF_Z_ROWS)
     model = _fitted(rows, *setting)
     held = [k % 3 == 2 for k in range(len(rows))]
     rest = [r for r, h in zip(rows, held, strict=True) if h]
     y = np.array([r["toxic"] for r in rest])
-    if len(model.known) and y.sum() >= CUT_LABELS and (y == 0).any():
+    if len(model.known) and y.any() and (y == 0).any():
         first = _fitted([r for r, h in zip(rows, held, strict=True) if not h], *setting)
         if len(first.known):
-            model.cut = balanced_cut(first.of_rows(rest), y)
+            learnt = balanced_cut(first.of_rows(rest), y)
+            trust = y.sum() / (y.sum() + HALF_CUT_ROWS)
+            model.cut = float(1 / (1 + (1 / learnt - 1) ** trust))
     return model
 
 
