@@ -178,3 +178,16 @@ def test_text(spark):
     assert one(tx.scale_answer(F.lit("so ANSWER: 5"))) == 1.0 and one(tx.scale_answer(F.lit("none"))) is None
     assert one(tx.comma_list(F.lit("a, b,,a"))) == ["a", "b"] and one(tx.html_escape(F.lit("<a&b>"))) == "&lt;a&amp;b&gt;"
     assert one(tx.numbered_choices(F.array(F.lit("x"), F.lit("y")))) == "1. x\n2. y"
+
+
+def test_wins_with_ties_and_outliers(spark):
+    import random
+
+    draw = random.Random(2)
+    cells = {"ties": [(draw.choice([0.5, 0.5, 0.7]), draw.random() < 0.4) for _ in range(900)], "wide": [(draw.lognormvariate(0, 12), draw.random() < 0.5) for _ in range(700)], "two": [(1.0, True), (1.0, False)], "lost": [(1.0, False)]}
+    rows = spark.createDataFrame([(k, v, w) for k, own in cells.items() for v, w in own], "k string, v double, w boolean")
+    got = {r["k"]: r for r in statistics.pairwise_wins(rows, ["k"], "v", "w").collect()}
+    for k, own in cells.items():
+        up, down = [v for v, w in own if w], [v for v, w in own if not w]
+        wins = sum(a > b for a in up for b in down)
+        assert (got[k]["wins"], got[k]["n_winners"], got[k]["n_losers"]) == (wins, len(up), len(down)) and got[k]["score"] == (wins / (len(up) * len(down)) if up and down else None)

@@ -5,11 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trajscope import cli
 from trajscope.functions import naming
-from trajscope.operators import board, charts
+from trajscope.operators import board, charts, judging
 from trajscope.plans import audits, identify
 from trajscope.runs import batch, config, execute, publish, registry
-from trajscope.sources import commits, contents, dataset, documents, storage
+from trajscope.sources import commits, contents, dataset, documents, storage, wire
 
 ROW = {"model": "echo", "data": "d", "output": "o", "metrics": {"sa": {"mode": "base", "domains": ["id"]}}, "tasks": ["t1"]}
 
@@ -372,6 +373,10 @@ def test_small_files(tmp_path):
 def test_reference_clip(tmp_path):
     (tmp_path / "sweep_objects").mkdir()
     (tmp_path / "sweep_objects/front.mp4").write_text("")
+    for bad in ('{"num_frames": 1}', '{"num_frames": 7, "fps": 3}'):
+        (tmp_path / "sweep_objects/metadata.json").write_text(bad)
+        with pytest.raises(ValueError, match="num_frames"):
+            documents.reference_clip(tmp_path, "sweep_blocks")
     (tmp_path / "sweep_objects/metadata.json").write_text('{"num_frames": 7}')
     assert documents.reference_clip(tmp_path, "sweep_blocks") == (tmp_path / "sweep_objects/front.mp4", 7)
     video = tmp_path / "t/videos/observation.images.cam_left_wrist/episode_000000.mp4"
@@ -424,6 +429,86 @@ def test_overlaps_and_order(spark):
     assert [r["anchor"] for r in audits.shortest_first(rows, 2).collect()] == [1, 3, 5]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    """A configuration from the first command to the leaderboard's inputs."""
+    root, out = _dataset(tmp_path / "data"), str(tmp_path / "out")
+    row = ROW | {"data": "data", "output": "out", "tasks": ["t1", "t2"], "metrics": {m: {"mode": "base", "domains": ["id"]} for m in ("voc", "sa")}, "model_options": {"scale": 40}}
+    (tmp_path / "run.yaml").write_text(json.dumps(row))
+    path = str(tmp_path / "run.yaml")
+
+    def go(*arguments):
+        code = cli.main([*arguments], spark)
+        return code, capsys.readouterr()
+
+    assert go("validate", root, "--metrics", "voc,sa")[0] == 0
+    assert go("inspect", path)[0] == 1 and go("publish", str(tmp_path / "site"), "model", path)[0] == 2
+    code, said = go("run", path)
+    assert code == 0 and json.loads(said.out) == {"voc": pytest.approx(1), "sa": 0}
+    assert go("inspect", path)[0] == 0
+    code, said = go("status", path, path)
+    assert code == 0 and json.loads(said.out)["status"] == "complete"
+    code, said = go("batch", path, "--metrics", "sa")
+    assert code == 0 and said.out.split("\n")[:2] == ["sa t1: can run", "sa t2: the task does not declare the metric"]
+    assert go("publish", str(tmp_path / "site"), "model", path)[0] == 0
+    assert go("sync", str(tmp_path / "site"), str(tmp_path / "mirror"))[1].out.split() == ["model/sa", "model/voc"]
+    assert documents.read_object(str(tmp_path / "mirror/model/voc/summary.json"))["result"]["protocol"] == "voc-cycle-forward-v2"
+    assert go("curves", path, "voc", str(tmp_path / "best.svg"), "--most", "1")[0] == 0 and (tmp_path / "best.svg").read_text().count("<polyline") == 2
+    assert "sa" in go("list", "metrics")[1].out.split() and "prefix" in go("list", "predictors")[1].out.split() and "identification_plan" in go("list")[1].out.split()
+    code, said = go("query", "nothing", "x", "y")
+    assert code == 2 and "unknown query" in said.err
+    assert execute.operations(spark, config.load(path)).groupBy("metric").count().count() == 2
+    # answers to a file of queries
+    state = {"task_id": "t1", "episode_id": "e", "anchor_frame": 10}
+    (tmp_path / "q.jsonl").write_text(json.dumps({"query_id": "a", "op": "value", "state": state, "instruction": "go"}) + "\n" + json.dumps({"query_id": "b", "op": "compare", "state_a": state, "state_b": state | {"anchor_frame": 30}, "instruction": "go"}) + "\n")
+    assert go("infer", str(tmp_path / "q.jsonl"), str(tmp_path / "answers"), "--model", "echo", "--options", '{"scale": 40}')[0] == 0
+    assert {r["query_id"]: r["score"] for r in wire.read_results(spark, str(tmp_path / "answers")).collect()} == {"a": 0.25, "b": 0.5}
+    assert go("infer", str(tmp_path / "q.jsonl"), str(tmp_path / "x"), "--model", "nobody")[0] == 2
+    # lengths of videos
+    lengths = [(t, e, 40) for t, names in (("t1", ("good1", "good2", "other", "bad", "p", "z", "m")), ("t2", ("good1",))) for e in names]
+    spark.createDataFrame(lengths, "task_id string, episode_id string, num_frames int").write.parquet(str(tmp_path / "videos"))
+    assert go("check-frames", root, str(tmp_path / "videos"))[0] == 0
+    spark.createDataFrame(lengths[1:], "task_id string, episode_id string, num_frames int").write.mode("overwrite").parquet(str(tmp_path / "videos"))
+    code, said = go("check-frames", root, str(tmp_path / "videos"))
+    assert code == 1 and said.out.strip() == "t1/good1: 40 annotated, None in the video"
+
+
+def test_judged_run(spark, tmp_path):
+    """Subtask answers judged through the cache, by a judge that finds the candidate at once."""
+    root, out = _dataset(tmp_path / "data"), str(tmp_path / "out")
+    c = _config(root, out, ["sia"])
+
+    def ask(prompt):
+        import json as j
+
+        return j.dumps({"1": -0.1, "2": -0.2}) if "- 1: 001" in prompt else "{}"
+
+    judge = judging.candidate_judge(spark, ask, str(tmp_path / "judged"), "fake", delay=0.0)
+    got = execute.run(spark, c, judge=judge)
+    assert got["sia"]["overall"] == pytest.approx(2.718281828**-0.15, abs=1e-6) and execute.inspect(spark, c)["sia"]["state"] == "valid"
+    items = identify.bundle(registry.METRICS["sia"].plan(dataset.load(spark, root), ["t1"], ["id"]), execute.operations(spark, c), spark.createDataFrame([("t1", {"001": "x", "002": "y"})], "task string, candidates map<string,string>"))
+    bad = judging.candidate_judge(spark, lambda _: '{"7": -1.0}', str(tmp_path / "other"), "fake", delay=0.0)
+    with pytest.raises(Exception, match="unfit judgement"):
+        bad(items).collect()
+
+
+def test_prefix_predictor(spark, tmp_path):
+    """A run whose values come from a table of features."""
+    root, out = _dataset(tmp_path / "data"), str(tmp_path / "out")
+    features = [(t, e, f, float(f)) for t, names in (("t1", ("good1", "good2", "other", "bad", "p", "z", "m")), ("t2", ("good1",))) for e in names for f in range(40)]
+    spark.createDataFrame(features, "task string, episode string, frame int, x double").write.parquet(str(tmp_path / "features"))
+    c = _config(root, out, ["sa", "tga_hard", "cycle_voc", "sia"], model="prefix", model_options={"features": str(tmp_path / "features"), "scale": 40})
+    got = execute.run(spark, c, _judged(spark, root))
+    assert got["sa"]["terminal_values"]["range"] == pytest.approx(39 / 2 / 40) and got["tga_hard"]["confusion_matrix"]["id"]["t1"]["correct"] == pytest.approx(39 / 2 / 40)
+    assert got["cycle_voc"]["components"]["forward"]["overall"] == pytest.approx(1) and got["cycle_voc"]["components"]["reverse"]["overall"] < 0
+    assert execute.operations(spark, c).where("metric = 'sia'").first()["output"] == "prediction for: do t1"
+    with pytest.raises(config.ConfigError, match="missing"):
+        _config(root, out, ["sa"], model="prefix", model_options={})
+
+
 def test_sheet(spark):
     svg = charts.sheet(spark.createDataFrame([(f"e{k}", [0.0, 1.0]) for k in range(4)], "episode string, values array<double>"))
     assert svg.count("<svg ") == 5 and 'viewBox="0 0 1440 320"' in svg
+    cycle = charts.cycle_charts(spark.createDataFrame([("<e>", [0.0, 0.5, 1.0], [1.0, 0.5, 0.0]), ("flat", [1.0], [1.0])], "episode string, up array<double>, down array<double>")).orderBy("episode").collect()
+    assert cycle[0]["svg"].count("12.0,148.0 126.0,80.0 240.0,12.0 354.0,80.0 468.0,148.0") == 2 and 'x1="240.0"' in cycle[0]["svg"] and "&lt;e&gt;" in cycle[0]["svg"]
+    rows = charts.selected(spark.createDataFrame([("id", "t", f"e{k}", float(k % 5)) for k in range(10)], "domain string, task string, episode string, score double"), "score", 2).collect()
+    assert {(r["place"], r["number"], r["episode"]) for r in rows} == {("best", 1, "e4"), ("best", 2, "e9"), ("worst", 1, "e0"), ("worst", 2, "e5")}

@@ -286,3 +286,28 @@ def test_errors_name_their_line(spark, tmp_path):
         with pytest.raises(ValueError, match=rf"{name}\.jsonl:{bad + 1 + (bad >= 5)}: invalid row"):
             wire.read_results(spark, str(tmp_path / f"{name}.jsonl"))
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_expanded_compares(spark):
+    """Hops that queries share are asked once; a missing score is an error; identical states are not asked."""
+    from trajscope.plans import expanded
+
+    values = spark.createDataFrame([("a", "t", "e", 9, "go", "forward", 12, 10.0), ("b", "t", "e", 5, "go", "forward", 12, 10.0), ("c", "t", "e", 0, "go", "forward", 12, 10.0), ("d", "t", "e", 9, "go", "reverse", 12, 10.0)], "query_id string, task string, episode string, anchor int, instruction string, playback string, num_frames int, fps double")
+    goals = spark.createDataFrame([("t", "e", 9)], "task string, goal_episode string, goal_frame int")
+    parts = expanded.three_way(values, goals, 5.0)
+    rows = {(r["query_id"], r["part"], r["place"]): (r["frame_a"], r["frame_b"]) for r in parts.collect()}
+    assert [rows["a", "hop", k] for k in range(5)] == [(0, 2), (2, 4), (4, 6), (6, 8), (8, 9)] and rows["a", "forward", 0] == (0, 9) and rows["a", "backward", 0] == (9, 9)
+    assert [rows["d", "hop", k] for k in range(1)] == [(11, 9)] and ("c", "hop", 0) not in rows
+    asked = expanded.asked(parts)
+    assert asked.count() == len({v for k, v in rows.items() if v[0] != v[1]})
+    scores = asked.withColumn("score", (F.col("frame_b") - F.col("frame_a")) / F.lit(20.0))
+    got = {r["query_id"]: r["score"] for r in expanded.three_way_values(expanded.answered(parts, scores)).collect()}
+    fold = 0.1
+    for d in (0.1, 0.1, 0.1, 0.05):
+        fold += (1 - fold) * d
+    assert got["a"] == pytest.approx((0.45 + 1 + fold) / 3) and got["c"] == pytest.approx((0 + (1 - 0.45) + 0) / 3)
+    with pytest.raises(Exception, match="no score for"):
+        expanded.answered(parts, scores.limit(2)).collect()
+    steps = expanded.critic_steps(values)
+    critic = expanded.critic_values(expanded.answered(steps, expanded.asked(steps).withColumn("score", F.lit(0.5))))
+    assert {r["query_id"]: r["score"] for r in critic.collect()}["d"] == 0.5

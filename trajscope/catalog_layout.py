@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import judging, layout, lineage, prefix, selection
+from .plans import expanded
 from .plans import queries as plans
 from .register import MACRO, macro, query, rounded
 from .runs import execute
@@ -69,6 +70,34 @@ def echoed_values(spark, sf_dir):
     return execute.answered(_plan(spark, sf_dir), "echo", {"scale": 50}, batch_size=16).select("query_id", rounded("score"))
 
 
+#: Values of every second frame, hop by hop, and from the start and to the goal: the last frame of the task's first episode.
+_HOPS = """
+, a AS (SELECT *, CAST(unnest([num_frames - 1, num_frames // 2]) AS INTEGER) AS anchor FROM ep),
+go AS (SELECT task, arg_max(v, frame) AS goal FROM fr WHERE episode IN (SELECT min(episode) FROM ep GROUP BY task) GROUP BY task),
+h AS (SELECT DISTINCT task, episode, anchor, CAST(least(f, anchor) AS INTEGER) AS frame FROM (SELECT *, unnest(range(0, anchor + 2, 2)) AS f FROM a)),
+hv AS (SELECT h.*, v, row_number() OVER (PARTITION BY h.episode, anchor ORDER BY h.frame) AS k, v - lag(v) OVER (PARTITION BY h.episode, anchor ORDER BY h.frame) AS hop FROM h JOIN fr ON fr.episode = h.episode AND fr.frame = h.frame),
+fo AS (SELECT episode, anchor, k, 0.0::DOUBLE AS p FROM hv WHERE k = 1 UNION ALL SELECT hv.episode, hv.anchor, hv.k, CASE WHEN hv.hop >= 0 OR hv.k = 2 THEN fo.p + (CASE WHEN hv.k = 2 THEN 1 ELSE 1 - fo.p END) * hv.hop ELSE fo.p + fo.p * hv.hop END FROM fo JOIN hv ON hv.episode = fo.episode AND hv.anchor = fo.anchor AND hv.k = fo.k + 1),
+la AS (SELECT episode, anchor, arg_max(p, k) AS p FROM fo GROUP BY ALL)
+SELECT a.episode || ':' || a.anchor AS query_id, round(((x.v - z.v) + (1 + x.v - goal) + p) / 3, 9) + 0.0 AS score FROM (SELECT DISTINCT * FROM a) a JOIN la ON la.episode = a.episode AND la.anchor = a.anchor JOIN go ON go.task = a.task
+  JOIN fr x ON x.episode = a.episode AND x.frame = a.anchor JOIN fr z ON z.episode = a.episode AND z.frame = 0"""
+
+
+@query(f"WITH RECURSIVE {td.SQL}{_HOPS}", base=False)
+def three_way_values(spark, sf_dir):
+    """Value queries as compares, each different one asked once, and put together again."""
+    rows = td.frames(spark, sf_dir)
+    e = td.episodes(rows)
+    first = rows.join(F.broadcast(e.groupBy("task").agg(F.min("episode").alias("episode"))), ["task", "episode"])
+    goals = first.groupBy("task").agg(F.max("episode").alias("goal_episode"), F.max("frame").alias("goal_frame"))
+    n = F.col("num_frames")
+    values = e.select("task", "episode", "num_frames", F.explode(F.array_distinct(F.array(n - 1, F.floor(n / 2).cast("int")))).alias("anchor"), F.concat(F.lit("do "), "task").alias("instruction"), F.lit("forward").alias("playback"), F.lit(td.FPS).alias("fps"))
+    parts = expanded.three_way(values.withColumn("query_id", F.concat_ws(":", "episode", "anchor")), goals, 5.0)
+    states = rows.select("task", "episode", "frame", "v")
+    side = lambda s: states.select("task", F.col("episode").alias(f"episode_{s}"), F.col("frame").alias(f"frame_{s}"), F.col("v").alias(f"v_{s}"))
+    scores = expanded.asked(parts).join(side("a"), ["task", "episode_a", "frame_a"]).join(side("b"), ["task", "episode_b", "frame_b"]).select(*expanded.PAIR, (F.col("v_b") - F.col("v_a")).alias("score"))
+    return expanded.three_way_values(expanded.answered(parts, scores)).select("query_id", rounded("score"))
+
+
 # --- layout -------------------------------------------------------------------
 
 

@@ -91,9 +91,12 @@ def reference_clip(root: str | os.PathLike, task: str, view: str = "front") -> t
         for video, info, field in ((base / f"{view}.mp4", base / "metadata.json", "num_frames"), (base / "videos" / VIEWS.get(view, view) / "episode_000000.mp4", base / "meta/info.json", "total_frames")):
             tried.append(str(video))
             if video.is_file():
-                n = read_object(info).get(field)
-                if isinstance(n, bool) or not isinstance(n, int) or n <= 0:
-                    raise ValueError(f"{info}: {field} must be a positive whole number")
+                row = read_object(info)
+                n = row.get(field)
+                if field == "num_frames" and set(row) != {field}:
+                    raise ValueError(f"{info}: {field} and nothing else is wanted")
+                if isinstance(n, bool) or not isinstance(n, int) or n < 2:
+                    raise ValueError(f"{info}: {field} must be a whole number from 2 on")
                 return video, n
     raise FileNotFoundError(f"no reference of {task}: tried {', '.join(tried)}")
 
