@@ -340,7 +340,7 @@ def asof_fill(spark, sf_dir):
 
 def _smooth(spark, sf_dir):
     rows = _on_grid(_normal(td.frames(spark, sf_dir)), False).withColumn("time", F.col("frame") / F.lit(td.FPS))
-    return metrics.smoothness(rows)
+    return metrics.smoothness(rows, keys=("user_id", "d", *metrics.EPISODE))
 
 
 _SMOOTH = f""",

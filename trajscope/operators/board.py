@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import is_close
+from ..sources.storage import Storage, joined
 from .metrics import ID_ONLY, SIGNED
 
 DOMAINS = ("id", "env", "emb")
@@ -42,13 +42,13 @@ def input_problems(rows: DataFrame, protocols: dict[str, str] | None = None) ->
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, list[dict]]:
-    """ROWS and the sources (baseline, world, metric, path, sha256) of a manifest file on the driver.
+    """ROWS and the sources (baseline, world, metric, path, sha256) of a manifest, a list of short files on any file system.
 
     The manifest lists baselines {baseline, track, worlds: {world: {metric: relative path}}}.
     A result file holds {metric: result}, or one result as {metric, baseline, result}.
     """
-    with open(path, encoding="utf-8") as f:
-        manifest = json.load(f)
+    storage = Storage(spark)
+    manifest, folder = storage.read_object(path), path.rpartition("/")[0]
     rows, sources, seen = [], [], set()
     for entry in manifest["baselines"]:
         name = entry.get("baseline"), entry.get("track")
@@ -57,8 +57,7 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, list[dict]
         seen.add(name)
         for world, files in entry["worlds"].items():
             for metric, relative in files.items():
-                with open(os.path.join(os.path.dirname(path), relative), "rb") as f:
-                    data = f.read()
+                data = storage.read(joined(folder, relative))
                 saved = json.loads(data)
                 if "result" in saved and (saved.get("metric"), saved.get("baseline")) != (metric, name[0]):
                     raise ValueError(f"{relative} holds another result than the manifest says")

@@ -62,20 +62,28 @@ def curve_correlations(curves: DataFrame, **halves: Column) -> DataFrame:
     return curves.withColumns({name: F.coalesce(sq.rank_correlation(values), F.lit(0.0)) for name, values in halves.items()})
 
 
-def smoothness(points: DataFrame, least: int = 7) -> DataFrame:
-    """er, scale and vs per episode from (frame, time, v) with `least` points or more."""
-    own = Window.partitionBy(*EPISODE)
-    order = own.orderBy("frame")
-    p = points.withColumn("k", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(own)).where(F.col("m") >= least)
-    first, last = F.avg(F.when(F.col("k") <= 3, F.col("v"))).over(own), F.avg(F.when(F.col("k") > F.col("m") - 3, F.col("v"))).over(own)
-    p = p.withColumn("first", first).withColumn("last", last)
-    p = p.withColumn("z", F.when(F.col("k") <= 3, F.col("first")).when(F.col("k") > F.col("m") - 3, F.col("last")).otherwise(F.col("v")))
-    p = p.withColumn("dz", F.abs(F.col("z") - F.lag("z").over(order))).withColumn("dt", F.col("time") - F.lag("time").over(order))
-    p = p.withColumn("moved", F.when(F.col("v") != F.lag("v").over(order), F.col("dt")).otherwise(0.0))
-    s = p.groupBy(*EPISODE).agg(F.max("first").alias("first"), F.max("last").alias("last"), F.sum("dz").alias("tv"), F.sum("moved").alias("moved"), F.sum("dt").alias("duration"), F.count(F.lit(1)).alias("n_points"))
+def smoothness(points: DataFrame, least: int = 7, keys: tuple[str, ...] = tuple(EPISODE)) -> DataFrame:
+    """er, scale and vs per episode from (frame, time, v) with `least` points or more; keys may name further columns by which points lie together."""
+    row = F.struct("frame", F.col("time").cast("double").alias("time"), F.col("v").cast("double").alias("v"))
+    return smooth_curves(points.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("points")), least)
+
+
+def smooth_curves(curves: DataFrame, least: int = 7) -> DataFrame:
+    """The same of curves with `points`, an array of (frame, time, v) in order: sums over neighbours, without a window."""
+    n = F.size("points")
+    c = curves.where(n >= least).withColumn("n_points", n.cast("long"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    value = lambda a: F.transform(a, lambda p: p["v"])
+    c = c.withColumn("first", total(value(F.slice("points", F.lit(1), F.lit(3)))) / 3).withColumn("last", total(value(F.slice("points", F.lit(-3), F.lit(3)))) / 3)
+    z = lambda p, i: F.when(i < 3, F.col("first")).when(i >= n - 3, F.col("last")).otherwise(p["v"])
+    c = c.withColumn("z", F.transform("points", z))
+    pairs = lambda a: F.arrays_zip(F.slice(a, F.lit(2), n - 1).alias("b"), F.slice(a, F.lit(1), n - 1).alias("a"))
+    c = c.withColumn("tv", total(F.transform(pairs("z"), lambda x: F.abs(x["b"] - x["a"]))))
+    c = c.withColumn("moved", total(F.transform(pairs("points"), lambda x: F.when(x["b"]["v"] != x["a"]["v"], x["b"]["time"] - x["a"]["time"]).otherwise(0.0))))
+    c = c.withColumn("duration", total(F.transform(pairs("points"), lambda x: x["b"]["time"] - x["a"]["time"])))
     er = F.when(F.col("tv") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(F.abs(F.col("last") - F.col("first")), F.col("tv"))))
-    s = s.withColumn("er", er).withColumn("scale", F.try_divide(F.col("moved"), F.col("duration")))
-    return s.withColumn("vs", F.col("er") * F.col("scale"))
+    c = c.withColumn("er", er).withColumn("scale", F.try_divide(F.col("moved"), F.col("duration")))
+    return c.select(*(k for k in curves.columns if k != "points"), "first", "last", "tv", "moved", "duration", "n_points", "er", "scale", (F.col("er") * F.col("scale")).alias("vs"))
 
 
 def failure_points(curves: DataFrame, alpha: float = 0.2) -> DataFrame:
