@@ -5,15 +5,17 @@ LENGTH-byte window the one with the smallest hash is its anchor; equal windows
 have equal anchors at equal offsets, so it is enough to sort the suffixes that
 start at anchors (about one byte in 85).
 
-Sort: suffixes are range-partitioned by their leading token (the anchor gram) by
-sampled splitters, whose number grows with the suffixes; ties go on to the next
-key (the whole stretch of windows with that anchor) and then to a salt, so one
-very common suffix fills many buckets. Buckets are sorted locally by multikey
-quicksort, neighbours are compared, and the first and last runs of the buckets
-(two rows a bucket, a table of their own) are compared across boundaries.
-
-The keys are hashes of the bytes, 128 bits for the two together; with so many
-suffixes their bytes would not fit the disk. See `common` for what they exclude.
+Sort: suffixes are range-partitioned by their leading tokens, the bytes of the
+anchor gram as TOKENS big-endian numbers, by sampled splitters whose number grows
+with the suffixes; ties go on to the next key (the whole stretch of windows with
+that anchor) and then to a salt, so one very common suffix fills many buckets.
+Buckets are sorted locally by multikey quicksort, token by token, neighbours are
+compared, and the first and last runs of the buckets (two rows a bucket, a table
+of their own) are compared across boundaries.
+
+What follows the tokens counts as equal if its 64-bit hash is, in suffixes whose
+leading bytes are equal: with so many suffixes all their bytes would not fit the
+disk. See `common` for what that excludes.
 
 The first sort finds stretches of windows that occur twice as a whole. Where one
 anchor has different stretches, one of each kind is cut into blocks of windows,
@@ -50,7 +52,10 @@ ANCHOR = 32
 PIECE = 1 << 18
 BUCKET_ROWS = 300_000
 BLOCKS = (16, 4, 1)
-SUFFIX = "lead long, rest long, doc_id long, t long, at int, more int, anchor int"
+#: Leading tokens of a suffix: eight bytes each, all of the anchor gram.
+TOKENS = ANCHOR // 8
+LEAD = [f"l{k}" for k in range(TOKENS)]
+SUFFIX = ", ".join(f"{c} long" for c in LEAD) + ", rest long, doc_id long, t long, at int, more int, anchor int"
 _POSITION = np.uint64(2 * PIECE - 1)
 
 
@@ -63,6 +68,17 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return out if size == width else np.minimum(out[: len(v) - width + 1], out[width - size :])
 
 
+def tokens(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each place on as TOKENS numbers that sort as the bytes do; what is missing counts as 0."""
+    out = np.zeros((len(at), 8 * TOKENS), dtype=np.uint8)
+    out[:, :n] = data[at[:, None] + np.arange(n)]
+    return (out.view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _suffix_rows(lead: np.ndarray, rest: np.ndarray, doc_id, t, at: np.ndarray, more: np.ndarray, anchor: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({**{c: lead[:, k] for k, c in enumerate(LEAD)}, "rest": rest, "doc_id": doc_id, "t": t, "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")})
+
+
 def _piece(data: np.ndarray, base: int, offsets: np.ndarray, length: int, anchor: int):
     """stretches() of the windows that start in data, the bytes from `base` on; positions are those of all texts."""
     sums = prefix_sums(data)
@@ -79,7 +95,7 @@ def _piece(data: np.ndarray, base: int, offsets: np.ndarray, length: int, anchor
     more = np.diff(np.append(head, len(starts))) - 1
     at, text, first = starts[head], text[head], first[head]
     rest = scramble(span_hashes(sums, at, at + more + length) + (first - at).astype(np.uint64) * MIX[2] + more.astype(np.uint64) * MIX[3])
-    return hashes[first].view(np.int64), rest.view(np.int64), text, at + base - offsets[text], more, first + base - offsets[text]
+    return tokens(data, first, anchor), rest.view(np.int64), text, at + base - offsets[text], more, first + base - offsets[text]
 
 
 def stretches(texts: list[str | None], length: int = LENGTH, anchor: int = ANCHOR):
@@ -97,7 +113,7 @@ def _first_suffixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in text_chunks(frame):
             ids, keys = part["doc_id"].to_numpy(), part["t"].to_numpy()
             for lead, rest, text, at, more, anchor in stretches(part["text"].tolist()):
-                yield pd.DataFrame({"lead": lead, "rest": rest, "doc_id": ids[text], "t": keys[text], "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")})
+                yield _suffix_rows(lead, rest, ids[text], keys[text], at, more, anchor)
 
 
 def blocks(data: np.ndarray, at: np.ndarray, more: np.ndarray, anchor: np.ndarray, size: int):
@@ -124,10 +140,12 @@ def _blocks(data: np.ndarray, at: np.ndarray, more: np.ndarray, anchor: np.ndarr
     at, more, anchor = at[of], more[of], anchor[of]
     begin, end = np.maximum(at, anchor - (block + 1) * size + 1), np.minimum(at + more, anchor - block * size)
     sums = prefix_sums(data)
-    shared = span_hashes(sums, anchor - block * size, anchor - (block + 1) * size + 1 + LENGTH)
-    lead = scramble(shared + block.astype(np.uint64) * MIX[6])
+    # the leading bytes of what all windows share, then a hash of all of it and of the block's place
+    start, width = anchor - block * size, min(8 * (TOKENS - 1), LENGTH - size + 1)
+    lead = tokens(data, start, width)
+    lead[:, -1] = scramble(span_hashes(sums, start, start - size + 1 + LENGTH) + block.astype(np.uint64) * MIX[6]).view(np.int64)
     rest = scramble(span_hashes(sums, begin, end + LENGTH) + (anchor - begin).astype(np.uint64) * MIX[2] + (end - begin).astype(np.uint64) * MIX[3])
-    return lead.view(np.int64), rest.view(np.int64), begin, end - begin, anchor
+    return lead, rest.view(np.int64), begin, end - begin, anchor
 
 
 def _block_suffixes(size: int):
@@ -136,7 +154,7 @@ def _block_suffixes(size: int):
             out, n = [], 0
             for text, doc_id, t, *lists in zip(*(frame[c] for c in ("text", "doc_id", "t", "ats", "mores", "anchors")), strict=True):
                 for lead, rest, at, more, anchor in blocks(joined([text])[0], *(np.asarray(x, dtype=np.int64) for x in lists), size):
-                    out.append(pd.DataFrame({"lead": lead, "rest": rest, "doc_id": doc_id, "t": t, "at": at.astype("int32"), "more": more.astype("int32"), "anchor": anchor.astype("int32")}))
+                    out.append(_suffix_rows(lead, rest, doc_id, t, at, more, anchor))
                     n += len(lead)
                     if n > 100_000:
                         yield pd.concat(out)
@@ -166,16 +184,15 @@ def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-SORTED = "kind int, bucket int, lead long, rest long, doc_id long, t long, at int, more int, anchor int, twice boolean, mixed boolean"
+SORTED = "kind int, bucket int, " + ", ".join(f"{c} long" for c in LEAD) + ", rest long, doc_id long, t long, at int, more int, anchor int, twice boolean, mixed boolean"
 
 
 def sort_bucket(frame: pd.DataFrame, bucket: int) -> pd.DataFrame:
     """Rows of one bucket that occur twice, or stand for their run where a lead has several; and the outer runs (kind 1 first, 2 last)."""
-    lead, rest = frame["lead"].to_numpy(), frame["rest"].to_numpy()
-    order = multikey_quicksort([lead, rest])
-    lead, rest, frame = lead[order], rest[order], frame.iloc[order]
+    frame = frame.iloc[multikey_quicksort([frame[c].to_numpy() for c in (*LEAD, "rest")])]
+    lead, rest = frame[LEAD].to_numpy(), frame["rest"].to_numpy()
     new_lead, new_run = np.ones(len(lead), dtype=bool), np.ones(len(lead), dtype=bool)
-    new_lead[1:] = lead[1:] != lead[:-1]
+    new_lead[1:] = (lead[1:] != lead[:-1]).any(1)
     new_run[1:] = new_lead[1:] | (rest[1:] != rest[:-1])
     run, group = np.cumsum(new_run) - 1, np.cumsum(new_lead) - 1
     twice = np.bincount(run)[run] > 1
@@ -197,16 +214,16 @@ def across_boundaries(rows: DataFrame) -> DataFrame:
     """The outer runs that meet their like, or another run of their lead, in another bucket."""
     ends = rows.where("kind > 0").drop("twice")
     # a run, or a lead, that lies in several buckets is the outer one of each
-    runs = ends.groupBy("lead", "rest").agg((F.min("bucket") < F.max("bucket")).alias("twice"))
-    leads = ends.groupBy("lead").agg((F.min("bucket") < F.max("bucket")).alias("wide"), ((F.min("rest") < F.max("rest")) | F.max("mixed")).alias("several")).where("wide")
-    out = ends.join(leads, "lead").join(runs, ["lead", "rest"])
+    runs = ends.groupBy(*LEAD, "rest").agg((F.min("bucket") < F.max("bucket")).alias("twice"))
+    leads = ends.groupBy(*LEAD).agg((F.min("bucket") < F.max("bucket")).alias("wide"), ((F.min("rest") < F.max("rest")) | F.max("mixed")).alias("several")).where("wide")
+    out = ends.join(leads, LEAD).join(runs, [*LEAD, "rest"])
     return out.where("twice OR several").select("doc_id", "t", "at", "more", "anchor", "twice", F.col("several").alias("mixed"))
 
 
 def repeated_suffixes(suffixes: DataFrame, total: int) -> DataFrame:
     """doc_id, t, at, more, anchor, twice, mixed of suffixes that occur twice or stand for a run of a mixed lead."""
     n = max(1, -(-total // BUCKET_ROWS))
-    bucketed = suffixes.repartitionByRange(n, "lead", "rest", F.xxhash64("t", "doc_id", "at"))
+    bucketed = suffixes.repartitionByRange(n, *LEAD, "rest", F.xxhash64("t", "doc_id", "at"))
     rows = materialize(bucketed.mapInPandas(_sorted, SORTED), "sorted")
     return rows.where("kind = 0").select("doc_id", "t", "at", "more", "anchor", "twice", "mixed").unionByName(across_boundaries(rows))
 
