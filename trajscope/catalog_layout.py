@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import judging, layout, lineage, prefix, selection
+from . import catalog
+from .operators import charts, judging, layout, lineage, prefix, selection
 from .plans import expanded
 from .plans import queries as plans
 from .register import MACRO, macro, query, rounded
@@ -98,6 +99,32 @@ def three_way_values(spark, sf_dir):
     return expanded.three_way_values(expanded.answered(parts, scores)).select("query_id", rounded("score"))
 
 
+# --- charts -------------------------------------------------------------------
+
+
+@query(catalog._CYCLE + """,
+c AS (SELECT episode, n_path AS n, list(v ORDER BY position) AS vs, min(v) AS lo, max(v) AS hi FROM cv GROUP BY ALL),
+p AS (SELECT episode, n, list_transform(range(0, n), lambda i: 12 + i * (456.0::DOUBLE / greatest(n - 1, 1))) AS xs, list_transform(vs, lambda v: 148 - coalesce((v - lo) / nullif(hi - lo, 0), 0.5) * 136.0::DOUBLE) AS ys,
+  list_transform(range(0, n), lambda i: 148 - least(i, n - 1 - i) / greatest((n - 1) / 2.0::DOUBLE, 0.5) * 136) AS ts FROM c)
+SELECT episode, array_to_string(list_transform(range(1, n + 1), lambda i: printf('%.1f,%.1f', floor(xs[i] * 10 + 0.5) / 10, floor(ys[i] * 10 + 0.5) / 10)), ' ') AS points,
+  array_to_string(list_transform(range(1, n + 1), lambda i: printf('%.1f,%.1f', floor(xs[i] * 10 + 0.5) / 10, floor(ts[i] * 10 + 0.5) / 10)), ' ') AS ideal FROM p""")
+def cycle_charts(spark, sf_dir):
+    """Cycles drawn over the ideal triangle: the lines of each chart."""
+    drawn = charts.cycle_charts(td.cycle_curves(catalog._normal(td.frames(spark, sf_dir))))
+    lines = F.regexp_extract_all("svg", F.lit('points="([^"]*)"'), F.lit(1))
+    return drawn.select("episode", F.get(lines, F.lit(1)).alias("points"), F.get(lines, F.lit(0)).alias("ideal"))
+
+
+@query("""
+, s AS (SELECT domain, task, episode, CAST(sum(x) AS DOUBLE) / count(*) AS score FROM fr GROUP BY ALL),
+b AS (SELECT *, 'best' AS place, row_number() OVER (PARTITION BY domain, task ORDER BY score DESC, episode) AS number FROM s UNION ALL SELECT *, 'worst', row_number() OVER (PARTITION BY domain, task ORDER BY score, episode) FROM s)
+SELECT domain, task, place, number, episode FROM b WHERE number <= 3""")
+def selected_curves(spark, sf_dir):
+    """The three best and worst episodes of each cell, by their mean: what a sheet shows."""
+    scores = td.frames(spark, sf_dir).groupBy("domain", "task", "episode").agg((F.sum("x").cast("double") / F.count(F.lit(1))).alias("score"))
+    return charts.selected(scores, "score", 3).select("domain", "task", "place", F.col("number").cast("long").alias("number"), "episode")
+
+
 # --- layout -------------------------------------------------------------------
 
 
