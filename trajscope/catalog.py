@@ -411,7 +411,7 @@ def drawdown(spark, sf_dir):
 
 def _stages(spark, sf_dir, fps: float = td.FPS):
     rows = td.frames(spark, sf_dir)
-    whole = cohorts.complete_groups(td.curves(rows).withColumn("success", F.col("role") == "r_plus"))
+    whole = cohorts.complete_groups(td.curves(rows).withColumn("success", F.col("role") == "r_plus"), cohorts.complete_group_keys(td.episodes(rows)))
     p = plans.stage_plan(whole)
     start, end = F.col("start"), F.col("end")
     p = p.withColumn("frames", fr.top_up(fr.stage_grid(start, end, F.lit(fps)), start, end))
@@ -474,6 +474,15 @@ def csvc(spark, sf_dir):
     return out.select("task", "n_semantics", *map(_r, ("center", "rmse", "score")), "identifiable")
 
 
+@_query(_DELTAS + """
+SELECT task, semantic, count(*) AS n, round(min(value), 9) + 0.0 AS low, round(avg(value), 9) + 0.0 AS mean, round(max(value), 9) + 0.0 AS high FROM dl GROUP BY ALL""")
+def semantic_values(spark, sf_dir):
+    """Maps of an episode's semantics, turned into the values of each semantic."""
+    maps = _deltas(spark, sf_dir).groupBy("task", "episode", "solution").agg(F.map_from_entries(F.collect_list(F.struct("semantic", "value"))).alias("deltas"))
+    rows = metrics.of_semantics(maps).groupBy("task", "semantic").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.avg("value").alias("mean"), F.max("value").alias("high"))
+    return rows.select("task", "semantic", "n", *map(_r, ("low", "mean", "high")))
+
+
 @_query(_DELTAS + """,
 q1 AS (SELECT task, avg(q) AS q_repeat FROM (SELECT task, semantic, 2 * var_samp(value) AS q FROM dl WHERE solution = 'normal' GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
 q2 AS (SELECT task, avg(q) AS q_cross FROM (SELECT task, semantic, 2 * var_samp(value) AS q FROM so GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),

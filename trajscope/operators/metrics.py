@@ -108,6 +108,12 @@ def recovery_groups(branches: DataFrame) -> DataFrame:
     return b.groupBy(*CELL, "trr_group").agg(F.avg("all_ok").alias("score"))
 
 
+def of_semantics(episodes: DataFrame, deltas: str = "deltas") -> DataFrame:
+    """Rows (the other columns, semantic, value) of episodes with a map semantic -> value: the form in which solutions are scored. Null values are left out."""
+    rest = [c for c in episodes.columns if c != deltas]
+    return episodes.select(*rest, F.explode(deltas).alias("semantic", "value")).where("value IS NOT NULL")
+
+
 def solution_profiles(deltas: DataFrame) -> DataFrame:
     """task, semantic, solution, value: one profile of the normal episodes (their median) and each diverse episode."""
     normal = deltas.where("solution = 'normal'").groupBy("task", "semantic").agg(F.median("value").alias("value")).select("task", "semantic", F.lit("normal").alias("solution"), "value")

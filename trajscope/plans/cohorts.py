@@ -33,11 +33,16 @@ def failure_point(episodes: DataFrame) -> DataFrame:
     return episodes.where(F.col("onset").isNotNull() & ~F.col("role").eqNullSafe(F.lit("r_zero")))
 
 
-def complete_groups(episodes: DataFrame) -> DataFrame:
-    """Episodes of groups with all three roles, once each; a role that repeats in a group is an error of the data."""
+def complete_group_keys(episodes: DataFrame) -> DataFrame:
+    """domain, task, trr_group of the groups that have all three roles, once each."""
     roles = episodes.groupBy("domain", "task", "trr_group").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count("role").alias("n"))
     whole = roles.where((F.col("roles") == F.array(F.lit("r_minus"), F.lit("r_plus"), F.lit("r_zero"))) & (F.col("n") == 3))
-    return episodes.join(whole.select("domain", "task", "trr_group"), ["domain", "task", "trr_group"], "left_semi")
+    return whole.select("domain", "task", "trr_group")
+
+
+def complete_groups(episodes: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Episodes of groups with all three roles, once each; a role that repeats in a group is an error of the data. keys may come from a lighter table of the same episodes."""
+    return episodes.join(keys if keys is not None else complete_group_keys(episodes), ["domain", "task", "trr_group"], "left_semi")
 
 
 def frame_audit(rows: DataFrame) -> DataFrame:
