@@ -192,9 +192,12 @@ def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> list[tuple[
     """The bounded sample; the ranks are found on narrow rows, and only the picked texts are read."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     learnable = own.where("length(text) > 0 AND lang IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != HELD_OUT)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = learnable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
-    sample = learnable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").select("lang", "text").mapInPandas(_sampled, "lang string, window binary")
+    learnable = learnable.withColumn("t", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))
+    picked = learnable.select("doc_id", "t", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).drop("rank")
+    # an id may have many rows: each of its texts is picked for itself, and once
+    texts = learnable.select("doc_id", "t", "lang", "text").join(F.broadcast(picked), ["doc_id", "t", "lang"]).dropDuplicates(["doc_id", "t", "lang"])
+    sample = texts.select("lang", "text").mapInPandas(_sampled, "lang string, window binary")
     return [(r["lang"], bytes(r["window"])) for r in sample.collect()]
 
 

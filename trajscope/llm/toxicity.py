@@ -134,8 +134,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PE
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for t in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
-    # copies of an id are of one document; the sample stays bounded
-    rows = texts.mapInPandas(_sampled, "doc_id long, toxic int, sketch binary, words binary, counts binary").dropDuplicates(["doc_id", "toxic"])
+    # rows of one id are of one document: of several texts the one with the least hash counts, so the sample is bounded and the same on every run
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = texts.mapInPandas(_sampled, "doc_id long, toxic int, sketch binary, words binary, counts binary")
     return one_of_each(rows.collect())
 
 
