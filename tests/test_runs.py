@@ -318,6 +318,23 @@ def test_publication(spark, tmp_path, monkeypatch):
         publish.publish(spark, root, "a/b", {"sa": _result(t1=1.0)})
 
 
+def test_published_figures_follow_the_records(spark, tmp_path):
+    """Two runs over different tasks: what is published of them together is what one run over both says."""
+    root = str(tmp_path / "site")
+    rows = [("id", t, f"e{k}", s, v) for t, own in (("t1", [(True, 0.8), (False, 0.2)]), ("t2", [(True, 0.6), (False, 0.5), (False, 0.7)])) for k, (s, v) in enumerate(own)]
+    frame = lambda some: spark.createDataFrame(some, "domain string, task string, episode string, success boolean, score double")
+    result = lambda **tasks: _result(**tasks) | {"protocol": "p", "gap": 99}
+    publish.publish(spark, root, "m", {"sa": result(t1=1.0)}, "now", {"sa": frame(rows[:2])})
+    publish.publish(spark, root, "m", {"sa": result(t2=0.5)}, "now", {"sa": frame(rows[2:])})
+    saved = documents.read_object(f"{root}/m/sa/summary.json")["result"]
+    assert saved["domains"]["id"]["tasks"] == {"t1": 1.0, "t2": 0.5} and saved["gap"] == pytest.approx(0.7 - 0.4) and saved["terminal_values"]["range"] == pytest.approx(0.7)
+    assert publish.published_records(spark, root, "m", "sa").count() == 5 and publish.published_records(spark, root, "m", "vs") is None
+    # a cell that comes again replaces its records, and only those
+    publish.publish(spark, root, "m", {"sa": result(t2=1.0)}, "now", {"sa": frame([("id", "t2", "e9", True, 0.9), ("id", "t2", "e8", False, 0.1)])})
+    assert {r["episode"] for r in publish.published_records(spark, root, "m", "sa").where("task = 't2'").collect()} == {"e8", "e9"}
+    assert documents.read_object(f"{root}/m/sa/summary.json")["result"]["gap"] == pytest.approx(0.85 - 0.15)
+
+
 def test_contents(spark, tmp_path):
     for name, size in (("a.bin", 10_000), ("d/b.bin", 0), ("d/c.json", 5)):
         (tmp_path / "tree" / name).parent.mkdir(exist_ok=True, parents=True)

@@ -88,7 +88,8 @@ def publish(spark: SparkSession, o) -> int:
     unfit = {m: r["state"] for m, r in execute.inspect(spark, asked).items() if r["state"] != "valid"}
     if unfit:
         raise ValueError(f"not valid: {unfit}")
-    publisher.publish(spark, o.root, o.baseline, execute.saved_results(spark, asked))
+    results = execute.saved_results(spark, asked)
+    publisher.publish(spark, o.root, o.baseline, results, records={m: execute.records_of(spark, asked, m) for m in results})
     return 0
 
 

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.naming import check_components
 from ..sources.commits import Log, Snapshot
 from ..sources.storage import joined
+from .registry import METRICS
 
 
 def merged(old: dict | None, new: dict) -> dict:
@@ -37,26 +39,56 @@ def _mean(values: dict) -> float | None:
     return sum(some) / len(some) if some else None
 
 
-def publish(spark: SparkSession, root: str, baseline: str, results: dict[str, dict], now: str | None = None) -> None:
-    """Merge results into the published ones, all or none of them."""
+def publish(spark: SparkSession, root: str, baseline: str, results: dict[str, dict], now: str | None = None, records: dict[str, DataFrame] | None = None) -> None:
+    """Merge results into the published ones, all or none of them.
+
+    With records, those of the (domain, task) cells that come replace the ones
+    that are there, and the figures beside the means are made anew of all of them;
+    without, a result that is merged keeps its means alone.
+    """
     check_components([baseline])
     check_components(sorted({t for r in results.values() for own in r["domains"].values() for t in own["tasks"]}), task_names=True)
     now = now or datetime.now(timezone.utc).isoformat(timespec="seconds")
     log = Log(spark, root)
 
     def change(snapshot: Snapshot) -> dict:
-        entries = {}
+        entries, add, remove = {}, {}, []
         for metric, result in results.items():
             key = f"{baseline}/{metric}"
             old = snapshot.properties.get(key)
             if old and old["result"].get("protocol") != result.get("protocol"):
                 raise ValueError(f"{key} was published under protocol {old['result'].get('protocol')}, not {result.get('protocol')}")
-            entries[key] = {"baseline": baseline, "metric": metric, "published": now, "result": merged(old["result"] if old else None, result)}
-        return {"set": entries}
+            whole = merged(old["result"] if old else None, result)
+            before = [p for p in snapshot.files if p.startswith(f"{key}/records/")]
+            if records and metric in records:
+                path = f"{key}/records/{uuid.uuid4().hex}"
+                own = records[metric]
+                for p in before:
+                    own = _over(spark.read.parquet(joined(root, p)), own)
+                own.write.parquet(joined(root, path))
+                spec = METRICS.get(metric)
+                if spec and spec.figures and (before or not old):
+                    whole |= spec.figures(spark.read.parquet(joined(root, path)))
+                add[path] = {}
+            remove += before
+            entries[key] = {"baseline": baseline, "metric": metric, "published": now, "result": whole}
+        return {"set": entries, "add": add, "remove": remove}
 
     export(log, log.update(change))
 
 
+def _over(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old without the cells that new brings, and new."""
+    cell = ["domain", "task"]
+    return old.join(new.select(*cell).distinct(), cell, "left_anti").unionByName(new)
+
+
+def published_records(spark: SparkSession, root: str, baseline: str, metric: str) -> DataFrame | None:
+    """The records behind a published result, if it came with them."""
+    paths = [joined(root, p) for p in Log(spark, root).snapshot().files if p.startswith(f"{baseline}/{metric}/records/")]
+    return spark.read.parquet(*paths) if paths else None
+
+
 def _text(entry: dict) -> str:
     return json.dumps(entry, ensure_ascii=False, allow_nan=False, indent=1, sort_keys=True) + "\n"
 
