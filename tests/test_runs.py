@@ -490,6 +490,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert code == 1 and said.out.strip() == "t1/good1: 40 annotated, None in the video"
 
 
+def test_candidates_beyond_the_scored_tasks(spark, tmp_path):
+    """One task is scored against the instructions of others that are not."""
+    root = _dataset(tmp_path / "data")
+    task = json.loads((tmp_path / "data/t1/metadata.json").read_text())
+    for name in ("t3", "t4"):
+        (tmp_path / "data" / name / "episodes").mkdir(parents=True)
+        (tmp_path / "data" / name / "metadata.json").write_text(json.dumps(task | {"task_id": name, "instruction": f"do {name}"}))
+        (tmp_path / "data" / name / "episodes/x").mkdir()
+        for file in ("metadata.json", "annotation.json"):
+            row = json.loads((tmp_path / "data/t1/episodes/good1" / file).read_text())
+            (tmp_path / "data" / name / "episodes/x" / file).write_text(json.dumps(row | ({"episode_id": "x"} if file == "metadata.json" else {})))
+    data = dataset.load(spark, root)
+    easy = registry.METRICS["tga_easy"]
+    rows = registry.planned(easy, data, ["t1"], ["id"], ["t1", "t3", "t4"]).select("task", "candidate").distinct().collect()
+    assert {tuple(r) for r in rows} == {("t1", "correct"), ("t1", "task-t3"), ("t1", "task-t4")}
+    assert {r["candidate"] for r in registry.planned(easy, data, ["t1", "t3"], ["id"]).where("task = 't1'").collect()} == {"correct", "task-t3"}
+    with pytest.raises(ValueError, match="no candidates"):
+        registry.planned(easy, data, ["t1", "t3"], ["id"], ["t3", "t4"])
+    c = _config(root, str(tmp_path / "out"), ["tga_easy"], tasks=["t1"], candidate_tasks={"tga_easy": ["t1", "t3"]})
+    assert list(execute.run(spark, c)["tga_easy"]["counterfactual_by_id"]) == ["task-t3"]
+    row = ROW | {"data": root, "output": str(tmp_path / "more"), "metrics": {"sa": {"mode": "base", "domains": ["id", "env"]}}}
+    with pytest.raises(ValueError, match="sa: no episode is eligible in env"):
+        execute.run(spark, config.parse(row))
+
+
 def test_judged_run(spark, tmp_path):
     """Subtask answers judged through the cache, by a judge that finds the candidate at once."""
     root, out = _dataset(tmp_path / "data"), str(tmp_path / "out")

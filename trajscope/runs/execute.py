@@ -23,7 +23,7 @@ from ..sources.scratch import fresh_path
 from ..sources.storage import Storage, joined
 from . import results
 from .config import RunConfig
-from .registry import METRICS, Metric, Predictor, check_mode, open_predictor, predictor_class
+from .registry import METRICS, Metric, Predictor, check_domains, check_mode, open_predictor, planned, predictor_class
 
 ASKED = ["op", "task", "episode", "anchor", "anchor_b", "instruction", "playback"]
 ANSWERS = "query_id string, op string, score double, output string"
@@ -254,7 +254,8 @@ def run(spark: SparkSession, config: RunConfig, judgements: DataFrame | None = N
 
 def _one(spark: SparkSession, config: RunConfig, metric: str, data: dataset.Dataset, own: Inputs, scratch: Scratch, judgements: DataFrame | None, judge: Callable[[DataFrame], DataFrame] | None) -> dict:
     spec, log, domains = METRICS[metric], Log(spark, joined(config.output, metric)), list(config.metrics[metric][1])
-    plan = scratch.settled(spec.plan(data, config.tasks_of(metric), domains), "plan")
+    plan = scratch.settled(planned(spec, data, config.tasks_of(metric), domains, list(config.candidate_tasks.get(metric, ()))), "plan")
+    check_domains(plan, metric, domains)
     bound, saved = identity(plan, config, metric, own), log.snapshot()
     if "result" in saved.properties and saved.properties.get("identity") == bound:
         return saved.properties["result"]
@@ -314,7 +315,7 @@ def curves(spark: SparkSession, config: RunConfig, metric: str) -> DataFrame:
     if spec.op != "value":
         raise ValueError(f"{metric} asks for no values")
     data = dataset.load(spark, config.data, list(config.metrics))
-    plan, found = spec.plan(data, config.tasks_of(metric), list(config.metrics[metric][1])), _read(spark, log, log.snapshot(), "parts")
+    plan, found = planned(spec, data, config.tasks_of(metric), list(config.metrics[metric][1]), list(config.candidate_tasks.get(metric, ()))), _read(spark, log, log.snapshot(), "parts")
     if not found:
         raise ValueError(f"{metric} has no answers yet")
     scored = plan.join(checked.union_parts(found).select("query_id", F.col("score").alias("v")), "query_id")
@@ -340,7 +341,7 @@ def inspect(spark: SparkSession, config: RunConfig, tolerance: float = 1e-9) ->
 
 def _inspected(spark: SparkSession, config: RunConfig, metric: str, data: dataset.Dataset, own: Inputs, scratch: Scratch, tolerance: float) -> dict:
     spec, log = METRICS[metric], Log(spark, joined(config.output, metric))
-    plan, saved = scratch.settled(spec.plan(data, config.tasks_of(metric), list(config.metrics[metric][1])), "plan"), log.snapshot()
+    plan, saved = scratch.settled(planned(spec, data, config.tasks_of(metric), list(config.metrics[metric][1]), list(config.candidate_tasks.get(metric, ()))), "plan"), log.snapshot()
     row: dict = {"state": "incomplete", "reason": None, "n_planned": plan.count(), "n_missing": None, "differences": []}
     if "identity" not in saved.properties:
         return row

@@ -127,12 +127,27 @@ def _recovery(data, tasks, domains):
     return _asked(rows.select("*", F.posexplode("frames").alias("place", "anchor")), "trr", "stage", "anchor")
 
 
+def planned(spec: Metric, data: Dataset, tasks: list[str], domains: list[str], candidates: list[str] | None = None) -> DataFrame:
+    """The plan of a metric; candidates are the tasks whose instructions a grounding metric chooses from, where they are more than the scored ones."""
+    return spec.plan(data, tasks, domains, candidates) if candidates else spec.plan(data, tasks, domains)
+
+
+def check_domains(plan: DataFrame, metric: str, domains: list[str]) -> DataFrame:
+    """The plan, if every domain that is asked for has an episode in it; batches ask for what there is instead (`batch.eligibility`)."""
+    missing = sorted(set(domains) - {r["domain"] for r in plan.select("domain").distinct().collect()})
+    if missing:
+        raise ValueError(f"{metric}: no episode is eligible in {', '.join(missing)}")
+    return plan
+
+
 def _grounding(metric: str, by_task: bool):
-    def plan(data, tasks, domains):
+    def plan(data, tasks, domains, candidates=None):
         # tasks with memory annotations have instructions that one trajectory cannot tell apart
         plain = data.tasks.where(~cohorts.declares(F.col("metrics"), "voc_mem"))
         rows = cohorts.grounding(episodes(Dataset(plain, data.episodes, data.violations), metric, tasks, domains))
-        known = plain.where(F.col("task_id").isin(*tasks)).select(F.col("task_id").alias("task"), "instruction", "counterfactuals")
+        scope = plain.where(cohorts.declares(F.col("metrics"), metric))
+        audits.raise_if_any(scope.where(F.col("task_id").isin(*tasks) & ~F.col("task_id").isin(*(candidates or tasks))).select("task_id"), "scored tasks that are no candidates")
+        known = scope.where(F.col("task_id").isin(*(candidates or tasks))).select(F.col("task_id").alias("task"), "instruction", "counterfactuals")
         if by_task:
             from pyspark.sql import Window
 
