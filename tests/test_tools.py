@@ -16,6 +16,12 @@ def test_charts(spark):
     assert [r["x"] for r in target.collect()] == [0, 0.5, 1, 0.5, 0]
 
 
+def test_points_round_as_the_sql(spark):
+    # 148 - 0.61875 * 136 is the double below 63.85: ten times it is 638.5 again
+    df = spark.createDataFrame([([0.0, 0.61875, 0.68125, 1.0],)], "v array<double>").select(charts.polyline(F.col("v")).alias("p"))
+    assert df.first()["p"] == "12.0,148.0 164.0,63.9 316.0,55.4 468.0,12.0"
+
+
 def test_lerobot(spark, tmp_path):
     root, labels = str(tmp_path / "in"), spark.createDataFrame([("old", "pick up the cup")], "old string, new string")
     spark.createDataFrame([(0, "old"), (1, "other")], "task_index int, task string").write.parquet(f"{root}/tasks.parquet")

@@ -10,13 +10,19 @@ from ..functions.text import html_escape
 WIDTH, HEIGHT, PAD = 480, 160, 12
 
 
+def _point(x: Column, y: Column) -> Column:
+    """x,y with one decimal each: floor(10 v + 0.5) of the double, as SQL has it; a format alone rounds the shortest decimal."""
+    tenth = lambda v: F.floor(v.cast("double") * 10 + 0.5).cast("double") / 10
+    return F.format_string("%.1f,%.1f", tenth(x), tenth(y))
+
+
 def polyline(values: Column) -> Column:
     """Points of a curve over the whole width; a constant curve lies in the middle."""
     low, high, n = F.array_min(values), F.array_max(values), F.size(values)
     share = lambda v: F.coalesce(F.try_divide(v - low, high - low), F.lit(0.5))
     x = lambda i: F.lit(PAD) + i * F.coalesce(F.try_divide(F.lit(float(WIDTH - 2 * PAD)), (n - 1).cast("double")), F.lit(0.0))
     y = lambda v: F.lit(HEIGHT - PAD) - share(v) * (HEIGHT - 2 * PAD)
-    return F.array_join(F.transform(values, lambda v, i: F.format_string("%.1f,%.1f", x(i).cast("double"), y(v).cast("double"))), " ")
+    return F.array_join(F.transform(values, lambda v, i: _point(x(i), y(v))), " ")
 
 
 def triangle(n: Column) -> Column:
@@ -24,7 +30,7 @@ def triangle(n: Column) -> Column:
     turn = F.greatest((n - 1) / 2, F.lit(0.5))
     x = lambda i: F.lit(PAD) + i * (F.lit(float(WIDTH - 2 * PAD)) / F.greatest(n - 1, F.lit(1)))
     y = lambda i: F.lit(HEIGHT - PAD) - F.least(i, n - 1 - i) / turn * (HEIGHT - 2 * PAD)
-    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.format_string("%.1f,%.1f", x(i).cast("double"), y(i).cast("double"))), " ")
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _point(x(i), y(i))), " ")
 
 
 def cycle_target(position: Column, n_path: Column) -> Column:
