@@ -191,3 +191,19 @@ def test_wins_with_ties_and_outliers(spark):
         up, down = [v for v, w in own if w], [v for v, w in own if not w]
         wins = sum(a > b for a in up for b in down)
         assert (got[k]["wins"], got[k]["n_winners"], got[k]["n_losers"]) == (wins, len(up), len(down)) and got[k]["score"] == (wins / (len(up) * len(down)) if up and down else None)
+
+
+def test_resampled_medians(spark):
+    """Many blocks and rows of draws, values that repeat, groups that some places lack, keys of few places."""
+    n, times = 70_000, 3
+    rows = spark.range(n).select(F.lit("t").alias("task"), F.format_string("s%06d", "id").alias("solution"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("semantic"), F.when(F.col("id") % 3 == 0, 0.5).otherwise((F.col("id") * 7919 % 10_007) / 1e4).alias("value"))
+    rows = rows.where("semantic = 0 OR substring(solution, 7, 1) < '5'").withColumn("value", F.when(F.col("semantic") == 1, -F.col("value")).otherwise(F.col("value")))
+    few = spark.createDataFrame([("u", "a", 0, 1.0), ("u", "b", 0, 2.0), ("u", "c", None, None), ("u", "d", 5, -1.0)], "task string, solution string, semantic long, value double")
+    rows = rows.unionByName(few)
+    cell = ["task", "replicate", "semantic"]
+    want = statistics.resamples(rows, ["task"], "solution", times).where("semantic IS NOT NULL").groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("c"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    got = {tuple(r[c] for c in cell): r for r in statistics.resampled_medians(rows, "task", "solution", "semantic", "value", times).collect()}
+    want = {tuple(r[c] for c in cell): r for r in want.collect()}
+    assert got.keys() == want.keys() and len(got) > 2 * times
+    for k, r in want.items():
+        assert got[k]["n"] == r["n"] and (got[k]["c"], got[k]["s"], got[k]["ss"]) == pytest.approx((r["c"], r["s"], r["ss"]), rel=1e-9)

@@ -140,9 +140,8 @@ def consistency_intervals(profiles: DataFrame, times: int = 2000, seed: int = 42
     counted = profiles.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("task", "semantic"))).where("n >= 2").drop("n")
     wanted = counted.groupBy("task").agg(F.count_distinct("semantic").alias("wanted"))
     whole = profiles.select("task", "solution").distinct().join(counted, ["task", "solution"], "left")
-    drawn = statistics.resamples(whole, ["task"], "solution", times, seed).where("semantic IS NOT NULL")
+    centers = statistics.resampled_medians(whole, "task", "solution", "semantic", "value", times, seed)
     key = ["task", "replicate"]
-    centers = drawn.groupBy(*key, "semantic").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("c"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     # mean squared distance from the centre, from sums
     error = F.greatest((F.col("ss") - 2 * F.col("c") * F.col("s")) / F.col("n") + F.col("c") * F.col("c"), F.lit(0.0))
     scored = centers.where("n >= 2").withColumn("e", error).groupBy(*key).agg(F.count(F.lit(1)).alias("covered"), F.sqrt(F.avg(F.col("c") * F.col("c"))).alias("g"), F.sqrt(F.avg("e")).alias("d"))
