@@ -356,3 +356,17 @@ def test_pipeline_of_nothing(spark, k):
 def test_registered():
     assert {"pipeline", *registry.QUERIES} <= set(entry.queries())
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))
+
+
+def test_span_codes_and_lookup():
+    """Equal words have equal codes wherever they stand, others differ; each is found, and only those."""
+    import numpy as np
+
+    from trajscope.llm import pieces
+
+    words = sorted({c * n + d for c in "abé" for n in range(90) for d in ("", "x", "\0")} - {""})
+    a, b = pieces._hashes_of(words), pieces._hashes_of(["zz", *reversed(words)])[1:][::-1]
+    assert (a == b).all() and len(set(a.tolist())) == len(words)
+    known = pieces.Dictionary(a[::2], np.ones(len(a[::2]), np.int32), np.arange(len(a[::2]), dtype=np.int32), np.ones(len(a[::2]), dtype=bool))
+    at = known.find(np.concatenate((a, np.array([0, 2**64 - 1], dtype=np.uint64))))
+    assert (known.ids[known.place[at[: len(a) : 2]]] == np.arange(len(a[::2]))).all() and (at[1 : len(a) : 2] == -1).all() and (at[len(a) :] == -1).all()

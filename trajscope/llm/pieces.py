@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, joined, materialize, prefix_sums, small_batches, span_hashes, table, text_chunks
+from .common import MIX, discard, joined, materialize, prefix_sums, scramble, small_batches, span_hashes, table, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -118,6 +118,31 @@ def load(path: str = MODEL) -> PieceModel:
 # --- words --------------------------------------------------------------------
 
 
+#: Bytes of the longest word that is hashed in eights.
+EIGHTS = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]: eight bytes at a time, and those of longer spans by their polynomials. Spans of eight bytes or less and one length never meet."""
+    eights = np.lib.stride_tricks.as_strided(np.concatenate((data, np.zeros(8, np.uint8))), (len(data) + 1, 8), (1, 1))
+    size = end - start
+
+    def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(eights[at]).view("<u8").ravel() & _FIRST[np.minimum(left, 8)]
+
+    out = scramble(load(start, size) + size.astype(np.uint64) * MIX[0])
+    rows, k = np.flatnonzero((size > 8) & (size <= EIGHTS)), 8
+    while len(rows):
+        out[rows] = scramble((out[rows] + load(start[rows] + k, size[rows] - k)) * MIX[1])
+        k += 8
+        rows = rows[size[rows] > k]
+    long = np.flatnonzero(size > EIGHTS)
+    if len(long):
+        out[long] = span_hashes(prefix_sums(data), start[long], end[long])
+    return out
+
+
 class Splitter:
     """Words of texts by their bytes; a space stands for U+2581. Their concatenation is the text as the model sees it."""
 
@@ -142,10 +167,10 @@ class Splitter:
         cut[1:-1] |= self.letter[data[:-1]] & self.safe[data[1:]]
         at = np.flatnonzero(cut)
         start, end = at[:-1], at[1:]
-        text = np.searchsorted(offsets, start, side="right") - 1
+        text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, offsets)))
         own = start < offsets[text + 1] - 1  # the line feeds between texts are no words
         start, end, text = start[own], end[own], text[own]
-        return data, start, end, text, span_hashes(prefix_sums(data), start, end)
+        return data, start, end, text, _span_codes(data, start, end)
 
 
 def _word(data: np.ndarray, start: int, end: int) -> str:
@@ -155,7 +180,7 @@ def _word(data: np.ndarray, start: int, end: int) -> str:
 def _hashes_of(words: list[str]) -> np.ndarray:
     """The hashes that Splitter gives these words."""
     data, offsets = joined([w.replace(SPACE, " ") for w in words])
-    return span_hashes(prefix_sums(data), offsets[:-1], offsets[1:] - 1)
+    return _span_codes(data, offsets[:-1], offsets[1:] - 1)
 
 
 def _counted(model: PieceModel, longest: int):
@@ -193,7 +218,7 @@ class Dictionary:
         place = (np.cumsum(sizes) - sizes)[order]
         sizes = sizes[order]
         after = np.cumsum(sizes)
-        self.hashes, self.sizes, self.spelt, self.place = hashes[order], sizes, spelt[order], after - sizes
+        self.hashes, self.sizes, self.spelt, self.place, self.first = hashes[order], sizes, spelt[order], after - sizes, None
         self.ids = ids[np.repeat(place - self.place, sizes) + np.arange(sizes.sum())].astype(np.int32)
 
     def __getstate__(self):
@@ -203,7 +228,7 @@ class Dictionary:
     def __setstate__(self, state):
         self.hashes, sizes, ids, odd = state
         self.sizes, self.ids, self.spelt = sizes.astype(np.int64), ids.astype(np.int32), np.ones(len(sizes), dtype=bool)
-        self.spelt[odd] = False
+        self.spelt[odd], self.first = False, None
         self.place = np.cumsum(self.sizes) - self.sizes
 
     @classmethod
@@ -216,8 +241,21 @@ class Dictionary:
         """Row of each hash, or -1."""
         if not len(self.hashes):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        if self.first is None:
+            # where the hashes of each leading bits begin: about one of two places is taken
+            bits = max(1, len(self.hashes).bit_length() + 1)
+            self.shift = np.uint64(64 - bits)
+            self.first = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        out, at, rows = np.full(len(h), -1), self.first[h >> self.shift], np.arange(len(h))
+        while len(rows):
+            inside = at < len(self.hashes)
+            at, rows = at[inside], rows[inside]
+            own, want = self.hashes[at], h[rows]
+            hit = own == want
+            out[rows[hit]] = at[hit]
+            below = own < want
+            at, rows = at[below] + 1, rows[below]
+        return out
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
