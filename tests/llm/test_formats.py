@@ -370,3 +370,40 @@ def test_span_codes_and_lookup():
     known = pieces.Dictionary(a[::2], np.ones(len(a[::2]), np.int32), np.arange(len(a[::2]), dtype=np.int32), np.ones(len(a[::2]), dtype=bool))
     at = known.find(np.concatenate((a, np.array([0, 2**64 - 1], dtype=np.uint64))))
     assert (known.ids[known.place[at[: len(a) : 2]]] == np.arange(len(a[::2]))).all() and (at[1 : len(a) : 2] == -1).all() and (at[len(a) :] == -1).all()
+
+
+def test_words_are_cut_where_no_piece_reaches():
+    own = pieces.load()
+    pairs = {b[k : k + 2] for p in own.normal for b in [p.replace(pieces.SPACE, " ").encode()] for k in range(len(b) - 1)}
+    text = "qzxj  jqvw 漢字é€\tß \na1b2.c,d\x00e \U0001f600zzvkq"
+    data, start, end, _, _ = pieces.Splitter(own)([text])
+    whole = (" " + text).encode()
+    wanted = [k for k in range(1, len(whole)) if whole[k : k + 1] not in {bytes([x]) for x in range(0x80, 0xC0)} and whole[k - 1 : k + 1] not in pairs]
+    assert start.tolist() == [0, *wanted] and end.tolist() == [*wanted, len(whole)] and data[: len(whole)].tobytes() == whole
+
+
+def _merge_model(draw):
+    """A BPE model file whose ranks are drawn, so that many pieces rank before the merges that lead to them."""
+    plain = ["▁", *"abcd"]
+    while len(plain) < 120:
+        piece = "".join(draw.choice(plain[1:], 2))
+        plain += [piece] if len(piece) <= 8 and piece not in plain else []
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    rows += [(p, -1000.0, 1) for p in plain[:5]] + [(p, -float(k), 1) for k, p in zip(draw.permutation(len(plain) - 5).tolist(), plain[5:], strict=True)]
+    body = b"".join(_bytes(1, _bytes(1, p.encode()) + _field(2, 5, struct.pack("<f", s)) + _field(3, 0, bytes([t]))) for p, s, t in rows)
+    return body + _bytes(2, _field(3, 0, b"\x02") + bytes([35 << 3 & 127 | 128, 35 >> 4]) + b"\x01") + _bytes(3, _bytes(1, b"identity") + _field(3, 0, b"\x01") + _field(4, 0, b"\x00"))
+
+
+def test_one_pass_by_rank_and_early_pieces(spark):
+    """Merges come in the order of ranks but for early pieces; both kinds of words are as the library has them."""
+    draw = np.random.default_rng(5)
+    data = _merge_model(draw)
+    own, library = pieces.PieceModel(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    words = ["".join(draw.choice(list("abcd"), draw.integers(1, 40))) for _ in range(400)]
+    early = [any(w[a:b] in own.early for a in range(len(w)) for b in range(a + 2, len(w) + 1)) for w in words]
+    assert 0 < sum(early) < len(words) and all(set(p) == {pieces.SPACE} for p in pieces.load().early)
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(words)] + [(0, words[0])] * 3, "doc_id long, text string")
+    got = pieces.encode(docs, own, 0).collect()
+    assert len(got) == len(words) + 3 and all(list(r["ids"]) == library.encode(words[r["doc_id"]]) for r in got)
+    # the columns of the words stay, and repeated rows are folded apart
+    assert sorted(r["word"] for r in pieces.dictionary(docs.selectExpr("doc_id", "text AS word").where("doc_id < 2"), own).collect()) == sorted([words[0]] * 4 + [words[1]])

@@ -8,7 +8,8 @@ the matches, grouped by word, are its lattice. A fold with Spark's higher-order
 * unigram models: Viterbi over the end positions;
 * BPE models: their scores are merge ranks, and the best path by their sum is not
   the encoding (it prefers several early pieces to one late one). The fold runs
-  over the same lattice and applies the first applicable merge by rank.
+  over the same lattice and applies the first applicable merge by rank, in one
+  pass where no merge makes an earlier one possible.
 
 Characters without a piece become byte pieces. Words of over MASK characters are
 merged by the same rule outside the fold, with a heap.
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,11 +101,32 @@ class PieceModel:
         self.unknown = min(s for _, s in self.normal.values()) - 10
         if any(SPACE in p.lstrip(SPACE) for p in self.normal):
             raise ValueError("pieces that reach across words are not supported")
+        self.early = self._early() if self.kind == BPE else set()
+        self.apart = self._apart()
+
+    def _early(self) -> set[str]:
+        """Pieces that rank no later than the merge that makes them possible.
+
+        Until a piece is merged, no merge crosses the ends of its characters, so
+        those within come as they do in the piece alone.
+        """
+        out = set()
+        for p, (_, score) in self.normal.items():
+            halves = [(a, b) for a, b in ((p[:k], p[k:]) for k in range(1, len(p))) if a in self.normal and b in self.normal]
+            if any(len(x) > 1 and self.normal[x][1] <= score for pair in halves for x in pair):
+                ranks: list[float] = []
+                if len(merge_word(p, self, ranks)) == 1 and ranks[-1] <= max(ranks[:-1], default=-np.inf):
+                    out.add(p)
+        return out
 
-    def cuts(self) -> tuple[bool, bytes]:
-        """Whether no piece holds a line feed, and ASCII signs that never follow a letter within a piece: places that no piece reaches across."""
-        after_letter = {b for p in self.normal for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
-        return not any("\n" in p for p in self.normal), "".join(c for c in "!\"#$%&'()*+,./:;<=>?@[]^_`{|}~" if c not in after_letter).encode()
+    def _apart(self) -> np.ndarray:
+        """For each two bytes, at 256 * first + second, whether they never follow each other in a character or a piece: no piece reaches across. A space stands for U+2581."""
+        out = np.ones((256, 256), dtype=bool)
+        out[:, 0x80:0xC0] = False
+        for p in self.normal:
+            b = np.frombuffer(p.replace(SPACE, " ").encode("utf-8", "surrogatepass"), np.uint8)
+            out[b[:-1], b[1:]] = False
+        return out.ravel()
 
     def piece_bytes(self) -> list[bytes]:
         special = lambda p, t: bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t == NORMAL else b""
@@ -148,23 +171,14 @@ class Splitter:
 
     def __init__(self, model: PieceModel):
         self.prefix = " " if model.dummy_prefix else ""
-        self.lines, safe = model.cuts()
-        self.safe, self.letter = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
-        self.safe[list(safe)] = True
-        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.apart = model.apart
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """bytes, starts, ends, texts and hashes of the words."""
         data, offsets = joined([self.prefix + t.replace(SPACE, " ") if t else "" for t in texts])
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[offsets], cut[offsets[1:] - 1] = True, True
-        space = data == 32
-        cut[1:-1] |= space[1:] & ~space[:-1]
-        if self.lines:
-            line = data == 10
-            cut[:-1] |= line
-            cut[1:] |= line
-        cut[1:-1] |= self.letter[data[:-1]] & self.safe[data[1:]]
+        cut[1:-1] |= self.apart[data[:-1].astype(np.uint16) << 8 | data[1:]]
         at = np.flatnonzero(cut)
         start, end = at[:-1], at[1:]
         text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, offsets)))
@@ -183,27 +197,43 @@ def _hashes_of(words: list[str]) -> np.ndarray:
     return _span_codes(data, offsets[:-1], offsets[1:] - 1)
 
 
-def _counted(model: PieceModel, longest: int):
-    """(word, n) of the words of at most `longest` characters; a word may come several times."""
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of data[start:start + size], one span after the other."""
+    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, words, n = Splitter(model), {}, {}
-        for frame in frames:
-            for part in text_chunks(frame):
+
+def _counted(model: PieceModel):
+    """(word, n) of the words, with spaces for U+2581; a word may come several times."""
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Hashes, counts, sizes and bytes of the different words of parts."""
+        h, n, size, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        own, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return own, np.bincount(at, n).astype(np.int64), size[first], _gather(data, (np.cumsum(size) - size)[first], size[first])
+
+    def batch(_, n: np.ndarray, size: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data)), pa.array(n)], ["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, parts, most = Splitter(model), [], 0
+        for rows in batches:
+            for part in text_chunks(rows.to_pandas()):
                 data, start, end, _, h = split(part["text"].tolist())
-                own, first, count = np.unique(h, return_index=True, return_counts=True)
-                for x, k, c in zip(own.tolist(), first.tolist(), count.tolist(), strict=True):
-                    if x in n:
-                        n[x] += c
-                    else:
-                        n[x], words[x] = c, _word(data, start[k], end[k])
-                if len(n) >= COUNTED:
-                    yield pd.DataFrame({"word": words.values(), "n": n.values()})
-                    words, n = {}, {}
-        if n:
-            yield pd.DataFrame({"word": words.values(), "n": n.values()})
+                own, first, n = np.unique(h, return_index=True, return_counts=True)
+                size = (end - start)[first]
+                parts.append((own, n, size, _gather(data, start[first], size)))
+                most += len(own)
+                if most >= 2 * COUNTED:
+                    parts = [merged(parts)]
+                    most = len(parts[0][0])
+                    if most >= COUNTED:
+                        yield batch(*parts[0])
+                        parts, most = [], 0
+        if parts:
+            yield batch(*merged(parts))
 
-    return lambda frames: (f[f["word"].str.len() <= longest] for f in run(frames))
+    return run
 
 
 class Dictionary:
@@ -259,20 +289,23 @@ class Dictionary:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """The columns of words, with edges: all (rank, s, e, id, need, inner) of pieces in the column `word`, best rank first.
+    """The columns of words, with edges: all (rank, s, e, id, need, inner, early) of pieces in the column `word`, best rank first.
 
     rank is minus the score; need has the bits of both ends and inner those
-    between. Characters without a piece have an edge with id -1.
+    between. Characters without a piece have an edge with id -1. A word that
+    comes in two rows has two lattices.
 
     words is partitioned by some of its columns, and the piece table (fixed by
     the model) is broadcast, so grouping the edges needs no further shuffle.
     """
     spark = words.sparkSession
     # a hash as the key makes the lookup one of numbers; the pieces are compared as well
-    table_ = spark.createDataFrame([(p, i, -s) for p, (i, s) in model.normal.items()], "known string, id int, rank double")
+    table_ = spark.createDataFrame([(p, i, -s, p in model.early) for p, (i, s) in model.normal.items()], "known string, id int, rank double, early boolean")
     table_ = F.broadcast(table_.withColumn("h", F.xxhash64("known")))
-    size, keys = F.length("word"), words.columns
-    spans = words.select(*keys, F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    # rows come numbered, so that grouping by the number first finds them in order
+    size, keys = F.length("word"), ["number", *words.columns]
+    spans = words.select(F.monotonically_increasing_id().alias("number"), "*")
+    spans = spans.select(*keys, F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
     spans = spans.select(*keys, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("s")))).alias("l"))
     spans = spans.select(*keys, "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(word, s + 1, l)").alias("piece"))
     edges = spans.join(table_, (F.xxhash64("piece") == F.col("h")) & (F.col("piece") == F.col("known")), "left").where("id IS NOT NULL OR e = s + 1")
@@ -280,8 +313,9 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     edges = edges.select(*keys, F.struct(
         F.coalesce("rank", F.lit(-model.unknown)).alias("rank"), "s", "e", F.coalesce("id", F.lit(-1)).alias("id"),
         F.expr(f"{one('s')} | {one('e')}").alias("need"), F.expr(f"{one('s + 1')} * ({one('e - s - 1')} - 1)").alias("inner"),
+        F.coalesce("early", F.lit(False)).alias("early"),
     ).alias("edge"))
-    return edges.groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges")).drop("number")
 
 
 #: SQL: spans of the best path over `edges`, the longest last piece on ties; unknown characters stand at a penalty.
@@ -294,17 +328,20 @@ _VITERBI = """
       (a, e) -> if(a.at = e, named_struct('at', a.best[e].s, 'out', concat(array(named_struct('s', a.best[e].s, 'e', e, 'id', a.best[e].id)), a.out), 'best', a.best), a),
       a -> a.out)"""
 
-#: SQL: the boundaries between symbols, as bits, after all merges. Each step applies the first merge by rank that joins two symbols; bit 62 says that none does.
+#: SQL: the boundaries between symbols, as bits, after all merges; always the first merge by rank that joins two symbols. A merge makes
+#: only later ones possible, so one pass by rank applies them all. Words with early pieces begin again after each merge; bit 62 says that none is left.
 _MERGED = """
+    if(NOT exists(edges, x -> x.early),
+    aggregate(edges, shiftleft(1L, length(word) + 1) - 1L, (m, x) -> if((m & x.need) = x.need AND bit_count(m & x.inner) = 1, m & ~x.inner, m)),
     aggregate(sequence(1, length(word)), shiftleft(1L, length(word) + 1) - 1L, (m, k) -> if(m >= shiftleft(1L, 62), m,
       aggregate(edges, -1L, (f, x) -> if(f >= 0, f, if((m & x.need) = x.need AND bit_count(m & x.inner) = 1, m & ~x.inner, -1L)),
-        f -> if(f >= 0, f, m | shiftleft(1L, 62)))))"""
-#: SQL: the edges between neighbouring boundaries, in order; repeated rows bring each edge more than once.
-_SYMBOLS = "array_sort(array_distinct(transform(filter(edges, x -> (merged & x.need) = x.need AND (merged & x.inner) = 0), x -> named_struct('s', x.s, 'e', x.e, 'id', x.id))))"
+        f -> if(f >= 0, f, m | shiftleft(1L, 62))))))"""
+#: SQL: the edges between neighbouring boundaries, in order.
+_SYMBOLS = "sort_array(transform(filter(edges, x -> (merged & x.need) = x.need AND (merged & x.inner) = 0), x -> named_struct('s', x.s, 'e', x.e, 'id', x.id)))"
 
 
-def merge_word(word: str, model: PieceModel) -> list[tuple[int, int]]:
-    """Spans of a word of any length under the merge rule, with a heap."""
+def merge_word(word: str, model: PieceModel, ranks: list[float] | None = None) -> list[tuple[int, int]]:
+    """Spans of a word of any length under the merge rule, with a heap; the ranks of its merges go to `ranks`."""
     n = len(word)
     after, before, ends, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
     heap: list[tuple[float, int, int, int]] = []
@@ -317,9 +354,11 @@ def merge_word(word: str, model: PieceModel) -> list[tuple[int, int]]:
     for k in range(n):
         offer(k)
     while heap:
-        _, a, mid, end = heapq.heappop(heap)
+        rank, a, mid, end = heapq.heappop(heap)
         if not alive[a] or ends[a] != mid or mid >= n or ends[mid] != end:
             continue
+        if ranks is not None:
+            ranks.append(rank)
         alive[mid], ends[a], after[a] = False, end, after[mid]
         if after[mid] < n:
             before[after[mid]] = a
@@ -392,7 +431,8 @@ def _packed(model: PieceModel):
 
 def hot_words(own: DataFrame, model: PieceModel, hot: int, longest: int) -> Dictionary:
     """The dictionary of the `hot` most frequent words, at most about 30 bytes each on the driver."""
-    words = own.select("text").mapInPandas(_counted(model, longest), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = own.select("text").mapInArrow(_counted(model), "word string, n long").where(F.length("word") <= longest)
+    words = words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("word", F.translate("word", " ", SPACE))
     top = materialize(words.orderBy(F.desc("n"), "word").limit(hot).select("word"), "words")
     n = -(-top.count() // 10_000) or 1
     rows = dictionary(top.repartition(n, "word"), model).mapInPandas(_packed(model), "hashes binary, sizes binary, ids binary, spelt binary").collect()
@@ -478,7 +518,7 @@ def encode(docs: DataFrame, model: PieceModel | None = None, hot_words_: int = H
     keyed = own.mapInPandas(_with_rare(hot, model, longest), "doc_id long, text string, rare array<string>").withColumn("key", F.xxhash64("doc_id", "text")).repartition(n, "key")
     # both uses of keyed take the same columns, so that they share one shuffle of the texts
     rare = keyed.select("key", "doc_id", F.explode(F.when(F.col("text").isNotNull(), F.col("rare"))).alias("word"))
-    rare = dictionary(rare, model).groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("x"))
+    rare = dictionary(rare, model).groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("x"))
     rare = rare.select("key", F.col("x.word").alias("own"), F.col("x.ids").alias("own_ids"))
     full = keyed.join(rare, "key", "left").select("doc_id", F.when(F.col("rare").isNotNull(), F.col("text")).alias("text"), "own", "own_ids")
     return full.mapInPandas(_encoder(hot, model), ENCODED)
